@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quoin.llm import bpe
-from quoin.llm.common import read_table
+from quoin.llm import bpe, sharding, token_store
+from quoin.llm.common import fresh_path, read_table
 
 
 def vocabulary_path() -> str:
@@ -25,8 +25,19 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2(F.encode("text", "UTF-8"), 256).alias("decoded_sha256"))
 
 
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.shard(read_table(spark, sf_dir, "documents").select("doc_id", "text"), shards=40)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = fresh_path(spark, "tokens")
+    token_store.write(read_table(spark, sf_dir, "documents").select("doc_id", "text"), store, vocabulary_path(), end_id=2)
+    return token_store.read_sums(spark, store, token_store.width_of(vocabulary_path())).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe}
+    return {"op1_bpe": op1_bpe, "op2_sharding": op2_sharding, "op5_token_store": op5_token_store}
 
 
 def oracle_sql() -> dict[str, str]:
