@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quoin.llm import bpe, sharding, token_store
+from quoin.llm import bpe, decontamination, sharding, token_store
 from quoin.llm.common import fresh_path, read_table
 
 
@@ -36,8 +36,14 @@ def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_sums(spark, store, token_store.width_of(vocabulary_path())).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontamination.judged(docs, read_table(spark, sf_dir, "benchmark"), keep_text=False)
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op2_sharding": op2_sharding, "op5_token_store": op5_token_store}
+    return {"op1_bpe": op1_bpe, "op2_sharding": op2_sharding, "op5_token_store": op5_token_store, "op7_decontamination": op7_decontamination}
 
 
 def oracle_sql() -> dict[str, str]:
