@@ -137,12 +137,20 @@ class PrefixCoder:
 
 
 _coders: dict[str, tuple[Vocabulary, Memo]] = {}
+_vocabularies: dict[str, Vocabulary] = {}
+
+
+def vocabulary_of(path: str) -> Vocabulary:
+    """One per Python worker; those that only decode need no automaton."""
+    if path not in _vocabularies:
+        _vocabularies[path] = Vocabulary(path)
+    return _vocabularies[path]
 
 
 def coder(path: str) -> tuple[Vocabulary, Memo]:
     """One per Python worker and vocabulary file."""
     if path not in _coders:
-        vocabulary = Vocabulary(path)
+        vocabulary = vocabulary_of(path)
         prefix = PrefixCoder(vocabulary)
         _coders[path] = vocabulary, Memo(lambda words: [prefix.code(w.encode()) for w in words], vocabulary.special, vocabulary.width)
     return _coders[path]
@@ -173,7 +181,7 @@ def decode(coded: DataFrame, path: str, ids: str = "ids", text: str = "text") ->
     schema = T.StructType([*(f for f in coded.schema if f.name != text), T.StructField(text, T.StringType())])
 
     def run(batches):
-        pieces = coder(path)[0].token_bytes.__getitem__
+        pieces = vocabulary_of(path).token_bytes.__getitem__
         for cols in batches:
             yield cols | {text: [b"".join(map(pieces, np.frombuffer(b or b"", "<u4").tolist())).decode("utf-8", "replace") for b in cols[ids]]}
 
