@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quoin.llm import bpe, decontamination, sharding, token_store
+from quoin.llm import bpe, decontamination, sharding, simhash, token_store
 from quoin.llm.common import fresh_path, read_table
 
 
@@ -30,6 +30,11 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_copies(read_table(spark, sf_dir, "documents").select("doc_id", "text"), size=3, distance=3)
+    return found.select("doc_id", simhash.hexadecimal("fp").alias("fingerprint"), "component_id")
+
+
 def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = fresh_path(spark, "tokens")
     token_store.write(read_table(spark, sf_dir, "documents").select("doc_id", "text"), store, vocabulary_path(), end_id=2)
@@ -43,7 +48,7 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op2_sharding": op2_sharding, "op5_token_store": op5_token_store, "op7_decontamination": op7_decontamination}
+    return {"op1_bpe": op1_bpe, "op2_sharding": op2_sharding, "op3_simhash": op3_simhash, "op5_token_store": op5_token_store, "op7_decontamination": op7_decontamination}
 
 
 def oracle_sql() -> dict[str, str]:
