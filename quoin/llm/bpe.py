@@ -16,21 +16,17 @@ from pyspark.sql import types as T
 
 from quoin.llm.common import map_batches
 from quoin.llm.pretokens import Memo, Vocabulary
+from quoin.llm.suffix_automaton import SuffixAutomaton
 
 #: Results of pair tests kept per worker.
 MEMO_PAIRS = 300_000
 
 
-class SuffixAutomaton:
-    """Of all tokens; after reading a text, the tokens that end at its last byte are found along suffix links."""
+class TokenAutomaton(SuffixAutomaton):
+    """Of all tokens; the state reached by a text has the tokens that end at its last byte."""
 
     def __init__(self, tokens: dict[int, bytes]):
-        self.next: list[dict[int, int]] = [{}]
-        self.link, self.length = [-1], [0]
-        for token in tokens.values():
-            last = 0
-            for byte in token:
-                last = self._extend(last, byte)
+        super().__init__(tokens.values())
         own: dict[int, list[tuple[int, int]]] = {}
         for i, token in tokens.items():
             state = 0
@@ -43,38 +39,10 @@ class SuffixAutomaton:
             beyond = self.tokens[self.link[state]]
             self.tokens[state] = (*sorted(own[state], reverse=True), *beyond) if state in own else beyond
 
-    def _state(self, length: int, link: int, steps: dict[int, int]) -> int:
-        self.length.append(length)
-        self.link.append(link)
-        self.next.append(steps)
-        return len(self.next) - 1
-
-    def _split(self, p: int, q: int, byte: int) -> int:
-        """Part the class of q at the string that p and byte spell."""
-        clone = self._state(self.length[p] + 1, self.link[q], dict(self.next[q]))
-        self.link[q] = clone
-        while p != -1 and self.next[p].get(byte) == q:
-            self.next[p][byte] = clone
-            p = self.link[p]
-        return clone
-
-    def _extend(self, last: int, byte: int) -> int:
-        q = self.next[last].get(byte)
-        if q is not None:
-            return q if self.length[q] == self.length[last] + 1 else self._split(last, q, byte)
-        made, p = self._state(self.length[last] + 1, 0, {}), last
-        while p != -1 and byte not in self.next[p]:
-            self.next[p][byte] = made
-            p = self.link[p]
-        if p != -1:
-            q = self.next[p][byte]
-            self.link[made] = q if self.length[q] == self.length[p] + 1 else self._split(p, q, byte)
-        return made
-
 
 class PrefixCoder:
     def __init__(self, vocabulary: Vocabulary):
-        self.automaton = SuffixAutomaton({i: vocabulary.token_bytes[i] for i in vocabulary.ordinary})
+        self.automaton = TokenAutomaton({i: vocabulary.token_bytes[i] for i in vocabulary.ordinary})
         self.rank, self.parents = vocabulary.rank, vocabulary.parents
         self.merged = {(a, b): vocabulary.rank[i] for i, (a, b) in vocabulary.parents.items()}
         self.pairs: dict[int, bool] = {}
