@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quoin.llm import bpe, decontamination, language, sharding, simhash, token_store, topk
+from quoin.llm import bpe, decontamination, language, quality, sharding, simhash, token_store, topk
 from quoin.llm.common import fresh_path, read_table
 
 
@@ -55,6 +55,11 @@ def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.scored(docs, read_table(spark, sf_dir, "labels"), keep_text=False).select("doc_id", "held_out", "score", "predicted")
+
+
 OP9_SQL = """
 with v as (
   select vec_id, list_transform(embedding, lambda x: cast(floor(64 * cast(x as double)) as bigint)) as q
@@ -73,7 +78,7 @@ where rank <= 20
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op2_sharding": op2_sharding, "op3_simhash": op3_simhash, "op5_token_store": op5_token_store, "op7_decontamination": op7_decontamination, "op8_language": op8_language, "op9_topk": op9_topk}
+    return {"op1_bpe": op1_bpe, "op2_sharding": op2_sharding, "op3_simhash": op3_simhash, "op5_token_store": op5_token_store, "op7_decontamination": op7_decontamination, "op8_language": op8_language, "op9_topk": op9_topk, "op10_quality": op10_quality}
 
 
 def oracle_sql() -> dict[str, str]:
