@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quoin.llm import bpe, decontamination, language, quality, sharding, simhash, token_store, topk
+from quoin.llm import bpe, decontamination, language, pii, quality, sharding, simhash, token_store, topk
 from quoin.llm.common import fresh_path, read_table
 
 
@@ -41,6 +41,12 @@ def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_sums(spark, store, token_store.width_of(vocabulary_path())).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.found(read_table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
+    counts = [F.size(F.filter("base", lambda x, i=i: x.kind == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(pii.KINDS)]
+    return found.select("doc_id", *counts, F.sha2(pii.listed("base"), 256).alias("base_sha256"), pii.listed("spans").alias("spans"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontamination.judged(docs, read_table(spark, sf_dir, "benchmark"), keep_text=False)
@@ -78,7 +84,7 @@ where rank <= 20
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op2_sharding": op2_sharding, "op3_simhash": op3_simhash, "op5_token_store": op5_token_store, "op7_decontamination": op7_decontamination, "op8_language": op8_language, "op9_topk": op9_topk, "op10_quality": op10_quality}
+    return {"op1_bpe": op1_bpe, "op2_sharding": op2_sharding, "op3_simhash": op3_simhash, "op5_token_store": op5_token_store, "op6_pii": op6_pii, "op7_decontamination": op7_decontamination, "op8_language": op8_language, "op9_topk": op9_topk, "op10_quality": op10_quality}
 
 
 def oracle_sql() -> dict[str, str]:
