@@ -142,15 +142,35 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
     return map_batches(docs.drop(ids) if ids != text else docs, run, schema)
 
 
-def decode(coded: DataFrame, path: str, ids: str = "ids", text: str = "text") -> DataFrame:
-    """coded with the text that its ids stand for; bytes that aren't UTF-8 become U+FFFD. Null ids: empty."""
+def _text(b: bytes | None, pieces) -> str:
     import numpy as np
 
+    return b"".join(map(pieces, np.frombuffer(b or b"", "<u4").tolist())).decode("utf-8", "replace")
+
+
+def decode(coded: DataFrame, path: str, ids: str = "ids", text: str = "text") -> DataFrame:
+    """coded with the text that its ids stand for; bytes that aren't UTF-8 become U+FFFD. Null ids: empty."""
     schema = T.StructType([*(f for f in coded.schema if f.name != text), T.StructField(text, T.StringType())])
 
     def run(batches):
         pieces = vocabulary_of(path).token_bytes.__getitem__
         for cols in batches:
-            yield cols | {text: [b"".join(map(pieces, np.frombuffer(b or b"", "<u4").tolist())).decode("utf-8", "replace") for b in cols[ids]]}
+            yield cols | {text: [_text(b, pieces) for b in cols[ids]]}
 
     return map_batches(coded.drop(text), run, schema)
+
+
+def round_trip(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
+    """encode(), and the text decoded from the ids in place of the original, in one pass over the documents."""
+    import numpy as np
+
+    schema = T.StructType([*(f for f in docs.schema if f.name not in (text, ids)), T.StructField(ids, T.BinaryType()), T.StructField(text, T.StringType())])
+
+    def run(batches):
+        vocabulary, memo = coder(path)
+        pieces = vocabulary.token_bytes.__getitem__
+        for cols in batches:
+            coded = [np.frombuffer(b, vocabulary.width).astype("<u4").tobytes() for b in memo.ids(cols.pop(text))]
+            yield cols | {ids: coded, text: [_text(b, pieces) for b in coded]}
+
+    return map_batches(docs, run, schema)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: So many rows, of about so many bytes together, become Python objects at a time.
-ARROW_ROWS, ARROW_BYTES = 2000, 8 << 20
+ARROW_ROWS, ARROW_BYTES = 500, 2 << 20
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,11 +64,11 @@ def held_out(doc_id: Column) -> Column:
 def map_batches(df: DataFrame, fn: Callable[[Iterable[dict[str, list]]], Iterator[dict[str, list]]], schema: str | T.StructType) -> DataFrame:
     """mapInArrow with plain Python columns: fn gets dicts of lists and yields dicts of lists.
 
-    Texts are long, so the session's Arrow batches are held to ARROW_ROWS rows, which bounds what waits on either side.
+    Texts are long, so the session's Arrow batches are held to 4 * ARROW_ROWS rows, which bounds what waits on either side.
     """
     conf = df.sparkSession.conf
-    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > 4 * ARROW_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(4 * ARROW_ROWS))
     out = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
