@@ -8,15 +8,17 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from collections.abc import Callable
+from itertools import islice
 
 import numpy as np
 import regex
 
 #: Fixed value: the pre-token pattern that the byte-level vocabulary was made with.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Pre-tokens and space-cut pieces kept per worker and generation; two generations are kept.
-MEMO_WORDS = 150_000
+#: Kept per worker: pre-tokens, space-cut pieces seen more than once (of which the first are kept longest), and once.
+MEMO_WORDS, MEMO_PIECES, MEMO_NEW = 300_000, 300_000, 150_000
 #: Pre-tokens and pieces over this length aren't kept.
 MEMO_CHARS = 64
 
@@ -59,74 +61,82 @@ class Memo:
     def __init__(self, encode: Callable[[list[str]], list[list[int]]], special: dict[str, int], width: np.dtype):
         self.encode, self.width = encode, width
         self.words: dict[str, bytes] = {}
-        self.old_words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
-        self.old_pieces: dict[str, bytes] = {}
+        self.new_pieces: dict[str, bytes] = {}
+        self.find_ascii = re.compile(PATTERN.replace(r"\p{L}", "A-Za-z").replace(" ?A-Za-z+", " ?[A-Za-z]+").replace(r"\p{N}", "0-9").replace(" ?0-9+", " ?[0-9]+"), re.ASCII).findall
         self.find = regex.compile(PATTERN).findall
         self.unsafe = re.compile(r"\s (?:\s|\Z)").search
         self.special = {k: np.array([v], width).tobytes() for k, v in special.items()}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")").split if special else None
 
     def _words(self, words: list[str]) -> list[bytes]:
-        known = self.words
-        if len(known) > MEMO_WORDS:
-            self.old_words, self.words = known, {}
-            known = self.words
+        if len(self.words) > MEMO_WORDS:
+            self.words = {}
+        known, width = self.words, self.width
         unseen = [w for w in dict.fromkeys(words) if w not in known]
         if unseen:
-            rest = []
-            for w in unseen:
-                if (was := self.old_words.get(w)) is None:
-                    rest.append(w)
-                else:
-                    known[w] = was
-            if rest:
-                width, long = self.width, {}
-                for w, ids in zip(rest, self.encode(rest), strict=True):
-                    (known if len(w) <= MEMO_CHARS else long)[w] = np.array(ids, width).tobytes()
-                if long:
-                    return [known[w] if w in known else long[w] for w in words]
+            coded = [array(width.char, ids).tobytes() for ids in self.encode(unseen)]
+            if len(max(unseen, key=len)) > MEMO_CHARS:
+                known = known | dict(zip(unseen, coded, strict=True))
+                self.words.update((w, b) for w, b in zip(unseen, coded, strict=True) if len(w) <= MEMO_CHARS)
+            else:
+                known.update(zip(unseen, coded, strict=True))
         return [known[w] for w in words]
 
+    def _cut(self, piece: str) -> list[str]:
+        """Pre-tokens of a piece; letters after a space or none are one, and ASCII needs no Unicode classes."""
+        if piece.isalpha() or piece[0] == " " and piece[1:].isalpha():
+            return [piece]
+        return self.find_ascii(piece) if piece.isascii() else self.find(piece)
+
     def _whole(self, text: str) -> bytes:
         return b"".join(self._words(self.find(text)))
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         """Texts without special strings."""
-        if len(self.pieces) > MEMO_WORDS:
-            self.old_pieces, self.pieces = self.pieces, {}
-        known, old = self.pieces, self.old_pieces
-        cut: list[list[str] | None] = []
-        unseen: dict[str, None] = {}
+        if len(self.pieces) > MEMO_PIECES:
+            self.pieces = dict(islice(self.pieces.items(), MEMO_PIECES // 2))
+        if len(self.new_pieces) > MEMO_NEW:
+            self.new_pieces = {}
+        get, new = self.pieces.get, self.new_pieces.get
+        rows: list[list[bytes | None] | None] = []
+        missing: list[tuple[list[bytes | None], int, str]] = []
         for t in texts:
             if self.unsafe(t):
-                cut.append(None)
+                rows.append(None)
                 continue
-            first, *rest = t.split(" ")
+            parts = t.split(" ")
             # what follows a space is kept under its own text, the first piece with a mark that no piece can hold
-            parts = rest if not first else ["  " + first, *rest]
-            cut.append(parts)
-            for p in parts:
-                if p not in known:
-                    if (was := old.get(p)) is None:
-                        unseen[p] = None
-                    else:
-                        known[p] = was
-        long: dict[str, bytes] = {}
-        if unseen:
-            found = [self.find(p[2:] if p[:2] == "  " else " " + p) for p in unseen]
+            if parts[0]:
+                parts[0] = "  " + parts[0]
+            else:
+                del parts[0]
+            got = list(map(get, parts))
+            at, gaps = -1, got.count(None)
+            for _ in range(gaps):
+                at = got.index(None, at + 1)
+                missing.append((got, at, parts[at]))
+            rows.append(got)
+        if missing:
+            fresh: dict[str, bytes | None] = {}
+            again: dict[str, bytes] = {}
+            for _, _, p in missing:
+                if p in fresh:
+                    continue
+                fresh[p] = was = new(p)
+                if was is not None:
+                    again[p] = was
+            unseen = [p for p, was in fresh.items() if was is None]
+            found = [self._cut(p[2:] if p[:2] == "  " else " " + p) for p in unseen]
             flat = iter(self._words([w for ws in found for w in ws]))
             for p, ws in zip(unseen, found, strict=True):
-                (known if len(p) <= MEMO_CHARS else long)[p] = b"".join([next(flat) for _ in ws])
-        out = []
-        for t, parts in zip(texts, cut, strict=True):
-            if parts is None:
-                out.append(self._whole(t))
-            elif long:
-                out.append(b"".join([known[p] if p in known else long[p] for p in parts]))
-            else:
-                out.append(b"".join(map(known.__getitem__, parts)))
-        return out
+                fresh[p] = ids = next(flat) if len(ws) == 1 else b"".join([next(flat) for _ in ws])
+                if len(p) <= MEMO_CHARS:
+                    self.new_pieces[p] = ids
+            self.pieces.update(again)
+            for got, at, p in missing:
+                got[at] = fresh[p]
+        return [self._whole(t) if got is None else b"".join(got) for t, got in zip(texts, rows, strict=True)]
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
         """Ids of every whole text; null counts as empty."""

@@ -12,6 +12,7 @@ order among themselves; null ids come first. Further columns aren't stored. An e
 from __future__ import annotations
 
 import hashlib
+import re
 import zlib
 from functools import lru_cache
 
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quoin.llm.common import dropped, map_batches, partitions, stored
-from quoin.llm.pretokens import Memo, Vocabulary
+from quoin.llm.pretokens import Memo, Vocabulary, byte_symbols
 
 #: Ids that the rolling hash sees; bounds and mean (a power of two) of a chunk's ids.
 WINDOW, LEAST, MEAN, MOST = 8, 64, 512, 4096
@@ -35,10 +36,19 @@ def library_memo(path: str) -> tuple[Vocabulary, Memo]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        tool, vocabulary = Tokenizer.from_file(path), Vocabulary(path)
-        tool.no_truncation()
-        tool.no_padding()
-        _memos[path] = vocabulary, Memo(lambda words: [e.ids for e in tool.encode_batch_fast(words, add_special_tokens=False)], vocabulary.special, vocabulary.width)
+        # pre-tokens are cut already: the library's model takes them in its alphabet of bytes
+        model, vocabulary = Tokenizer.from_file(path).model, Vocabulary(path)
+        letters = {b: c for b, c in enumerate(byte_symbols()) if chr(b) != c}
+        others = re.compile("[" + "".join(re.escape(chr(b)) for b in letters if b != 32) + "]").search
+
+        def encode(words: list[str]) -> list[list[int]]:
+            out = []
+            for w in words:
+                w = w.encode().decode("latin-1").replace(" ", letters[32])
+                out.append([t.id for t in model.tokenize(w.translate(letters) if others(w) else w)])
+            return out
+
+        _memos[path] = vocabulary, Memo(encode, vocabulary.special, vocabulary.width)
     return _memos[path]
 
 
