@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quoin.llm import bpe, decontamination, language, pii, quality, sharding, simhash, token_store, topk
+from quoin.llm import bpe, decontamination, language, pii, quality, sharding, simhash, suffixes, token_store, topk
 from quoin.llm.common import fresh_path, read_table
 
 
@@ -33,6 +33,12 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hexadecimal("fp").alias("fingerprint"), "component_id")
 
 
+def op4_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = suffixes.deduplicated(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    n_removed = F.aggregate("removed", F.lit(0).cast("long"), lambda a, x: a + x.end - x.start)
+    return kept.select("doc_id", "n_bytes", n_removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = fresh_path(spark, "tokens")
     token_store.write(read_table(spark, sf_dir, "documents").select("doc_id", "text"), store, vocabulary_path(), end_id=2)
@@ -82,7 +88,7 @@ where rank <= 20
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op2_sharding": op2_sharding, "op3_simhash": op3_simhash, "op5_token_store": op5_token_store, "op6_pii": op6_pii, "op7_decontamination": op7_decontamination, "op8_language": op8_language, "op9_topk": op9_topk, "op10_quality": op10_quality}
+    return {"op1_bpe": op1_bpe, "op2_sharding": op2_sharding, "op3_simhash": op3_simhash, "op4_suffixes": op4_suffixes, "op5_token_store": op5_token_store, "op6_pii": op6_pii, "op7_decontamination": op7_decontamination, "op8_language": op8_language, "op9_topk": op9_topk, "op10_quality": op10_quality}
 
 
 def oracle_sql() -> dict[str, str]:
