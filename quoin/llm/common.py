@@ -86,3 +86,13 @@ def map_batches(df: DataFrame, fn: Callable[[Iterable[dict[str, list]]], Iterato
             yield pa.RecordBatch.from_arrays([pa.array(cols[f.name], type=f.type) for f in arrow], schema=arrow)
 
     return df.mapInArrow(run, out)
+
+
+def aside(docs: DataFrame, used: tuple[str, ...] = ("doc_id", "text")) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """docs with all columns but the used ones renamed, so that an operator's own names can't clash with them; and the way back."""
+    names = {c: c if c in used else f"_aside{i}" for i, c in enumerate(docs.columns)}
+
+    def back(out: DataFrame) -> DataFrame:
+        return out.select(*(F.col(new).alias(old) for old, new in names.items()))
+
+    return docs.toDF(*names.values()), back

@@ -17,7 +17,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quoin.llm.common import map_batches, stored
+from quoin.llm.common import aside, map_batches, stored
 from quoin.llm.components import components, forest
 
 BITS, BLOCKS = 64, 6
@@ -128,14 +128,30 @@ def links(distinct: DataFrame, distance: int = 3) -> DataFrame:
         rows = stored(map_batches(met.filter(F.col("n") > PLACE).select("mask", "fp"), divide, "mask long, key long, fp long").distinct(), "divided")
 
 
+def _classes(marked: DataFrame, first: Column, distance: int) -> DataFrame:
+    """(fp, name): for every fingerprint, the least first (an aggregate) of all rows of its component."""
+    distinct = stored(marked.groupBy("fp").agg(first.alias("first")), "distinct")
+    roots = components(links(distinct, distance))
+    homes = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    names = homes.groupBy("root").agg(F.min("first").alias("name"))
+    return homes.select("fp", "root").join(names, "root").select("fp", "name")
+
+
 def near_copies(docs: DataFrame, size: int = 3, distance: int = 3) -> DataFrame:
     """(doc_id, fp, component_id): component_id is the smallest doc_id reachable by links of at most distance bits."""
     marked = stored(fingerprints(docs, size), "fingerprints")
-    distinct = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    roots = components(links(distinct, distance))
-    homes = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    names = homes.groupBy("root").agg(F.min("first").alias("component_id"))
-    return marked.join(homes.select("fp", "root").join(names, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    named = _classes(marked, F.min("doc_id"), distance)
+    return marked.join(named, "fp").select("doc_id", "fp", F.col("name").alias("component_id"))
+
+
+def representatives(docs: DataFrame, size: int = 3, distance: int = 3) -> DataFrame:
+    """One row of docs of each component: that of the smallest doc_id (rows without id come last), the first of equal ones."""
+    known, back = aside(docs)
+    rows = stored(known.withColumn("row", F.monotonically_increasing_id()), "rows")
+    marked = fingerprints(rows.select(F.col("row").alias("doc_id"), "text"), size).withColumnRenamed("doc_id", "row")
+    marked = stored(marked.join(rows.select("row", "doc_id"), "row"), "fingerprints")
+    chosen = _classes(marked, F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")), distance).select(F.col("name.row").alias("row")).distinct()
+    return back(rows.join(chosen, "row", "left_semi"))
 
 
 def hexadecimal(fp) -> Column:
