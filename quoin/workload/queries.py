@@ -1,9 +1,448 @@
 """Queries over the driver tables by name, with the SQL that must give the same rows."""
 
+from __future__ import annotations
 
-def queries() -> dict:
-    return {}
+from collections.abc import Callable
+from types import SimpleNamespace
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quoin.functions import columns as C
+from quoin.functions.dimensions import DIMENSIONS, NAMES
+from quoin.functions.globs import is_ignored, matches
+from quoin.operators import aggregates as A
+from quoin.operators import graph as G
+from quoin.operators import rules as R
+from quoin.operators import shaping as S
+from quoin.plans.context import report
+from quoin.workload.views import CONDENSED, LEVELS, REACH, SCC, THRESHOLDS, Tables, sql
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(name: str, oracle: str | None):
+    def register(fn: Callable[[Tables], DataFrame]):
+        _QUERIES[name] = lambda spark, sf_dir: fn(Tables(spark, sf_dir))
+        if oracle is not None:
+            _SQL[name] = oracle
+        return fn
+
+    return register
+
+
+def r6(column):
+    return F.round(column, 6)
+
+
+# paths and degrees
+
+
+@query("module_of", sql("SELECT path, module FROM f"))
+def _(t):
+    return t.ids().select("path", C.module_of(F.col("path")).alias("module"))
+
+
+@query("module_sizes", sql("SELECT module, count(*) AS n FROM f GROUP BY module"))
+def _(t):
+    return t.ids().groupBy(C.module_of(F.col("path")).alias("module")).agg(F.count("*").alias("n"))
+
+
+@query("url_modules", """
+WITH u AS (SELECT list_filter(string_split(regexp_replace(regexp_replace(url, '^https?://', ''), '/+$', ''), '/'), lambda x: x <> '') AS parts FROM pages WHERE url IS NOT NULL)
+SELECT CASE len(parts) WHEN 0 THEN '' WHEN 1 THEN parts[1] WHEN 2 THEN parts[1] ELSE parts[1] || '/' || parts[2] END AS module, count(*) AS n FROM u GROUP BY 1""")
+def _(t):
+    return t["pages"].filter("url is not null").groupBy(C.module_of(F.regexp_replace("url", "^https?://", "")).alias("module")).agg(F.count("*").alias("n"))
+
+
+@query("degenerate_modules", sql("""SELECT CASE WHEN n_modules < 3 THEN 'few_modules' ELSE 'large_module' END AS warning, module, n FROM
+  (SELECT module, count(*) AS n, (SELECT count(DISTINCT module) FROM f) AS n_modules, (SELECT count(*) FROM f) AS total FROM f GROUP BY module)
+  WHERE n_modules < 3 OR n > 0.8::DOUBLE * total"""))
+def _(t):
+    return S.degenerate_modules(t.ids())
+
+
+@query("entry_points", sql("SELECT path FROM f WHERE regexp_matches(path, '/(index|main)\\.tsx?$')"))
+def _(t):
+    return t.ids().filter(C.is_entry(F.col("path"))).select("path")
+
+
+@query("barrels", sql("SELECT path FROM f WHERE path LIKE '%/index.ts'"))
+def _(t):
+    return t.ids().filter(C.is_barrel(F.col("path"))).select("path")
+
+
+@query("glob_filter", sql("SELECT path, path LIKE 'src/n1/%' AS in_folder, regexp_matches(path, '^src/n2[^/]*/s[^/]*$') AS starred, (path LIKE 'src/%' AND path LIKE '%index.ts') AS deep, regexp_matches(path, '^src/n[34]/.*$') AS ignored FROM f"))
+def _(t):
+    p = F.col("path")
+    return t.ids().select(p, matches("src/n1", p).alias("in_folder"), matches("src/n2*/s*", p).alias("starred"), matches("src/**/index.ts", p).alias("deep"), is_ignored(p, ["src/n3/**", "src/{n4,n400}/**"]).alias("ignored"))
+
+
+@query("degrees", sql("SELECT id AS node, fi AS fan_in, fo AS fan_out FROM deg"))
+def _(t):
+    return G.degrees(t.edges())
+
+
+@query("instability", sql("SELECT id AS node, round(inst, 6) AS instability FROM d"))
+def _(t):
+    return G.degrees(t.edges()).select("node", r6(C.instability(F.col("fan_in"), F.col("fan_out"))).alias("instability"))
+
+
+@query("stable_files", sql("SELECT id AS node FROM st"))
+def _(t):
+    return A.stable_nodes(G.degrees(t.edges()))
+
+
+@query("foundation_files", sql("SELECT path AS node FROM f WHERE path LIKE '%/index.ts' OR id IN (SELECT id FROM st)"))
+def _(t):
+    return A.foundation(t.ids(), G.degrees(t.path_edges()))
+
+
+# module structure
+
+
+@query("coupling", sql("SELECT count(*) AS cross_edges, count(*) FILTER (NOT stable) AS to_unstable, round(coalesce(count(*) FILTER (NOT stable) / nullif(count(*), 0), 0), 6) AS raw_value FROM p WHERE sm <> dm"))
+def _(t):
+    e = t.path_edges()
+    return A.coupling(e, G.degrees(e)).withColumn("raw_value", r6("raw_value"))
+
+
+MODULE_COHESION = """c AS (SELECT module, n_files, coalesce(intra, 0) AS intra, least(coalesce(intra, 0)::DOUBLE / (n_files - 1), 1.0::DOUBLE) AS cohesion, ord FROM
+  (SELECT module, count(*) AS n_files, min(ord) AS ord FROM f GROUP BY module HAVING count(*) >= 2) LEFT JOIN (SELECT sm AS module, count(*) AS intra FROM p WHERE sm = dm GROUP BY sm) USING (module))"""
+
+
+@query("module_cohesion", sql("SELECT module, n_files, intra, round(cohesion, 6) AS cohesion FROM c", MODULE_COHESION))
+def _(t):
+    return A.module_cohesion(t.ids(), t.path_edges()).select("module", "n_files", "intra", r6("cohesion").alias("cohesion"))
+
+
+@query("cohesion", sql("SELECT round(1 - w.cohesion, 6) AS raw_value, w.module AS worst_module FROM (SELECT min({'cohesion': cohesion, 'ord': ord, 'module': module}) AS w FROM c)", MODULE_COHESION))
+def _(t):
+    return A.cohesion(t.ids(), t.path_edges()).select(r6("raw_value").alias("raw_value"), "worst_module")
+
+
+@query("entropy", sql("SELECT round(-sum(k / s * log2(k / s)) / log2(count(*)), 6) AS raw_value FROM (SELECT count(*)::DOUBLE AS k, sum(count(*)) OVER () AS s FROM p GROUP BY dm)"))
+def _(t):
+    return A.entropy(t.path_edges()).select(r6("raw_value").alias("raw_value"))
+
+
+MAIN = """ms AS (SELECT module, abs(a + i - 1) AS distance, a AS abstractness, i AS instability FROM
+  (SELECT 'src/n' || c_nationkey AS module, count(*) FILTER (c_mktsegment IN ('BUILDING', 'MACHINERY'))::DOUBLE / count(*) AS a FROM customer GROUP BY 1)
+  JOIN (SELECT f.module, CASE WHEN coalesce(sum(fi + fo), 0) = 0 THEN 0 ELSE coalesce(sum(fo), 0) / sum(fi + fo) END AS i FROM f LEFT JOIN deg USING (id) GROUP BY f.module) USING (module))"""
+
+
+@query("main_sequence_distance", sql("SELECT module, round(distance, 6) AS distance, round(abstractness, 6) AS abstractness, round(instability, 6) AS instability FROM ms", MAIN))
+def _(t):
+    return A.main_sequence(t.ids(), t.classes(), G.degrees(t.path_edges())).select("module", *(r6(c).alias(c) for c in ("distance", "abstractness", "instability")))
+
+
+@query("dsm_cells", sql("SELECT sm AS from_module, dm AS to_module, count(*) AS n FROM p WHERE sm <> dm GROUP BY ALL"))
+def _(t):
+    return S.dsm_cells(t.path_edges())
+
+
+@query("dsm_matrix", sql("SELECT sm AS from_module, " + ", ".join(f"""coalesce(sum(CASE WHEN dm = 'src/n{i}' AND sm <> dm THEN 1 END), 0)::BIGINT AS "src/n{i}\"""" for i in range(5)) + " FROM p GROUP BY sm"))
+def _(t):
+    return S.dsm_matrix(t.path_edges(), [f"src/n{i}" for i in range(5)])
+
+
+# files and functions
+
+
+@query("god_files", sql("SELECT count(*) FILTER (fo > 5 AND path NOT LIKE '%/index.ts') AS found, count(*) AS total, round(count(*) FILTER (fo > 5 AND path NOT LIKE '%/index.ts') / count(*), 6) AS raw_value FROM d"))
+def _(t):
+    return A.god_files(G.degrees(t.path_edges()), THRESHOLDS).withColumn("raw_value", r6("raw_value"))
+
+
+@query("hotspots", sql("SELECT path AS node, round(fi * inst, 6) AS score FROM d WHERE fi * inst >= 1.5::DOUBLE"))
+def _(t):
+    return G.degrees(t.path_edges()).select("node", A.hotspot_score().alias("score")).filter(F.col("score") >= THRESHOLDS.hotspot).withColumn("score", r6("score"))
+
+
+def _share(table: str, test: str) -> str:
+    return sql(f"SELECT count(*) FILTER ({test}) AS found, count(*) AS total, round(coalesce(count(*) FILTER ({test}) / nullif(count(*), 0), 0), 6) AS raw_value FROM {table}")
+
+
+for _name, _test in (("complex_fns", "cc > 40"), ("cognitive_fns", "cognitive > 15"), ("long_functions", "line_count > 80"), ("high_params", "param_count > 4")):
+    query(_name, _share("fn", _test))(lambda t, test=_test: A.share(t.functions(), F.expr(test)).withColumn("raw_value", r6("raw_value")))
+query("large_files", _share("f", "lines > 40"))(lambda t: A.share(t.ids(), F.col("lines") > THRESHOLDS.large_file).withColumn("raw_value", r6("raw_value")))
+
+
+@query("duplicate_bodies", sql("SELECT body_hash, count(*) AS n FROM fn GROUP BY body_hash HAVING count(*) > 1"))
+def _(t):
+    return A.duplicates(t.functions())
+
+
+@query("duplication", sql("SELECT coalesce(sum(CASE WHEN n > 1 THEN n END), 0)::BIGINT AS found, sum(n)::BIGINT AS total, round(coalesce(sum(CASE WHEN n > 1 THEN n END), 0) / sum(n), 6) AS raw_value FROM (SELECT count(*) AS n FROM fn GROUP BY body_hash)"))
+def _(t):
+    return A.duplication(t.functions()).withColumn("raw_value", r6("raw_value"))
+
+
+@query("body_hash", "SELECT p_partkey, substr(sha256(trim(regexp_replace(concat(p_name, '  ', p_brand), '\\s+', ' ', 'g'))), 1, 16) AS body_hash FROM part")
+def _(t):
+    return t["part"].select("p_partkey", C.body_hash(F.concat("p_name", F.lit("  // told\n /* or\n not */ "), "p_brand")).alias("body_hash"))
+
+
+@query("dead_code", sql("SELECT coalesce(sum(funcs) FILTER (coalesce(fi, 0) = 0 AND f.path NOT LIKE '%/index.ts'), 0)::BIGINT AS found, sum(funcs)::BIGINT AS total, round(coalesce(sum(funcs) FILTER (coalesce(fi, 0) = 0 AND f.path NOT LIKE '%/index.ts'), 0) / sum(funcs), 6) AS raw_value FROM f LEFT JOIN deg USING (id)"))
+def _(t):
+    return A.dead_code(t.files(), G.degrees(t.path_edges())).withColumn("raw_value", r6("raw_value"))
+
+
+@query("comment_ratio", sql("SELECT sum(comments)::BIGINT AS found, sum(lines)::BIGINT AS total, round(1 - sum(comments) / sum(lines), 6) AS raw_value FROM f"))
+def _(t):
+    return A.comments(t.ids()).withColumn("raw_value", r6("raw_value"))
+
+
+@query("line_classes", "SELECT doc_id, len(l)::BIGINT AS lines, len(list_filter(l, lambda x: trim(x, E' \\t\\r\\n') = ''))::BIGINT AS blanks FROM (SELECT doc_id, string_split(CASE WHEN text LIKE E'%\\n' THEN text[:-2] ELSE text END, E'\\n') AS l FROM documents WHERE text <> '' AND text NOT LIKE '%`%' AND text NOT LIKE '%/*%')")
+def _(t):
+    from quoin.functions.lines import counted_lines
+
+    docs = t["documents"].filter("text <> '' and not contains(text, '`') and not contains(text, '/*')").select("doc_id", "text")
+    return counted_lines(docs, "text").select("doc_id", F.col("counts.lines").cast("long").alias("lines"), F.col("counts.blanks").cast("long").alias("blanks"))
+
+
+# history
+
+
+@query("churn_by_file", sql("SELECT path, sum(added)::BIGINT AS added, sum(deleted)::BIGINT AS deleted, sum(added + deleted)::BIGINT AS churn FROM ch GROUP BY path"))
+def _(t):
+    return A.file_churn(t.changes())
+
+
+@query("churn_concentration", sql("""SELECT sum(churn) FILTER (rn <= greatest(1, ceil(n * 0.1::DOUBLE)))::BIGINT AS found, sum(churn)::BIGINT AS total, round(sum(churn) FILTER (rn <= greatest(1, ceil(n * 0.1::DOUBLE))) / sum(churn), 6) AS raw_value
+  FROM (SELECT churn, row_number() OVER (ORDER BY churn DESC) AS rn, count(*) OVER () AS n FROM (SELECT sum(added + deleted) AS churn FROM ch GROUP BY path))"""))
+def _(t):
+    return A.churn_concentration(t.changes()).select(F.col("found").cast("long").alias("found"), "total", r6("raw_value").alias("raw_value"))
+
+
+@query("change_coupling_pairs", "SELECT a.s AS a, b.s AS b, count(*) AS n FROM (SELECT DISTINCT l_orderkey AS o, l_suppkey::VARCHAR AS s FROM lineitem) a JOIN (SELECT DISTINCT l_orderkey AS o, l_suppkey::VARCHAR AS s FROM lineitem) b ON a.o = b.o AND a.s < b.s GROUP BY ALL HAVING count(*) >= 5")
+def _(t):
+    return A.change_pairs(t["lineitem"].select(F.col("l_orderkey").alias("hash"), F.col("l_suppkey").cast("string").alias("path"))).filter("n >= 5")
+
+
+PAIRS = "cp AS (SELECT a.path AS a, b.path AS b FROM (SELECT DISTINCT hash, path FROM ch) a JOIN (SELECT DISTINCT hash, path FROM ch) b ON a.hash = b.hash AND a.path < b.path GROUP BY ALL HAVING count(*) >= 2)"
+
+
+@query("change_coupling_ratio", sql("SELECT count(DISTINCT x) AS found, (SELECT count(DISTINCT path) FROM ch) AS total, round(count(DISTINCT x) / (SELECT count(DISTINCT path) FROM ch), 6) AS raw_value FROM (SELECT a AS x FROM cp UNION ALL SELECT b FROM cp)", PAIRS))
+def _(t):
+    return A.change_coupling(t.changes(), THRESHOLDS).withColumn("raw_value", r6("raw_value"))
+
+
+@query("bus_factor", sql("SELECT count(*) FILTER (n = 1) AS found, count(*) AS total, round(count(*) FILTER (n = 1) / count(*), 6) AS raw_value FROM (SELECT count(DISTINCT author) AS n FROM ch GROUP BY path)"))
+def _(t):
+    return A.bus_factor(t.changes()).withColumn("raw_value", r6("raw_value"))
+
+
+@query("file_authors", sql("SELECT path, count(DISTINCT author) AS authors FROM ch GROUP BY path"))
+def _(t):
+    return A.file_authors(t.changes())
+
+
+@query("last_modified", sql("SELECT path, max(ts) AS ts FROM ch GROUP BY path"))
+def _(t):
+    return A.last_modified(t.changes())
+
+
+@query("code_age", sql("SELECT count(*) FILTER (age >= 60) AS found, count(*) AS total, round(count(*) FILTER (age >= 60) / count(*), 6) AS raw_value FROM (SELECT floor(epoch_ms(max(last) - max(ts)) / 86400000) AS age FROM ch GROUP BY path)".replace("epoch_ms(max(last) - max(ts))", "(epoch_ms(max(last)) - epoch_ms(max(ts)))")))
+def _(t):
+    changes = t.changes()
+    return A.share(changes.groupBy("path").agg(F.max("ts").alias("ts"), F.max("last").alias("last")), C.whole_days(F.col("last"), F.col("ts")) >= THRESHOLDS.age_days).withColumn("raw_value", r6("raw_value"))
+
+
+# graph
+
+
+@query("reachable_from_entries", sql("SELECT id AS node FROM x", "x AS (SELECT id FROM f WHERE path LIKE '%/index.ts' UNION SELECT e.dst FROM x JOIN e ON e.src = x.id)"))
+def _(t):
+    return G.reachable(t.edges(), t.ids().filter(C.is_entry(F.col("path"))).select(F.col("id").alias("node")))
+
+
+@query("attack_surface", sql("SELECT count(*) AS found, (SELECT count(*) FROM f) AS total, round(count(*) / (SELECT count(*) FROM f), 6) AS raw_value FROM x", "x AS (SELECT id FROM f WHERE path LIKE '%/index.ts' UNION SELECT e.dst FROM x JOIN e ON e.src = x.id)"))
+def _(t):
+    e = t.edges()
+    reached = G.reachable(e, t.ids().filter(C.is_entry(F.col("path"))).select(F.col("id").alias("node")))
+    return A.attack_surface(t.ids().select(F.col("id").alias("path")), reached).withColumn("raw_value", r6("raw_value"))
+
+
+@query("blast_radius_per_file", sql("SELECT dst AS node, count(*) AS radius FROM r WHERE src <> dst GROUP BY dst", REACH))
+def _(t):
+    return G.dependents(G.closure(t.edges()))
+
+
+@query("blast_radius_max", sql("SELECT radius, round(radius / (SELECT count(*) FROM f), 6) AS raw_value FROM (SELECT max(n) AS radius FROM (SELECT count(r.src) AS n FROM f LEFT JOIN r ON r.dst = f.id AND r.src <> f.id WHERE f.path NOT LIKE '%/index.ts' AND f.id NOT IN (SELECT id FROM st) GROUP BY f.id))", REACH))
+def _(t):
+    e, f = t.edges(), t.ids()
+    basis = A.foundation(f, G.degrees(t.path_edges())).join(f.select(F.col("path").alias("node"), "id"), "node").select(F.col("id").alias("node"))
+    return A.blast_radius(f.select(F.col("id").alias("path"), "ord"), G.dependents(G.closure(e)), basis).select("radius", r6("raw_value").alias("raw_value"))
+
+
+@query("scc_members", sql("SELECT id AS node, rep AS component FROM scc", REACH, SCC))
+def _(t):
+    return G.components(t.edges())
+
+
+@query("cycle_count", sql("SELECT count(DISTINCT rep) AS cycles FROM scc", REACH, SCC))
+def _(t):
+    return G.components(t.edges()).agg(F.countDistinct("component").alias("cycles"))
+
+
+@query("levelization_violations", sql("SELECT e.src, e.dst FROM e JOIN scc a ON a.id = e.src JOIN scc b ON b.id = e.dst WHERE a.rep = b.rep", REACH, SCC))
+def _(t):
+    e = t.edges()
+    return G.violations(e, G.components(e))
+
+
+@query("levels", sql("SELECT id AS node, max(k)::INTEGER AS level FROM lv GROUP BY id", REACH, SCC, CONDENSED, LEVELS))
+def _(t):
+    e = t.edges()
+    return G.levels(G.condensed(e, G.components(e)))
+
+
+@query("max_depth", sql("SELECT max(k)::INTEGER AS depth FROM lv", "cd AS (SELECT src, dst FROM e WHERE src > dst)", LEVELS))
+def _(t):
+    return G.levels(t.edges().filter("src > dst")).agg(F.max("level").alias("depth"))
+
+
+@query("test_coverage_gap", sql("SELECT count(*) FILTER (f.id NOT IN (SELECT id FROM x)) AS found, count(*) AS total, round(count(*) FILTER (f.id NOT IN (SELECT id FROM x)) / count(*), 6) AS raw_value FROM f WHERE path NOT LIKE '%/index.ts'", "x AS (SELECT dst AS id FROM e WHERE src % 7 = 0 UNION SELECT e.dst FROM x JOIN e ON e.src = x.id)"))
+def _(t):
+    e, f = t.edges(), t.ids()
+    reached = G.reachable(e, e.filter("src % 7 = 0").select(F.col("dst").alias("node"))).join(f.select(F.col("id").alias("node"), "path"), "node").select(F.col("path").alias("node"))
+    return A.coverage_gap(f, reached).withColumn("raw_value", r6("raw_value"))
+
+
+# grades, flags and shapes
+
+
+def _ladders(raw: str, name: str) -> str:
+    return "CASE " + " ".join(f"WHEN {name} = '{d.name}' THEN CASE WHEN isnan({raw}) THEN 'F' " + " ".join(f"WHEN {raw} <= {x}::DOUBLE THEN '{g}'" for x, g in zip(d.ladder, "ABCD", strict=True)) + " ELSE 'F' END" for d in DIMENSIONS) + " END"
+
+
+@query("grade_ladder", f"SELECT l_orderkey, l_linenumber, l_partkey, name, round(raw, 6) AS raw, {_ladders('raw', 'name')} AS grade FROM (SELECT l_orderkey, l_linenumber, l_partkey, [{', '.join(repr(n) for n in NAMES)}][(l_partkey % 24 + 1)::INTEGER] AS name, l_discount * l_linenumber AS raw FROM lineitem WHERE l_orderkey % 10 = 0)")
+def _(t):
+    rows = t["lineitem"].filter("l_orderkey % 10 = 0").withColumn("name", F.element_at(F.array(*map(F.lit, NAMES)), (F.col("l_partkey") % 24 + 1).cast("int"))).withColumn("raw", F.col("l_discount") * F.col("l_linenumber"))
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", "name", r6("raw").alias("raw"), C.grade_of(F.col("name"), F.col("raw")).alias("grade"))
+
+
+@query("composite_grade", "SELECT n_nationkey, ['F','D','C','B','A'][least(floor(avg(v)), min(v) + 1)::INTEGER + 1] AS composite FROM (SELECT c_nationkey AS n_nationkey, (4 - c_custkey % 5)::INTEGER AS v FROM customer WHERE c_custkey % 5 < 1 + c_nationkey % 5) GROUP BY n_nationkey")
+def _(t):
+    v = (F.lit(4) - F.col("c_custkey") % 5).cast("int")
+    rows = t["customer"].filter("c_custkey % 5 < 1 + c_nationkey % 5").select(F.col("c_nationkey").alias("n_nationkey"), C.value_grade(v).alias("grade"))
+    return rows.groupBy("n_nationkey").agg(C.value_grade(F.least(F.floor(F.avg(C.grade_value(F.col("grade")))), F.min(C.grade_value(F.col("grade"))) + 1)).alias("composite"))
+
+
+FLAGS = """fl AS (SELECT DISTINCT path, dim FROM (
+  SELECT path, 'complexFn' AS dim FROM fn WHERE cc > 40 UNION ALL SELECT path, 'longFunctions' FROM fn WHERE line_count > 80
+  UNION ALL SELECT path, 'highParams' FROM fn WHERE param_count > 4 UNION ALL SELECT path, 'cognitiveComplexity' FROM fn WHERE cognitive > 15
+  UNION ALL SELECT path, 'duplication' FROM fn WHERE body_hash IN (SELECT body_hash FROM fn GROUP BY 1 HAVING count(*) > 1)
+  UNION ALL SELECT path, 'largeFiles' FROM f WHERE lines > 40
+  UNION ALL SELECT path, 'godFiles' FROM d WHERE fo > 5 AND path NOT LIKE '%/index.ts'
+  UNION ALL SELECT path, 'hotspots' FROM d WHERE fi * inst >= 1.5::DOUBLE
+  UNION ALL SELECT f.path, 'deadCode' FROM f LEFT JOIN deg USING (id) WHERE coalesce(fi, 0) = 0 AND funcs > 0 AND f.path NOT LIKE '%/index.ts')),
+pf AS (SELECT f.path, f.lines, count(fl.dim) AS flags FROM f LEFT JOIN fl USING (path) GROUP BY ALL)"""
+
+
+def _flags(t: Tables) -> DataFrame:
+    f, fn, deg = t.files(), t.functions(), G.degrees(t.path_edges())
+    return S.file_flags(f, S.flagged(f, fn, deg, THRESHOLDS))
+
+
+@query("per_file_grades", sql("SELECT path, lines, flags, CASE WHEN flags = 0 THEN 'A' WHEN flags = 1 THEN 'B' WHEN flags <= 3 THEN 'C' WHEN flags <= 5 THEN 'D' ELSE 'F' END AS grade FROM pf", FLAGS))
+def _(t):
+    return _flags(t).select("path", "lines", "flags", C.flag_grade(F.col("flags")).alias("grade"))
+
+
+@query("treemap_rollup", sql("SELECT folder, sum(lines)::BIGINT AS lines, count(*) AS n FROM (SELECT unnest(['', 'src', module, CASE WHEN id % 25 = 0 THEN concat(module, '/s', id) END]) AS folder, lines FROM f) WHERE folder IS NOT NULL GROUP BY folder"))
+def _(t):
+    return S.folder_rollup(t.ids())
+
+
+@query("layer_violations", sql("SELECT spath AS src, dpath AS dst, a AS from_layer, b AS to_layer FROM (SELECT *, " + ", ".join(f"CASE WHEN regexp_matches({p}, '^src/n[0-4]/') THEN 'core' WHEN regexp_matches({p}, '^src/n1[^/]*/') THEN 'ten' WHEN {p} LIKE 'src/%index.ts' THEN 'edge' END AS {x}" for p, x in (("spath", "a"), ("dpath", "b"))) + " FROM p) WHERE a IS NOT NULL AND b IS NOT NULL AND CASE a WHEN 'core' THEN 1 WHEN 'ten' THEN 2 ELSE 3 END > CASE b WHEN 'core' THEN 1 WHEN 'ten' THEN 2 ELSE 3 END"))
+def _(t):
+    layers = [SimpleNamespace(name="core", paths=[f"src/n{i}" for i in range(5)], order=1), SimpleNamespace(name="ten", paths=["src/n1*/*", "src/n1*/*/*"], order=2), SimpleNamespace(name="edge", paths=["src/**/index.ts"], order=3)]
+    return R.layer_violations(t.path_edges(), layers).select("src", "dst", "from_layer", "to_layer")
+
+
+@query("boundary_violations", sql("SELECT spath AS src, dpath AS dst, b AS boundary FROM p, (VALUES (0, '^src/n1/', '^src/n2'), (1, '^src/n[^/]*/index.ts', '^src/'), (2, '^src/n3/', '^src/.*index\\.ts$')) v(b, x, y) WHERE (b <> 1 AND regexp_matches(spath, x) OR b = 1 AND spath LIKE 'src/%' AND spath LIKE '%index.ts') AND regexp_matches(dpath, y)"))
+def _(t):
+    rules = [SimpleNamespace(source="src/n1", target="src/n2**"), SimpleNamespace(source="src/**/index.ts", target="src"), SimpleNamespace(source="src/n3", target="src/**/index.ts")]
+    return R.boundary_violations(t.path_edges(), rules).select("src", "dst", "boundary")
+
+
+@query("constraint_violations", sql("SELECT path, name, cc FROM fn WHERE cc > 45"))
+def _(t):
+    return t.functions().filter(F.col("cc") > max(45, THRESHOLDS.complexity)).select("path", "name", "cc")
+
+
+HALF = "h AS (SELECT hash % 2 AS half, path, author, added + deleted AS churn FROM ch)"
+
+
+@query("gate_diff", sql("""SELECT name, round(b, 6) AS base, round(c, 6) AS current, c > b + CASE WHEN name = 'coupling' THEN 0.05::DOUBLE ELSE 0 END AS degraded FROM
+  (SELECT n.name, max(CASE WHEN half = 0 THEN v END) AS b, max(CASE WHEN half = 1 THEN v END) AS c FROM
+    (SELECT half, count(DISTINCT path)::DOUBLE / (SELECT count(DISTINCT path) FROM ch) AS v FROM h GROUP BY half), (VALUES ('coupling'), ('cycles')) n(name) GROUP BY n.name)""", HALF))
+def _(t):
+    ch = t.changes()
+    total = ch.agg(F.countDistinct("path").alias("total"))
+    halves = ch.groupBy((F.col("hash") % 2).alias("half")).agg(F.countDistinct("path").cast("double").alias("n")).crossJoin(F.broadcast(total)).select("half", (F.col("n") / F.col("total")).alias("raw_value"))
+    rows = halves.withColumn("name", F.explode(F.array(F.lit("coupling"), F.lit("cycles"))))
+    return R.gate_changes(rows.filter("half = 0"), rows.filter("half = 1")).select("name", r6("base").alias("base"), r6("current").alias("current"), "degraded")
+
+
+@query("session_changes", "WITH g AS (SELECT c_nationkey AS k, c_custkey % 2 AS half, ['A','B','C','D','F'][(sum(c_custkey) % 5 + 1)::INTEGER] AS grade FROM customer GROUP BY ALL) SELECT 'n' || a.k AS name, a.grade AS from_grade, b.grade AS to_grade FROM g a JOIN g b ON a.k = b.k AND a.half = 0 AND b.half = 1 WHERE a.grade <> b.grade")
+def _(t):
+    g = t["customer"].groupBy(F.concat(F.lit("n"), "c_nationkey").alias("name"), (F.col("c_custkey") % 2).alias("half")).agg(F.element_at(F.array(*map(F.lit, "ABCDF")), (F.sum("c_custkey") % 5 + 1).cast("int")).alias("grade"))
+    return R.grade_changes(g.filter("half = 0"), g.filter("half = 1"))
+
+
+def _report_sql() -> str:
+    one = {
+        "cycles": "SELECT count(DISTINCT rep) FROM scc",
+        "coupling": "SELECT coalesce(count(*) FILTER (NOT stable) / nullif(count(*), 0), 0) FROM p WHERE sm <> dm",
+        "cohesion": "SELECT 1 - coalesce(min(cohesion), 1) FROM c",
+        "entropy": "SELECT -sum(k / s * log2(k / s)) / log2(count(*)) FROM (SELECT count(*)::DOUBLE AS k, sum(count(*)) OVER () AS s FROM p GROUP BY dm)",
+        "godFiles": "SELECT count(*) FILTER (fo > 5 AND path NOT LIKE '%/index.ts') / count(*) FROM d",
+        "complexFn": "SELECT count(*) FILTER (cc > 40) / count(*) FROM fn",
+        "cognitiveComplexity": "SELECT count(*) FILTER (cognitive > 15) / count(*) FROM fn",
+        "longFunctions": "SELECT count(*) FILTER (line_count > 80) / count(*) FROM fn",
+        "largeFiles": "SELECT count(*) FILTER (lines > 40) / count(*) FROM f",
+        "highParams": "SELECT count(*) FILTER (param_count > 4) / count(*) FROM fn",
+        "duplication": "SELECT coalesce(sum(CASE WHEN n > 1 THEN n END), 0) / sum(n) FROM (SELECT count(*) AS n FROM fn GROUP BY body_hash)",
+        "deadCode": "SELECT coalesce(sum(funcs) FILTER (coalesce(fi, 0) = 0 AND f.path NOT LIKE '%/index.ts'), 0) / sum(funcs) FROM f LEFT JOIN deg USING (id)",
+        "comments": "SELECT 1 - sum(comments) / sum(lines) FROM f",
+        "depth": "SELECT max(k) FROM lv",
+        "levelization": "SELECT (SELECT count(*) FROM e JOIN scc a ON a.id = e.src JOIN scc b ON b.id = e.dst WHERE a.rep = b.rep) / (SELECT count(*) FROM e)",
+        "blastRadius": "SELECT max(n) / (SELECT count(*) FROM f) FROM (SELECT count(r.src) AS n FROM f LEFT JOIN r ON r.dst = f.id AND r.src <> f.id WHERE f.path NOT LIKE '%/index.ts' AND f.id NOT IN (SELECT id FROM st) GROUP BY f.id)",
+        "distanceFromMainSeq": "SELECT max(distance) FROM ms",
+        "attackSurface": "SELECT (SELECT count(*) FROM x) / (SELECT count(*) FROM f)",
+        "hotspots": "SELECT count(*) FILTER (fi * inst >= 1.5::DOUBLE) / count(*) FROM d",
+        "codeChurn": "SELECT sum(churn) FILTER (rn <= greatest(1, ceil(n * 0.1::DOUBLE))) / sum(churn) FROM (SELECT churn, row_number() OVER (ORDER BY churn DESC) AS rn, count(*) OVER () AS n FROM (SELECT sum(added + deleted) AS churn FROM ch GROUP BY path))",
+        "changeCoupling": "SELECT count(DISTINCT x) / (SELECT count(DISTINCT path) FROM ch) FROM (SELECT a AS x FROM cp UNION ALL SELECT b FROM cp)",
+        "busFactor": "SELECT count(*) FILTER (n = 1) / count(*) FROM (SELECT count(DISTINCT author) AS n FROM ch GROUP BY path)",
+        "codeAge": "SELECT count(*) FILTER (age >= 60) / count(*) FROM (SELECT floor((epoch_ms(max(last)) - epoch_ms(max(ts))) / 86400000) AS age FROM ch GROUP BY path)",
+        "testCoverageGap": "SELECT count(*) FILTER (f.id NOT IN (SELECT id FROM y)) / count(*) FROM f WHERE path NOT LIKE '%/index.ts'",
+    }
+    entries = "x AS (SELECT id FROM f WHERE path LIKE '%/index.ts' UNION SELECT e.dst FROM x JOIN e ON e.src = x.id)"
+    tests = "y AS (SELECT dst AS id FROM e WHERE src % 7 = 0 UNION SELECT e.dst FROM y JOIN e ON e.src = y.id)"
+    rows = " UNION ALL ".join(f"SELECT {i} AS position, '{n}' AS name, ({one[n]})::DOUBLE AS raw" for i, n in enumerate(NAMES))
+    return sql(f"SELECT position, name, round(raw, 6) AS raw_value, {_ladders('round(raw, 6)', 'name')} AS grade FROM ({rows})", REACH, SCC, CONDENSED, LEVELS, MODULE_COHESION, MAIN, PAIRS, entries, tests)
+
+
+@query("dimension_report", _report_sql())
+def _(t):
+    found = report(t.context()).withColumn("raw_value", r6("raw_value"))
+    return found.withColumn("grade", C.grade_of(F.col("name"), F.col("raw_value")))
+
+
+@query("stream_churn", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS hour, event_type AS path, count(*) AS changes, round(sum(value), 4) AS churn, max(ts) AS last FROM events GROUP BY ALL")
+def _(t):
+    from quoin.streaming.churn import replayed_churn
+
+    return replayed_churn(t.spark, f"{t.dir}/events.parquet")
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
