@@ -62,25 +62,32 @@ def mixed(x):
     return x ^ (x >> np.uint64(31))
 
 
-def cuts(ids) -> list[int]:
-    """Ends of the chunks of an id array."""
+def _marks(ids, table):
+    """Ends (exclusive) where the rolling hash allows a cut."""
     import numpy as np
 
-    h = mixed(ids)
-    for step in (s for s in (1, 2, 4) if s < WINDOW):
-        h[step:] = h[step:] + (h[:-step] << np.uint64(step)) if len(h) > step else h[step:]
-    out, at = [], 0
-    for end in (np.flatnonzero((h >> np.uint64(40)) % np.uint64(MEAN) == 0) + 1).tolist():
-        while end - at > MOST:
+    h = table[ids]
+    step = 1
+    while step < WINDOW:
+        h[step:] += h[:-step] << np.uint64(step)
+        step *= 2
+    return np.flatnonzero((h >> np.uint64(40)) & np.uint64(MEAN - 1) == 0) + 1
+
+
+def cuts(marks: list[int], start: int, end: int) -> list[int]:
+    """Ends of the chunks of the ids from start to end, given the marks among them."""
+    out, at = [], start
+    for mark in marks:
+        while mark - at > MOST:
             at += MOST
             out.append(at)
-        if end - at >= LEAST:
-            out.append(at := end)
-    while len(ids) - at > MOST:
+        if mark - at >= LEAST:
+            out.append(at := mark)
+    while end - at > MOST:
         at += MOST
         out.append(at)
-    if at < len(ids):
-        out.append(len(ids))
+    if at < end:
+        out.append(end)
     return out
 
 
@@ -91,17 +98,22 @@ def chunked(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     def run(batches):
         vocabulary, memo = library_memo(path)
         width = vocabulary.width
-        end = np.array([end_id], width).tobytes()
+        end, table = np.array([end_id], width).tobytes(), mixed(np.arange(len(vocabulary.token_bytes)))
         for cols in batches:
-            out = {k: [] for k in ("row", "doc_id", "pos", "name", "n", "payload")}
-            for row, doc_id, b in zip(cols["row"], cols["doc_id"], memo.ids(cols["text"]), strict=True):
-                ids, start = np.frombuffer(b + end, width), 0
-                for pos, stop in enumerate(cuts(ids)):
-                    payload = ids[start:stop].tobytes()
-                    for k, v in (("row", row), ("doc_id", doc_id), ("pos", pos), ("name", hashlib.blake2b(payload, digest_size=16).digest()), ("n", stop - start), ("payload", payload)):
-                        out[k].append(v)
-                    start = stop
-            yield out
+            coded = memo.ids(cols["text"])
+            buffer = memoryview(end.join([*coded, b""]))
+            # documents stand end to end: no chunk is short enough for the hash to look back into the one before
+            marks = _marks(np.frombuffer(buffer, width), table)
+            ends = np.cumsum([len(b) // width.itemsize + 1 for b in coded])
+            own = np.searchsorted(marks, ends, side="left")
+            marks, out, start, first = marks.tolist(), [], 0, 0
+            for row, doc_id, stop, last in zip(cols["row"], cols["doc_id"], ends.tolist(), own.tolist(), strict=True):
+                for pos, to in enumerate(cuts(marks[first:last], start, stop)):
+                    out.append((row, doc_id, pos, to - start, bytes(buffer[start * width.itemsize : to * width.itemsize])))
+                    start = to
+                first = last
+            row, doc_id, pos, n, payload = map(list, zip(*out, strict=True)) if out else ([],) * 5
+            yield {"row": row, "doc_id": doc_id, "pos": pos, "name": [hashlib.blake2b(p, digest_size=16).digest() for p in payload], "n": n, "payload": payload}
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     return map_batches(rows, run, "row long, doc_id long, pos int, name binary, n int, payload binary")
