@@ -29,6 +29,7 @@ class Context:
     now: Column = field(default_factory=F.current_timestamp)
     at: Thresholds = field(default_factory=Thresholds)
     depth: int | None = None
+    deepest: list[str] | None = None
 
     def __post_init__(self) -> None:
         self.edges = settled(self.edges)
