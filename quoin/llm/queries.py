@@ -47,7 +47,7 @@ def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.found(read_table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
-    counts = [F.size(F.filter("base", lambda x, i=i: x.kind == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(pii.KINDS)]
+    counts = [F.expr(f"cast(size(filter(base, x -> x.kind = {i})) as bigint)").alias(f"n_{k}") for i, k in enumerate(pii.KINDS)]
     return found.select("doc_id", *counts, F.sha2(pii.listed("base"), 256).alias("base_sha256"), pii.listed("spans").alias("spans"))
 
 
