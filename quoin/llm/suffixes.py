@@ -8,10 +8,11 @@ is a suffix with a leading token (the anchor's hash) and a second one (the hash
 1. Sampled splitters range-partition the runs by these tokens and their place in the corpus; buckets are sorted, and
    a run that follows an equal one is seen in full. Where an anchor goes on in the next bucket, the buckets' edges are
    compared.
-2. Runs that share an anchor but not all they span (at the ends of what repeats) are told apart by their bytes: again
-   range-partitioned, the windows of a bucket sorted by multikey quicksort, and edges compared.
+2. Runs that share an anchor but not all they span (at the ends of what repeats) are told apart by their bytes: those
+   of one anchor meet, and their windows are sorted by multikey quicksort. An anchor with too many of them is divided
+   into parts, and the windows that are the earliest of their part are compared across the parts.
 
-A frequent anchor spreads over many buckets, as its place in the corpus is part of the key. Null texts count as empty.
+A frequent anchor spreads over many buckets in the first step, as its place in the corpus is part of the key. Null texts count as empty.
 Rows that share a doc_id are documents of their own, earlier ones those read earlier. Texts under the length keep
 all; texts of any length are treated whole. Further columns are left out; an empty table gives no rows.
 """
@@ -27,9 +28,9 @@ from pyspark.sql import functions as F
 from quoin.llm.common import fresh_path, partitions, stored
 from quoin.llm.token_store import mixed
 
-#: Bytes of a window and of an anchor; bytes of text, or windows, worked on together.
+#: Bytes of a window and of an anchor; bytes of text, or windows, worked on together; runs of an anchor in one part.
 LENGTH, ANCHOR = 100, 32
-BUFFER, SORTED = 1 << 20, 1 << 19
+BUFFER, SORTED, CROWD = 1 << 20, 1 << 19, 4096
 
 
 def _tables():
@@ -262,8 +263,8 @@ def seen_windows(spans: list[bytes], rank) -> tuple:
 
 
 def _settled(shared: DataFrame) -> DataFrame:
-    """(kind, h, key, doc_id, row, first, last) from spans sorted by anchor and place: SEEN ranges of windows, and EDGE
-    windows, the earliest here of their content, of anchors that may go on in the next bucket."""
+    """(kind, h, key, doc_id, row, first, last) from spans sorted by anchor, part and place: SEEN ranges of windows, and
+    EDGE windows, the earliest of their content in one part of an anchor that has several."""
     schema = pa.schema([("kind", pa.int32()), ("h", pa.int64()), ("key", pa.binary()), ("doc_id", pa.int64()), ("row", pa.int64()), ("first", pa.int64()), ("last", pa.int64())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,9 +273,8 @@ def _settled(shared: DataFrame) -> DataFrame:
         import numpy as np
 
         rows: list[tuple] = []
-        edge_h = None
 
-        def told(rows, edges: set):
+        def told(rows):
             h, doc_id, row, first = (np.array([r[i] for r in rows], np.int64) for i in range(4))
             span, offset, words, _, earliest = seen_windows([r[4] for r in rows], np.arange(len(rows)))
             seen = ~earliest
@@ -287,7 +287,8 @@ def _settled(shared: DataFrame) -> DataFrame:
             s = span[start]
             none = [None] * len(s)
             yield _batch(schema, np.full(len(s), SEEN, np.int32), h[s], none, doc_id[s], row[s], first[s] + offset[start], first[s] + offset[stop])
-            at = np.flatnonzero(earliest & np.isin(h[span], np.array(sorted(edges), np.int64)))
+            divided = np.array([r[5] for r in rows]) > 0
+            at = np.flatnonzero(earliest & divided[span])
             for k in range(0, len(at), 50_000):
                 w = at[k : k + 50_000]
                 s = span[w]
@@ -296,20 +297,15 @@ def _settled(shared: DataFrame) -> DataFrame:
 
         windows = 0
         for batch in batches:
-            for r in zip(*(batch.column(k).to_pylist() for k in ("h", "doc_id", "row", "first", "span")), strict=True):
-                if edge_h is None:
-                    edge_h = r[0]
-                if windows >= SORTED and r[0] != rows[-1][0]:
-                    yield from told(rows, {edge_h})
+            for r in zip(*(batch.column(k).to_pylist() for k in ("h", "doc_id", "row", "first", "span", "part")), strict=True):
+                # windows of different parts must not meet here: which is earliest is settled between the parts
+                if rows and (r[0], r[5]) != (rows[-1][0], rows[-1][5]) and (windows >= SORTED or r[5] > 0 or rows[-1][5] > 0):
+                    yield from told(rows)
                     rows, windows = [], 0
-                elif windows >= 4 * SORTED:
-                    # an anchor too frequent for one sort: what is earliest here is compared with the rest like an edge
-                    yield from told(rows, {edge_h, r[0]})
-                    edge_h, rows, windows = r[0], [], 0
                 rows.append(r)
                 windows += len(r[4]) - LENGTH + 1
         if rows:
-            yield from told(rows, {edge_h, rows[-1][0]})
+            yield from told(rows)
 
     return shared.mapInArrow(run, "kind int, h long, key binary, doc_id long, row long, first long, last long")
 
@@ -340,7 +336,10 @@ def _ranges(texts: DataFrame) -> DataFrame:
     asked = shared.groupBy("row").agg(F.collect_list(F.struct("h", "place")).alias("asked"))
     one = texts.join(asked.hint("shuffle_merge"), "row").select("row", "doc_id", "raw", F.explode("asked").alias("x")).select(F.col("x.h").alias("h"), "doc_id", "row", F.shiftright("x.place", 16).alias("first"), F.col("x.place").alias("place"), "raw")
     spans = stored(one.select("h", "doc_id", "row", "first", F.expr("substring(raw, cast(first as int) + 1, cast(shiftright(place, 8) & 255 as int) + %d)" % LENGTH).alias("span")), "spans")
-    settled = stored(_settled(spans.repartitionByRange(partitions(spark), "h", "doc_id", "row", "first").sortWithinPartitions("h", "doc_id", "row", "first")), "settled")
+    crowded = spans.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") > CROWD)
+    part = F.when(F.col("n").isNull(), F.lit(0)).otherwise(1 + F.pmod(F.xxhash64("row", "first"), F.ceil(F.col("n") / (CROWD // 2))))
+    parts = spans.join(crowded, "h", "left").withColumn("part", part.cast("int")).drop("n").repartition(partitions(spark), "h", "part")
+    settled = stored(_settled(parts.sortWithinPartitions("h", "part", "doc_id", "row", "first")), "settled")
     alike = Window.partitionBy("h", "key").orderBy("doc_id", "row", "first")
     late = settled.filter(F.col("kind") == EDGE).withColumn("nth", F.row_number().over(alike)).filter("nth > 1")
     return whole.unionAll(settled.filter(F.col("kind") == SEEN).select("row", "first", "last")).unionAll(late.select("row", "first", "last"))
