@@ -18,7 +18,7 @@ import regex
 #: Fixed value: the pre-token pattern that the byte-level vocabulary was made with.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Kept per worker: pre-tokens, space-cut pieces seen more than once (of which the first are kept longest), and once.
-MEMO_WORDS, MEMO_PIECES, MEMO_NEW = 500_000, 500_000, 250_000
+MEMO_WORDS, MEMO_PIECES, MEMO_NEW = 700_000, 700_000, 350_000
 #: Pre-tokens and pieces over this length aren't kept.
 MEMO_CHARS = 64
 
