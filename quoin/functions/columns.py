@@ -116,4 +116,4 @@ def whole_days(later: Column, earlier: Column) -> Column:
 
 
 def script_safe(json: Column) -> Column:
-    return F.regexp_replace(json, "(?i)</(script)", "<\\\\\\\\/$1")
+    return F.regexp_replace(json, "(?i)</(script)", "<\\\\/$1")

@@ -661,7 +661,7 @@ class Source:
         name = self.t[i + 1].text if i + 1 < hi and self.t[i + 1].kind == "word" and self.t[i + 1].text not in ("extends", "implements") else "<anonymous>"
         brace = next((k for k in self._outside_angles(i + 1, hi) if self.is_(k, "{")), hi)
         marks = [k for k in range(i + 1, brace) if self.word(k) in ("extends", "implements")]
-        bases = [b for a, z in zip(marks, [*marks[1:], brace], strict=True) for b in self.bases(a + 1, z, self.word(a) == "extends")]
+        bases = [b for a, z in zip(marks, [*marks[1:], brace], strict=False) for b in self.bases(a + 1, z, self.word(a) == "extends")]
         end = self.after(brace) if brace < hi else hi
         methods = self.methods(brace + 1, end - 1) if brace < hi else []
         return {"name": name, "kind": "class", "bases": bases, "methods": [m["name"] for m in methods]}, methods, end

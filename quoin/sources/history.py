@@ -27,7 +27,7 @@ def parsed_log(chunks: DataFrame) -> DataFrame:
 
     Binary and renamed files are left out, and commits without three header fields or a valid date.
     """
-    lines = chunks.withColumn("lines", F.split(F.trim(F.translate("chunk", "\r", "")), "\n")).withColumn("head", F.split(F.get("lines", F.lit(0)), FIELD))
+    lines = chunks.withColumn("lines", F.split(F.regexp_replace(F.translate("chunk", "\r", ""), r"^\s+|\s+$", ""), "\n")).withColumn("head", F.split(F.get("lines", F.lit(0)), FIELD))
     headed = lines.filter(F.size("head") >= 3).select("ord", F.trim(F.get("head", F.lit(0))).alias("hash"), F.trim(F.get("head", F.lit(1))).alias("author"), F.try_to_timestamp(F.trim(F.get("head", F.lit(2)))).alias("ts"), F.posexplode("lines").alias("pos", "line")).filter("ts is not null and pos > 0")
     cells = headed.withColumn("c", F.split(F.trim("line"), "\t")).filter(F.size("c") >= 3)
     path = F.array_join(F.slice("c", 3, F.size("c") - 2), "\t")
