@@ -35,7 +35,8 @@ def closure(edges: DataFrame) -> DataFrame:
         fresh = settled(steps.distinct().join(known, ["src", "dst"], "left_anti"))
         if fresh.isEmpty():
             return known
-        known = settled(known.unionAll(fresh))
+        # rounds are few, as lengths double: what is known stays a union of them
+        known = known.unionAll(fresh)
 
 
 def trimmed(edges: DataFrame, rounds: int = 3) -> DataFrame:
@@ -55,13 +56,19 @@ def components(edges: DataFrame, ways: DataFrame | None = None) -> DataFrame:
     return both.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.min("src")).alias("component"))
 
 
+def _with(known: DataFrame, fresh: DataFrame, rounds: int) -> tuple[DataFrame, int]:
+    """known and fresh; every sixteenth round they are put together in storage, so that plans stay short."""
+    both = known.unionAll(fresh)
+    return settled(both) if rounds % 16 == 15 else both, rounds + 1
+
+
 def reachable(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """(node): the seeds and what can be reached from them."""
     known = settled(seeds.select("node").distinct())
-    fresh = known
+    fresh, rounds = known, 0
     while not fresh.isEmpty():
         fresh = settled(fresh.join(edges.select(F.col("src").alias("node"), "dst"), "node").select(F.col("dst").alias("node")).distinct().join(known, "node", "left_anti"))
-        known = settled(known.unionAll(fresh))
+        known, rounds = _with(known, fresh, rounds)
     return known
 
 
@@ -85,7 +92,7 @@ def levels(dag: DataFrame) -> DataFrame:
         if front.isEmpty():
             return found.groupBy("node").agg(F.max("level").alias("level"))
         k += 1
-        found = settled(found.unionAll(front.withColumn("level", F.lit(k))).groupBy("node").agg(F.max("level").alias("level")))
+        found, _ = _with(found, front.withColumn("level", F.lit(k)), k)
 
 
 def violations(edges: DataFrame, nodes_of: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from functools import cached_property, reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quoin.functions.columns import grade_of, is_entry
+from quoin.functions.columns import grade_of, is_entry, whole_days
 from quoin.functions.dimensions import NAMES, Thresholds
 from quoin.operators import aggregates as A
 from quoin.operators import graph as G
@@ -115,7 +115,56 @@ COMPUTED: dict[str, Callable[[Context], DataFrame]] = {
 assert tuple(COMPUTED) == NAMES
 
 
+def _rows(sums: DataFrame, values: dict[str, Column]) -> DataFrame:
+    """One row of sums as a row (name, raw_value) for each dimension."""
+    told = F.explode(F.array(*(F.struct(F.lit(n).alias("name"), v.cast("double").alias("raw_value")) for n, v in values.items())))
+    return sums.select(told.alias("x")).select("x.name", "x.raw_value")
+
+
+def _tests(rows: DataFrame, tests: dict[str, Column]) -> DataFrame:
+    """Shares of rows for several tests, from one pass."""
+    sums = rows.agg(F.count("*").alias("n"), *(F.sum(F.when(t, 1).otherwise(0)).alias(n) for n, t in tests.items()))
+    return _rows(sums, {n: A.ratio(F.col(n), F.col("n")) for n in tests})
+
+
+def _of_functions(c: Context) -> DataFrame:
+    at = c.at
+    return _tests(c.functions, {"complexFn": F.col("cc") > at.complexity, "cognitiveComplexity": F.col("cognitive") > at.cognitive, "longFunctions": F.col("line_count") > at.long_function, "highParams": F.col("param_count") > at.params})
+
+
+def _of_files(c: Context) -> DataFrame:
+    sums = c.files.agg(F.count("*").alias("n"), F.sum(F.when(F.col("lines") > c.at.large_file, 1).otherwise(0)).alias("large"), F.sum("comments").alias("comments"), F.sum("lines").alias("lines"))
+    some = F.coalesce(F.col("lines"), F.lit(0)) > 0
+    return _rows(sums, {"largeFiles": A.ratio(F.col("large"), F.col("n")), "comments": F.when(some, 1.0 - A.ratio(F.col("comments"), F.col("lines"))).otherwise(0.0)})
+
+
+def _of_degrees(c: Context) -> DataFrame:
+    return _tests(c.degrees, {"godFiles": (F.col("fan_out") > c.at.god_fan_out) & ~is_entry(F.col("node")), "hotspots": A.hotspot_score() >= c.at.hotspot})
+
+
+def _of_changed_files(c: Context) -> DataFrame:
+    by_file = c.changes.groupBy("path").agg((F.min("author") == F.max("author")).alias("one"), F.max("ts").alias("ts"))
+    return _tests(by_file, {"busFactor": F.col("one"), "codeAge": whole_days(c.now, F.col("ts")) >= c.at.age_days})
+
+
+#: Dimensions that one pass over a relation gives together; asked for singly, COMPUTED gives the same.
+BUNDLES: tuple[tuple[tuple[str, ...], Callable[[Context], DataFrame]], ...] = (
+    (("complexFn", "cognitiveComplexity", "longFunctions", "highParams"), _of_functions),
+    (("largeFiles", "comments"), _of_files),
+    (("godFiles", "hotspots"), _of_degrees),
+    (("busFactor", "codeAge"), _of_changed_files),
+)
+
+
 def report(c: Context, names: tuple[str, ...] = NAMES) -> DataFrame:
     """(position, name, raw_value, grade) of the dimensions asked for; others aren't computed."""
-    rows = [COMPUTED[n](c).select(F.lit(NAMES.index(n)).alias("position"), F.lit(n).alias("name"), F.coalesce(F.col("raw_value").cast("double"), F.lit(0.0)).alias("raw_value")) for n in names]
-    return reduce(DataFrame.unionByName, rows).withColumn("grade", grade_of(F.col("name"), F.col("raw_value")))
+    left, rows = list(names), []
+    for own, fn in BUNDLES:
+        asked = [n for n in own if n in left]
+        if len(asked) > 1 and not (c.changes is None and fn is _of_changed_files):
+            rows.append(fn(c).filter(F.col("name").isin(asked)))
+            left = [n for n in left if n not in asked]
+    rows += [COMPUTED[n](c).select(F.lit(n).alias("name"), F.col("raw_value").cast("double").alias("raw_value")) for n in left]
+    places = F.create_map(*(F.lit(x) for i, n in enumerate(NAMES) for x in (n, i)))
+    told = reduce(DataFrame.unionByName, rows).select(places[F.col("name")].alias("position"), "name", F.coalesce("raw_value", F.lit(0.0)).alias("raw_value"))
+    return told.withColumn("grade", grade_of(F.col("name"), F.col("raw_value")))
