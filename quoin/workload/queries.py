@@ -117,7 +117,7 @@ def _(t):
     return A.module_cohesion(t.ids(), t.path_edges()).select("module", "n_files", "intra", r6("cohesion").alias("cohesion"))
 
 
-@query("cohesion", sql("SELECT round(1 - w.cohesion, 6) AS raw_value, w.module AS worst_module FROM (SELECT min({'cohesion': cohesion, 'ord': ord, 'module': module}) AS w FROM c)", MODULE_COHESION))
+@query("cohesion", sql("SELECT round(1 - coalesce(w.cohesion, 1), 6) AS raw_value, CASE WHEN coalesce(w.cohesion, 1) < 1 THEN w.module ELSE '' END AS worst_module FROM (SELECT min({'cohesion': cohesion, 'ord': ord, 'module': module}) AS w FROM c)", MODULE_COHESION))
 def _(t):
     return A.cohesion(t.ids(), t.path_edges()).select(r6("raw_value").alias("raw_value"), "worst_module")
 
