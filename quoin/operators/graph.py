@@ -26,17 +26,20 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 
 def closure(edges: DataFrame) -> DataFrame:
-    """(src, dst) for every way of at least one edge. The ways' lengths double each round."""
-    known = settled(edges.select("src", "dst").distinct())
-    fresh = known
+    """(src, dst) for every way of at least one edge.
+
+    Each round goes one edge on from the pairs that were new in the last, so a pair is tried once for each edge that
+    leaves it; there are as many rounds as the farthest pair has edges between them.
+    """
+    single = settled(edges.select("src", "dst").distinct())
+    known, fresh, rounds = single, single, 0
+    onward = single.select(F.col("src").alias("mid"), "dst")
     while True:
-        # new ways end or begin with a way found in the last round
-        steps = fresh.select("src", F.col("dst").alias("mid")).join(known.select(F.col("src").alias("mid"), "dst"), "mid").select("src", "dst")
+        steps = fresh.select("src", F.col("dst").alias("mid")).join(onward, "mid").select("src", "dst")
         fresh = settled(steps.distinct().join(known, ["src", "dst"], "left_anti"))
         if fresh.isEmpty():
             return known
-        # rounds are few, as lengths double: what is known stays a union of them
-        known = known.unionAll(fresh)
+        known, rounds = _with(known, fresh, rounds)
 
 
 def trimmed(edges: DataFrame, rounds: int = 3) -> DataFrame:
