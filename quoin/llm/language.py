@@ -19,22 +19,18 @@ from quoin.llm.suffix_automaton import SuffixAutomaton
 
 #: Learned from: so many texts a language, so many letters of all languages together, which bounds the model.
 TEXTS, LETTERS = 64, 80_000
-#: Letters that the model tells apart.
+#: The most frequent letters, whose steps are a table; those of all further letters are found in a sorted list.
 ALPHABET = 62
 #: Letters of a segment.
 SEGMENT = 256
 MISS = 1 << 30
 
 
-def symbols(text: str, table, other: int):
+def symbols(text: str, table, other: int | None = None):
     """0 for each run of other characters than letters, else the number of the letter."""
     import numpy as np
 
-    points = np.frombuffer(text.lower().encode("utf-32-le"), np.uint32)
-    s = table[np.minimum(points, len(table) - 1)]
-    if (points >= len(table)).any():
-        s = s.copy()
-        s[[i for i in np.flatnonzero(points >= len(table)) if chr(points[i]).isalpha()]] = other
+    s = table[np.frombuffer(text.lower().encode("utf-32-le"), np.uint32)]
     keep = np.ones(len(s), bool)
     keep[1:] = (s[1:] != 0) | (s[:-1] != 0)
     return s[keep]
@@ -44,41 +40,65 @@ def letter_table(letters: str):
     """By code point: 0 no letter, 1 and more the known letters, then one number for all other letters, and one for padding."""
     import numpy as np
 
-    table = np.array([len(letters) + 1 if chr(i).isalpha() else 0 for i in range(0x10000)] + [0], np.int32)
+    table = np.array([len(letters) + 1 if chr(i).isalpha() else 0 for i in range(0x110000)], np.int32)
     for i, c in enumerate(letters, 1):
         table[ord(c)] = i
     return table
 
 
 class Model:
-    """steps: by state and symbol, the next state (both times the row's width), with MISS added where a phrase ends."""
+    """steps: by state and column, the next state (both times the row's width), with MISS added where a phrase ends.
+
+    A column is a frequent letter's number, one for all further letters, or one for padding; rare and rare_to are the
+    steps by further letters: state * apart + number, sorted, and the next state.
+    """
 
     def __init__(self, samples: dict[str, list[str]]):
         import numpy as np
         from collections import Counter
 
         self.languages = sorted(samples)
-        seen = Counter(c for texts in samples.values() for t in texts for c in t.lower() if c.isalpha() and ord(c) < 0x10000)
-        self.letters = "".join(sorted(c for c, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:ALPHABET]))
+        seen = Counter(c for texts in samples.values() for t in texts for c in t.lower() if c.isalpha())
+        self.letters = "".join(c for c, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0])))
         self.other, self.pad = len(self.letters) + 1, len(self.letters) + 2
-        width, table = self.pad + 1, letter_table(self.letters)
-        parts, self.roots, at = [], [], 0
+        self.dense, self.apart = min(ALPHABET, len(self.letters)), self.pad + 1
+        width, table = self.dense + 3, letter_table(self.letters)
+        parts, self.roots, at, rare = [], [], 0, {}
         for language in self.languages:
-            automaton = SuffixAutomaton(symbols(t, table, self.other).tolist() for t in samples[language])
+            automaton = SuffixAutomaton(symbols(t, table).tolist() for t in samples[language])
             n = len(automaton.next)
             steps = np.full((n, width), -1, np.int64)
             for state, to in enumerate(automaton.next):
                 for c, x in to.items():
-                    steps[state, c] = at + x * width
-            steps[:, self.other] = -1
+                    if c <= self.dense:
+                        steps[state, c] = at + x * width
+                    else:
+                        rare[(at + state * width) * self.apart + c] = at + x * width
             first = np.where(steps[0] < 0, at, steps[0])
             steps = np.where(steps < 0, first + MISS, steps)
-            steps[:, self.pad] = at + np.arange(n) * width
+            steps[:, self.dense + 2] = at + np.arange(n) * width
             parts.append(steps.astype(np.int32).ravel())
             self.roots.append(at)
             at += n * width
+            if at >= MISS:
+                raise ValueError("too many languages for one table of steps")
+        self.rare = np.array(sorted(rare), np.int64)
+        self.rare_to = np.array([rare[k] for k in sorted(rare)], np.int64)
         self.steps = np.concatenate(parts) if parts else np.zeros(0, np.int32)
 
+    def further(self, states, letters):
+        """The steps by letters that aren't in the table, as in steps."""
+        import numpy as np
+
+        def found(states):
+            keys = states.astype(np.int64) * self.apart + letters
+            at = np.minimum(np.searchsorted(self.rare, keys), len(self.rare) - 1)
+            return np.where(self.rare[at] == keys, self.rare_to[at], -1)
+
+        roots = np.broadcast_to(np.array(self.roots)[:, None], states.shape)
+        to, first = found(states), found(roots)
+        return np.where(to >= 0, to, np.where(first >= 0, first, roots) + MISS)
+
     def phrases(self, texts: list):
         """Phrases of each symbol array by language."""
         import numpy as np
@@ -89,11 +109,17 @@ class Model:
         for t, n in zip(texts, pieces, strict=True):
             segments[at : at + n].ravel()[: len(t)] = t
             at += n
-        columns = np.ascontiguousarray(segments.T)
+        segments = np.ascontiguousarray(segments.T)
+        columns = np.where(segments <= self.dense, segments, self.dense + 1 + (segments == self.pad)).astype(np.int32)
+        rare = (segments > self.dense) & (segments < self.other)
+        some = rare.any(axis=1)
         state = np.repeat(np.array(self.roots, np.int32)[:, None], columns.shape[1], axis=1)
         ended = np.zeros(state.shape, np.int32)
-        for column in columns:
+        for i, column in enumerate(columns):
             to = self.steps[state + column]
+            if some[i]:
+                which = np.flatnonzero(rare[i])
+                to[:, which] = self.further(state[:, which], segments[i, which])
             ended += to >> 30
             state = to & (MISS - 1)
         whole = np.zeros((len(self.roots), len(texts)), np.int64)
@@ -108,7 +134,7 @@ class Model:
         if not hasattr(self, "table"):
             self.table = letter_table(self.letters)
         out: list[tuple[str, float]] = [("und", 0.0)] * len(texts)
-        read = [symbols(t or "", self.table, self.other) for t in texts]
+        read = [symbols(t or "", self.table) for t in texts]
         known = [i for i, s in enumerate(read) if self.languages and s.any()]
         if known:
             counts = self.phrases([read[i] for i in known])
