@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from quoin.llm.common import held_out, map_batches
 from quoin.llm.suffix_automaton import SuffixAutomaton
 
-#: Learned from: so many texts a language, so many letters of all languages together, which bounds the model.
-TEXTS, LETTERS = 64, 80_000
+#: Learned from: so many texts and so many letters a language, however many languages there are.
+TEXTS, LETTERS = 64, 20_000
 #: The most frequent letters, whose steps are a table; those of all further letters are found in a sorted list.
 ALPHABET = 62
 #: Letters of a segment.
@@ -147,7 +147,10 @@ class Model:
 
 
 def learned(docs: DataFrame) -> Model:
-    """From at most TEXTS labelled rows a language that aren't held out, one for each of as many slots by the id's hash."""
+    """From at most TEXTS labelled rows a language that aren't held out, one for each of as many slots by the id's hash.
+
+    The language's LETTERS are shared by its rows: of each, a passage that starts anywhere, by the id's hash, or the whole text.
+    """
     h = F.xxhash64("doc_id")
     usable = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
     slots = usable.groupBy("lang", F.pmod(h, F.lit(TEXTS)).alias("slot")).agg(F.min(F.struct(F.xxhash64("doc_id", F.lit(1)).alias("h"), "doc_id")).alias("x"))
@@ -155,8 +158,9 @@ def learned(docs: DataFrame) -> Model:
     languages = {lang for lang, _ in chosen}
     if not languages:
         return Model({})
-    each = max(1, LETTERS // len(languages) // TEXTS)
-    rows = usable.filter(F.col("doc_id").isin([i for _, i in chosen])).select("lang", "doc_id", F.substring("text", 1, each).alias("text")).collect()
+    each = F.create_map(*(F.lit(x) for lang in sorted(languages) for x in (lang, LETTERS // sum(of == lang for of, _ in chosen))))[F.col("lang")]
+    start = F.pmod(F.xxhash64("doc_id", F.lit(2)), F.greatest(F.char_length("text") - each + 1, F.lit(1))).cast("int")
+    rows = usable.filter(F.col("doc_id").isin([i for _, i in chosen])).select("lang", "doc_id", F.substring("text", start + 1, each).alias("text")).collect()
     samples: dict[str, list[str]] = {lang: [] for lang in languages}
     for r in sorted({(r.lang, r.doc_id, r.text) for r in rows}):
         if r[:2] in chosen and len(samples[r[0]]) < TEXTS:

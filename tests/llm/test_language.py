@@ -36,3 +36,17 @@ def test_further_letters_are_parsed_as_frequent_ones_are():
         t = "".join(pieces)
         assert lang == "la" or np.count_nonzero(number(t) > language.ALPHABET)
         assert model.phrases([number(t)])[k, 0] == plain_phrases(spelt(t), list(map(spelt, samples[lang])))
+
+
+def test_samples_are_taken_from_anywhere_and_not_divided_among_languages(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(language, "Model", seen.update)
+    header = "licence of the text " * 50
+    rows = [(100 * k + i, header + text("la", 100 * k + i, 3000), f"l{k:02}", None, None) for k in range(12) for i in range(90)] + [(5000 + i, text("ru", 1, 900), "ru", None, None) for i in range(4)]
+    language.learned(frame(spark, rows))
+    assert len(seen) == 13 and max(map(len, seen.values())) <= language.TEXTS
+    for k in range(12):
+        got = seen[f"l{k:02}"]
+        assert 0.9 * language.LETTERS < sum(map(len, got)) <= language.LETTERS
+        assert sum(x in header for x in got) < len(got) / 2
+    assert set(seen["ru"]) == {text("ru", 1, 900)}
