@@ -2,19 +2,20 @@
 
 Such strings are compared as suffixes cut to that length. Sorting all of them would move each byte a hundred times,
 so suffixes are sampled where it loses nothing: each window of the text names its least hashed block of bytes, its
-anchor, and equal windows name the same anchor at the same offset. A run, all neighbouring windows with one anchor,
-is a suffix with a leading token (the anchor's hash) and a second one (the hash of all it spans).
-
-1. Sampled splitters range-partition the runs by these tokens and their place in the corpus; buckets are sorted, and
-   a run that follows an equal one is seen in full. Where an anchor goes on in the next bucket, the buckets' edges are
-   compared.
-2. Runs that share an anchor but not all they span (at the ends of what repeats) are told apart by their bytes: those
-   of one anchor meet, and their windows are sorted by multikey quicksort. An anchor with too many of them is divided
-   into parts, and the windows that are the earliest of their part are compared across the parts.
-
-A frequent anchor spreads over many buckets in the first step, as its place in the corpus is part of the key. Null texts count as empty.
-Rows that share a doc_id are documents of their own, earlier ones those read earlier. Texts under the length keep
-all; texts of any length are treated whole. Further columns are left out; an empty table gives no rows.
+anchor, and equal windows name the same anchor at the same offset. A run is all neighbouring windows with one anchor.
+
+1. Runs are sorted by the anchor's hash and their place in the corpus; those whose anchor has no other run hold
+   nothing that is repeated. A hash only leaves runs out: nothing is removed for it.
+2. The other runs become suffixes with what stands before them. Sampled splitters range-partition them by their
+   leading bytes (the anchor). Each bucket is sorted by multikey quicksort, once by the bytes from the anchor on, once
+   by those before it, backward; the lengths of common prefixes of neighbours tell which windows hold the same bytes,
+   and all but the earliest of each class are seen.
+3. An anchor with very many runs, or at the edge of a range of the first step, is divided into parts; the windows that
+   are the earliest of their part are compared across the parts, by their bytes.
+
+Null texts count as empty. Rows that share a doc_id are documents of their own, earlier ones those read earlier.
+Texts under the length keep all; texts of any length are treated whole, very long ones in overlapping pieces. Further
+columns are left out; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,19 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quoin.llm.common import fresh_path, partitions, stored
+from quoin.llm.common import dropped, fresh_path, partitions, stored
 from quoin.llm.token_store import mixed
 
-#: Bytes of a window and of an anchor; bytes of text, or windows, worked on together; runs of an anchor in one part.
+#: Bytes of a window and of an anchor; bytes of text, or suffixes, worked on together; runs of an anchor in one part.
 LENGTH, ANCHOR = 100, 32
-BUFFER, SORTED, CROWD = 1 << 20, 1 << 19, 4096
-
-
-def _tables():
-    import numpy as np
-
-    rng = np.random.default_rng(20)
-    return rng.integers(1, 1 << 63, 256, np.uint64), rng.integers(1, 1 << 63, 256, np.uint64)
+BUFFER, SORTED, CROWD = 1 << 20, 1 << 14, 4096
 
 
 class Sampler:
@@ -47,20 +41,10 @@ class Sampler:
         import numpy as np
 
         self.length, self.anchor, self.reach = length, anchor, length - anchor + 1
-        self.block, self.span = _tables()
-        self.base = np.uint64(0x9E3779B97F4A7C15 | 5)
-        self.inverse = np.uint64(pow(int(self.base), -1, 1 << 64))
-        self.powers = self.unpowers = np.ones(1, np.uint64)
-
-    def _grown(self, n: int) -> None:
-        import numpy as np
-
-        if len(self.powers) <= n:
-            self.powers = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(n, self.base, np.uint64))])
-            self.unpowers = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(n, self.inverse, np.uint64))])
+        self.block = np.random.default_rng(20).integers(1, 1 << 63, 256, np.uint64)
 
     def runs(self, texts: list[bytes]):
-        """(document, h, e, first window, further windows, anchor from the first window) as arrays."""
+        """(document, h, first window, further windows, anchor from the first window) as arrays."""
         import numpy as np
 
         sizes = np.array([len(t) for t in texts], np.int64)
@@ -68,7 +52,7 @@ class Sampler:
         raw = np.frombuffer(b"".join(texts), np.uint8)
         n = len(raw)
         if n < self.length:
-            return (np.zeros(0, np.int64),) * 6
+            return (np.zeros(0, np.int64),) * 5
         h, size, factor = self.block[raw], 1, 0x5851F42D4C957F2D
         while size < self.anchor:
             h = h[:-size] * np.uint64(factor & (1 << 64) - 1) + h[size:]
@@ -92,16 +76,11 @@ class Sampler:
         new[1:] = (where[1:] != where[:-1]) | (document[1:] != document[:-1]) | ~inside[:-1]
         first = np.flatnonzero(new & inside)
         if not len(first):
-            return (np.zeros(0, np.int64),) * 6
+            return (np.zeros(0, np.int64),) * 5
         # a run ends before the next one or where windows leave the document
         stop = np.minimum(np.append(first[1:], windows), ends[document[first]] - self.length + 1)
-        self._grown(n)
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.span[raw] * self.powers[:n])])
-        last = stop - 1 + self.length
-        e = (sums[last] - sums[first]) * self.unpowers[first]
-        e = mixed(e + mixed(((last - first) * 128 + at[first]).astype(np.uint64)))
         owner = document[first]
-        return owner, h[where[first]].view(np.int64), e.view(np.int64), first - (ends - sizes)[owner], stop - 1 - first, at[first]
+        return owner, h[where[first]].view(np.int64), first - (ends - sizes)[owner], stop - 1 - first, at[first]
 
 
 def _numpy(batch: pa.RecordBatch, names: str):
@@ -112,94 +91,98 @@ def _batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
+def _pieces(text: bytes) -> Iterator[tuple[int, bytes]]:
+    """(offset, bytes) of pieces that overlap so far that each window is in exactly one."""
+    for at in range(0, max(1, len(text) - LENGTH + 1), BUFFER):
+        yield at, text[at : at + BUFFER + LENGTH - 1]
+
+
 def _sampled(docs: DataFrame) -> DataFrame:
-    """(h, e, doc_id, row, place): place holds first window, further windows and the anchor's offset."""
-    schema = pa.schema([(k, pa.int64()) for k in ("h", "e", "doc_id", "row", "place")])
+    """(h, doc_id, row, place): place holds first window, further windows and the anchor's offset."""
+    schema = pa.schema([(k, pa.int64()) for k in ("h", "doc_id", "row", "place")])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
         sampler = Sampler()
 
-        def told(texts, ids, rows):
-            owner, h, e, first, more, at = sampler.runs(texts)
-            return _batch(schema, h, e, np.array(ids, np.int64)[owner], np.array(rows, np.int64)[owner], first << 16 | more << 8 | at)
+        def told(texts, ids, rows, starts):
+            owner, h, first, more, at = sampler.runs(texts)
+            first = first + np.array(starts, np.int64)[owner]
+            return _batch(schema, h, np.array(ids, np.int64)[owner], np.array(rows, np.int64)[owner], first << 16 | more << 8 | at)
 
         for batch in batches:
-            texts, ids, rows, size = [], [], [], 0
+            texts, ids, rows, starts, size = [], [], [], [], 0
             for k in range(batch.num_rows):
                 text = batch.column("raw")[k].as_py() or b""
                 if len(text) < LENGTH:
                     continue
-                texts.append(text)
-                ids.append(batch.column("doc_id")[k].as_py())
-                rows.append(batch.column("row")[k].as_py())
-                size += len(text)
-                if size >= BUFFER:
-                    yield told(texts, ids, rows)
-                    texts, ids, rows, size = [], [], [], 0
+                doc_id, row = batch.column("doc_id")[k].as_py(), batch.column("row")[k].as_py()
+                for at, piece in _pieces(text):
+                    texts.append(piece)
+                    ids.append(doc_id)
+                    rows.append(row)
+                    starts.append(at)
+                    size += len(piece)
+                    if size >= BUFFER:
+                        yield told(texts, ids, rows, starts)
+                        texts, ids, rows, starts, size = [], [], [], [], 0
             if texts:
-                yield told(texts, ids, rows)
+                yield told(texts, ids, rows, starts)
 
-    return docs.mapInArrow(run, "h long, e long, doc_id long, row long, place long")
+    return docs.mapInArrow(run, "h long, doc_id long, row long, place long")
 
 
-#: What the sorted runs are found to be: seen in full; first of their kind, but others share the anchor; or of an
-#: anchor at the edge of a bucket, undecided.
-SEEN, SHARED, EDGE = 0, 1, 2
+def _met(runs: DataFrame) -> DataFrame:
+    """(part, doc_id, row, place) of those sorted runs whose anchor has others.
 
-
-def _judged(runs: DataFrame) -> DataFrame:
-    """(kind, h, e, doc_id, row, place) from sorted runs; runs with nothing like them are left out."""
-    schema = pa.schema([("kind", pa.int32()), *((k, pa.int64()) for k in ("h", "e", "doc_id", "row", "place"))])
+    part is 0, or a number of its own for at most CROWD runs of an anchor that has more, or that goes on (for all that
+    is seen here) in another bucket. No more than CROWD runs and a batch are held.
+    """
+    schema = pa.schema([(k, pa.int64()) for k in ("part", "doc_id", "row", "place")])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
+        from pyspark import TaskContext
 
-        before = None  # tokens of the last run
-        held = None  # first ones of the last anchor, as columns
-        opening = True  # the bucket's first anchor goes on
+        base = TaskContext.get().partitionId() + 1 << 32
+        held = None  # runs of the last anchor
+        before = 0  # runs told or left out
+        going = None  # the hash of an anchor that is divided already: the bucket's first, or one of very many runs
 
-        def told(kind, columns):
-            return _batch(schema, np.full(len(columns[0]), kind, np.int32), *columns)
+        def told(columns, before, closing):
+            h = columns[0]
+            new = np.ones(len(h), bool)
+            new[1:] = h[1:] != h[:-1]
+            start = np.flatnonzero(new)
+            size = np.diff(np.append(start, len(h)))
+            divided = (size > CROWD) | (h[start] == going)
+            divided[-1] |= closing
+            size, divided = np.repeat(size, size), np.repeat(divided, size)
+            part = np.where(divided, base + (before + np.arange(len(h))) // CROWD, 0)
+            kept = divided | (size > 1)
+            return _batch(schema, part[kept], *(c[kept] for c in columns[1:]))
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            columns = _numpy(batch, "h e doc_id row place")
-            h, e = columns[:2]
-            same = np.zeros(len(h), bool)
-            same[1:] = (h[1:] == h[:-1]) & (e[1:] == e[:-1])
-            same[0] = before == (h[0], e[0])
-            before = h[-1], e[-1]
-            if same.any():
-                yield told(SEEN, [c[same] for c in columns])
-            firsts = [c[~same] for c in columns]
+            columns = _numpy(batch, "h doc_id row place")
             if held is not None:
-                firsts = [np.concatenate(x) for x in zip(held, firsts, strict=True)]
-            if not len(firsts[0]):
+                columns = [np.concatenate(x) for x in zip(held, columns, strict=True)]
+            h = columns[0]
+            going = h[0] if going is None else going
+            last = np.searchsorted(h, h[-1])
+            if len(h) - last > CROWD:
+                yield told(columns, before, False)
+                before, held, going = before + len(h), None, h[-1]
                 continue
-            h = firsts[0]
-            if opening:
-                own = h == h[0]
-                if own.all():
-                    held = firsts
-                    continue
-                yield told(EDGE, [c[own] for c in firsts])
-                firsts, opening = [c[~own] for c in firsts], False
-                h = firsts[0]
-            last = h == h[-1]
-            held, firsts = [c[last] for c in firsts], [c[~last] for c in firsts]
-            h = firsts[0]
-            if len(h) > 1:
-                alike = h[1:] == h[:-1]
-                shared = np.append(alike, False) | np.insert(alike, 0, False)
-                if shared.any():
-                    yield told(SHARED, [c[shared] for c in firsts])
+            if last:
+                yield told([c[:last] for c in columns], before, False)
+            before, held = before + last, [c[last:] for c in columns]
         if held is not None:
-            yield told(EDGE, held)
+            yield told(held, before, True)
 
-    return runs.mapInArrow(run, "kind int, h long, e long, doc_id long, row long, place long")
+    return runs.mapInArrow(run, "part long, doc_id long, row long, place long")
 
 
 def multikey_quicksort(words, order, depth: int = 0) -> list:
@@ -210,6 +193,7 @@ def multikey_quicksort(words, order, depth: int = 0) -> list:
     import numpy as np
 
     out, todo = [], [(order, depth)]
+    big = words.astype(">u8")  # bytes in the order of the words
     while todo:
         order, depth = todo.pop()
         if len(order) == 1 or depth == words.shape[1]:
@@ -217,7 +201,7 @@ def multikey_quicksort(words, order, depth: int = 0) -> list:
             continue
         if len(order) < 64:
             # few: one comparison sort of what is left of the key
-            keys = [words[i, depth:].tobytes() for i in order.tolist()]
+            keys = [big[i, depth:].tobytes() for i in order.tolist()]
             rank = sorted(range(len(keys)), key=keys.__getitem__)
             start = 0
             for k in range(1, len(rank) + 1):
@@ -234,83 +218,101 @@ def multikey_quicksort(words, order, depth: int = 0) -> list:
     return out
 
 
-def _key_words(raw, starts):
-    """The windows at starts as rows of big-endian words, comparable word by word."""
+def _sorted(group, rows):
+    """Rows of bytes, group by group, in the order of multikey quicksort: each one's rank, and by rank the length of the
+    prefix shared with the row before (-1 in another group)."""
     import numpy as np
 
-    n = -(-LENGTH // 8) * 8
-    rows = np.zeros((len(starts), n), np.uint8)
-    rows[:, :LENGTH] = np.lib.stride_tricks.sliding_window_view(raw, LENGTH)[starts]
-    return rows.view(">u8").astype(np.uint64)
+    n = len(rows)
+    words = np.column_stack([group.astype(np.uint64), rows.view(">u8").astype(np.uint64)])
+    order = np.concatenate(multikey_quicksort(words, np.arange(n)))
+    rank = np.empty(n, np.int64)
+    rank[order] = np.arange(n)
+    unlike = rows[order[1:]] != rows[order[:-1]]
+    shared = np.full(n, -1, np.int64)
+    shared[1:] = np.where(unlike.any(axis=1), unlike.argmax(axis=1), rows.shape[1])
+    shared[1:][group[order[1:]] != group[order[:-1]]] = -1
+    return rank, shared
+
 
+def classes(group, spans: list[bytes], at, more) -> Iterator[tuple]:
+    """(offset of the anchor, spans, whether each is the earliest): for each offset the spans with a window that has the
+    anchor there, windows of one group with the same bytes as one class; spans are in order of the corpus by group.
 
-def seen_windows(spans: list[bytes], rank) -> tuple:
-    """Windows of some spans: (span, offset, class, earliest) with classes of equal windows; rank orders windows by span."""
+    Windows are equal if so many bytes after the anchor and so many before it are: classes of both are ranges of the
+    spans' sorted orders, cut where neighbours share less.
+    """
     import numpy as np
 
-    sizes = np.array([len(s) for s in spans], np.int64)
-    begin = np.cumsum(sizes) - sizes
-    count = sizes - LENGTH + 1
-    span = np.repeat(np.arange(len(spans)), count)
-    offset = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    words = _key_words(np.frombuffer(b"".join(spans), np.uint8), begin[span] + offset)
-    classes = multikey_quicksort(words, np.arange(len(span)))
-    kind, earliest = np.empty(len(span), np.int64), np.zeros(len(span), bool)
-    for k, own in enumerate(classes):
-        kind[own] = k
-        earliest[own[np.lexsort((offset[own], rank[span[own]]))[0]] if len(own) > 1 else own] = True
-    return span, offset, words, kind, earliest
-
-
-def _settled(shared: DataFrame) -> DataFrame:
-    """(kind, h, key, doc_id, row, first, last) from spans sorted by anchor, part and place: SEEN ranges of windows, and
-    EDGE windows, the earliest of their content in one part of an anchor that has several."""
-    schema = pa.schema([("kind", pa.int32()), ("h", pa.int64()), ("key", pa.binary()), ("doc_id", pa.int64()), ("row", pa.int64()), ("first", pa.int64()), ("last", pa.int64())])
+    n, reach = len(spans), LENGTH - ANCHOR
+    size = np.array([len(s) for s in spans], np.int64)
+    raw = np.frombuffer(b"".join(spans) + bytes(8), np.uint8)
+    anchor = (np.cumsum(size) - size + at)[:, None]
+
+    def rows(steps, there):
+        return np.where(there, raw[np.where(there, anchor + steps, 0)], 0).astype(np.uint8)
+
+    width = np.arange(-(-2 * reach // 8) * 8)[None, :]
+    after, shared_after = _sorted(group, rows(ANCHOR + width, width < (size - at)[:, None] - ANCHOR))
+    width = np.arange(-(-reach // 8) * 8)[None, :]
+    ahead, shared_ahead = _sorted(group, rows(-1 - width, width < at[:, None]))
+    for d in range(reach + 1):
+        here = np.flatnonzero((d <= at) & (d >= at - more))
+        if not len(here):
+            continue
+        same_after = np.cumsum(shared_after < reach - d)[after[here]]
+        same_ahead = np.cumsum(shared_ahead < d)[ahead[here]]
+        _, first = np.unique(same_after * (n + 1) + same_ahead, return_index=True)
+        earliest = np.zeros(len(here), bool)
+        earliest[first] = True
+        yield d, here, earliest
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import hashlib
 
-        import numpy as np
+def _settled(suffixes: DataFrame) -> DataFrame:
+    """(key, row, doc_id, first, last) from suffixes sorted by anchor, part and place: ranges of windows that are seen
+    (without key), and windows, with their bytes as key, that are the earliest of their kind in one part of a divided anchor."""
+    schema = pa.schema([("key", pa.binary()), *((k, pa.int64()) for k in ("row", "doc_id", "first", "last"))])
 
-        rows: list[tuple] = []
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
 
-        def told(rows):
-            h, doc_id, row, first = (np.array([r[i] for r in rows], np.int64) for i in range(4))
-            span, offset, words, _, earliest = seen_windows([r[4] for r in rows], np.arange(len(rows)))
-            seen = ~earliest
+        held: list[tuple] = []
+
+        def told(columns):
+            anchor, part, doc_id, row, first, at, spans = columns
+            new = [True, *(anchor[k] != anchor[k - 1] or part[k] != part[k - 1] for k in range(1, len(spans)))]
+            doc_id, row, first, at = (np.array(x, np.int64) for x in (doc_id, row, first, at))
+            more = np.array([len(s) for s in spans], np.int64) - LENGTH
+            seen = np.zeros((len(spans), LENGTH - ANCHOR + 3), np.int8)
+            divided = np.array(part) > 0
+            for d, here, earliest in classes(np.cumsum(new), spans, at, more):
+                late = here[~earliest]
+                seen[late, at[late] - d + 1] = 1
+                edge = here[earliest & divided[here]]
+                if len(edge):
+                    offset = at[edge] - d
+                    keys = [spans[x][o : o + LENGTH] for x, o in zip(edge.tolist(), offset.tolist(), strict=True)]
+                    yield _batch(schema, keys, row[edge], doc_id[edge], first[edge] + offset, first[edge] + offset)
             # neighbours in one span become one range
-            new = np.ones(len(span), bool)
-            new[1:] = (span[1:] != span[:-1]) | (seen[1:] != seen[:-1])
-            start = np.flatnonzero(new)
-            stop = np.append(start[1:], len(span)) - 1
-            start, stop = start[seen[start]], stop[seen[start]]
-            s = span[start]
-            none = [None] * len(s)
-            yield _batch(schema, np.full(len(s), SEEN, np.int32), h[s], none, doc_id[s], row[s], first[s] + offset[start], first[s] + offset[stop])
-            divided = np.array([r[5] for r in rows]) > 0
-            at = np.flatnonzero(earliest & divided[span])
-            for k in range(0, len(at), 50_000):
-                w = at[k : k + 50_000]
-                s = span[w]
-                keys = [hashlib.blake2b(words[i].tobytes(), digest_size=16).digest() for i in w.tolist()]
-                yield _batch(schema, np.full(len(w), EDGE, np.int32), h[s], keys, doc_id[s], row[s], first[s] + offset[w], first[s] + offset[w])
-
-        windows = 0
+            turns = np.diff(seen, axis=1)
+            span, start = np.nonzero(turns == 1)
+            end = np.nonzero(turns == -1)[1]
+            yield _batch(schema, [None] * len(span), row[span], doc_id[span], first[span] + start, first[span] + end - 1)
+
         for batch in batches:
-            for r in zip(*(batch.column(k).to_pylist() for k in ("h", "doc_id", "row", "first", "span", "part")), strict=True):
-                # windows of different parts must not meet here: which is earliest is settled between the parts
-                if rows and (r[0], r[5]) != (rows[-1][0], rows[-1][5]) and (windows >= SORTED or r[5] > 0 or rows[-1][5] > 0):
-                    yield from told(rows)
-                    rows, windows = [], 0
-                rows.append(r)
-                windows += len(r[4]) - LENGTH + 1
-        if rows:
-            yield from told(rows)
+            columns = [batch.column(k).to_pylist() for k in ("anchor", "part", "doc_id", "row", "first", "at", "span")]
+            for r in zip(*columns, strict=True):
+                if len(held) >= SORTED and r[:2] != held[-1][:2]:
+                    yield from told(list(zip(*held, strict=True)))
+                    held = []
+                held.append(r)
+        if held:
+            yield from told(list(zip(*held, strict=True)))
 
-    return shared.mapInArrow(run, "kind int, h long, key binary, doc_id long, row long, first long, last long")
+    return suffixes.mapInArrow(run, "key binary, row long, doc_id long, first long, last long")
 
 
-def _placed(docs: DataFrame) -> tuple[DataFrame, int]:
+def _placed(docs: DataFrame) -> tuple[DataFrame, str]:
     """The texts as a table in buckets by row, so that what is found joins them without moving them again."""
     spark = docs.sparkSession
     n = partitions(spark)
@@ -318,37 +320,35 @@ def _placed(docs: DataFrame) -> tuple[DataFrame, int]:
     path = fresh_path(spark, "texts")
     name = path.rpartition("/")[2].replace("-", "_")
     rows.repartition(n, "row").sortWithinPartitions("row").write.bucketBy(n, "row").sortBy("row").option("path", path).option("compression", "zstd").saveAsTable(name)
-    return spark.table(name), n
+    return spark.table(name), name
 
 
 def _ranges(texts: DataFrame) -> DataFrame:
-    """(row, first, last): ranges of windows that also start earlier."""
-    spark = texts.sparkSession
+    """(row, first, last): ranges of windows that also start earlier; stored."""
+    n = partitions(texts.sparkSession)
     place = ("doc_id", "row", "place")
-    runs = _sampled(texts.select("doc_id", "row", "raw")).repartitionByRange(partitions(spark), "h", "e", *place).sortWithinPartitions("h", "e", *place)
-    judged = stored(_judged(runs), "judged")
-    of_kind = Window.partitionBy("h", "e").orderBy(*place)
-    edge = judged.filter(F.col("kind") == EDGE).withColumn("nth", F.row_number().over(of_kind))
-    several = judged.filter(F.col("kind") == EDGE).groupBy("h").agg(F.min("e").alias("a"), F.max("e").alias("b")).filter("a <> b").select("h")
-    seen = judged.filter(F.col("kind") == SEEN).unionAll(edge.filter("nth > 1").drop("nth"))
-    whole = seen.select("row", F.shiftright("place", 16).alias("first"), (F.shiftright("place", 16) + F.shiftright("place", 8).bitwiseAND(F.lit(255))).alias("last"))
-    shared = judged.filter(F.col("kind") == SHARED).unionAll(edge.filter("nth = 1").drop("nth").join(several, "h", "left_semi").select(judged.columns))
-    asked = shared.groupBy("row").agg(F.collect_list(F.struct("h", "place")).alias("asked"))
-    one = texts.join(asked.hint("shuffle_merge"), "row").select("row", "doc_id", "raw", F.explode("asked").alias("x")).select(F.col("x.h").alias("h"), "doc_id", "row", F.shiftright("x.place", 16).alias("first"), F.col("x.place").alias("place"), "raw")
-    spans = stored(one.select("h", "doc_id", "row", "first", F.expr("substring(raw, cast(first as int) + 1, cast(shiftright(place, 8) & 255 as int) + %d)" % LENGTH).alias("span")), "spans")
-    crowded = spans.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") > CROWD)
-    part = F.when(F.col("n").isNull(), F.lit(0)).otherwise(1 + F.pmod(F.xxhash64("row", "first"), F.ceil(F.col("n") / (CROWD // 2))))
-    parts = spans.join(crowded, "h", "left").withColumn("part", part.cast("int")).drop("n").repartition(partitions(spark), "h", "part")
-    settled = stored(_settled(parts.sortWithinPartitions("h", "part", "doc_id", "row", "first")), "settled")
-    alike = Window.partitionBy("h", "key").orderBy("doc_id", "row", "first")
-    late = settled.filter(F.col("kind") == EDGE).withColumn("nth", F.row_number().over(alike)).filter("nth > 1")
-    return whole.unionAll(settled.filter(F.col("kind") == SEEN).select("row", "first", "last")).unionAll(late.select("row", "first", "last"))
+    runs = _sampled(texts.select("doc_id", "row", "raw")).repartitionByRange(n, "h", *place).sortWithinPartitions("h", *place)
+    asked = _met(runs).groupBy("row").agg(F.collect_list(F.struct("part", "place")).alias("asked"))
+    one = texts.join(asked.hint("shuffle_merge"), "row").select("row", "doc_id", "raw", F.explode("asked").alias("x"))
+    span = F.expr(f"substring(raw, cast(shiftright(x.place, 16) as int) + 1, cast(shiftright(x.place, 8) & 255 as int) + {LENGTH})")
+    cut = one.select("x.part", "doc_id", "row", F.shiftright("x.place", 16).alias("first"), F.col("x.place").bitwiseAND(F.lit(255)).alias("at"), span.alias("span"))
+    spans = stored(cut.select(F.expr(f"substring(span, cast(at as int) + 1, {ANCHOR})").alias("anchor"), "part", "doc_id", "row", "first", "at", "span"), "spans")
+    buckets = spans.repartitionByRange(n, "anchor", "part").sortWithinPartitions("anchor", "part", "doc_id", "row", "first")
+    settled = stored(_settled(buckets), "settled")
+    dropped(texts.sparkSession, spans)
+    alike = Window.partitionBy("key").orderBy("doc_id", "row", "first")
+    late = settled.filter("key is not null").withColumn("nth", F.row_number().over(alike)).filter("nth > 1")
+    found = stored(settled.filter("key is null").select("row", "first", "last").unionAll(late.select("row", "first", "last")), "ranges")
+    dropped(texts.sparkSession, settled)
+    return found
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, removed array<struct<start,end>>, kept binary) of every row; removed runs don't touch."""
-    texts, _ = _placed(docs)
-    found = _ranges(texts).groupBy("row").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("found"))
+    """(doc_id, n_bytes, removed array<struct<start,end>>, kept binary) of every row; removed runs don't touch. Computed when called."""
+    spark = docs.sparkSession
+    texts, name = _placed(docs)
+    ranges = _ranges(texts)
+    found = ranges.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("found"))
     joined = texts.join(found.hint("shuffle_merge"), "row", "left")
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("removed", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept", pa.binary())])
 
@@ -373,4 +373,8 @@ def deduplicated(docs: DataFrame) -> DataFrame:
             ids = [None if n else i for i, n in zip(batch.column("doc_id").to_pylist(), batch.column("nameless").to_pylist(), strict=True)]
             yield _batch(schema, ids, sizes, removed, kept)
 
-    return joined.select("doc_id", "nameless", "raw", "found").mapInArrow(run, "doc_id long, n_bytes long, removed array<struct<start:long,end:long>>, kept binary")
+    out = stored(joined.select("doc_id", "nameless", "raw", "found").mapInArrow(run, "doc_id long, n_bytes long, removed array<struct<start:long,end:long>>, kept binary"), "kept")
+    dropped(spark, ranges)
+    dropped(spark, texts)
+    spark.sql(f"drop table {name}")
+    return out

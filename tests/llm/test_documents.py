@@ -199,6 +199,48 @@ def test_op4_rows_that_share_an_id(spark):
     assert sorted((str(r.doc_id), len(r.kept)) for r in got) == [("3", 0), ("3", 0), ("None", len(text))]
 
 
+def test_op4_compares_bytes(spark):
+    """Two texts that a linear sum of their bytes can't tell apart keep all."""
+    a = "odgobdvnbdrrxuhxtfnsqgdxisvrrpctzwldupdoqfjfgjfjtnvmedypczdcezqzwzugknjbvlcmdgtetvpcossqqaxesxghfubn"
+    b = "odgobdvnbdrrxuhxtfnsqgdxisvrrpctelnrosqroejyjhhmkjqnexwrvkqicvlyxwppwmclpbtnyvyougffjxwngsljxnegdkly"
+    rows = [(1, a, None, None, None), (2, b, None, None, None), (3, "q" + b, None, None, None)]
+    assert {r.doc_id: len(r.kept) for r in suffixes.deduplicated(frame(spark, rows)).collect()} == {1: 100, 2: 100, 3: 1}
+
+
+def test_op4_leaves_nothing_behind(spark):
+    suffixes.deduplicated(frame(spark, near_copies(3))).count()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("texts_")]
+
+
+def test_pieces_of_long_texts_hold_each_window_once(monkeypatch):
+    monkeypatch.setattr(suffixes, "BUFFER", 1000)
+    for n in (0, 99, 100, 999, 1000, 1099, 1100, 5432):
+        text = np.random.default_rng(n).integers(97, 123, n, np.uint8).tobytes()
+        at = [start + k for start, piece in suffixes._pieces(text) for k in range(len(piece) - suffixes.LENGTH + 1)]
+        assert at == list(range(max(0, n - suffixes.LENGTH + 1)))
+        assert all(text[start:].startswith(piece) for start, piece in suffixes._pieces(text))
+
+
+def test_classes_of_windows():
+    rng = np.random.default_rng(4)
+    anchors = [rng.integers(97, 123, suffixes.ANCHOR, np.uint8).tobytes() for _ in range(3)]
+    rows = []
+    for g in sorted(int(x) for x in rng.integers(0, 3, 60)):
+        at, more = int(rng.integers(0, 69)), int(rng.integers(0, 30))
+        more = min(more, at)
+        before, after = bytes(rng.choice(list(b"ab"), at, p=[0.97, 0.03]).tolist()), bytes(rng.choice(list(b"ab"), 68 - at + more, p=[0.97, 0.03]).tolist())
+        rows.append((g, before + anchors[g] + after, at, more))
+    group, spans, at, more = (list(x) for x in zip(*rows, strict=True))
+    got = {(int(x), d): bool(e) for d, here, earliest in suffixes.classes(np.array(group), spans, np.array(at), np.array(more)) for x, e in zip(here, earliest, strict=True)}
+    want, known = {}, set()
+    for k, (g, s, a, m) in enumerate(rows):
+        for o in range(m + 1):
+            w = (g, a - o, s[o : o + suffixes.LENGTH])
+            want[k, a - o] = w not in known
+            known.add(w)
+    assert got == want
+
+
 def test_multikey_quicksort():
     rng = np.random.default_rng(1)
     words = rng.integers(0, 3, (900, 4)).astype(np.uint64)
