@@ -6,24 +6,31 @@ move on; where it says zero, the block's bucket gives the patterns to compare by
 
 Null texts have no words; items without words have no windows. Rows are treated one by one, so repeated rows,
 ties and very long texts need nothing special. Items that share an id count once; an item without id counts as
-the empty id. With no items, nothing is hit. Columns of the documents other than those named are carried along.
+the empty id. With no items, nothing is hit. Columns of the documents other than those that find_items() and judged()
+make are carried along; columns of those names are left out.
 """
 
 from __future__ import annotations
 
+import uuid
 from bisect import bisect_right
 from collections import defaultdict
+from collections.abc import Iterator
+from contextlib import contextmanager
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quoin.llm.common import map_batches
+from quoin.llm.common import dropped, map_batches, stored
 
 #: Words of a window.
 WINDOW = 13
-#: Item text held by the driver and sent to the executors at once; more items take further passes over the documents.
-PASS_BYTES = 16 << 20
+#: Item text held by the driver, sent to the executors and made into tables (some 200 bytes for each of text) at once;
+#: more items take further passes over the documents.
+PASS_BYTES = 2 << 20
 #: Bytes of a block, at most.
 BLOCK = 10
 
@@ -107,41 +114,102 @@ def covered(ranges: list[tuple[int, int]]) -> int:
     return n
 
 
-def item_passes(benchmark: DataFrame, id_col: str, text_col: str, limit: int) -> list[list[tuple[str, str]]]:
-    """Items in lists whose text stays under limit; each list is collected when its pass begins."""
-    items = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("i"), F.col(text_col).alias("t")).filter("t is not null").distinct()
+def _items(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("i"), F.col(text_col).alias("t")).filter("t is not null").distinct()
+
+
+def pass_count(items: DataFrame, limit: int) -> int:
+    """So many passes that the items of each, dealt by hash, hold about half of limit."""
     total = items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).head()[0]
-    n = max(1, -(-2 * total // limit)) if total > limit else 1
-    return [[(r.i, r.t) for r in (items if n == 1 else items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k)).collect()] for k in range(n)]
+    return max(1, -(-2 * total // limit)) if total > limit else 1
+
+
+def items_of_pass(items: DataFrame, k: int, n: int) -> list[tuple[str, str]]:
+    """The items of one pass, collected now."""
+    return [(r.i, r.t) for r in (items if n == 1 else items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k)).collect()]
+
+
+@contextmanager
+def sent(spark: SparkSession, items: list[tuple[str, str]]) -> Iterator[Broadcast]:
+    """items on the executors for as long as they are needed."""
+    shared = spark.sparkContext.broadcast(items)
+    try:
+        yield shared
+    finally:
+        shared.destroy()
+
+
+_kept: dict[str, Searcher] = {}
+
+
+def _searcher(name: str, items: Broadcast, size: int) -> Searcher:
+    """One searcher a worker: that of the last pass asked for."""
+    if name not in _kept:
+        _kept.clear()
+        _kept[name] = Searcher(items.value, size)
+    return _kept[name]
+
+
+def _found(name: str, items: Broadcast, size: int, texts: list[str | None]) -> tuple[list, list, list]:
+    """Number of words, ranges of words hit and ids of items, by text."""
+    search = _searcher(name, items, size)
+    n, ranges, found = [], [], []
+    for t in texts:
+        document = words(t)
+        r, i = search.find(document)
+        n.append(len(document))
+        ranges.append([{"start": a, "end": b} for a, b in r])
+        found.append(sorted(i))
+    return n, ranges, found
+
+
+MADE = T.StructType([
+    T.StructField("n_words", T.LongType()),
+    T.StructField("hit_ranges", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))),
+    T.StructField("found", T.ArrayType(T.StringType())),
+])
 
 
 def find_items(docs: DataFrame, benchmark: DataFrame, text: str = "text", id_col: str = "item_id", item_text: str = "text", size: int = WINDOW, keep_text: bool = True) -> DataFrame:
-    """docs (without the text, if it isn't kept) with n_words long, hit_ranges array<struct<start,end>> of words, and found array<string>, the items' ids, sorted."""
+    """docs (without the text, if it isn't kept) with n_words long, hit_ranges array<struct<start,end>> of words, and found array<string>, the items' ids, sorted.
+
+    Where the items take several passes, each is collected, sent, searched for and forgotten before the next; a pass
+    stores the rows that it hits (the first one all, with their number of words), and these are joined at the end.
+    """
     spark = docs.sparkSession
-    span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
-    kept = [f for f in docs.schema if f.name not in ("n_words", "hit_ranges", "found")]
-    schema = T.StructType([*kept, T.StructField("n_words", T.LongType()), T.StructField("hit_ranges", span), T.StructField("found", T.ArrayType(T.StringType()))])
-    out = docs.select(*(f.name for f in kept), F.lit(0).cast("long").alias("n_words"), F.array().cast(span).alias("hit_ranges"), F.array().cast("array<string>").alias("found"))
-    passes = item_passes(benchmark, id_col, item_text, PASS_BYTES)
-    for k, items in enumerate(passes):
-        shared = spark.sparkContext.broadcast(items)
-        gone = {text} if not keep_text and k == len(passes) - 1 else set()
-
-        def run(batches, shared=shared, gone=gone):
-            search = Searcher(shared.value, size)
+    kept = [f for f in docs.schema if f.name not in MADE.names]
+    gone = set() if keep_text else {text}
+    items = _items(benchmark, id_col, item_text)
+    passes = pass_count(items, PASS_BYTES)
+    if passes == 1:
+        shared, name = spark.sparkContext.broadcast(items_of_pass(items, 0, 1)), uuid.uuid4().hex
+
+        def run(batches):
             for cols in batches:
-                n, ranges, found = [], [], []
-                for t, had, ids in zip(cols[text], cols["hit_ranges"], cols["found"], strict=True):
-                    document = words(t)
-                    r, i = search.find(document)
-                    n.append(len(document))
-                    ranges.append([{"start": a, "end": b} for a, b in sorted({*r, *((x["start"], x["end"]) for x in had)})])
-                    found.append(sorted({*i, *ids}))
-                yield {c: v for c, v in cols.items() if c not in gone} | {"n_words": n, "hit_ranges": ranges, "found": found}
-
-        out = map_batches(out, run, T.StructType([f for f in schema if f.name not in gone]))
-    return out
-
+                made = zip(MADE.names, _found(name, shared, size, cols[text]), strict=True)
+                yield {c: v for c, v in cols.items() if c not in gone} | dict(made)
+
+        return map_batches(docs.select(*(f.name for f in kept)), run, T.StructType([*(f for f in kept if f.name not in gone), *MADE]))
+
+    rows = stored(docs.select(*(f.name for f in kept), F.monotonically_increasing_id().alias("_of_pass")), "documents")
+    parts = []
+    for k in range(passes):
+        with sent(spark, items_of_pass(items, k, passes)) as shared:
+            name = uuid.uuid4().hex
+
+            def search(batches, k=k, name=name, shared=shared):
+                for cols in batches:
+                    made = zip(cols["_of_pass"], *_found(name, shared, size, cols[text]), strict=True)
+                    told = [x for x in made if k == 0 or x[3]]
+                    yield {c: [x[i] for x in told] for i, c in enumerate(("_of_pass", *MADE.names))} | ({} if k == 0 else {"n_words": [0] * len(told)})
+
+            parts.append(stored(map_batches(rows.select("_of_pass", text), search, T.StructType([T.StructField("_of_pass", T.LongType()), *MADE])), "hits"))
+    ranges, ids = F.flatten(F.collect_list("hit_ranges")), F.flatten(F.collect_list("found"))
+    hits = reduce(DataFrame.unionAll, parts).groupBy("_of_pass").agg(F.sum("n_words").alias("n_words"), F.array_sort(F.array_distinct(ranges)).alias("hit_ranges"), F.array_sort(F.array_distinct(ids)).alias("found"))
+    merged = stored(hits, "merged")
+    for part in parts:
+        dropped(spark, part)
+    return rows.join(merged, "_of_pass").select(*(f.name for f in kept if f.name not in gone), *MADE.names)
 
 
 def judged(docs: DataFrame, benchmark: DataFrame, **names) -> DataFrame:
