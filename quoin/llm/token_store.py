@@ -2,8 +2,14 @@
 
 Each document's ids, with an end id, are cut where a rolling hash of the last ids says so, hence alike wherever
 the same ids stand. A chunk is named by the digest of its bytes and stored once (<store>/chunks); a recipe per
-document lists its chunks (<store>/recipes, ascending doc_id); a manifest per recipe file holds the Merkle root of
-its documents (<store>/manifests). Reading checks each chunk against its name and each recipe against its root.
+document lists its chunks and holds their Merkle root (<store>/recipes, ascending doc_id); a manifest for each part
+of the recipes holds the Merkle root of its documents, in order (<store>/manifests), and <store>/root that of all
+manifests. Reading checks all of this: chunks against their names, recipes against their roots, the recipes of each
+part against its manifest, and the manifests against the store's root; what is lost, doubled, swapped or altered is
+an error.
+
+Ids are those of the tokenizers library: its model is asked for each pre-token, and pre-tokens are cut by the
+vocabulary's own pattern, told in pretokens.py, so that ids of known ones can be remembered.
 
 Null texts count as empty and hold the end id alone. Rows that share a doc_id are documents of their own, in any
 order among themselves; null ids come first. Further columns aren't stored. An empty table gives an empty store.
@@ -14,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from collections.abc import Iterable
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -119,11 +126,72 @@ def chunked(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     return map_batches(rows, run, "row long, doc_id long, pos int, name binary, n int, payload binary")
 
 
-def merkle(names: list[bytes]) -> bytes:
-    level = names or [b""]
-    while len(level) > 1:
-        level = [hashlib.blake2b(b"".join(level[i : i + 2]), digest_size=16).digest() for i in range(0, len(level), 2)]
-    return hashlib.blake2b(level[0], digest_size=16).digest()
+class Merkle:
+    """A Merkle tree built from the left, of which only the roots of whole subtrees are held. Leaves and inner nodes are hashed apart."""
+
+    def __init__(self):
+        self.roots: list[tuple[int, bytes]] = []
+
+    def add(self, leaf: bytes) -> None:
+        height, node = 0, hashlib.blake2b(b"\0" + leaf, digest_size=16).digest()
+        while self.roots and self.roots[-1][0] == height:
+            height, node = height + 1, hashlib.blake2b(b"\1" + self.roots.pop()[1] + node, digest_size=16).digest()
+        self.roots.append((height, node))
+
+    def root(self) -> bytes:
+        if not self.roots:
+            return hashlib.blake2b(b"", digest_size=16).digest()
+        node = self.roots[-1][1]
+        for _, left in reversed(self.roots[:-1]):
+            node = hashlib.blake2b(b"\1" + left + node, digest_size=16).digest()
+        return node
+
+
+def merkle(leaves: Iterable[bytes]) -> bytes:
+    tree = Merkle()
+    for leaf in leaves:
+        tree.add(leaf)
+    return tree.root()
+
+
+def manifests(recipes: DataFrame) -> DataFrame:
+    """(part, documents, n_tokens, root) of the recipes as they are: root over the documents of a part, in order."""
+
+    def run(batches):
+        part, tree, documents, tokens = None, Merkle(), 0, 0
+
+        def told():
+            return {"part": [part], "documents": [documents], "n_tokens": [tokens], "root": [tree.root()]}
+
+        for cols in batches:
+            for p, doc_id, row, n, root in zip(*(cols[c] for c in ("part", "doc_id", "row", "n_tokens", "root")), strict=True):
+                if p != part:
+                    if part is not None:
+                        yield told()
+                    part, tree, documents, tokens = p, Merkle(), 0, 0
+                tree.add(f"{doc_id}:{row}:{n}:".encode() + root)
+                documents, tokens = documents + 1, tokens + n
+        if part is not None:
+            yield told()
+
+    own = recipes.select("part", "doc_id", "row", "n_tokens", "root").repartition(partitions(recipes.sparkSession), "part").sortWithinPartitions("part", "doc_id", "row")
+    return map_batches(own, run, "part int, documents long, n_tokens long, root binary")
+
+
+def root_of(rows: list) -> bytes:
+    """The store's root, from the rows of its manifests: as many as the recipes were written in parts."""
+    return merkle(f"{r.part}:{r.documents}:{r.n_tokens}:".encode() + bytes(r.root) for r in sorted(rows, key=lambda r: r.part))
+
+
+def verified(spark: SparkSession, store: str) -> DataFrame:
+    """The recipes, once they were found to be what the manifests and the store's root say."""
+    recipes, told = spark.read.parquet(f"{store}/recipes"), spark.read.parquet(f"{store}/manifests").collect()
+    if [bytes(r.root) for r in spark.read.parquet(f"{store}/root").collect()] != [root_of(told)]:
+        raise ValueError(f"the manifests of {store} aren't those of its root")
+    key = lambda r: (r.part, r.documents, r.n_tokens, bytes(r.root))
+    if wrong := set(map(key, told)) ^ set(map(key, manifests(recipes).collect())):
+        raise ValueError(f"recipes of {store} aren't those of its manifests, in parts {sorted({x[0] for x in wrong})}")
+    return recipes
 
 
 def write(docs: DataFrame, store: str, path: str, end_id: int) -> None:
@@ -141,9 +209,9 @@ def write(docs: DataFrame, store: str, path: str, end_id: int) -> None:
             yield cols | {"root": [merkle(x) for x in cols["names"]]}
 
     map_batches(ordered, rooted, "doc_id long, row long, n_tokens long, names array<binary>, sizes array<int>, part int, root binary").write.option("compression", "zstd").parquet(f"{store}/recipes")
-    recipes = spark.read.parquet(f"{store}/recipes")
-    roots = recipes.groupBy("part").agg(F.count("*").alias("documents"), F.sum("n_tokens").alias("n_tokens"), F.expr("bit_xor(xxhash64(doc_id, row, root))").alias("digest"))
-    roots.coalesce(1).write.parquet(f"{store}/manifests")
+    manifests(spark.read.parquet(f"{store}/recipes")).coalesce(1).write.parquet(f"{store}/manifests")
+    told = spark.read.parquet(f"{store}/manifests").collect()
+    spark.createDataFrame([(root_of(told), len(told))], "root binary, parts int").coalesce(1).write.parquet(f"{store}/root")
     dropped(spark, cut)
 
 
@@ -206,7 +274,7 @@ def width_of(path: str) -> str:
 
 def read_ids(spark: SparkSession, store: str, width: str) -> DataFrame:
     """(doc_id, row, ids): every document put together again, ids as little-endian unsigned integers of width."""
-    parts = spark.read.parquet(f"{store}/recipes").select("doc_id", "row", F.posexplode("names").alias("pos", "name"))
+    parts = verified(spark, store).select("doc_id", "row", F.posexplode("names").alias("pos", "name"))
     found = parts.join(spark.read.parquet(f"{store}/chunks").select("name", "payload"), "name", "left")
     whole = found.groupBy("doc_id", "row").agg(F.array_sort(F.collect_list(F.struct("pos", "payload"))).alias("parts"))
     return whole.select("doc_id", "row", F.expr("aggregate(parts.payload, cast('' as binary), (a, x) -> concat(a, x))").alias("ids"))
@@ -217,7 +285,7 @@ def read_sums(spark: SparkSession, store: str, width: str) -> DataFrame:
 
     Only sums of the chunks travel to the recipes: the crc32 of a document is joined from those of its chunks.
     """
-    recipes = spark.read.parquet(f"{store}/recipes")
+    recipes = verified(spark, store)
     sums = chunk_sums(spark.read.parquet(f"{store}/chunks"), width)
     named = recipes.select("doc_id", "row", "root", F.posexplode("names").alias("pos", "name")).join(sums, "name", "left")
     whole = named.groupBy("row").agg(F.first("root").alias("root"), F.array_sort(F.collect_list(F.struct("pos", "name", "n", "crc"))).alias("parts"))

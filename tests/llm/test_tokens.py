@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -98,6 +99,30 @@ def test_damage_is_found(spark, tmp_path):
         token_store.chunk_sums(spark.read.parquet(f"{tmp_path}/other"), "<u2").collect()
 
 
+@pytest.mark.parametrize("harm,says", [("lost", "manifests"), ("doubled", "manifests"), ("swapped", "manifests"), ("part", "manifests"), ("manifest", "root")])
+def test_damaged_recipes_are_found(spark, tmp_path, harm, says):
+    store, other = f"file://{tmp_path}/store", f"file://{tmp_path}/other"
+    token_store.write(frame(spark, corpus()), store, PATH, 2)
+    for name in ("chunks", "recipes", "manifests", "root"):
+        rows = spark.read.parquet(f"{store}/{name}")
+        if name == "recipes":
+            some = rows.filter("doc_id = 5").limit(1)
+            rows = {"lost": rows.filter("doc_id <> 8"), "doubled": rows.unionAll(some), "swapped": rows.withColumn("doc_id", F.expr("if(doc_id = 8, 9, if(doc_id = 9, 8, doc_id))")), "part": rows.filter("part > 0")}.get(harm, rows)
+        if name == "manifests" and harm == "manifest":
+            rows = rows.filter("part > 0")
+        rows.write.parquet(f"{other}/{name}")
+    assert token_store.read_sums(spark, store, "<u2").count() == len(corpus())
+    for read in (token_store.read_sums, token_store.read_ids):
+        with pytest.raises(ValueError, match=says):
+            read(spark, other, "<u2").collect()
+
+
+def test_merkle_roots_tell_order_number_and_depth():
+    names = [bytes([k]) for k in range(9)]
+    roots = {token_store.merkle(names[:k]) for k in range(10)} | {token_store.merkle(names[::-1]), token_store.merkle([*names, names[-1]]), token_store.merkle([token_store.merkle(names[:2]), *names[2:]])}
+    assert len(roots) == 13
+
+
 def test_crc_of_joined_strings():
     a, b = b"some bytes", b"and others" * 50
     assert token_store.joined_crc(zlib.crc32(a), zlib.crc32(b), len(b)) == zlib.crc32(a + b)
