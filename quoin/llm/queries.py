@@ -71,18 +71,18 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP9_SQL = """
-with v as (
-  select vec_id, list_transform(embedding, lambda x: cast(floor(64 * cast(x as double)) as bigint)) as q
+with v as materialized (
+  select row_number() over () as r, vec_id, list_transform(embedding, lambda x: cast(floor(64 * cast(x as double)) as bigint)) as q
   from embeddings
   where vec_id is not null and embedding is not null
     and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
 ),
 s as (
-  select a.vec_id as query_id, b.vec_id, cast(list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2])) as bigint) as score
-  from v a join v b on a.vec_id % 20 = 0 and a.vec_id <> b.vec_id
+  select a.r, a.vec_id as query_id, b.vec_id, cast(list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2])) as bigint) as score
+  from v a join v b on a.vec_id % 20 = 0 and a.r <> b.r
 )
 select query_id, cast(rank as integer) as rank, vec_id, score
-from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
+from (select *, row_number() over (partition by r order by score desc, vec_id) as rank from s)
 where rank <= 20
 """
 
