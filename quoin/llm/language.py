@@ -1,8 +1,13 @@
 """Language identification by cross-parsing.
 
-For each language a suffix automaton holds all substrings of a sample of its texts. A text is parsed greedily into
-the longest phrases that the automaton holds; the language that needs the fewest phrases per letter wins. Texts are
-parsed in segments side by side, for all languages at once, so that a step is a table lookup over an array.
+For each language a suffix automaton holds all substrings of a sample of its texts. A text is parsed greedily, from
+its start to its end, into the longest phrases that the automaton holds; the language that needs the fewest phrases
+per letter wins.
+
+Texts are parsed side by side, for several languages at once, so that a step is a table lookup over an array, and long
+texts from many places at once: each segment is first parsed as if it began a phrase, then again from the state in
+which the segment before really ends, until both parses are in one state, from where on they are the same. So what
+is counted is the one parse of the whole text.
 
 Texts that are null or without letters are `und`, with score 0; so are all texts if no labelled text was learned
 from. Ties go to the language first by name. Texts of any length are parsed whole; repeated rows are rows of their
@@ -21,8 +26,8 @@ from quoin.llm.suffix_automaton import SuffixAutomaton
 TEXTS, LETTERS = 64, 20_000
 #: The most frequent letters, whose steps are a table; those of all further letters are found in a sorted list.
 ALPHABET = 62
-#: Letters of a segment.
-SEGMENT = 256
+#: Letters of a segment; letters, and languages, parsed at once. No result depends on them.
+SEGMENT, LOT, SIDE = 256, 1 << 20, 8
 MISS = 1 << 30
 
 
@@ -67,26 +72,29 @@ class Model:
         for language in self.languages:
             automaton = SuffixAutomaton(symbols(t, table).tolist() for t in samples[language])
             n = len(automaton.next)
-            steps = np.full((n, width), -1, np.int64)
-            for state, to in enumerate(automaton.next):
+            # before the root, a row for the place after a letter that the language lacks, which is a phrase of its own
+            root = at + width
+            steps = np.full((n + 1, width), -1, np.int64)
+            for state, to in enumerate(automaton.next, 1):
                 for c, x in to.items():
                     if c <= self.dense:
-                        steps[state, c] = at + x * width
+                        steps[state, c] = root + x * width
                     else:
-                        rare[(at + state * width) * self.apart + c] = at + x * width
-            first = np.where(steps[0] < 0, at, steps[0])
+                        rare[(at + state * width) * self.apart + c] = root + x * width
+            first = np.where(steps[1] < 0, at, steps[1])
             steps = np.where(steps < 0, first + MISS, steps)
-            steps[:, self.dense + 2] = at + np.arange(n) * width
+            steps[1] = first
+            steps[:, self.dense + 2] = at + np.arange(n + 1) * width
             parts.append(steps.astype(np.int32).ravel())
-            self.roots.append(at)
-            at += n * width
+            self.roots.append(root)
+            at += (n + 1) * width
             if at >= MISS:
                 raise ValueError("too many languages for one table of steps")
         self.rare = np.array(sorted(rare), np.int64)
         self.rare_to = np.array([rare[k] for k in sorted(rare)], np.int64)
         self.steps = np.concatenate(parts) if parts else np.zeros(0, np.int32)
 
-    def further(self, states, letters):
+    def further(self, states, letters, roots):
         """The steps by letters that aren't in the table, as in steps."""
         import numpy as np
 
@@ -95,37 +103,91 @@ class Model:
             at = np.minimum(np.searchsorted(self.rare, keys), len(self.rare) - 1)
             return np.where(self.rare[at] == keys, self.rare_to[at], -1)
 
-        roots = np.broadcast_to(np.array(self.roots)[:, None], states.shape)
-        to, first = found(states), found(roots)
-        return np.where(to >= 0, to, np.where(first >= 0, first, roots) + MISS)
+        roots = np.broadcast_to(roots, states.shape)
+        first = found(roots)
+        first = np.where(first >= 0, first, roots - (self.dense + 3))
+        to = found(states)
+        return np.where(to >= 0, to, first + np.where(states == roots, 0, MISS))
 
-    def phrases(self, texts: list):
-        """Phrases of each symbol array by language."""
+    def _parsed(self, texts: list, entry, roots):
+        """Ends of phrases in each text by language, and the state after it, from the states at entry (by language and text)."""
         import numpy as np
 
-        pieces = [-(-len(t) // SEGMENT) for t in texts]
-        segments = np.full((sum(pieces), SEGMENT), self.pad, np.int32)
-        at = 0
-        for t, n in zip(texts, pieces, strict=True):
-            segments[at : at + n].ravel()[: len(t)] = t
-            at += n
-        segments = np.ascontiguousarray(segments.T)
-        columns = np.where(segments <= self.dense, segments, self.dense + 1 + (segments == self.pad)).astype(np.int32)
-        rare = (segments > self.dense) & (segments < self.other)
+        n = len(roots)
+        pieces = np.array([-(-len(t) // SEGMENT) for t in texts])
+        letters = np.full((int(pieces.sum()), SEGMENT), self.pad, np.int32)
+        last = np.cumsum(pieces) - 1
+        for at, k, t in zip((last - pieces + 1).tolist(), pieces.tolist(), texts, strict=True):
+            letters[at : at + k].ravel()[: len(t)] = t
+        goes_on = np.ones(len(letters), bool)
+        goes_on[last - pieces + 1] = False
+        letters = np.ascontiguousarray(letters.T)
+        columns = np.where(letters <= self.dense, letters, self.dense + 1 + (letters == self.pad)).astype(np.int32)
+        rare = (letters > self.dense) & (letters < self.other)
         some = rare.any(axis=1)
-        state = np.repeat(np.array(self.roots, np.int32)[:, None], columns.shape[1], axis=1)
-        ended = np.zeros(state.shape, np.int32)
+
+        # each segment as if it began a phrase
+        state = np.repeat(roots[:, None], len(goes_on), axis=1)
+        state[:, ~goes_on] = entry
+        after = np.empty((SEGMENT, *state.shape), np.int32)
         for i, column in enumerate(columns):
             to = self.steps[state + column]
             if some[i]:
                 which = np.flatnonzero(rare[i])
-                to[:, which] = self.further(state[:, which], segments[i, which])
-            ended += to >> 30
+                to[:, which] = self.further(state[:, which], letters[i, which], roots[:, None])
+            after[i] = to
             state = to & (MISS - 1)
-        whole = np.zeros((len(self.roots), len(texts)), np.int64)
-        owner = np.repeat(np.arange(len(texts)), pieces)
-        for k in range(len(self.roots)):
-            whole[k] = np.bincount(owner, ended[k] + 1, len(texts))
+        passed = np.cumsum(after >> 30, axis=0, dtype=np.int16)
+        after &= MISS - 1
+        ended, end = passed[-1].astype(np.int64), after[-1].copy()
+
+        # again from where the one before ends; what then ends otherwise sends the next one through once more
+        lang, seg = np.nonzero(np.broadcast_to(goes_on, state.shape))
+        while len(seg):
+            state, count, at, left = end[lang, seg - 1], np.zeros(len(seg), np.int64), np.full(len(seg), -1), np.arange(len(seg))
+            for i in range(SEGMENT):
+                a, b = lang[left], seg[left]
+                to = self.steps[state[left] + columns[i, b]]
+                if some[i]:
+                    which = np.flatnonzero(rare[i, b])
+                    to[which] = self.further(state[left[which]], letters[i, b[which]], roots[a[which]])
+                state[left] = to & (MISS - 1)
+                count[left] += to >> 30
+                same = state[left] == after[i, a, b]
+                at[left[same]] = i
+                left = left[~same]
+                if not len(left):
+                    break
+            met = at >= 0
+            ended[lang, seg] = count + np.where(met, passed[-1, lang, seg] - passed[at, lang, seg], 0)
+            to = np.where(met, after[-1, lang, seg], state)
+            moved = to != end[lang, seg]
+            end[lang, seg] = to
+            moved &= np.append(goes_on[1:], False)[seg]
+            lang, seg = lang[moved], seg[moved] + 1
+        return np.add.reduceat(ended, last - pieces + 1, axis=1), end[:, last]
+
+    def phrases(self, texts: list):
+        """Phrases of each symbol array (none empty) by language."""
+        import numpy as np
+
+        whole = np.ones((len(self.roots), len(texts)), np.int64)
+        lots: list[list[int]] = [[]]
+        held = 0
+        for k, t in enumerate(texts):
+            if lots[-1] and held + len(t) > LOT:
+                lots.append([])
+                held = 0
+            lots[-1].append(k)
+            held += len(t)
+        for at in range(0, len(self.roots), SIDE):
+            roots = np.array(self.roots[at : at + SIDE], np.int32)
+            for lot in lots:
+                state = np.repeat(roots[:, None], len(lot), axis=1)
+                # a lot is texts that fit together, or one text, parsed part by part
+                for part in range(0, max(len(texts[k]) for k in lot), LOT):
+                    ended, state = self._parsed([texts[k][part : part + LOT] for k in lot], state, roots)
+                    whole[at : at + SIDE, lot] += ended
         return whole
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:

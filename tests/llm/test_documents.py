@@ -2,10 +2,12 @@
 
 import random
 import zlib
+from contextlib import contextmanager
 
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from quoin.llm import components, decontamination, queries, sharding, simhash, suffixes
 from tests.llm.helpers import LOWER, ascii_words, bench_words, corpus, frame, prose, sha
@@ -281,6 +283,30 @@ def test_op7(spark, tmp_path, monkeypatch, limit):
     assert sorted(map(tuple, queries.op7_decontamination(spark, path).collect())) == sorted(plain_hits(rows, items))
 
 
+def test_passes_are_held_one_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(decontamination, "PASS_BYTES", 400)
+    items = [(k, prose(40 + k, 14)) for k in range(20)]
+    docs = [(k, f"{prose(60 + k, 20)} {items[k % 20][1]} {items[(k + 7) % 20][1]}", None, None, None) for k in range(30)]
+    now, most, sizes, real = [0], [0], [], decontamination.sent
+
+    @contextmanager
+    def counted(spark, own):
+        now[0] += 1
+        most[0] = max(most[0], now[0])
+        sizes.append(sum(len(t.encode()) for _, t in own))
+        with real(spark, own) as shared:
+            yield shared
+        now[0] -= 1
+
+    monkeypatch.setattr(decontamination, "sent", counted)
+    wide = frame(spark, docs).withColumn("_row", F.lit("mine"))
+    got = decontamination.judged(wide, frame(spark, items, "item_id long, text string"))
+    assert most == [1] and len(sizes) > 3 and sum(sizes) == sum(len(t.encode()) for _, t in items)
+    assert max(sizes) < 4 * 400  # about half of the limit each, dealt by hash
+    assert got.columns[: len(wide.columns)] == wide.columns
+    assert sorted((r.doc_id, r.n_words, r.n_hit, r.n_items) for r in got.collect()) == [(i, w, h, n) for i, w, h, n, *_ in plain_hits(docs, items)]
+
+
 def test_op7_without_items(spark, tmp_path):
     path = table(spark, tmp_path, unique_ids(corpus()))
     table(spark, tmp_path, [], "benchmark", schema="item_id long, text string")

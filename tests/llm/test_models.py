@@ -81,26 +81,42 @@ def test_op8(spark, tmp_path):
     assert {r.lang_pred for r in got if r.doc_id == 903} == {"xx", min(lang_ for lang_ in "xx yy zz".split())}
 
 
-def plain_phrases(text, samples, segment=language.SEGMENT):
-    n = 0
-    for at in range(0, len(text), segment):
-        part, i = text[at : at + segment], 0
-        while i < len(part):
-            j = i
-            while j < len(part) and any(part[i : j + 1] in s for s in samples):
-                j += 1
-            i, n = max(j, i + 1), n + 1
+def plain_phrases(text, samples):
+    n = i = 0
+    while i < len(text):
+        j = i
+        while j < len(text) and any(text[i : j + 1] in s for s in samples):
+            j += 1
+        i, n = max(j, i + 1), n + 1
     return n
 
 
-def test_phrases_are_those_of_greedy_parsing():
+@pytest.mark.parametrize("segment,lot", [(256, 1 << 20), (7, 1 << 20), (3, 50)])
+def test_phrases_are_those_of_greedy_parsing(monkeypatch, segment, lot):
+    monkeypatch.setattr(language, "SEGMENT", segment)
+    monkeypatch.setattr(language, "LOT", lot)
     samples = {"a": ["banana band", "and an"], "b": ["nab dab"]}
     model = language.Model(samples)
     text = "banana nab dand" * 30
     symbols = language.symbols(text, language.letter_table(model.letters), model.other)
     got = model.phrases([symbols, symbols[:1]])
     for k, lang in enumerate(model.languages):
-        assert got[k, 0] == plain_phrases(text, samples[lang])
+        assert got[k, 0] == plain_phrases(text, samples[lang]) and got[k, 1] == 1
+
+
+@pytest.mark.parametrize("segment", [1, 5, 256])
+def test_whole_texts_are_parsed_as_one(monkeypatch, segment):
+    """Phrases longer than several segments, unknown letters, many languages, texts of all lengths."""
+    monkeypatch.setattr(language, "SEGMENT", segment)
+    monkeypatch.setattr(language, "SIDE", 2)
+    rng = np.random.default_rng(8)
+    word = lambda n, letters="abcd": "".join(rng.choice(list(letters), n))
+    samples = {f"l{k}": [word(400), word(60, "ab")] for k in range(5)}
+    model = language.Model(samples)
+    texts = [samples["l0"][0], samples["l3"][0][:390] + samples["l1"][0][7:], word(700, "abcde"), word(1), "a" * 300, word(513, "ab") + samples["l2"][0]]
+    table = language.letter_table(model.letters)
+    got = model.phrases([language.symbols(t, table) for t in texts])
+    assert got.tolist() == [[plain_phrases(t, samples[lang]) for t in texts] for lang in model.languages]
 
 
 def test_op8_without_labels(spark, tmp_path):
@@ -135,13 +151,13 @@ def test_linear_time_identity():
 
 
 def plain_top(rows, k=20):
-    q = {}
+    out = []
     usable = [(i, [int(np.floor(64 * float(x))) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
-    for i, v in usable:
+    for row, (i, v) in enumerate(usable):
         if i % 20 == 0:
-            scores = sorted((-sum(a * b for a, b in zip(v, w)), j) for j, w in usable if j != i)[:k]
-            q.setdefault(i, []).append(scores)
-    return sorted((i, r + 1, j, -s) for i, found in q.items() for r, (s, j) in enumerate(found[0]))
+            scores = sorted((-sum(a * b for a, b in zip(v, w)), j) for other, (j, w) in enumerate(usable) if other != row)[:k]
+            out += [(i, r + 1, j, -s) for r, (s, j) in enumerate(scores)]
+    return sorted(out)
 
 
 @pytest.mark.parametrize("block,batch", [(16_384, 8192), (50, 3)])
@@ -156,6 +172,20 @@ def test_op9(spark, tmp_path, monkeypatch, block, batch):
     assert got == plain_top(rows)
 
 
+def test_op9_by_row_as_its_sql(spark, tmp_path):
+    """Rows that share an id are candidates of one another, and queries of their own."""
+    import duckdb
+
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(np.float32(x)) for x in rng.normal(0, 0.2, 4)]) for i in (0, 0, 1, 20, 20, 20, 33)] + [(40, [0.25] * 4), (40, [0.25] * 4), (41, [0.25] * 4)]
+    frame(spark, rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = sorted(map(tuple, queries.op9_topk(spark, str(tmp_path)).select("query_id", "rank", "vec_id", "score").collect()))
+    c = duckdb.connect()
+    c.sql(f"create view embeddings as from '{tmp_path}/embeddings.parquet/*.parquet'")
+    assert got == plain_top(rows) == sorted(c.sql(f"select query_id, rank, vec_id, score from ({queries.OP9_SQL})").fetchall())
+    assert len(got) == 7 * 9
+
+
 def test_op9_small_tables(spark, tmp_path):
     frame(spark, [], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/a/embeddings.parquet")
     assert queries.op9_topk(spark, f"{tmp_path}/a").count() == 0
