@@ -1,10 +1,13 @@
 """Personal data by fixed forms, and by bootstrapped contextual extraction of what has other forms.
 
 Base spans: e-mail addresses, IPv4 addresses, card numbers that pass Luhn's test and international phone numbers.
-They are the seeds. Tokens with a digit or @ are instances; the word before and the word after an instance, digits
-folded, are patterns. Patterns and instances form a graph: a pattern's score for a kind is the mean confidence of
-its distinct instances, an instance's confidence is the noisy-or of its patterns' scores, and seeds stay certain.
-After a few rounds, instances without a base span that stand in an accepted pattern are added to the spans.
+They are the seeds. Tokens with a digit or @ are instances, neighbouring ones without letters together one ("743 555
+9999"); the word before and the word after an instance, whole, with digits folded, are patterns. Patterns and
+instances form a graph: a pattern's score for a kind is the mean confidence of its distinct instances, an instance's
+confidence is the noisy-or of the scores of its other patterns, and seeds stay certain. A pattern needs so many distinct
+instances that are seeds or, from the second round on, that other patterns are confident of; so what is found induces
+patterns that no seed stands in. After a few rounds, instances without a base span that stand in an accepted pattern
+are added to the spans.
 
 Everything is DataFrame functions. Null and empty texts have no spans; texts of any length are searched whole, in
 linear time. Copies of a text count once in the graph, as its distinct instances do. Repeated rows keep their own
@@ -31,12 +34,13 @@ FORMS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 GUARDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
-TOKEN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
+_NUMBER = r"[^\sA-Za-z0-9@]*+[0-9][^\sA-Za-z@]*+(?!\S)"
+TOKEN = rf"(?<!\S)(?:{_NUMBER}(?:\x20{_NUMBER})*+|[^\s0-9@]*+[0-9@]\S*+)"
 
-#: A pattern is accepted for a kind from this score on, with so many distinct seeds; rounds of scoring.
-SCORE, SEEDS, ROUNDS = 0.9, 8, 3
-#: Digits of an added instance that has no @.
-DIGITS = 6
+#: A pattern is accepted for a kind from this score on, with so many distinct instances of that confidence; rounds of scoring.
+SCORE, SEEDS, ROUNDS = 0.75, 8, 4
+#: Digits of an added instance that has no @: no identifier of the base kinds has more.
+DIGITS, MOST_DIGITS = 6, 19
 
 _SPAN = "array<struct<start:int,end:int,value:string>>"
 
@@ -82,17 +86,18 @@ def marked(docs: DataFrame, text: str = "text") -> DataFrame:
         out = out.withColumn(f"_s_{kind}", F.when(F.size(f"_m_{kind}") > 0, _located(f"_m_{kind}", f"_p_{kind}")).otherwise(F.array().cast(_SPAN)))
     base = F.concat(*(F.expr(f"transform(filter(_s_{kind}, x -> {_HOLDS[kind]}), x -> named_struct('kind', {i}, 'start', x.start, 'end', x.end))") for i, kind in enumerate(KINDS)))
     out = out.withColumn("base", base)
-    seen = F.expr(r"""transform(_s_token, (x, i) -> named_struct(
-        'start', x.start + char_length(regexp_extract(x.value, '^[^0-9A-Za-z+@]*', 0)),
-        'end', x.start + char_length(regexp_replace(x.value, '[^0-9A-Za-z]++$', '')),
-        'value', regexp_replace(regexp_replace(x.value, '^[^0-9A-Za-z+@]+', ''), '[^0-9A-Za-z]++$', ''),
-        'before', right(regexp_extract(rtrim(right(_p_token[i], 80)), '(\\S*)$', 1), 40),
-        'after', left(regexp_extract(ltrim(left(_p_token[i + 1], 80)), '^(\\S*)', 1), 40)))""")
+    # an opening bracket stays where its closing one is inside
+    cut = F.expr(r"""transform(_s_token, x -> named_struct('start', x.start, 'value', regexp_replace(x.value, '[^0-9A-Za-z]++$', '')))""")
+    led = F.expr(r"""transform(_cut, x -> named_struct('start', x.start, 'value', x.value, 'lead', char_length(regexp_extract(x.value, if(contains(x.value, ')'), '^[^0-9A-Za-z+@(]*', '^[^0-9A-Za-z+@]*'), 0))))""")
+    seen = F.expr(r"""transform(_led, (x, i) -> named_struct(
+        'start', x.start + x.lead, 'end', x.start + char_length(x.value), 'value', substring(x.value, x.lead + 1),
+        'before', substring_index(rtrim(translate(_p_token[i], '\t\n\r\f\u000b', '     ')), ' ', -1),
+        'after', substring_index(ltrim(translate(_p_token[i + 1], '\t\n\r\f\u000b', '     ')), ' ', 1)))""")
     joined = F.expr(r"""transform(_seen, (x, i) -> named_struct('start', x.start, 'end', x.end, 'value', x.value,
-        'before', regexp_replace(lower(if(x.before = '' and i > 0, right(_s_token[i - 1].value, 40), x.before)), '[0-9]+', '9'),
-        'after', regexp_replace(lower(if(x.after = '' and i + 1 < size(_s_token), left(_s_token[i + 1].value, 40), x.after)), '[0-9]+', '9'),
+        'before', regexp_replace(lower(if(x.before = '' and i > 0, _s_token[i - 1].value, x.before)), '[0-9]+', '9'),
+        'after', regexp_replace(lower(if(x.after = '' and i + 1 < size(_s_token), _s_token[i + 1].value, x.after)), '[0-9]+', '9'),
         'kind', get(filter(base, b -> b.start < x.end and b.end > x.start).kind, 0)))""")
-    out = out.withColumn("_seen", seen).withColumn("seen", joined)
+    out = out.withColumn("_cut", cut).withColumn("_led", led).withColumn("_seen", seen).withColumn("seen", joined)
     return out.select(*docs.columns, "base", "seen")
 
 
@@ -107,18 +112,18 @@ def patterns(rows: DataFrame) -> DataFrame:
     """(pattern, kind, score): the accepted patterns, from the graph of all rows."""
     known = [F.max((F.col("kind") == i).cast("int")) for i in range(len(KINDS))]
     edges = stored(_occurrences(rows).groupBy("pattern", "value").agg(*(F.coalesce(k, F.lit(0)).cast("double").alias(f"k{i}") for i, k in enumerate(known))), "graph")
-    seeds = edges.select("pattern", "value", *(F.col(f"k{i}").alias(f"s{i}") for i in range(len(KINDS))))
-    now = seeds
+    now = edges.select("pattern", "value", *(F.col(f"k{i}").alias(f"s{i}") for i in range(len(KINDS))))
+    seed = reduce(F.greatest, [F.col(f"k{i}") for i in range(len(KINDS))])
     for _ in range(ROUNDS):
-        sums = [x for i in range(len(KINDS)) for x in (F.avg(f"s{i}").alias(f"p{i}"), F.sum(f"q{i}").alias(f"n{i}"))]
-        scores = now.join(edges.select("pattern", "value", *(F.col(f"k{i}").alias(f"q{i}") for i in range(len(KINDS)))), ["pattern", "value"]).groupBy("pattern").agg(*sums)
+        sums = [x for i in range(len(KINDS)) for x in (F.avg(f"s{i}").alias(f"p{i}"), F.sum((F.col(f"s{i}") >= SCORE).cast("int")).alias(f"n{i}"))]
+        scores = now.groupBy("pattern").agg(*sums)
         scores = scores.select("pattern", *(F.when(F.col(f"n{i}") >= SEEDS, F.col(f"p{i}")).otherwise(0.0).alias(f"p{i}") for i in range(len(KINDS))))
         scores = stored(scores.filter(reduce(lambda a, b: a | b, (F.col(f"p{i}") > 0 for i in range(len(KINDS))))), "patterns")
-        # what the patterns say of each instance; those of no scored pattern keep what they are
-        met = edges.join(scores, "pattern", "left")
-        doubt = [F.exp(F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.coalesce(F.col(f"p{i}"), F.lit(0.0)) * 0.999)))) for i in range(len(KINDS))]
-        told = met.groupBy("value").agg(*(F.greatest(F.max(f"k{i}"), F.when(reduce(F.greatest, [F.max(f"k{j}") for j in range(len(KINDS))]) == 0, 1 - doubt[i]).otherwise(0.0)).alias(f"s{i}") for i in range(len(KINDS))))
-        now = edges.select("pattern", "value").join(told, "value")
+        # of what its patterns say of an instance, each pattern is told what the others say; seeds stay what they are
+        doubts = [F.log(F.greatest(F.lit(1e-9), 1 - F.coalesce(F.col(f"p{i}"), F.lit(0.0)) * 0.999)).alias(f"d{i}") for i in range(len(KINDS))]
+        met = edges.join(scores, "pattern", "left").select("pattern", "value", *(f"k{i}" for i in range(len(KINDS))), *doubts)
+        told = met.groupBy("value").agg(*(F.sum(f"d{i}").alias(f"all{i}") for i in range(len(KINDS))))
+        now = met.join(told, "value").select("pattern", "value", *(F.when(seed > 0, F.col(f"k{i}")).otherwise(1 - F.exp(F.col(f"all{i}") - F.col(f"d{i}"))).alias(f"s{i}") for i in range(len(KINDS))))
     kinds = F.explode(F.array(*(F.struct(F.lit(i).alias("kind"), F.col(f"p{i}").alias("score")) for i in range(len(KINDS))))).alias("x")
     return scores.select("pattern", kinds).select("pattern", "x.kind", "x.score").filter(F.col("score") >= SCORE)
 
@@ -127,7 +132,7 @@ def found(docs: DataFrame, text: str = "text", keep_text: bool = True) -> DataFr
     """docs with base and spans: base and added spans, array<struct<kind int, start, end>> by kind, then start."""
     rows = marked(docs.withColumn("row", F.monotonically_increasing_id()), text)
     rows = stored(rows if keep_text else rows.drop(text), "marked")
-    new = _occurrences(rows).filter("kind is null").filter((F.length(F.regexp_replace("value", "[^0-9]", "")) >= DIGITS) | F.col("value").contains("@"))
+    new = _occurrences(rows).filter("kind is null").filter(F.length(F.regexp_replace("value", "[^0-9]", "")).between(DIGITS, MOST_DIGITS) | F.col("value").contains("@"))
     best = new.join(patterns(rows).withColumnRenamed("kind", "told"), "pattern").groupBy("row", "start", "end").agg(F.max(F.struct("score", (-F.col("told")).alias("t"))).alias("x"))
     added = best.groupBy("row").agg(F.collect_list(F.struct((-F.col("x.t")).alias("kind"), "start", "end")).alias("added"))
     joined = rows.join(added, "row", "left")

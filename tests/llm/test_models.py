@@ -50,12 +50,58 @@ def test_op6(spark, tmp_path):
 
 def test_contexts_find_what_has_no_form(spark):
     rows = [(i, f"{prose(i, 8)} reach me +1 (743) 555-{1000 + i} soon {prose(i + 99, 5)}", None, None, None) for i in range(30)]
-    rows += [(50, "and (743) 555-9999 too", None, None, None), (51, "version 4.0 of 12 things in 2021", None, None, None)]
+    rows += [(50, "reach me (743) 555-9999 too", None, None, None), (51, "version 4.0 of 12 things in 2021", None, None, None), (52, "or me 743 555 9998.", None, None, None), (53, "me " + "1 2 3 4 5 6 " * 9, None, None, None)]
     got = {r.doc_id: r.s for r in pii.found(frame(spark, rows)).select("doc_id", pii.listed("spans").alias("s")).collect()}
-    assert got[50] == "phone:10:18" and got[51] == ""
+    assert got[50] == "phone:9:23" and got[51] == "" and got[52] == "phone:6:18" and got[53] == ""
     assert all(got[i].count("phone") == 1 for i in range(30))
 
 
+def test_what_is_found_induces_patterns(spark):
+    """Contexts of the second generation: no seed stands before 'wanted', only instances that 'me' has told."""
+    rows = [(i, f"me +1 743 555 {1000 + i} soon", None, None, None) for i in range(60)]
+    rows += [(100 + i, f"me 743 556 {1000 + i} wanted", None, None, None) for i in range(12)]
+    rows += [(200, "dial 743 557 1000 wanted", None, None, None), (201, "sum 743 557 1001 paid", None, None, None)]
+    got = {r.doc_id: r.s for r in pii.found(frame(spark, rows)).select("doc_id", pii.listed("spans").alias("s")).collect()}
+    assert all(got[100 + i] == "phone:3:15" for i in range(12)) and got[200] == "phone:5:17" and got[201] == ""
+
+
+def test_contexts_are_whole_words(spark):
+    """Two contexts that differ only after very many letters are two."""
+    long = "w" * 300
+    rows = [(i, f"{long}x +1 743 555 {1000 + i} .", None, None, None) for i in range(20)]
+    rows += [(100, f"{long}x\t743 556 1000", None, None, None), (101, f"{long}y 743 556 1001", None, None, None)]
+    got = {r.doc_id: r.s for r in pii.found(frame(spark, rows)).select("doc_id", pii.listed("spans").alias("s")).collect()}
+    assert got[100] == "phone:302:314" and got[101] == ""
+
+
+def test_recall_and_precision_of_what_contexts_tell(spark):
+    """Identifiers without a base form in contexts of seeds, and numbers in contexts of their own, each told or not."""
+    rng = np.random.default_rng(6)
+    mine, others = ["mail", "ring", "ip", "card"], ["worth", "page", "year", "code", "sum"]
+    digits = lambda n: "".join(rng.choice(list("0123456789"), n))
+    seed = {"mail": lambda: f"{prose(int(rng.integers(1e9)), 1)}@here.org", "ring": lambda: f"+{rng.integers(1, 9)}{digits(9)}", "ip": lambda: "10.0.{}.{}".format(*rng.integers(0, 256, 2)), "card": lambda: next(c for c in (digits(16) for _ in range(999)) if luhn(c))}
+    bare = {"mail": lambda: f"{digits(4)}@local", "ring": lambda: f"({digits(3)}) {digits(3)}-{digits(4)}", "ip": lambda: "10.0.{}.{}".format(*rng.integers(300, 1000, 2)), "card": lambda: f"4{digits(11)}"}
+    rows, planted = [], {}
+    for i in range(1200):
+        before, after = prose(3 * i, 6), prose(3 * i + 1, 6)
+        if rng.random() < 0.5:
+            kind = mine[i % 4]
+            without = rng.random() < 0.15
+            own = bare[kind]() if without else seed[kind]()
+            assert bool(base(own)) != without
+        else:
+            kind, without, own = others[i % 5], False, digits(int(rng.integers(4, 9)))
+        if without:
+            planted[i] = (len(before) + len(kind) + 2, len(before) + len(kind) + 2 + len(own))
+        rows.append((i, f"{before} {kind} {own} {after}", None, None, None))
+    found = pii.found(frame(spark, rows)).select("doc_id", pii.listed("base").alias("b"), pii.listed("spans").alias("s")).collect()
+    added = {(r.doc_id, *map(int, x.split(":")[1:])) for r in found for x in r.s.split(",") if x and x not in r.b.split(",")}
+    right = {(i, a, b) for i, (a, b) in planted.items()}
+    recall, precision = len(added & right) / len(right), len(added & right) / max(1, len(added))
+    print(f"added spans: recall {recall:.3f}, precision {precision:.3f} of {len(right)}")
+    assert recall >= 0.9 and precision >= 0.95
+
+
 def test_redaction(spark):
     rows = [(1, "mail a@b.co, call +1 (743) 555-3824 😀 now", None, None, None), (2, None, None, None, None), (3, "", None, None, None), (4, "é 1.2.3.4", None, None, None)]
     got = {r.doc_id: r.t for r in pii.found(frame(spark, rows)).select("doc_id", pii.redacted().alias("t")).collect()}
