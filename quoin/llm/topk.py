@@ -174,7 +174,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_
     rows = stored(quantised(vectors, id_col, vector, is_query), "quantised")
     total, asked = rows.agg(F.count("*"), F.count(F.when(F.col("asked"), 1))).head()
     # blocks are full however the input was cut, and as many tasks work as there are blocks
-    index = stored(indexed(rows.repartition(max(1, -(-total // BLOCK_ROWS)), "row")), "index")
+    index = stored(indexed(rows.repartition(max(1, -(-total // BLOCK_ROWS)))), "index")
     batches, out = max(1, -(-asked // BATCH)), []
     for at in range(batches):
         batch = rows.filter("asked") if batches == 1 else rows.filter("asked").filter(F.pmod(F.xxhash64("row"), F.lit(batches)) == at)
