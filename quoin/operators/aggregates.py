@@ -134,22 +134,31 @@ def file_churn(changes: DataFrame) -> DataFrame:
 def churn_concentration(changes: DataFrame, at: Thresholds = DEFAULTS) -> DataFrame:
     """Share of churn in the tenth of files that changed most.
 
-    Files are counted by their churn first: a value of churn is one row, so the running count over the values, not
-    over the files, is what has to be in order.
+    Files are counted by their churn first: a value of churn is one row. Values are put in order within steps, of
+    which there are sixteen for each doubling, and steps by their sums; so no task orders all values.
     """
-    values = file_churn(changes).groupBy("churn").agg(F.count("*").alias("n"))
+    values = file_churn(changes).groupBy("churn").agg(F.count("*").alias("n")).withColumn("step", F.floor(16 * F.log2(F.greatest(F.col("churn"), F.lit(0)) + 1)))
     total = values.agg(F.sum("n").alias("files"), F.sum(F.col("churn") * F.col("n")).alias("total")).withColumn("k", F.greatest(F.lit(1), F.ceil(F.col("files") * F.lit(at.churn_share))))
-    before = Window.orderBy(F.desc("churn")).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = values.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).crossJoin(F.broadcast(total))
+    preceding = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    steps = values.groupBy("step").agg(F.sum("n").alias("held")).select("step", F.coalesce(F.sum("held").over(preceding(Window.orderBy(F.desc("step")))), F.lit(0)).alias("above"))
+    within = F.coalesce(F.sum("n").over(preceding(Window.partitionBy("step").orderBy(F.desc("churn")))), F.lit(0))
+    ranked = values.withColumn("within", within).join(F.broadcast(steps), "step").withColumn("before", F.col("above") + F.col("within")).crossJoin(F.broadcast(total))
     top = ranked.agg(F.sum(F.col("churn") * F.greatest(F.lit(0), F.least(F.col("n"), F.col("k") - F.col("before")))).alias("found"), F.max("total").alias("total"))
     return top.withColumn("raw_value", ratio(F.col("found"), F.col("total")))
 
 
+#: Files of a commit that are paired in one place.
+CHANGED_TOGETHER = 2048
+
+
 def change_pairs(changes: DataFrame) -> DataFrame:
-    """(a, b, n): files changed together, a before b, and in how many commits."""
+    """(a, b, n): files changed together, a before b, and in how many commits. Large commits are paired part by part."""
     own = changes.select("hash", "path").distinct()
-    pairs = own.select("hash", F.col("path").alias("a")).join(own.select("hash", F.col("path").alias("b")), "hash").filter("a < b")
-    return pairs.groupBy("a", "b").agg(F.count("*").alias("n"))
+    sized = own.withColumn("parts", F.ceil(F.count("*").over(Window.partitionBy("hash")) / CHANGED_TOGETHER))
+    part, each = F.pmod(F.xxhash64("path"), F.col("parts")), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
+    left = sized.select("hash", F.col("path").alias("a"), part.alias("i"), each.alias("j"))
+    right = sized.select("hash", F.col("path").alias("b"), part.alias("j"), each.alias("i"))
+    return left.join(right, ["hash", "i", "j"]).filter("a < b").groupBy("a", "b").agg(F.count("*").alias("n"))
 
 
 def change_coupling(changes: DataFrame, at: Thresholds = DEFAULTS) -> DataFrame:

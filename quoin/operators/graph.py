@@ -1,17 +1,41 @@
-"""Graph operators over edges (src, dst): degrees, closure, components, reach, levels and depth.
+"""Graph operators over edges (src, dst): degrees, closure, components, reach, levels, dependents and depth.
 
-Loops run until nothing is new and keep each round in storage, so that no plan grows with the number of rounds. A
-round is one equi-join and one distinct, both spread by node; no adjacency list is ever gathered, so nodes with
-very many neighbours are nothing special.
+Graphs of up to LOCAL_EDGES edges are solved in one task (solving.py). Larger ones are solved in rounds of joins, each
+an equi-join and an aggregate spread by node, until nothing is new; every round is kept in storage, so that no plan
+grows with their number, and what is left of a graph goes to one task as soon as it fits. Both ways give the same
+rows. No adjacency list is ever gathered, so nodes with very many neighbours are nothing special.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quoin.operators.solving import Graph, in_one_task
 from quoin.plans.storage import settled
 
+#: Edges that one task solves: some 100 bytes of memory each.
+LOCAL_EDGES = 1 << 20
+#: Words of 64 bits in a row of dependents.
+WORDS = 4
+
+
+def _held(edges: DataFrame) -> DataFrame:
+    """The distinct edges between different nodes, kept."""
+    return settled(edges.select("src", "dst").filter("src <> dst").distinct())
+
+
+def _few(edges: DataFrame) -> bool:
+    return edges.count() <= LOCAL_EDGES
+
+
+def _type(edges: DataFrame) -> str:
+    return edges.schema["src"].dataType.simpleString()
+
 
 def edges_between(imports: DataFrame, files: DataFrame) -> DataFrame:
     """Distinct edges (src, dst, ord) from imports (path, ord, resolved) to other known files; the first import counts."""
@@ -51,12 +75,46 @@ def trimmed(edges: DataFrame, rounds: int = 3) -> DataFrame:
     return own
 
 
-def components(edges: DataFrame, ways: DataFrame | None = None) -> DataFrame:
-    """(node, component) for the nodes on cycles, named after their smallest node; ways: closure(), if known."""
-    ways = closure(trimmed(edges)) if ways is None else ways
-    there = ways.filter("src <> dst")
-    both = there.join(there.select(F.col("dst").alias("src"), F.col("src").alias("dst")), ["src", "dst"], "left_semi")
-    return both.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.min("src")).alias("component"))
+def _component_rows(graph: Graph, _: pd.DataFrame) -> pd.DataFrame:
+    component = graph.components()
+    on_cycles = np.bincount(component, minlength=graph.n)[component] > 1
+    return pd.DataFrame({"node": graph.names[on_cycles], "component": graph.names[component[on_cycles]]})
+
+
+def components(edges: DataFrame, held: bool = False) -> DataFrame:
+    """(node, component) for the nodes on cycles, named after their smallest node; held: the edges are distinct and kept already."""
+    left = edges.select("src", "dst") if held else _held(edges)
+    schema, done = f"node {_type(left)}, component {_type(left)}", []
+    while not _few(left):
+        left = trimmed(left)
+        colours = _least_ancestors(left)
+        inner = left.join(colours.toDF("src", "a"), "src").join(colours.toDF("dst", "b"), "dst").filter("a = b")
+        inner = settled(inner.select("src", "dst", F.col("a").alias("colour")))
+        # nodes of one colour that reach the node it is named after: one component, which the node reaches, too
+        found = settled(inner.select(F.col("colour").alias("node"), "colour").distinct())
+        fresh, rounds = found, 0
+        while not fresh.isEmpty():
+            back = fresh.select(F.col("node").alias("dst"), "colour").join(inner, ["dst", "colour"]).select(F.col("src").alias("node"), "colour").distinct()
+            fresh = settled(back.join(found, ["node", "colour"], "left_anti"))
+            found, rounds = _with(found, fresh, rounds)
+        own = settled(found)
+        several = own.groupBy("colour").agg(F.count("*").alias("n")).filter("n > 1").select("colour")
+        done.append(own.join(several, "colour", "left_semi").select("node", F.col("colour").alias("component")))
+        gone = own.select("node")
+        left = settled(inner.select("src", "dst").join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst"))
+    return reduce(DataFrame.unionAll, [in_one_task(left, _component_rows, schema), *done])
+
+
+def _least_ancestors(edges: DataFrame) -> DataFrame:
+    """(node, least): the smallest of a node and all that reach it."""
+    nodes = edges.select(F.col("src").alias("node")).unionAll(edges.select("dst")).distinct()
+    now = settled(nodes.select("node", F.col("node").alias("least")))
+    fresh = now
+    while not fresh.isEmpty():
+        told = fresh.join(edges.select(F.col("src").alias("node"), "dst"), "node").groupBy(F.col("dst").alias("node")).agg(F.min("least").alias("told"))
+        both = settled(now.join(told, "node", "left").select("node", F.coalesce(F.least("least", "told"), "least").alias("least"), (F.col("told") < F.col("least")).alias("new")))
+        now, fresh = both.select("node", "least"), both.filter("new").select("node", "least")
+    return now
 
 
 def _with(known: DataFrame, fresh: DataFrame, rounds: int) -> tuple[DataFrame, int]:
@@ -65,12 +123,19 @@ def _with(known: DataFrame, fresh: DataFrame, rounds: int) -> tuple[DataFrame, i
     return settled(both) if rounds % 16 == 15 else both, rounds + 1
 
 
-def reachable(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+def _reached_rows(graph: Graph, table: pd.DataFrame) -> pd.DataFrame:
+    return pd.DataFrame({"node": graph.names[graph.reached(table.code[table.dst.isna()].to_numpy())]})
+
+
+def reachable(edges: DataFrame, seeds: DataFrame, held: bool = False) -> DataFrame:
     """(node): the seeds and what can be reached from them."""
+    own = edges.select("src", "dst") if held else _held(edges)
     known = settled(seeds.select("node").distinct())
+    if _few(own) and known.count() <= LOCAL_EDGES:
+        return in_one_task(own.unionAll(known.select("node", F.lit(None).cast(_type(own)))), _reached_rows, f"node {_type(own)}")
     fresh, rounds = known, 0
     while not fresh.isEmpty():
-        fresh = settled(fresh.join(edges.select(F.col("src").alias("node"), "dst"), "node").select(F.col("dst").alias("node")).distinct().join(known, "node", "left_anti"))
+        fresh = settled(fresh.join(own.select(F.col("src").alias("node"), "dst"), "node").select(F.col("dst").alias("node")).distinct().join(known, "node", "left_anti"))
         known, rounds = _with(known, fresh, rounds)
     return known
 
@@ -85,17 +150,29 @@ def condensed(edges: DataFrame, nodes_of: DataFrame) -> DataFrame:
 def levels(dag: DataFrame) -> DataFrame:
     """(node, level): the length of the longest way from a node; a graph with cycles must be condensed before.
 
-    The k-th round holds the nodes with a way of k edges; the last round that holds a node is its level.
+    The nodes that only lead to nodes taken away are taken away in the next round, whose number is their level.
     """
-    edges = settled(dag.select("src", "dst").distinct())
-    front = settled(edges.select(F.col("dst").alias("node")).unionAll(edges.select(F.col("src").alias("node"))).distinct())
-    found, k = front.withColumn("level", F.lit(0)), 0
-    while True:
-        front = settled(front.join(edges.select(F.col("dst").alias("node"), "src"), "node").select(F.col("src").alias("node")).distinct())
-        if front.isEmpty():
-            return found.groupBy("node").agg(F.max("level").alias("level"))
+    edges = _held(dag)
+    nodes = settled(edges.select(F.col("dst").alias("node")).unionAll(edges.select("src")).distinct())
+    found, k = [], 0
+    while not _few(edges):
+        sinks = settled(nodes.join(edges.select(F.col("src").alias("node")), "node", "left_anti"))
+        if sinks.isEmpty():
+            raise ValueError("a graph with cycles has no levels")
+        found.append(sinks.withColumn("level", F.lit(k)))
+        nodes = settled(nodes.join(sinks, "node", "left_anti"))
+        edges = settled(edges.join(sinks.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst"))
         k += 1
-        found, _ = _with(found, front.withColumn("level", F.lit(k)), k)
+        if k % 64 == 0:
+            found = [settled(reduce(DataFrame.unionAll, found))]
+
+    def solve(graph: Graph, table: pd.DataFrame, k: int = k) -> pd.DataFrame:
+        return pd.DataFrame({"node": graph.names, "level": graph.levels(np.full(graph.n, k, np.int64))})
+
+    # of few edges there are few nodes, but for those of the last round, which are in none
+    touched = nodes.join(edges.select(F.col("src").alias("node")).unionAll(edges.select("dst")), "node", "left_semi")
+    apart = nodes.join(touched, "node", "left_anti").withColumn("level", F.lit(k))
+    return reduce(DataFrame.unionAll, [in_one_task(edges, solve, f"node {_type(edges)}, level int"), apart, *found])
 
 
 def violations(edges: DataFrame, nodes_of: DataFrame) -> DataFrame:
@@ -109,6 +186,43 @@ def dependents(ways: DataFrame) -> DataFrame:
     return ways.filter("src <> dst").groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("radius"))
 
 
+def _radius_rows(graph: Graph, _: pd.DataFrame) -> pd.DataFrame:
+    radius = graph.dependents()
+    return pd.DataFrame({"node": graph.names[radius > 0], "radius": radius[radius > 0]})
+
+
+def radii(edges: DataFrame, held: bool = False) -> DataFrame:
+    """(node, radius): how many other nodes reach a node; dependents() without the closure.
+
+    In rounds, the nodes that reach a node are bits in rows (node, lot, words): as many rows as lots of nodes meet, not
+    as pairs of nodes do.
+    """
+    own = edges.select("src", "dst") if held else _held(edges)
+    if _few(own):
+        return in_one_task(own, _radius_rows, f"node {_type(own)}, radius long")
+    words = [f"w{i}" for i in range(WORDS)]
+    nodes = own.select(F.col("src").alias("node")).unionAll(own.select("dst")).distinct().withColumn("id", F.monotonically_increasing_id())
+    place = F.pmod("id", F.lit(64 * WORDS))
+    own_bits = [F.when(F.floor(place / 64) == i, F.expr("shiftleft(1L, cast(pmod(id, 64) as int))")).otherwise(F.lit(0).cast("long")).alias(w) for i, w in enumerate(words)]
+    itself = settled(nodes.select("node", F.floor(F.col("id") / (64 * WORDS)).alias("lot"), *own_bits))
+    fresh, known = itself, None
+    while not fresh.isEmpty():
+        step = fresh.withColumnRenamed("node", "src").join(own, "src").groupBy(F.col("dst").alias("node"), "lot").agg(*(F.bit_or(w).alias(w) for w in words))
+        if known is None:
+            known = fresh = settled(step)
+            continue
+        both = step.join(known.select("node", "lot", *(F.col(w).alias(f"o{w}") for w in words)), ["node", "lot"], "full")
+        zero = F.lit(0).cast("long")
+        was, now = [F.coalesce(f"o{w}", zero) for w in words], [F.coalesce(w, zero) for w in words]
+        merged = both.select("node", "lot", *(a.bitwiseOR(b).alias(w) for a, b, w in zip(was, now, words, strict=True)), *(b.bitwiseAND(F.bitwise_not(a)).alias(f"n{w}") for a, b, w in zip(was, now, words, strict=True)))
+        merged = settled(merged)
+        known = merged.select("node", "lot", *words)
+        fresh = merged.filter(" or ".join(f"n{w} <> 0" for w in words)).select("node", "lot", *(F.col(f"n{w}").alias(w) for w in words))
+    self_bits = itself.select("node", "lot", *(F.col(w).alias(f"o{w}") for w in words))
+    others = known.join(self_bits, ["node", "lot"], "left").select("node", *(F.col(w).bitwiseAND(F.bitwise_not(F.coalesce(f"o{w}", F.lit(0).cast("long")))).alias(w) for w in words))
+    return others.groupBy("node").agg(F.sum(reduce(lambda a, b: a + b, (F.bit_count(w) for w in words))).cast("long").alias("radius")).filter("radius > 0")
+
+
 def ordered_depth(edges: list[tuple[str, str]], nodes: list[str]) -> tuple[int, list[str]]:
     """The longest way in order of visits, exact for graphs with cycles too, on the driver: for source trees.
 

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quoin.functions.columns import grade_value
+from quoin.functions.columns import grade_value, value_grade
 from quoin.functions.globs import matches
 
 
@@ -44,8 +44,8 @@ def grade_changes(base: DataFrame, current: DataFrame) -> DataFrame:
     return both.filter("from_grade <> to_grade")
 
 
-def composite(grades: DataFrame) -> DataFrame:
-    """The composite grade of rows with grade: the mean, rounded down, but at most one above the worst; A for no rows."""
+def composite(grades: DataFrame, *by: str) -> DataFrame:
+    """(*by, composite): the grade of all rows with grade, or of each group: the mean, rounded down, but at most one above the worst; A for no rows."""
     v = grade_value(F.col("grade"))
-    level = grades.agg(F.least(F.floor(F.avg(v)), F.min(v) + 1).cast("int").alias("v"))
-    return level.select(F.coalesce(*(F.when(F.col("v") == i, F.lit(g)) for i, g in enumerate("FDCBA")), F.lit("A")).alias("composite"))
+    level = grades.groupBy(*by).agg(F.least(F.floor(F.avg(v)), F.min(v) + 1).cast("int").alias("v"))
+    return level.select(*by, F.coalesce(value_grade(F.col("v")), F.lit("A")).alias("composite"))

@@ -38,13 +38,9 @@ class Context:
     def degrees(self) -> DataFrame:
         return settled(G.degrees(self.edges))
 
-    @cached_property
-    def ways(self) -> DataFrame:
-        return G.closure(self.edges)
-
     @cached_property
     def components(self) -> DataFrame:
-        return settled(G.components(self.edges, self.ways))
+        return settled(G.components(self.edges, held=True))
 
     @cached_property
     def dag(self) -> DataFrame:
@@ -54,16 +50,17 @@ class Context:
     def levels(self) -> DataFrame:
         return G.levels(self.dag)
 
+    @cached_property
+    def radii(self) -> DataFrame:
+        return G.radii(self.edges, held=True)
+
     @cached_property
     def surface(self) -> DataFrame:
-        # of the closure, one filter tells what entries reach
-        entries = self.files.filter(is_entry(F.col("path"))).select(F.col("path").alias("node"))
-        return entries.union(self.ways.filter(is_entry(F.col("src"))).select(F.col("dst").alias("node"))).distinct()
+        return G.reachable(self.edges, self.files.filter(is_entry(F.col("path"))).select(F.col("path").alias("node")), held=True)
 
     @cached_property
     def tested(self) -> DataFrame:
-        seeds = self.test_targets.select("node").distinct()
-        return seeds.union(self.ways.join(seeds.withColumnRenamed("node", "src"), "src", "left_semi").select(F.col("dst").alias("node"))).distinct()
+        return G.reachable(self.edges, self.test_targets, held=True)
 
 
 def _none(c: Context) -> DataFrame:
@@ -102,7 +99,7 @@ COMPUTED: dict[str, Callable[[Context], DataFrame]] = {
     "comments": lambda c: A.comments(c.files),
     "depth": _depth,
     "levelization": _levelization,
-    "blastRadius": lambda c: A.blast_radius(c.files, G.dependents(c.ways), A.foundation(c.files, c.degrees, c.at)),
+    "blastRadius": lambda c: A.blast_radius(c.files, c.radii, A.foundation(c.files, c.degrees, c.at)),
     "distanceFromMainSeq": lambda c: A.distance_from_main_sequence(c.files, c.classes, c.degrees),
     "attackSurface": lambda c: A.attack_surface(c.files, c.surface),
     "hotspots": lambda c: A.hotspots(c.degrees, c.at),

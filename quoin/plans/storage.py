@@ -4,13 +4,22 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a temporary one in local mode (as in tests), else an error."""
+    known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not known:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        known = "file://" + tempfile.mkdtemp(prefix="quoin-")
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(known)
+    return known.rstrip("/")
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the checkpoint folder that the session names (a temporary one where it names none, as in tests)."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        told = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(told or "file://" + tempfile.mkdtemp(prefix="quoin-"))
+    """df, computed once and kept in the shared folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()

@@ -33,8 +33,10 @@ def rows(df):
     return sorted(map(tuple, df.collect()))
 
 
-@pytest.mark.parametrize("seed,n,m", [(1, 12, 18), (2, 15, 16), (3, 9, 30), (4, 14, 10)])
-def test_random_graphs(spark, seed, n, m):
+@pytest.mark.parametrize("seed,n,m,local", [(1, 12, 18, 1 << 20), (2, 15, 16, 1 << 20), (3, 9, 30, 1 << 20), (4, 14, 10, 1 << 20), (5, 60, 90, 1 << 20), (1, 12, 18, 0), (2, 15, 16, 3), (3, 9, 30, 10)])
+def test_random_graphs(spark, monkeypatch, seed, n, m, local):
+    """In one task, in rounds, and in rounds that leave a rest to one task."""
+    monkeypatch.setattr(G, "LOCAL_EDGES", local)
     rng = random.Random(seed)
     edges = sorted({(f"n{a:02}", f"n{b:02}") for a, b in ((rng.randrange(n), rng.randrange(n)) for _ in range(m)) if a != b})
     df, ways = frame(spark, edges), reach(edges)
@@ -42,7 +44,7 @@ def test_random_graphs(spark, seed, n, m):
     members = {a: min(b for b in {x for x, _ in ways} | {a} if b == a or (a, b) in ways and (b, a) in ways) for a, b in ways if (b, a) in ways and a != b}
     comp = G.components(df)
     assert rows(comp) == sorted(members.items())
-    assert rows(G.dependents(G.closure(df))) == sorted((x, k) for x in {b for _, b in ways} if (k := sum(1 for a, b in ways if b == x and a != x)))
+    assert rows(G.radii(df)) == rows(G.dependents(G.closure(df))) == sorted((x, k) for x in {b for _, b in ways} if (k := sum(1 for a, b in ways if b == x and a != x)))
     seeds = {edges[0][0], "zz"}
     assert {r[0] for r in rows(G.reachable(df, spark.createDataFrame([(s,) for s in seeds], "node string")))} == seeds | {b for a, b in ways if a in seeds}
     dag = {(members.get(a, a), members.get(b, b)) for a, b in edges} - {(x, x) for x in members.values()}
@@ -106,3 +108,26 @@ def test_history(spark):
     ten = spark.createDataFrame([("h", str(i), "x", 1, 0) for i in range(10)], "hash string, path string, author string, added long, deleted long")
     assert A.churn_concentration(ten).head().raw_value == 0.1
     assert A.code_age(ch, F.to_timestamp(F.lit("2026-01-01 00:00:00"))).head().raw_value == 1.0
+
+
+def test_large_commits_are_paired_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(A, "CHANGED_TOGETHER", 3)
+    own = [("big", f"f{i:02}") for i in range(17)] + [("small", "f01"), ("small", "f02"), ("one", "f03")]
+    ch = spark.createDataFrame(own, "hash string, path string")
+    want = {(f"f{i:02}", f"f{j:02}"): 1 + ((i, j) == (1, 2)) for i in range(17) for j in range(i + 1, 17)}
+    assert {(r.a, r.b): r.n for r in A.change_pairs(ch).collect()} == want
+
+
+def test_churn_of_many_values(spark):
+    rng = random.Random(9)
+    churn = [rng.choice([0, 1, 2, 3, rng.randrange(10_000)]) for _ in range(500)]
+    ch = spark.createDataFrame([("h", str(i), "x", c, 0) for i, c in enumerate(churn)], "hash string, path string, author string, added long, deleted long")
+    assert A.churn_concentration(ch).head().raw_value == sum(sorted(churn)[-50:]) / sum(churn)
+
+
+def test_bits_of_many_nodes(spark):
+    """More nodes than a lot, and than a row of words."""
+    names = [f"n{i:04}" for i in range(600)]
+    edges = frame(spark, list(zip(names, names[1:], strict=False)) + [("n0599", "n0590")])
+    want = sorted((x, i if i < 590 else 599) for i, x in enumerate(names) if i)
+    assert rows(G.radii(edges)) == want
