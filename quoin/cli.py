@@ -16,8 +16,9 @@ def parser() -> argparse.ArgumentParser:
     commands = p.add_subparsers(dest="command", required=True)
     for name, text in (("scan", "grade a project"), ("check", "check its rules"), ("gate", "compare with its baseline"), ("visualize", "write a page")):
         c = commands.add_parser(name, help=text)
-        c.add_argument("path", nargs="?", default=".")
+        c.add_argument("path", nargs="?", default=".", help="a folder, or the URL of one in storage that Spark reads")
         c.add_argument("--include", nargs="+", default=[])
+        c.add_argument("--history", help="the URL of a saved log, for a folder in shared storage")
         if name == "gate":
             c.add_argument("--save", action="store_true")
         if name == "visualize":
@@ -35,14 +36,14 @@ def main(argv: list[str] | None = None, engine: Engine | None = None) -> int:
 
         serve(Tools(engine))
         return 0
-    include = tuple(a.include)
+    include, options = tuple(a.include), {"history_url": a.history} if a.history else {}
     if a.command == "scan":
-        print(show(engine.scan(a.path, include)))
+        print(show(engine.scan(a.path, include, **options)))
     elif a.command == "visualize":
-        Path(a.output).write_text(as_page(engine.visual(engine.scan(a.path, include))), encoding="utf-8")
+        Path(a.output).write_text(as_page(engine.visual(engine.scan(a.path, include, **options))), encoding="utf-8")
         print(f"Report written to {a.output}")
     elif a.command == "check":
-        found = engine.check(a.path, include)
+        found = engine.check(a.path, include, **options)
         if found is None:
             print("No rules file found.", file=sys.stderr)
             return 1
@@ -54,9 +55,9 @@ def main(argv: list[str] | None = None, engine: Engine | None = None) -> int:
             return 1
         print(f"All {number} rule(s) passed.")
     elif a.save:
-        engine.save_baseline(a.path, include)
+        engine.save_baseline(a.path, include, **options)
     else:
-        worse = engine.gate(a.path, include)
+        worse = engine.gate(a.path, include, **options)
         if worse:
             print("Quality gate FAILED - degradations detected:", *(f"  - {w}" for w in worse), sep="\n", file=sys.stderr)
             return 1

@@ -9,6 +9,8 @@ import tomllib
 from dataclasses import dataclass, field
 from pathlib import Path
 
+from pyspark.sql import SparkSession
+
 #: Where a project keeps its rules and its baseline.
 FOLDER = ".quoin"
 
@@ -60,6 +62,19 @@ def rules_of(doc: dict) -> Rules:
     return Rules(constraints, layers, boundaries, ignore, kept)
 
 
+def stored_rules(spark: SparkSession, url: str) -> Rules | None:
+    """load_rules() for a folder in any storage that Spark reads."""
+    path = f"{url.rstrip('/')}/{FOLDER}/rules.toml"
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
+        return None
+    text = bytes(spark.read.format("binaryFile").load(path).select("content").head().content)
+    try:
+        return rules_of(tomllib.loads(text.decode()))
+    except (tomllib.TOMLDecodeError, UnicodeDecodeError) as e:
+        raise ValueError(f"Failed to parse {path}: {e}") from e
+
+
 def load_rules(root: str | Path) -> Rules | None:
     path = Path(root) / FOLDER / "rules.toml"
     if not path.exists():

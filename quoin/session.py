@@ -10,7 +10,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quoin.config import FOLDER, Rules, load_rules
+from quoin.config import FOLDER, Rules, load_rules, stored_rules
 from quoin.functions import columns as C
 from quoin.functions.dimensions import GRADE_VALUE, GRADES, NAMES, VALUE_GRADE, Thresholds
 from quoin.operators import aggregates as A
@@ -53,13 +53,18 @@ class Engine:
 
     # reading
 
-    def snapshot(self, root: str, include: tuple[str, ...] = (), ignore: tuple[str, ...] | None = None, now=None, log: str | None = None) -> tuple[Context, Rules | None]:
-        """The relations of a tree on the driver's disk; ignore patterns given here go before those of its rules."""
-        root = str(Path(root).resolve())
-        rules = load_rules(root)
+    def snapshot(self, root: str, include: tuple[str, ...] = (), ignore: tuple[str, ...] | None = None, now=None, log: str | None = None, history_url: str | None = None) -> tuple[Context, Rules | None]:
+        """The relations of a tree on the driver's disk, or in shared storage if root is a URL.
+
+        Ignore patterns given here go before those of its rules. History is that of git, the text log, or, for a tree
+        in shared storage, a saved log (the output of git log in the form that history.py asks for) at history_url.
+        """
+        remote = "://" in root
+        root = root.rstrip("/") if remote else str(Path(root).resolve())
+        rules = stored_rules(self.spark, root) if remote else load_rules(root)
         patterns = ignore if ignore is not None else (rules.ignore if rules and rules.ignore else ())
-        paths = tree.source_paths(self.spark, root, include, patterns)
-        read = settled(tree.extracted(tree.with_text(paths, root)))
+        sources = tree.stored_tree(self.spark, root, include, patterns) if remote else tree.with_text(tree.source_paths(self.spark, root, include, patterns), root)
+        read = settled(tree.extracted(sources))
         edges = self.edges_of(read)
         at = Thresholds()
         days = 90
@@ -67,18 +72,29 @@ class Engine:
             e = rules.evolution
             days = e.get("days", days)
             at = replace(at, change_coupling=e.get("change_coupling_threshold", at.change_coupling), age_days=e.get("code_age_threshold_days", at.age_days))
-        log = history.git_log(root, days) if log is None else log
-        changes = settled(history.changes_of(self.spark, log)) if log and log.strip() else None
+        if log is not None:
+            changes = history.changes_of(self.spark, log) if log.strip() else None
+        elif history_url is not None:
+            changes = history.stored_log(self.spark, history_url)
+        else:
+            changes = None if remote else history.git_changes(self.spark, root, days)
+        if changes is not None:
+            changes = settled(changes)
         return self.context(read, edges, changes, self.test_targets(root, read), at, now), rules
 
     def edges_of(self, read: DataFrame) -> DataFrame:
         return settled(G.edges_between(resolved(tree.specifiers(read), tree.files(read)), tree.files(read)))
 
     def test_targets(self, root: str, read: DataFrame) -> DataFrame | None:
-        tests = tree.test_paths(self.spark, root)
+        if "://" in root:
+            found = settled(tree.extracted(tree.stored_tree(self.spark, root, tests=True)))
+            tests = found.select("path")
+        else:
+            tests = tree.test_paths(self.spark, root)
+            found = tree.extracted(tree.with_text(tests, root))
         if tests.isEmpty():
             return None
-        specs = tree.specifiers(tree.extracted(tree.with_text(tests, root)))
+        specs = tree.specifiers(found)
         # tests resolve against all that is known, themselves included
         known = tree.files(read).select("path").union(tests.select("path"))
         return settled(resolved(specs, known).filter("resolved is not null").select(F.col("resolved").alias("node")).distinct())
@@ -124,7 +140,7 @@ class Engine:
 
     def save_baseline(self, root: str, include: tuple[str, ...] = (), **options) -> dict:
         told = baseline_of(self.scan(root, include, **options))
-        path = Path(root) / FOLDER / "baseline.json"
+        path = baseline_path(root)
         path.parent.mkdir(parents=True, exist_ok=True)
         path.write_text(json.dumps(told, indent=2), encoding="utf-8")
         return told
@@ -186,8 +202,13 @@ def baseline_of(r: Report) -> dict:
     return {k: r.dimensions[d]["rawValue"] for k, d in KEPT.items()} | {"compositeGrade": r.composite, "dimensionGrades": {n: d["grade"] for n, d in r.dimensions.items()}}
 
 
+def baseline_path(root: str) -> Path:
+    """Beside the tree; for one in shared storage, where the command runs."""
+    return Path("." if "://" in root else root) / FOLDER / "baseline.json"
+
+
 def load_baseline(root: str) -> dict:
-    path = Path(root) / FOLDER / "baseline.json"
+    path = baseline_path(root)
     if not path.exists():
         raise FileNotFoundError(f"No baseline found at {path}. Save one first.")
     try:

@@ -87,14 +87,19 @@ def with_text(paths: DataFrame, root: str) -> DataFrame:
     return spread.mapInPandas(run, "ord bigint, path string, text string")
 
 
-def stored_tree(spark: SparkSession, url: str, include: Iterable[str] = (), ignore: Iterable[str] = ()) -> DataFrame:
-    """(ord, path, text) of the sources below a folder in any storage that Spark reads; order is that of names."""
+def stored_tree(spark: SparkSession, url: str, include: Iterable[str] = (), ignore: Iterable[str] = (), tests: bool = False) -> DataFrame:
+    """(ord, path, text) of the sources (or the tests) below a folder in any storage that Spark reads; order is that of names.
+
+    Files are parted by ranges of names, which spreads the parsing, too. Keep what is made of it: ord is given by partition.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{ts,tsx}").load(url)
     rel = F.regexp_replace(F.substring_index(F.col("path"), url.split("://")[-1].rstrip("/") + "/", -1), "^/+", "")
     p = F.col("path")
     closed = p.rlike("(^|/)(" + "|".join(d.replace(".", r"\.") for d in sorted(CLOSED)) + ")/")
-    kept = files.select(rel.alias("path"), "content").filter(C.is_source(p) & ~closed & included(p, include) & ~is_ignored(p, list(ignore)))
-    return kept.select(F.xxhash64("path").alias("ord"), "path", F.decode("content", "UTF-8").alias("text"))
+    asked = C.is_test(p) if tests else C.is_source(p) & included(p, include) & ~is_ignored(p, list(ignore))
+    kept = files.select(rel.alias("path"), "content").filter(asked & ~closed)
+    spread = kept.repartitionByRange(max(1, spark.sparkContext.defaultParallelism), "path").sortWithinPartitions("path")
+    return spread.select(F.monotonically_increasing_id().alias("ord"), "path", F.decode("content", "UTF-8").alias("text"))
 
 
 def extracted(sources: DataFrame) -> DataFrame:
@@ -121,12 +126,12 @@ def files(read: DataFrame) -> DataFrame:
 
 
 def functions(read: DataFrame) -> DataFrame:
-    return read.select("path", "ord", F.posexplode("functions").alias("pos", "f")).select("path", (F.col("ord") * 1_000_000 + F.col("pos")).alias("ord"), "f.*")
+    return read.select("path", "ord", F.posexplode("functions").alias("pos", "f")).select("path", F.struct("ord", "pos").alias("ord"), "f.*")
 
 
 def classes(read: DataFrame) -> DataFrame:
-    return read.select("path", "ord", F.posexplode("classes").alias("pos", "c")).select("path", (F.col("ord") * 1_000_000 + F.col("pos")).alias("ord"), "c.*")
+    return read.select("path", "ord", F.posexplode("classes").alias("pos", "c")).select("path", F.struct("ord", "pos").alias("ord"), "c.*")
 
 
 def specifiers(read: DataFrame) -> DataFrame:
-    return read.select("path", "ord", F.posexplode("specifiers").alias("pos", "specifier")).select("path", (F.col("ord") * 1_000_000 + F.col("pos")).alias("ord"), "specifier")
+    return read.select("path", "ord", F.posexplode("specifiers").alias("pos", "specifier")).select("path", F.struct("ord", "pos").alias("ord"), "specifier")

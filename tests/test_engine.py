@@ -14,7 +14,8 @@ from quoin.functions.typescript import read_source
 from quoin.operators.resolving import resolved
 from quoin.reporting import as_json, as_page, as_table, formatter
 from quoin.session import Engine, composite_grade, constraint_violations, degradations, fixed, load_baseline
-from quoin.sources.history import changes_of, git_log
+from quoin.sources import tree
+from quoin.sources.history import changes_of, git_changes, git_log, parsed_log
 from quoin.sources.tree import stored_tree
 from quoin.tools import TOOLS, Tools, serve
 
@@ -146,6 +147,42 @@ def test_stored_tree(spark, project):
     assert got == {p for p in FILES if "test" not in p}
 
 
+def test_a_tree_in_shared_storage_is_scanned_as_one_on_disk(engine, project, tmp_path_factory):
+    (project / ".quoin").mkdir()
+    (project / ".quoin" / "rules.toml").write_text('[constraints]\nmax_cycles = 0\n[ignore]\npatterns = ["src/util/alone.ts"]\n')
+    log = "---COMMIT_SEPARATOR---\nabc---FIELD_SEPARATOR---alice---FIELD_SEPARATOR---2025-06-01T10:00:00Z\n\n10\t5\tsrc/core/run.ts\n3\t1\tsrc/index.ts\n"
+    saved = tmp_path_factory.mktemp("logs") / "log.txt"
+    saved.write_text(log)
+    url = f"file://{project}"
+    there, here = engine.scan(url, history_url=f"file://{saved}"), engine.scan(str(project), log=log)
+    raw = lambda r: {n: d["rawValue"] for n, d in r.dimensions.items() if n != "testCoverageGap"}  # noqa: E731  outside git there are no tests
+    assert raw(there) == raw(here) and there.file_count == here.file_count == 4 and there.dimensions["busFactor"]["rawValue"] == 1.0
+    assert there.dimensions["highParams"]["details"] == here.dimensions["highParams"]["details"]
+    assert there.dimensions["testCoverageGap"]["rawValue"] == 0.0
+    passed, found, n = engine.check(url)
+    assert not passed and [v["rule"] for v in found] == ["max_cycles"] and n == 1
+    assert cli.main(["scan", url, "--history", f"file://{saved}"], engine) == 0
+
+
+def test_order_within_large_files_and_far_paths(spark):
+    """Paths in any storage, and places in a file, never run into one another."""
+    read = spark.createDataFrame([((1 << 62) + 5, f"p{i}.ts", "export function f() {}\nexport function g() {}\n") for i in range(3)], "ord long, path string, text string")
+    assert tree.functions(tree.extracted(read)).orderBy("ord", "path").select("path", "name").collect()[0].name == "f"
+    commits = spark.createDataFrame([((1 << 62), "c---FIELD_SEPARATOR---a---FIELD_SEPARATOR---2025-06-01T10:00:00Z\n1\t2\tx.ts")], "ord long, chunk string")
+    assert parsed_log(commits).head().ord.pos == 1
+
+
+def test_history_of_any_size(engine, project, monkeypatch):
+    git(project, "init", "-q")
+    git(project, "add", ".")
+    git(project, "commit", "-qm", "a")
+    (project / "src/index.ts").write_text("export const start = () => 2;\n")
+    git(project, "commit", "-qam", "b")
+    changes = git_changes(engine.spark, str(project))
+    assert changes.filter("path = 'src/index.ts'").count() == 2 and changes.select("hash").distinct().count() == 2
+    assert git_changes(engine.spark, str(project / ".."), 90) is None
+
+
 def test_rules_drop_what_is_badly_typed(tmp_path):
     r = rules_of({"constraints": {"max_cycles": "x", "max_cc": 3, "no_god_files": 1}, "layers": [{"name": "a", "paths": ["p", 3], "order": 1}, {"name": 5}], "ignore": {"patterns": ["a", 1]}, "evolution": {"days": 30, "code_age_threshold_days": "x"}})
     assert r == Rules({"max_cc": 3}, (Layer("a", ("p",), 1),), None, ("a",), {"days": 30})
