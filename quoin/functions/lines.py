@@ -5,9 +5,11 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quoin.functions.columns import JS_SPACE
+
 SCHEMA = "lines int, logic int, comments int, blanks int"
 
 #: What is of interest next: a comment's beginning, a quote, or any other visible character.
@@ -75,11 +77,25 @@ def count_lines(source: str) -> tuple[int, int, int, int]:
     return len(lines), logic, comments, blanks
 
 
+def _plain_counts(text: Column) -> Column:
+    """The four numbers of a text without block comments and templates, where each line tells of itself what it is."""
+    parts = F.split(text, "\n")
+    lines = F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    total = F.size(lines)
+    blanks = F.size(F.filter(lines, lambda x: x.rlike(f"^{JS_SPACE}*+$")))
+    comments = F.size(F.filter(lines, lambda x: x.rlike(f"^{JS_SPACE}*+//")))
+    return F.struct(total.alias("lines"), (total - blanks - comments).alias("logic"), comments.alias("comments"), blanks.alias("blanks"))
+
+
 def counted_lines(rows: DataFrame, text: str) -> DataFrame:
-    """rows with counts, a struct of the four numbers; null counts as empty."""
+    """rows with counts, a struct of the four numbers; null counts as empty. Only texts with block comments or templates go to Python."""
 
     @F.pandas_udf(SCHEMA)
     def count(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([count_lines(t or "") for t in texts], columns=["lines", "logic", "comments", "blanks"])
 
-    return rows.withColumn("counts", count(F.col(text)))
+    t = F.coalesce(F.col(text), F.lit(""))
+    stateful = t.contains("`") | t.contains("/*")
+    nothing = F.struct(*(F.lit(0).alias(c) for c in ("lines", "logic", "comments", "blanks")))
+    plain = F.when(t == "", nothing).otherwise(_plain_counts(t))
+    return rows.withColumn("counts", F.when(stateful, count(F.when(stateful, t))).otherwise(plain))
