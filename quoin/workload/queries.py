@@ -15,8 +15,12 @@ from quoin.operators import aggregates as A
 from quoin.operators import graph as G
 from quoin.operators import rules as R
 from quoin.operators import shaping as S
+from quoin.operators.resolving import resolved
 from quoin.plans.context import report
-from quoin.workload.views import CONDENSED, LEVELS, REACH, SCC, THRESHOLDS, Tables, sql
+from quoin.plans.details import details_of
+from quoin.sources import history, tree
+from quoin.workload import cases as K
+from quoin.workload.views import CONDENSED, LEVELS, REACH, SCC, TESTS, THRESHOLDS, Tables, sql
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -142,9 +146,9 @@ def _(t):
     return S.dsm_cells(t.path_edges())
 
 
-@query("dsm_matrix", sql("SELECT sm AS from_module, " + ", ".join(f"""coalesce(sum(CASE WHEN dm = 'src/n{i}' AND sm <> dm THEN 1 END), 0)::BIGINT AS "src/n{i}\"""" for i in range(5)) + " FROM p GROUP BY sm"))
+@query("dsm_matrix", sql("SELECT sm AS from_module, " + ", ".join(f"""coalesce(sum(CASE WHEN dm = 'src/n{i}' AND sm <> dm THEN 1 END), 0)::BIGINT AS "src/n{i}\"""" for i in range(25)) + " FROM p GROUP BY sm"))
 def _(t):
-    return S.dsm_matrix(t.path_edges(), [f"src/n{i}" for i in range(5)])
+    return S.dsm_matrix(t.path_edges(), [f"src/n{i}" for i in range(25)])
 
 
 # files and functions
@@ -194,12 +198,12 @@ def _(t):
     return A.comments(t.ids()).withColumn("raw_value", r6("raw_value"))
 
 
-@query("line_classes", "SELECT doc_id, len(l)::BIGINT AS lines, len(list_filter(l, lambda x: trim(x, E' \\t\\r\\n') = ''))::BIGINT AS blanks FROM (SELECT doc_id, string_split(CASE WHEN text LIKE E'%\\n' THEN text[:-2] ELSE text END, E'\\n') AS l FROM documents WHERE text <> '' AND text NOT LIKE '%`%' AND text NOT LIKE '%/*%')")
+@query("line_classes", None)
 def _(t):
     from quoin.functions.lines import counted_lines
 
-    docs = t["documents"].filter("text <> '' and not contains(text, '`') and not contains(text, '/*')").select("doc_id", "text")
-    return counted_lines(docs, "text").select("doc_id", F.col("counts.lines").cast("long").alias("lines"), F.col("counts.blanks").cast("long").alias("blanks"))
+    counts = counted_lines(t["documents"].select("doc_id", "text"), "text")
+    return counts.select("doc_id", *(F.col(f"counts.{c}").cast("long").alias(c) for c in ("lines", "logic", "comments", "blanks")))
 
 
 # history
@@ -267,14 +271,14 @@ def _(t):
 
 @query("blast_radius_per_file", sql("SELECT dst AS node, count(*) AS radius FROM r WHERE src <> dst GROUP BY dst", REACH))
 def _(t):
-    return G.dependents(G.closure(t.edges()))
+    return G.radii(t.edges())
 
 
 @query("blast_radius_max", sql("SELECT radius, round(radius / (SELECT count(*) FROM f), 6) AS raw_value FROM (SELECT max(n) AS radius FROM (SELECT count(r.src) AS n FROM f LEFT JOIN r ON r.dst = f.id AND r.src <> f.id WHERE f.path NOT LIKE '%/index.ts' AND f.id NOT IN (SELECT id FROM st) GROUP BY f.id))", REACH))
 def _(t):
     e, f = t.edges(), t.ids()
     basis = A.foundation(f, G.degrees(t.path_edges())).join(f.select(F.col("path").alias("node"), "id"), "node").select(F.col("id").alias("node"))
-    return A.blast_radius(f.select(F.col("id").alias("path"), "ord"), G.dependents(G.closure(e)), basis).select("radius", r6("raw_value").alias("raw_value"))
+    return A.blast_radius(f.select(F.col("id").alias("path"), "ord"), G.radii(e), basis).select("radius", r6("raw_value").alias("raw_value"))
 
 
 @query("scc_members", sql("SELECT id AS node, rep AS component FROM scc", REACH, SCC))
@@ -299,16 +303,16 @@ def _(t):
     return G.levels(G.condensed(e, G.components(e)))
 
 
-@query("max_depth", sql("SELECT max(k)::INTEGER AS depth FROM lv", "cd AS (SELECT src, dst FROM e WHERE src > dst)", LEVELS))
+@query("max_depth", sql("SELECT max(k)::INTEGER AS depth FROM lv", REACH, SCC, CONDENSED, LEVELS))
 def _(t):
-    return G.levels(t.edges().filter("src > dst")).agg(F.max("level").alias("depth"))
+    e = t.edges()
+    return G.levels(G.condensed(e, G.components(e))).agg(F.max("level").alias("depth"))
 
 
-@query("test_coverage_gap", sql("SELECT count(*) FILTER (f.id NOT IN (SELECT id FROM x)) AS found, count(*) AS total, round(count(*) FILTER (f.id NOT IN (SELECT id FROM x)) / count(*), 6) AS raw_value FROM f WHERE path NOT LIKE '%/index.ts'", "x AS (SELECT dst AS id FROM e WHERE src % 7 = 0 UNION SELECT e.dst FROM x JOIN e ON e.src = x.id)"))
+@query("test_coverage_gap", sql("SELECT count(*) FILTER (f.id NOT IN (SELECT id FROM x)) AS found, count(*) AS total, round(count(*) FILTER (f.id NOT IN (SELECT id FROM x)) / count(*), 6) AS raw_value FROM f WHERE path NOT LIKE '%/index.ts'", f"x AS (SELECT dst AS id FROM p WHERE spath LIKE '{TESTS}%' UNION SELECT e.dst FROM x JOIN e ON e.src = x.id)"))
 def _(t):
-    e, f = t.edges(), t.ids()
-    reached = G.reachable(e, e.filter("src % 7 = 0").select(F.col("dst").alias("node"))).join(f.select(F.col("id").alias("node"), "path"), "node").select(F.col("path").alias("node"))
-    return A.coverage_gap(f, reached).withColumn("raw_value", r6("raw_value"))
+    e = t.path_edges()
+    return A.coverage_gap(t.ids(), G.reachable(e, e.filter(F.col("src").startswith(TESTS)).select(F.col("dst").alias("node")))).withColumn("raw_value", r6("raw_value"))
 
 
 # grades, flags and shapes
@@ -318,17 +322,17 @@ def _ladders(raw: str, name: str) -> str:
     return "CASE " + " ".join(f"WHEN {name} = '{d.name}' THEN CASE WHEN isnan({raw}) THEN 'F' " + " ".join(f"WHEN {raw} <= {x}::DOUBLE THEN '{g}'" for x, g in zip(d.ladder, "ABCD", strict=True)) + " ELSE 'F' END" for d in DIMENSIONS) + " END"
 
 
-@query("grade_ladder", f"SELECT l_orderkey, l_linenumber, l_partkey, name, round(raw, 6) AS raw, {_ladders('raw', 'name')} AS grade FROM (SELECT l_orderkey, l_linenumber, l_partkey, [{', '.join(repr(n) for n in NAMES)}][(l_partkey % 24 + 1)::INTEGER] AS name, l_discount * l_linenumber AS raw FROM lineitem WHERE l_orderkey % 10 = 0)")
+@query("grade_ladder", f"SELECT l_orderkey, l_linenumber, l_partkey, name, round(raw, 6) AS raw, {_ladders('raw', 'name')} AS grade FROM (SELECT l_orderkey, l_linenumber, l_partkey, [{', '.join(repr(n) for n in NAMES)}][(l_partkey % 24 + 1)::INTEGER] AS name, l_discount * l_linenumber AS raw FROM lineitem)")
 def _(t):
-    rows = t["lineitem"].filter("l_orderkey % 10 = 0").withColumn("name", F.element_at(F.array(*map(F.lit, NAMES)), (F.col("l_partkey") % 24 + 1).cast("int"))).withColumn("raw", F.col("l_discount") * F.col("l_linenumber"))
+    rows = t["lineitem"].withColumn("name", F.element_at(F.array(*map(F.lit, NAMES)), (F.col("l_partkey") % 24 + 1).cast("int"))).withColumn("raw", F.col("l_discount") * F.col("l_linenumber"))
     return rows.select("l_orderkey", "l_linenumber", "l_partkey", "name", r6("raw").alias("raw"), C.grade_of(F.col("name"), F.col("raw")).alias("grade"))
 
 
-@query("composite_grade", "SELECT n_nationkey, ['F','D','C','B','A'][least(floor(avg(v)), min(v) + 1)::INTEGER + 1] AS composite FROM (SELECT c_nationkey AS n_nationkey, (4 - c_custkey % 5)::INTEGER AS v FROM customer WHERE c_custkey % 5 < 1 + c_nationkey % 5) GROUP BY n_nationkey")
+@query("composite_grade", "SELECT n_nationkey, segment, ['F','D','C','B','A'][least(floor(avg(v)), min(v) + 1)::INTEGER + 1] AS composite FROM (SELECT c_nationkey AS n_nationkey, c_mktsegment AS segment, greatest(0, least(4, floor((c_acctbal + 2500) / 2500)))::INTEGER AS v FROM customer) GROUP BY ALL")
 def _(t):
-    v = (F.lit(4) - F.col("c_custkey") % 5).cast("int")
-    rows = t["customer"].filter("c_custkey % 5 < 1 + c_nationkey % 5").select(F.col("c_nationkey").alias("n_nationkey"), C.value_grade(v).alias("grade"))
-    return rows.groupBy("n_nationkey").agg(C.value_grade(F.least(F.floor(F.avg(C.grade_value(F.col("grade")))), F.min(C.grade_value(F.col("grade"))) + 1)).alias("composite"))
+    v = F.greatest(F.lit(0), F.least(F.lit(4), F.floor((F.col("c_acctbal") + 2500) / 2500)))
+    rows = t["customer"].select(F.col("c_nationkey").alias("n_nationkey"), F.col("c_mktsegment").alias("segment"), C.value_grade(v).alias("grade"))
+    return R.composite(rows, "n_nationkey", "segment")
 
 
 FLAGS = """fl AS (SELECT DISTINCT path, dim FROM (
@@ -369,9 +373,17 @@ def _(t):
     return R.boundary_violations(t.path_edges(), rules).select("src", "dst", "boundary")
 
 
-@query("constraint_violations", sql("SELECT path, name, cc FROM fn WHERE cc > 45"))
+@query("constraint_violations", sql("""SELECT 'max_cycles' AS rule, 0 AS n WHERE (SELECT count(DISTINCT rep) FROM scc) > 0
+  UNION ALL SELECT 'max_coupling', 0 WHERE (SELECT count(*) FILTER (NOT stable) / count(*) FROM p WHERE sm <> dm) > 0.25::DOUBLE
+  UNION ALL SELECT 'max_cc', count(*) FROM fn WHERE cc > 45 HAVING count(*) > 0""", REACH, SCC))
 def _(t):
-    return t.functions().filter(F.col("cc") > max(45, THRESHOLDS.complexity)).select("path", "name", "cc")
+    from quoin.session import constraint_violations
+
+    c = t.context()
+    raw = {r["name"]: {"rawValue": r["raw_value"]} for r in report(c, ("cycles", "coupling", "complexFn", "godFiles")).collect()}
+    told = {n: x | {"details": details_of(c, n)} for n, x in raw.items()}
+    found = constraint_violations({"max_cycles": 0, "max_coupling": 0.25, "max_cc": 45, "no_god_files": True}, told)
+    return t.spark.createDataFrame([(x["rule"], len(x["affectedFiles"])) for x in found], "rule string, n long")
 
 
 HALF = "h AS (SELECT hash % 2 AS half, path, author, added + deleted AS churn FROM ch)"
@@ -422,7 +434,7 @@ def _report_sql() -> str:
         "testCoverageGap": "SELECT count(*) FILTER (f.id NOT IN (SELECT id FROM y)) / count(*) FROM f WHERE path NOT LIKE '%/index.ts'",
     }
     entries = "x AS (SELECT id FROM f WHERE path LIKE '%/index.ts' UNION SELECT e.dst FROM x JOIN e ON e.src = x.id)"
-    tests = "y AS (SELECT dst AS id FROM e WHERE src % 7 = 0 UNION SELECT e.dst FROM y JOIN e ON e.src = y.id)"
+    tests = f"y AS (SELECT dst AS id FROM p WHERE spath LIKE '{TESTS}%' UNION SELECT e.dst FROM y JOIN e ON e.src = y.id)"
     rows = " UNION ALL ".join(f"SELECT {i} AS position, '{n}' AS name, ({one[n]})::DOUBLE AS raw" for i, n in enumerate(NAMES))
     return sql(f"SELECT position, name, round(raw, 6) AS raw_value, {_ladders('round(raw, 6)', 'name')} AS grade FROM ({rows})", REACH, SCC, CONDENSED, LEVELS, MODULE_COHESION, MAIN, PAIRS, entries, tests)
 
@@ -433,6 +445,98 @@ def _(t):
     return found.withColumn("grade", C.grade_of(F.col("name"), F.col("raw_value")))
 
 
+# reading: the engine's own functions over small tables of source text
+
+
+def _sources(t: Tables, rows: list[tuple[str, str]]) -> DataFrame:
+    return tree.extracted(t.spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "ord long, path string, text string"))
+
+
+@query("extracted_functions", K.values([(i, "f", cc, cognitive, 2) for i, (_, cc, cognitive) in enumerate(K.BODIES)], "id, name, cc, cognitive, param_count"))
+def _(t):
+    read = _sources(t, [(f"f{i}.ts", "function f(a: Map<string, number>, b?: string) {\n" + body + "\n}") for i, (body, _, _) in enumerate(K.BODIES)])
+    return tree.functions(read).select(F.regexp_extract("path", "[0-9]+", 0).cast("int").alias("id"), "name", "cc", "cognitive", "param_count")
+
+
+@query("extracted_declarations", K.values([(r[0], *r[2:]) for r in K.DECLARED], "path, funcs, n_classes, n_abstract, n_methods, n_imports"))
+def _(t):
+    read = _sources(t, [r[:2] for r in K.DECLARED])
+    kinds = tree.classes(read).groupBy("path").agg(F.sum((F.col("kind") == "class").cast("int")).alias("n_classes"), F.sum((F.col("kind").isin("interface", "type-alias")).cast("int")).alias("n_abstract"), F.sum(F.when(~F.col("kind").isin("interface", "type-alias"), F.size("methods")).otherwise(0)).alias("n_methods"))
+    specs = tree.specifiers(read).groupBy("path").agg(F.count("*").alias("n_imports"))
+    return tree.files(read).select("path", "funcs").join(kinds, "path", "left").join(specs, "path", "left").na.fill(0)
+
+
+@query("counted_lines", K.values([(i, *r[1:]) for i, r in enumerate(K.COUNTED)], "id, lines, logic, comments, blanks"))
+def _(t):
+    from quoin.functions.lines import counted_lines
+
+    rows = t.spark.createDataFrame([(i, r[0]) for i, r in enumerate(K.COUNTED)], "id int, text string")
+    return counted_lines(rows, "text").select("id", "counts.*")
+
+
+@query("resolved_imports", K.values(K.ASKED, "path, specifier, resolved"))
+def _(t):
+    imports = t.spark.createDataFrame([(p, i, s) for i, (p, s, _) in enumerate(K.ASKED)], "path string, ord long, specifier string")
+    return resolved(imports, t.spark.createDataFrame([(p,) for p in K.KNOWN], "path string")).select("path", "specifier", "resolved")
+
+
+@query("parsed_log", K.values(K.CHANGED, "hash, author, path, added, deleted"))
+def _(t):
+    return history.changes_of(t.spark, K.LOG).select("hash", "author", "path", "added", "deleted")
+
+
+# relations
+
+
+@query("import_edges", sql("SELECT a.path AS src, b.path AS dst, min(o) AS ord FROM (SELECT l_suppkey AS x, l_partkey % (SELECT count(*) FROM supplier) AS y, l_orderkey * 8 + l_linenumber AS o FROM lineitem) JOIN f a ON a.id = x JOIN f b ON b.id = y WHERE x <> y GROUP BY ALL"))
+def _(t):
+    f = t.ids()
+    named = t["lineitem"].select(F.col("l_suppkey").alias("x"), (F.col("l_partkey") % t.n).alias("y"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("ord"))
+    imports = named.join(f.select(F.col("id").alias("x"), "path"), "x").join(f.select(F.col("id").alias("y"), F.col("path").alias("resolved")), "y", "left")
+    return G.edges_between(imports, f)
+
+
+@query("file_names", sql("SELECT path, regexp_extract(path, '[^/]+$') AS name, CASE WHEN path LIKE '%.tsx' THEN 'tsx' ELSE 'ts' END AS lang FROM f"))
+def _(t):
+    return t.ids().select("path", C.base_name(F.col("path")).alias("name"), C.language(F.col("path")).alias("lang"))
+
+
+@query("same_modules", sql("SELECT spath AS src, dpath AS dst, sm = dm AS same FROM p"))
+def _(t):
+    return t.path_edges().select("src", "dst", C.same_module(F.col("src"), F.col("dst")).alias("same"))
+
+
+@query("script_safe", "SELECT page_id, sha256(regexp_replace(html, '</(script)', '<\\\\/\\1', 'gi')) AS safe FROM pages")
+def _(t):
+    return t["pages"].select("page_id", F.sha2(C.script_safe(F.col("html")), 256).alias("safe"))
+
+
+@query("clamped_values", "SELECT c_custkey, greatest(0, least(4, floor(c_acctbal / 1500 + 0.5::DOUBLE)))::INTEGER AS value FROM customer")
+def _(t):
+    return t["customer"].select("c_custkey", C.clamped_value(F.col("c_acctbal") / 1500).alias("value"))
+
+
+@query("changed_most", sql("SELECT row_number() OVER (ORDER BY churn DESC, path) AS place, path, churn FROM (SELECT path, sum(added + deleted)::BIGINT AS churn FROM ch GROUP BY path)"))
+def _(t):
+    found = details_of(t.context(), "codeChurn")["files"]
+    return t.spark.createDataFrame([(i, x["file"], x["churn"]) for i, x in enumerate(found, 1)], "place long, path string, churn long")
+
+
+@query("changed_together", sql("SELECT row_number() OVER (ORDER BY n DESC, a, b) AS place, a, b, n FROM (SELECT a.path AS a, b.path AS b, count(*) AS n FROM (SELECT DISTINCT hash, path FROM ch) a JOIN (SELECT DISTINCT hash, path FROM ch) b ON a.hash = b.hash AND a.path < b.path GROUP BY ALL HAVING count(*) >= 2)"))
+def _(t):
+    found = details_of(t.context(), "changeCoupling")["pairs"]
+    return t.spark.createDataFrame([(i, x["fileA"], x["fileB"], x["count"]) for i, x in enumerate(found, 1)], "place long, a string, b string, n long")
+
+
+@query("gate_texts", K.values([(0, "coupling score degraded: 0.10 -> 0.21 (threshold: +0.05)"), (1, "cycle count increased: 1 -> 2"), (2, "max depth increased: 3 -> 5"), (3, "composite grade dropped: B -> C")], "place, said"))
+def _(t):
+    from quoin.session import degradations
+
+    base = {"couplingScore": 0.1, "cycleCount": 1.0, "godFileRatio": 0.0, "complexFnRatio": 0.5, "maxDepth": 3.0, "compositeGrade": "B"}
+    said = degradations(base, {"couplingScore": 0.21, "cycleCount": 2.0, "godFileRatio": 0.0, "complexFnRatio": 0.4, "maxDepth": 5.0, "compositeGrade": "C"})
+    return t.spark.createDataFrame(list(enumerate(said)), "place int, said string")
+
+
 @query("stream_churn", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS hour, event_type AS path, count(*) AS changes, round(sum(value), 4) AS churn, max(ts) AS last FROM events GROUP BY ALL")
 def _(t):
     from quoin.streaming.churn import replayed_churn

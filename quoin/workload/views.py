@@ -1,4 +1,9 @@
-"""The driver tables read as a source tree: suppliers are files, line items imports, parts functions, orders commits."""
+"""The driver tables read as a source tree: suppliers are files, line items imports, parts functions, orders commits.
+
+Every line item names two files, its supplier and its part's. Two files that this brings together clearly more often
+than most (two standard deviations above the mean of all such pairs) import: the larger id the smaller, and within a
+module each the other.
+"""
 
 from __future__ import annotations
 
@@ -8,7 +13,10 @@ from pyspark.sql import functions as F
 from quoin.functions.columns import body_hash
 from quoin.functions.dimensions import Thresholds
 from quoin.plans.context import Context
+from quoin.plans.storage import settled
 
+#: The module whose files count as tests.
+TESTS = "src/n3/"
 #: Thresholds at which the driver tables have something to find.
 THRESHOLDS = Thresholds(god_fan_out=5, complexity=40, cognitive=15, long_function=80, large_file=40, params=4, hotspot=1.5, change_coupling=2, age_days=60)
 
@@ -31,10 +39,15 @@ class Tables:
         return self.ids().join(funcs, "id", "left").withColumn("funcs", F.coalesce("funcs", F.lit(0)))
 
     def edges(self) -> DataFrame:
-        """(src, dst) as ids: mostly to smaller ones, and a few back."""
-        a, b, o = F.col("l_suppkey"), F.col("l_partkey") % self.n, F.col("l_orderkey")
-        own = self["lineitem"].filter((o % 100 == 0) & ((a > b) | (o % 2500 == 0) & (a < b)))
-        return own.select(a.alias("src"), b.alias("dst")).distinct()
+        """(src, dst) as ids: mostly to smaller ones, and both ways within modules."""
+        a, b = F.col("l_suppkey"), F.col("l_partkey") % self.n
+        pairs = self["lineitem"].select(F.greatest(a, b).alias("x"), F.least(a, b).alias("y")).filter("x <> y").groupBy("x", "y").agg(F.count("*").alias("c"))
+        limit = pairs.agg((F.avg("c") + 2 * F.stddev_pop("c")).alias("limit"))
+        often = pairs.crossJoin(F.broadcast(limit)).filter("c >= limit")
+        module = self["supplier"].select("s_suppkey", "s_nationkey")
+        both = often.join(module.toDF("x", "m"), "x", "left").join(module.toDF("y", "n"), "y", "left")
+        ways = F.when(F.col("m") == F.col("n"), F.array(F.struct(F.col("x").alias("src"), F.col("y").alias("dst")), F.struct(F.col("y").alias("src"), F.col("x").alias("dst")))).otherwise(F.array(F.struct(F.col("x").alias("src"), F.col("y").alias("dst"))))
+        return both.select(F.explode(ways).alias("e")).select("e.src", "e.dst")
 
     def path_edges(self) -> DataFrame:
         f = self.ids()
@@ -57,20 +70,20 @@ class Tables:
         return recent.join(items, "o_orderkey").select(F.col("o_orderkey").alias("hash"), F.col("l_partkey").cast("string").alias("path"), F.col("o_custkey").cast("string").alias("author"), F.col("o_orderdate").alias("ts"), "added", "deleted", "last")
 
     def context(self) -> Context:
-        f = self.files()
-        targets = self.edges().filter(F.col("src") % 7 == 0).join(f.select(F.col("id").alias("dst"), "path"), "dst").select(F.col("path").alias("node"))
+        f, e = self.files(), settled(self.path_edges())
+        targets = e.filter(F.col("src").startswith(TESTS)).select(F.col("dst").alias("node"))
         changes = self.changes()
         now = F.lit(changes.select("last").head()[0]) if changes.head() else F.current_timestamp()
-        return Context(f, self.functions(), self.classes(), self.path_edges(), changes, targets, now, THRESHOLDS)
+        return Context(f, self.functions(), self.classes(), e, changes, targets, now, THRESHOLDS)
 
 
 BASE = """
 f AS (SELECT s_suppkey AS id, concat('src/n', s_nationkey, '/s', s_suppkey, CASE WHEN s_suppkey % 25 = 0 THEN '/index.ts' ELSE '.ts' END) AS path,
         s_suppkey AS ord, s_suppkey % 60 AS lines, s_suppkey % 7 AS comments, concat('src/n', s_nationkey) AS module,
         coalesce((SELECT count(*) FROM part WHERE p_partkey % (SELECT count(*) FROM supplier) = s_suppkey), 0) AS funcs FROM supplier),
-e AS (SELECT DISTINCT l_suppkey AS src, l_partkey % (SELECT count(*) FROM supplier) AS dst FROM lineitem
-        WHERE l_orderkey % 100 = 0 AND (l_suppkey > l_partkey % (SELECT count(*) FROM supplier)
-          OR (l_orderkey % 2500 = 0 AND l_suppkey < l_partkey % (SELECT count(*) FROM supplier)))),
+pr AS (SELECT greatest(a, b) AS x, least(a, b) AS y, count(*) AS c FROM (SELECT l_suppkey AS a, l_partkey % (SELECT count(*) FROM supplier) AS b FROM lineitem) WHERE a <> b GROUP BY ALL),
+oft AS (SELECT x, y FROM pr WHERE c >= (SELECT avg(c) + 2 * stddev_pop(c) FROM pr)),
+e AS MATERIALIZED (SELECT x AS src, y AS dst FROM oft UNION ALL SELECT y, x FROM oft JOIN supplier m ON m.s_suppkey = x JOIN supplier n ON n.s_suppkey = y WHERE m.s_nationkey = n.s_nationkey),
 deg AS (SELECT id, sum(o)::BIGINT AS fo, sum(i)::BIGINT AS fi FROM (SELECT src AS id, 1 AS o, 0 AS i FROM e UNION ALL SELECT dst, 0, 1 FROM e) GROUP BY id),
 d AS (SELECT deg.*, f.path, f.module, f.ord, fo::DOUBLE / (fi + fo) AS inst FROM deg JOIN f USING (id)),
 st AS (SELECT id FROM d WHERE fi >= 3 AND inst <= 0.15::DOUBLE),
