@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,6 +14,8 @@ from pyspark.sql import types as T
 
 #: So many rows, of about so many bytes together, become Python objects at a time.
 ARROW_ROWS, ARROW_BYTES = 500, 2 << 20
+#: A key of more than this part of all rows is hot.
+HOT = 256
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,12 +23,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or (unset, as in tests) a temporary one."""
-    told = spark.conf.get("spark.checkpoint.dir", None)
-    if told:
-        return told.rstrip("/")
-    known = spark.sparkContext.getCheckpointDir()
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a temporary one in local mode (as in tests), else an error."""
+    known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not known:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         known = "file://" + tempfile.mkdtemp(prefix="quoin-")
         spark.sparkContext.setCheckpointDir(known)
     return known.rstrip("/")
@@ -43,6 +45,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def swept(spark: SparkSession) -> None:
+    """Have the driver forget finished shuffles now, as it would in time, so that executors remove their files."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def dropped(spark: SparkSession, df: DataFrame) -> None:
     """Remove the files of a frame made by stored(), once nothing reads it any more."""
     jvm = spark.sparkContext._jvm
@@ -52,6 +59,46 @@ def dropped(spark: SparkSession, df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def bucketed(df: DataFrame, key: str, name: str) -> tuple[DataFrame, Callable[[], None]]:
+    """df as a stored table in buckets by key, which joins by key don't move again (if the other side is hinted shuffle_merge); and what removes it."""
+    spark, path = df.sparkSession, fresh_path(df.sparkSession, name)
+    table, n = path.rpartition("/")[2].replace("-", "_"), partitions(df.sparkSession)
+    df.repartition(n, key).sortWithinPartitions(key).write.bucketBy(n, key).sortBy(key).option("path", path).option("compression", "zstd").saveAsTable(table)
+    swept(spark)
+
+    def gone() -> None:
+        dropped(spark, spark.table(table))
+        spark.sql(f"drop table {table}")
+
+    return spark.table(table), gone
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """While this lasts, Arrow batches hold at most so many rows: for rows that are large."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, was)
+
+
+def looked_up(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """left.join(right, on, how) for a right side of one row a key, however many rows of left share one.
+
+    Keys of more than a HOT-th of left's rows, of which there are fewer than HOT, are joined where left's rows are; the
+    others by key. left is read several times, so it should be stored.
+    """
+    sizes = left.groupBy(*on).agg(F.count("*").alias("_rows"))
+    hot = stored(sizes.crossJoin(F.broadcast(left.agg(F.count("*").alias("_all")))).filter(F.col("_rows") * HOT > F.col("_all")).select(*on), "hot")
+    if hot.count() >= HOT or hot.isEmpty():
+        return left.join(right, on, how)
+    few, here = F.broadcast(hot), F.broadcast(stored(right.join(F.broadcast(hot), on, "left_semi"), "looked_up"))
+    return left.join(few, on, "left_anti").join(right, on, how).unionByName(left.join(few, on, "left_semi").join(here, on, how))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -61,8 +108,8 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % 4 == 2, F.lit(False))
 
 
-def map_batches(df: DataFrame, fn: Callable[[Iterable[dict[str, list]]], Iterator[dict[str, list]]], schema: str | T.StructType) -> DataFrame:
-    """mapInArrow with plain Python columns: fn gets dicts of lists and yields dicts of lists.
+def map_batches(df: DataFrame, fn: Callable[[Iterable[dict[str, list]]], Iterator[dict[str, list]]], schema: str | T.StructType, most_rows: int = ARROW_ROWS, most_bytes: int = ARROW_BYTES) -> DataFrame:
+    """mapInArrow with plain Python columns: fn gets dicts of lists, of about so many rows and bytes, and yields dicts of lists.
 
     Texts are long, so the session's Arrow batches are held to 4 * ARROW_ROWS rows, which bounds what waits on either side.
     """
@@ -78,7 +125,7 @@ def map_batches(df: DataFrame, fn: Callable[[Iterable[dict[str, list]]], Iterato
 
         def columns() -> Iterator[dict[str, list]]:
             for batch in batches:
-                rows = max(1, min(ARROW_ROWS, ARROW_BYTES * batch.num_rows // max(1, batch.nbytes)))
+                rows = max(1, min(most_rows, most_bytes * batch.num_rows // max(1, batch.nbytes)))
                 for at in range(0, batch.num_rows, rows):
                     yield batch.slice(at, rows).to_pydict()
 
