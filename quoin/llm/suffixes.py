@@ -4,10 +4,10 @@ Such strings are compared as suffixes cut to that length. Sorting all of them wo
 so suffixes are sampled where it loses nothing: each window of the text names its least hashed block of bytes, its
 anchor, and equal windows name the same anchor at the same offset. A run is all neighbouring windows with one anchor.
 
-1. Runs are sorted by the anchor's hash and their place in the corpus; those whose anchor has no other run hold
-   nothing that is repeated. A hash only leaves runs out: nothing is removed for it.
-2. The other runs become suffixes with what stands before them. Sampled splitters range-partition them by their
-   leading bytes (the anchor). Each bucket is sorted by multikey quicksort, once by the bytes from the anchor on, once
+1. Sampled splitters range-partition the runs by the anchor's hash and their place in the corpus. In sorted ranges,
+   runs whose anchor has no other run hold nothing that is repeated. A hash only leaves runs out: nothing is removed
+   for it.
+2. The other runs become suffixes with what stands before them, range-partitioned by their leading bytes (the anchor). Each bucket is sorted by multikey quicksort, once by the bytes from the anchor on, once
    by those before it, backward; the lengths of common prefixes of neighbours tell which windows hold the same bytes,
    and all but the earliest of each class are seen.
 3. An anchor with very many runs, or at the edge of a range of the first step, is divided into parts; the windows that
@@ -20,13 +20,14 @@ columns are left out; an empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from bisect import bisect_right
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quoin.llm.common import dropped, fresh_path, partitions, stored
+from quoin.llm.common import bucketed, dropped, partitions, stored, swept
 from quoin.llm.token_store import mixed
 
 #: Bytes of a window and of an anchor; bytes of text, or suffixes, worked on together; runs of an anchor in one part.
@@ -97,9 +98,27 @@ def _pieces(text: bytes) -> Iterator[tuple[int, bytes]]:
         yield at, text[at : at + BUFFER + LENGTH - 1]
 
 
-def _sampled(docs: DataFrame) -> DataFrame:
-    """(h, doc_id, row, place): place holds first window, further windows and the anchor's offset."""
-    schema = pa.schema([(k, pa.int64()) for k in ("h", "doc_id", "row", "place")])
+def ranges_of(splitters: list[tuple], h, *place):
+    """For each key (h, and its place in the corpus) the number of splitters that it isn't under."""
+    import numpy as np
+
+    heads = np.array([s[0] for s in splitters], np.int64)
+    at, to = np.searchsorted(heads, h, "left"), np.searchsorted(heads, h, "right")
+    for k in np.flatnonzero(at < to).tolist():
+        at[k] = bisect_right(splitters, (int(h[k]), *(int(c[k]) for c in place)), at[k], to[k])
+    return at
+
+
+def _splitters(texts: DataFrame, n: int) -> list[tuple]:
+    """Keys that part the runs into n ranges of about equal size, by the runs of a sample of the texts."""
+    texts = texts.sample(min(1.0, 16 * n / max(1, texts.count())), seed=20)
+    keys = sorted(map(tuple, _sampled(texts, []).select("h", "doc_id", "row", "place").sample(0.1, seed=20).collect()))
+    return [keys[k * len(keys) // n] for k in range(1, n)] if keys else []
+
+
+def _sampled(docs: DataFrame, splitters: list[tuple]) -> DataFrame:
+    """(h, doc_id, row, place, bucket): place holds first window, further windows and the anchor's offset; bucket is the key's range."""
+    schema = pa.schema([*((k, pa.int64()) for k in ("h", "doc_id", "row", "place")), ("bucket", pa.int32())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -109,7 +128,8 @@ def _sampled(docs: DataFrame) -> DataFrame:
         def told(texts, ids, rows, starts):
             owner, h, first, more, at = sampler.runs(texts)
             first = first + np.array(starts, np.int64)[owner]
-            return _batch(schema, h, np.array(ids, np.int64)[owner], np.array(rows, np.int64)[owner], first << 16 | more << 8 | at)
+            columns = h, np.array(ids, np.int64)[owner], np.array(rows, np.int64)[owner], first << 16 | more << 8 | at
+            return _batch(schema, *columns, ranges_of(splitters, *columns))
 
         for batch in batches:
             texts, ids, rows, starts, size = [], [], [], [], 0
@@ -130,7 +150,7 @@ def _sampled(docs: DataFrame) -> DataFrame:
             if texts:
                 yield told(texts, ids, rows, starts)
 
-    return docs.mapInArrow(run, "h long, doc_id long, row long, place long")
+    return docs.mapInArrow(run, "h long, doc_id long, row long, place long, bucket int")
 
 
 def _met(runs: DataFrame) -> DataFrame:
@@ -312,30 +332,28 @@ def _settled(suffixes: DataFrame) -> DataFrame:
     return suffixes.mapInArrow(run, "key binary, row long, doc_id long, first long, last long")
 
 
-def _placed(docs: DataFrame) -> tuple[DataFrame, str]:
-    """The texts as a table in buckets by row, so that what is found joins them without moving them again."""
-    spark = docs.sparkSession
-    n = partitions(spark)
+def _placed(docs: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
+    """The texts in buckets by row, so that what is found joins them without moving them again."""
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).cast("long").alias("doc_id"), F.col("doc_id").isNull().alias("nameless"), F.coalesce(F.encode("text", "UTF-8"), F.lit(b"")).alias("raw"))
-    path = fresh_path(spark, "texts")
-    name = path.rpartition("/")[2].replace("-", "_")
-    rows.repartition(n, "row").sortWithinPartitions("row").write.bucketBy(n, "row").sortBy("row").option("path", path).option("compression", "zstd").saveAsTable(name)
-    return spark.table(name), name
+    return bucketed(rows, "row", "texts")
 
 
 def _ranges(texts: DataFrame) -> DataFrame:
     """(row, first, last): ranges of windows that also start earlier; stored."""
     n = partitions(texts.sparkSession)
     place = ("doc_id", "row", "place")
-    runs = _sampled(texts.select("doc_id", "row", "raw")).repartitionByRange(n, "h", *place).sortWithinPartitions("h", *place)
+    own = texts.select("doc_id", "row", "raw")
+    runs = _sampled(own, _splitters(own, n)).repartitionById(n, F.col("bucket")).drop("bucket").sortWithinPartitions("h", *place)
     asked = _met(runs).groupBy("row").agg(F.collect_list(F.struct("part", "place")).alias("asked"))
     one = texts.join(asked.hint("shuffle_merge"), "row").select("row", "doc_id", "raw", F.explode("asked").alias("x"))
     span = F.expr(f"substring(raw, cast(shiftright(x.place, 16) as int) + 1, cast(shiftright(x.place, 8) & 255 as int) + {LENGTH})")
     cut = one.select("x.part", "doc_id", "row", F.shiftright("x.place", 16).alias("first"), F.col("x.place").bitwiseAND(F.lit(255)).alias("at"), span.alias("span"))
     spans = stored(cut.select(F.expr(f"substring(span, cast(at as int) + 1, {ANCHOR})").alias("anchor"), "part", "doc_id", "row", "first", "at", "span"), "spans")
+    swept(texts.sparkSession)
     buckets = spans.repartitionByRange(n, "anchor", "part").sortWithinPartitions("anchor", "part", "doc_id", "row", "first")
     settled = stored(_settled(buckets), "settled")
     dropped(texts.sparkSession, spans)
+    swept(texts.sparkSession)
     alike = Window.partitionBy("key").orderBy("doc_id", "row", "first")
     late = settled.filter("key is not null").withColumn("nth", F.row_number().over(alike)).filter("nth > 1")
     found = stored(settled.filter("key is null").select("row", "first", "last").unionAll(late.select("row", "first", "last")), "ranges")
@@ -345,8 +363,7 @@ def _ranges(texts: DataFrame) -> DataFrame:
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, removed array<struct<start,end>>, kept binary) of every row; removed runs don't touch. Computed when called."""
-    spark = docs.sparkSession
-    texts, name = _placed(docs)
+    texts, gone = _placed(docs)
     ranges = _ranges(texts)
     found = ranges.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("found"))
     joined = texts.join(found.hint("shuffle_merge"), "row", "left")
@@ -374,7 +391,6 @@ def deduplicated(docs: DataFrame) -> DataFrame:
             yield _batch(schema, ids, sizes, removed, kept)
 
     out = stored(joined.select("doc_id", "nameless", "raw", "found").mapInArrow(run, "doc_id long, n_bytes long, removed array<struct<start:long,end:long>>, kept binary"), "kept")
-    dropped(spark, ranges)
-    dropped(spark, texts)
-    spark.sql(f"drop table {name}")
+    dropped(docs.sparkSession, ranges)
+    gone()
     return out
