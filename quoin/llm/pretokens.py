@@ -13,12 +13,14 @@ from collections.abc import Callable
 from itertools import islice
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 #: Fixed value: the pre-token pattern that the byte-level vocabulary was made with.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Kept per worker: pre-tokens, space-cut pieces seen more than once (of which the first are kept longest), and once.
-MEMO_WORDS, MEMO_PIECES, MEMO_NEW = 700_000, 700_000, 350_000
+#: Kept per worker: pre-tokens, and space-cut pieces, of which the first half is kept for good.
+MEMO_WORDS, MEMO_PIECES = 250_000, 900_000
 #: Pre-tokens and pieces over this length aren't kept.
 MEMO_CHARS = 64
 
@@ -56,13 +58,15 @@ class Vocabulary:
 
 
 class Memo:
-    """Ids of texts as bytes of the vocabulary's width; encode gets a list of unseen pre-tokens and gives an id list each."""
+    """Ids of texts as bytes of the vocabulary's width; encode gets a list of unseen pre-tokens and gives an id list each.
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], special: dict[str, int], width: np.dtype):
-        self.encode, self.width = encode, width
+    Where there is encode_words, unseen pieces of letters go to it: it gives the ids of each after a space, as bytes.
+    """
+
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], special: dict[str, int], width: np.dtype, encode_words: Callable[[list[str]], list[bytes]] | None = None):
+        self.encode, self.width, self.encode_words = encode, width, encode_words
         self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
-        self.new_pieces: dict[str, bytes] = {}
         self.find_ascii = re.compile(PATTERN.replace(r"\p{L}", "A-Za-z").replace(" ?A-Za-z+", " ?[A-Za-z]+").replace(r"\p{N}", "0-9").replace(" ?0-9+", " ?[0-9]+"), re.ASCII).findall
         self.find = regex.compile(PATTERN).findall
         self.unsafe = re.compile(r"\s (?:\s|\Z)").search
@@ -92,51 +96,69 @@ class Memo:
     def _whole(self, text: str) -> bytes:
         return b"".join(self._words(self.find(text)))
 
+    def _known(self, pieces: list[str]) -> list[bytes]:
+        """Ids of different pieces."""
+        known = self.pieces
+        if len(known) > MEMO_PIECES:
+            # the first half holds what is frequent: it was met early
+            known = self.pieces = dict(islice(known.items(), MEMO_PIECES // 2))
+        got = list(map(known.get, pieces))
+        unseen = [i for i, ids in enumerate(got) if ids is None]
+        if self.encode_words is not None:
+            plain = [i for i in unseen if pieces[i].isalpha() and len(pieces[i]) <= MEMO_CHARS]
+            own = [pieces[i] for i in plain]
+            ids = self.encode_words(own)
+            known.update(zip(own, ids, strict=True))
+            for i, x in zip(plain, ids, strict=True):
+                got[i] = x
+            unseen = [i for i in unseen if got[i] is None]
+        found = [self._cut(p[2:] if p[:2] == "  " else " " + p) for p in (pieces[i] for i in unseen)]
+        flat = iter(self._words([w for ws in found for w in ws]))
+        for i, ws in zip(unseen, found, strict=True):
+            got[i] = ids = next(flat) if len(ws) == 1 else b"".join([next(flat) for _ in ws])
+            if len(pieces[i]) <= MEMO_CHARS:
+                known[pieces[i]] = ids
+        return got
+
     def _plain(self, texts: list[str]) -> list[bytes]:
-        """Texts without special strings."""
-        if len(self.pieces) > MEMO_PIECES:
-            self.pieces = dict(islice(self.pieces.items(), MEMO_PIECES // 2))
-        if len(self.new_pieces) > MEMO_NEW:
-            self.new_pieces = {}
-        get, new = self.pieces.get, self.new_pieces.get
-        rows: list[list[bytes | None] | None] = []
-        missing: list[tuple[list[bytes | None], int, str]] = []
-        for t in texts:
+        """Texts without special strings. Each different piece is looked up once; the texts are put together over arrays."""
+        out: list[bytes | None] = [None] * len(texts)
+        safe = []
+        for i, t in enumerate(texts):
             if self.unsafe(t):
-                rows.append(None)
-                continue
-            parts = t.split(" ")
-            # what follows a space is kept under its own text, the first piece with a mark that no piece can hold
-            if parts[0]:
-                parts[0] = "  " + parts[0]
+                out[i] = self._whole(t)
             else:
-                del parts[0]
-            got = list(map(get, parts))
-            at, gaps = -1, got.count(None)
-            for _ in range(gaps):
-                at = got.index(None, at + 1)
-                missing.append((got, at, parts[at]))
-            rows.append(got)
-        if missing:
-            fresh: dict[str, bytes | None] = {}
-            again: dict[str, bytes] = {}
-            for _, _, p in missing:
-                if p in fresh:
-                    continue
-                fresh[p] = was = new(p)
-                if was is not None:
-                    again[p] = was
-            unseen = [p for p, was in fresh.items() if was is None]
-            found = [self._cut(p[2:] if p[:2] == "  " else " " + p) for p in unseen]
-            flat = iter(self._words([w for ws in found for w in ws]))
-            for p, ws in zip(unseen, found, strict=True):
-                fresh[p] = ids = next(flat) if len(ws) == 1 else b"".join([next(flat) for _ in ws])
-                if len(p) <= MEMO_CHARS:
-                    self.new_pieces[p] = ids
-            self.pieces.update(again)
-            for got, at, p in missing:
-                got[at] = fresh[p]
-        return [self._whole(t) if got is None else b"".join(got) for t, got in zip(texts, rows, strict=True)]
+                safe.append(i)
+        if not safe:
+            return out
+        parts = pc.split_pattern(pa.array([texts[i] for i in safe], pa.large_string()), " ")
+        begin = parts.offsets.to_numpy()
+        coded = parts.values.slice(int(begin[0]), int(begin[-1] - begin[0])).dictionary_encode()
+        begin = begin - begin[0]
+        code, follows = coded.indices.to_numpy().astype(np.int64), np.ones(int(begin[-1]), bool)
+        follows[begin[:-1]] = False
+        used = np.zeros(len(coded.dictionary), bool)
+        used[code[follows]] = True
+        # what follows a space is kept under its own text, the first piece with a mark that no piece can hold
+        firsts = ["  " + p if p else None for p in parts.values.take(pa.array(begin[:-1] + parts.offsets[0].as_py())).to_pylist()]
+        marked = list(dict.fromkeys(p for p in firsts if p))
+        number = {p: i for i, p in enumerate(marked, len(used))}
+        names = coded.dictionary.to_pylist()
+        wanted = np.flatnonzero(used).tolist()
+        ids = self._known([*(names[i] for i in wanted), *marked])
+        size = np.zeros(len(used) + len(marked) + 1, np.int64)
+        place = np.array([*wanted, *range(len(used), len(used) + len(marked))], np.int64)
+        size[place] = np.array([len(x) for x in ids], np.int64) // self.width.itemsize
+        start = np.zeros(len(size), np.int64)
+        start[place] = np.cumsum(size[place]) - size[place]
+        code[begin[:-1]] = [number[p] if p else len(size) - 1 for p in firsts]
+        each = size[code]
+        ends = np.cumsum(each)
+        tokens = np.frombuffer(b"".join(ids), self.width)[np.repeat(start[code] - ends + each, each) + np.arange(int(each.sum()))]
+        whole, bounds = tokens.tobytes(), np.append(0, ends)[begin] * self.width.itemsize
+        for i, a, b in zip(safe, bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            out[i] = whole[a:b]
+        return out
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
         """Ids of every whole text; null counts as empty."""

@@ -8,8 +8,8 @@ manifests. Reading checks all of this: chunks against their names, recipes again
 part against its manifest, and the manifests against the store's root; what is lost, doubled, swapped or altered is
 an error.
 
-Ids are those of the tokenizers library: its model is asked for each pre-token, and pre-tokens are cut by the
-vocabulary's own pattern, told in pretokens.py, so that ids of known ones can be remembered.
+Ids are those of the tokenizers library's model, asked for each pre-token (several words of letters at once, as no token
+joins them). Pre-tokens are cut by the vocabulary's own pattern, told in pretokens.py, so that ids can be remembered.
 
 Null texts count as empty and hold the end id alone. Rows that share a doc_id are documents of their own, in any
 order among themselves; null ids come first. Further columns aren't stored. An empty table gives an empty store.
@@ -26,11 +26,13 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quoin.llm.common import dropped, map_batches, partitions, stored
+from quoin.llm.common import ARROW_BYTES, ARROW_ROWS, dropped, looked_up, map_batches, partitions, stored
 from quoin.llm.pretokens import Memo, Vocabulary, byte_symbols
 
 #: Ids that the rolling hash sees; bounds and mean (a power of two) of a chunk's ids.
 WINDOW, LEAST, MEAN, MOST = 8, 64, 512, 4096
+#: Words that the library's model sees at once.
+WORDS = 100
 
 _memos: dict[str, tuple[Vocabulary, Memo]] = {}
 
@@ -40,6 +42,8 @@ def library_memo(path: str) -> tuple[Vocabulary, Memo]:
     if path not in _memos:
         import os
 
+        import numpy as np
+
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -51,11 +55,28 @@ def library_memo(path: str) -> tuple[Vocabulary, Memo]:
         def encode(words: list[str]) -> list[list[int]]:
             out = []
             for w in words:
-                w = w.encode().decode("latin-1").replace(" ", letters[32])
-                out.append([t.id for t in model.tokenize(w.translate(letters) if others(w) else w)])
+                if not (w.isascii() and w.isprintable()):
+                    w = w.encode().decode("latin-1")
+                    w = w.translate(letters) if others(w) else w
+                out.append([t.id for t in model.tokenize(w.replace(" ", letters[32]))])
+            return out
+
+        symbols = np.array([ord(c) for c in byte_symbols()], np.uint32)
+        sizes = np.array([len(b) for b in vocabulary.token_bytes])
+
+        def encode_words(words: list[str]) -> list[bytes]:
+            out = []
+            for k in range(0, len(words), WORDS):
+                raw = np.frombuffer((" " + " ".join(words[k : k + WORDS])).encode(), np.uint8)
+                ids = np.array([t.id for t in model.tokenize(symbols[raw].tobytes().decode("utf-32-le"))], vocabulary.width)
+                begins = np.cumsum(sizes[ids]) - sizes[ids]
+                whole, bounds = ids.tobytes(), [*(np.searchsorted(begins, np.flatnonzero(raw == 32)) * ids.itemsize).tolist(), ids.nbytes]
+                out += [whole[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
             return out
 
-        _memos[path] = vocabulary, Memo(encode, vocabulary.special, vocabulary.width)
+        # no token goes on over a space after a letter, so the model may see many words at once
+        joins = any(b" " in b.lstrip(b" ") and any(c.isalpha() for c in b.split(b" ")[0].decode("utf-8", "replace")) for b in vocabulary.token_bytes)
+        _memos[path] = vocabulary, Memo(encode, vocabulary.special, vocabulary.width, None if joins else encode_words)
     return _memos[path]
 
 
@@ -123,7 +144,7 @@ def chunked(docs: DataFrame, path: str, end_id: int) -> DataFrame:
             yield {"row": row, "doc_id": doc_id, "pos": pos, "name": [hashlib.blake2b(p, digest_size=16).digest() for p in payload], "n": n, "payload": payload}
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return map_batches(rows, run, "row long, doc_id long, pos int, name binary, n int, payload binary")
+    return map_batches(rows, run, "row long, doc_id long, pos int, name binary, n int, payload binary", 4 * ARROW_ROWS, 4 * ARROW_BYTES)
 
 
 class Merkle:
@@ -287,7 +308,8 @@ def read_sums(spark: SparkSession, store: str, width: str) -> DataFrame:
     """
     recipes = verified(spark, store)
     sums = chunk_sums(spark.read.parquet(f"{store}/chunks"), width)
-    named = recipes.select("doc_id", "row", "root", F.posexplode("names").alias("pos", "name")).join(sums, "name", "left")
+    parts = stored(recipes.select("row", "root", F.posexplode("names").alias("pos", "name")), "parts")
+    named = looked_up(parts, stored(sums, "sums"), ["name"], "left")
     whole = named.groupBy("row").agg(F.first("root").alias("root"), F.array_sort(F.collect_list(F.struct("pos", "name", "n", "crc"))).alias("parts"))
     flat = whole.select("row", "root", F.col("parts.name").alias("names"), F.col("parts.n").alias("sizes"), F.col("parts.crc").alias("crcs"))
 
