@@ -16,7 +16,7 @@ import heapq
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quoin.llm.common import dropped, map_batches, partitions, stored
+from quoin.llm.common import dropped, looked_up, map_batches, partitions, stored
 
 #: Groups differenced together in one task; vectors differenced together, on the driver at last.
 BLOCK, FAN = 50_000, 4096
@@ -128,12 +128,14 @@ def shard(docs: DataFrame, shards: int = 40) -> DataFrame:
     """(doc_id, size, text_crc32, shard, slot) of every row: equal texts together, slots without gaps from 0 in each shard."""
     spark = docs.sparkSession
     text = F.col("text")
-    rows = docs.select("doc_id", (F.coalesce(F.octet_length(text), F.lit(0)) + ROW_BYTES).cast("long").alias("size"), F.coalesce(F.crc32(F.encode(text, "UTF-8")), F.lit(0)).alias("text_crc32"), F.xxhash64(text, text.isNull()).alias("h"))
+    rows = stored(docs.select("doc_id", (F.coalesce(F.octet_length(text), F.lit(0)) + ROW_BYTES).cast("long").alias("size"), F.coalesce(F.crc32(F.encode(text, "UTF-8")), F.lit(0)).alias("text_crc32"), F.xxhash64(text, text.isNull()).alias("h")), "sizes")
     groups = rows.groupBy("h", F.col("text_crc32").alias("crc"), "size").agg(F.sum("size").alias("bytes"))
     settled = stored(_blocks(groups.sortWithinPartitions("h", "crc", "size"), shards), "blocks")
     to = _merged(spark, settled.filter("loads is not null").select("block", "loads"), shards)
     homes = settled.filter("loads is null").select("h", "crc", "size", "block", "bin").join(to, ["block", "bin"]).select("h", F.col("crc").alias("text_crc32"), "size", "shard")
-    placed = stored(rows.join(homes, ["h", "text_crc32", "size"]).select("doc_id", "size", "text_crc32", "shard", F.pmod(F.xxhash64("doc_id", "h"), F.lit(partitions(spark))).cast("int").alias("part")), "placed")
+    placed = stored(looked_up(rows, homes, ["h", "text_crc32", "size"]).select("doc_id", "size", "text_crc32", "shard", F.pmod(F.xxhash64("doc_id", "h"), F.lit(partitions(spark))).cast("int").alias("part")), "placed")
+    dropped(spark, rows)
+    dropped(spark, settled)
     before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = placed.groupBy("shard", "part").count().select("shard", "part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
     own = Window.partitionBy("shard", "part").orderBy("doc_id")

@@ -17,7 +17,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quoin.llm.common import aside, map_batches, stored
+from quoin.llm.common import aside, dropped, looked_up, map_batches, stored
 from quoin.llm.components import components, forest
 
 BITS, BLOCKS = 64, 6
@@ -132,16 +132,17 @@ def _classes(marked: DataFrame, first: Column, distance: int) -> DataFrame:
     """(fp, name): for every fingerprint, the least first (an aggregate) of all rows of its component."""
     distinct = stored(marked.groupBy("fp").agg(first.alias("first")), "distinct")
     roots = components(links(distinct, distance))
-    homes = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    homes = stored(distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "homes")
+    dropped(marked.sparkSession, distinct)
     names = homes.groupBy("root").agg(F.min("first").alias("name"))
-    return homes.select("fp", "root").join(names, "root").select("fp", "name")
+    return looked_up(homes.select("fp", "root"), names, ["root"]).select("fp", "name")
 
 
 def near_copies(docs: DataFrame, size: int = 3, distance: int = 3) -> DataFrame:
     """(doc_id, fp, component_id): component_id is the smallest doc_id reachable by links of at most distance bits."""
     marked = stored(fingerprints(docs, size), "fingerprints")
     named = _classes(marked, F.min("doc_id"), distance)
-    return marked.join(named, "fp").select("doc_id", "fp", F.col("name").alias("component_id"))
+    return looked_up(marked, named, ["fp"]).select("doc_id", "fp", F.col("name").alias("component_id"))
 
 
 def representatives(docs: DataFrame, size: int = 3, distance: int = 3) -> DataFrame:

@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from quoin.llm import components, decontamination, queries, sharding, simhash, suffixes
+from quoin.llm import common, components, decontamination, queries, sharding, simhash, suffixes
 from tests.llm.helpers import LOWER, ascii_words, bench_words, corpus, frame, prose, sha
 
 
@@ -150,6 +150,16 @@ def test_links_divide_crowded_places(spark, monkeypatch):
     assert all(len(s) == 1 for s in got.values()) and len(got) == len(set(want))
 
 
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_hot_keys_are_joined_in_place(spark, how):
+    left = [(k % 5 if k % 3 else 7, k) for k in range(300)] + [(None, 900), (99, 901)] + [(1000 + k, k) for k in range(700)]
+    right = [(k, f"name {k}") for k in [*range(8), *range(1000, 1400)]]
+    names = dict(right)
+    rows = spark.createDataFrame(left, "k long, v long")
+    got = sorted(((r.k, r.v, r.n) for r in common.looked_up(rows, spark.createDataFrame(right, "k long, n string"), ["k"], how).collect()), key=str)
+    assert got == sorted(((k, v, names.get(k)) for k, v in left if how == "left" or k in names), key=str)
+
+
 def test_components_of_long_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(200)] + [(1000, 1000 + k) for k in range(1, 90)] + [(5, 5), (2000, 1999)]
     got = dict(map(tuple, components.components(spark.createDataFrame(edges, "a long, b long").repartition(7)).collect()))
