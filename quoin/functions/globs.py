@@ -35,7 +35,16 @@ def ignore_regex(pattern: str) -> str:
             c = text[i]
             begins = (i == 0 and fresh) or (i > 0 and text[i - 1] == "/")
             dotless = r"(?!\.)" if begins else ""
-            if c == "*":
+            if c in "@?*+!(" and (group := text.find("(", i, i + 2)) >= 0 and (end := _closing(text, group, "()")) > 0:
+                # one of some patterns: once, at most once, any number of times, at least once, or none of them
+                either = "(?:" + "|".join(translate(p, begins) for p in _alternatives(text[group + 1 : end])) + ")"
+                if c == "!":
+                    alone = begins and (end + 1 == len(text) or text[end + 1] == "/")
+                    out += f"(?!{either}{translate(text[end + 1 :], False)}$){dotless}[^/]{'+' if alone else '*'}?"
+                else:
+                    out += either + (c if c in "?*+" else "")
+                i = end + 1
+            elif c == "*":
                 stars = len(text[i:]) - len(text[i:].lstrip("*"))
                 ends = i + stars == len(text)
                 if stars >= 2 and begins and (ends or text[i + stars] == "/"):
@@ -75,10 +84,22 @@ def ignore_regex(pattern: str) -> str:
     return f"^(?!{whole[1:]}).*$" if negated else whole
 
 
-def _closing(text: str, at: int) -> int:
+def _alternatives(body: str) -> list[str]:
+    """What stands between the bars that are in no inner group."""
+    parts, depth = [""], 0
+    for c in body:
+        depth += (c == "(") - (c == ")")
+        if c == "|" and depth == 0:
+            parts.append("")
+        else:
+            parts[-1] += c
+    return parts
+
+
+def _closing(text: str, at: int, pair: str = "{}") -> int:
     depth = 0
     for i in range(at, len(text)):
-        depth += (text[i] == "{") - (text[i] == "}")
+        depth += (text[i] == pair[0]) - (text[i] == pair[1])
         if depth == 0:
             return i
     return -1

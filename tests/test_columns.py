@@ -75,3 +75,17 @@ def test_small_columns(spark):
 ])
 def test_lines(source, counts):
     assert count_lines(source) == counts
+
+
+@pytest.mark.parametrize("pattern,hits,misses", [
+    ("src/@(a|b)/**", "src/a/x.ts src/b/c/x.ts", "src/ab/x.ts src/c/x.ts"), ("src/!(a|b)/*.ts", "src/c/x.ts src/ab/x.ts", "src/a/x.ts src/b/x.ts src/c/d/x.ts src/.c/x.ts"),
+    ("src/+(a|b).ts", "src/a.ts src/abba.ts", "src/c.ts src/abc.ts"), ("src/?(a)b.ts", "src/b.ts src/ab.ts", "src/aab.ts src/a.ts"), ("src/x*(a|b).ts", "src/x.ts src/xab.ts", "src/xc.ts"),
+    ("**/!(*.d).ts", "x/a.ts x/y/a.ts a.ts", "x/a.d.ts a.d.ts"), ("src/(a|b).ts", "src/a.ts src/b.ts", "src/c.ts"), ("src/@(a|+(b|c)d)/*", "src/a/x src/bcbd/x", "src/d/x"),
+])
+def test_extended_patterns(pattern, hits, misses):
+    import re
+
+    from quoin.functions.globs import ignore_regex
+
+    found = re.compile(ignore_regex(pattern)).search
+    assert all(found(p) for p in hits.split()) and not any(found(p) for p in misses.split())
