@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -33,8 +34,35 @@ def shared_dir(spark: SparkSession) -> str:
     return known.rstrip("/")
 
 
+#: Paths given out while a scratch() lasts.
+_given: list[list[str]] = []
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    for paths in _given:
+        paths.append(path)
+    return path
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession, *kept: str) -> Iterator[None]:
+    """Remove, at the end, all that was stored inside, but for the paths to be kept: nothing lazy that reads it may outlive this."""
+    paths: list[str] = []
+    _given.append(paths)
+    try:
+        yield
+    finally:
+        _given.remove(paths)
+        for path in paths:
+            if path not in kept:
+                removed(spark, path)
+        swept(spark)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -47,6 +75,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 def swept(spark: SparkSession) -> None:
     """Have the driver forget finished shuffles now, as it would in time, so that executors remove their files."""
+    gc.collect()  # frames in cycles keep their plans
     spark.sparkContext._jvm.System.gc()
 
 
