@@ -21,7 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quoin.llm.common import dropped, stored
+from quoin.llm.common import looked_up, stored
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -121,9 +121,9 @@ def patterns(rows: DataFrame) -> DataFrame:
         scores = stored(scores.filter(reduce(lambda a, b: a | b, (F.col(f"p{i}") > 0 for i in range(len(KINDS))))), "patterns")
         # of what its patterns say of an instance, each pattern is told what the others say; seeds stay what they are
         doubts = [F.log(F.greatest(F.lit(1e-9), 1 - F.coalesce(F.col(f"p{i}"), F.lit(0.0)) * 0.999)).alias(f"d{i}") for i in range(len(KINDS))]
-        met = edges.join(scores, "pattern", "left").select("pattern", "value", *(f"k{i}" for i in range(len(KINDS))), *doubts)
+        met = stored(looked_up(edges, scores, ["pattern"], "left").select("pattern", "value", *(f"k{i}" for i in range(len(KINDS))), *doubts), "met")
         told = met.groupBy("value").agg(*(F.sum(f"d{i}").alias(f"all{i}") for i in range(len(KINDS))))
-        now = met.join(told, "value").select("pattern", "value", *(F.when(seed > 0, F.col(f"k{i}")).otherwise(1 - F.exp(F.col(f"all{i}") - F.col(f"d{i}"))).alias(f"s{i}") for i in range(len(KINDS))))
+        now = looked_up(met, told, ["value"]).select("pattern", "value", *(F.when(seed > 0, F.col(f"k{i}")).otherwise(1 - F.exp(F.col(f"all{i}") - F.col(f"d{i}"))).alias(f"s{i}") for i in range(len(KINDS))))
     kinds = F.explode(F.array(*(F.struct(F.lit(i).alias("kind"), F.col(f"p{i}").alias("score")) for i in range(len(KINDS))))).alias("x")
     return scores.select("pattern", kinds).select("pattern", "x.kind", "x.score").filter(F.col("score") >= SCORE)
 
