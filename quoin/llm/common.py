@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
@@ -75,8 +76,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 def swept(spark: SparkSession) -> None:
     """Have the driver forget finished shuffles now, as it would in time, so that executors remove their files."""
-    gc.collect()  # frames in cycles keep their plans
-    spark.sparkContext._jvm.System.gc()
+    # what the first collection queues has to be seen to before the second can free the plans
+    for _ in range(2):
+        spark.sparkContext._jvm.System.gc()
+        gc.collect()
+        time.sleep(0.3)
 
 
 def dropped(spark: SparkSession, df: DataFrame) -> None:
