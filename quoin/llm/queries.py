@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quoin.llm import bpe, decontamination, language, pii, quality, sharding, simhash, suffixes, token_store, topk
+from quoin.llm import bpe, decontamination, language, pii, quality, sharding, simhash, spelling, suffixes, token_store, topk
 from quoin.llm.common import fresh_path, read_table
 
 
@@ -70,6 +70,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(docs, read_table(spark, sf_dir, "labels"), keep_text=False).select("doc_id", "held_out", "score", "predicted")
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 OP9_SQL = """
 with v as materialized (
   select row_number() over () as r, vec_id, list_transform(embedding, lambda x: cast(floor(64 * cast(x as double)) as bigint)) as q
@@ -87,10 +91,56 @@ where rank <= 20
 """
 
 
+#: The 256 remainders of crc32, as a table of one row.
+CRC_TABLE = """
+crc_table as materialized (
+  select list(list_reduce([cast(i as bigint), 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: case when c % 2 = 1 then xor(c // 2, 3988292384) else c // 2 end) order by i) as crcs
+  from range(256) t(i)
+)"""
+#: crc32 of the UTF-8 bytes whose hexadecimal digits are in h, beside crc_table.
+CRC_OF_H = """xor(4294967295, list_reduce(list_prepend(cast(4294967295 as bigint), list_transform(range(0, cast(length(h) / 2 as bigint)), lambda k: cast(16 * (strpos('0123456789ABCDEF', h[2 * k + 1]) - 1) + strpos('0123456789ABCDEF', h[2 * k + 2]) - 1 as bigint))),
+  lambda c, y: xor(c // 256, crcs[cast(xor(c % 256, y) as bigint) + 1])))"""
+
+OP11_SQL = f"""
+with recursive {CRC_TABLE},
+runs as (
+  select coalesce(cast(doc_id as varchar), '') as id, unnest(regexp_extract_all(translate(text, '{spelling.UPPER}', '{spelling.LOWER}'), '[a-zÀ-ÿ]+')) as run from documents
+),
+hashed as (
+  select run, times, {CRC_OF_H} as crc
+  from (select run, hex(encode(id || ':' || run)) as h, count(*) as times from runs group by id, run), crc_table
+),
+damaged as (
+  select case when crc % 97 = 0 then substr(run, 1, cast(crc % length(run) as bigint)) || substr(run, cast(crc % length(run) as bigint) + 2) else run end as word, times from hashed
+),
+words as materialized (select word, cast(sum(times) as bigint) as n from damaged where length(word) >= 5 group by word having sum(times) >= 3),
+cut as materialized (select word, i, substr(word, 1, i - 1) || substr(word, i + 1) as rest from (select word, unnest(range(1, length(word) + 1)) as i from words)),
+near as (
+  select a.word, b.word as other from cut a join cut b on a.i = b.i and a.rest = b.rest and a.word <> b.word
+  union select c.word, w.word from cut c join words w on w.word = c.rest
+  union select w.word, c.word from cut c join words w on w.word = c.rest
+),
+ranked as (
+  select near.word, other, n, count(*) over (partition by near.word) as n_near, row_number() over (partition by near.word order by n desc, other) as place
+  from near join words on words.word = other
+),
+judged as materialized (
+  select w.word, w.n, coalesce(r.n_near, 0) as n_near, case when r.n >= 2 * w.n then r.other end as form, case when r.n >= 2 * w.n then r.n end as form_n
+  from words w left join ranked r on r.word = w.word and r.place = 1
+),
+way as (
+  select word, word as root, 0 as steps from judged
+  union all select way.word, judged.form, steps + 1 from way join judged on judged.word = way.root where judged.form is not null
+)
+select j.word, j.form, w.root, j.n, cast(j.n_near as bigint) as n_near, j.form_n
+from judged j join (select word, arg_max(root, steps) as root from way group by word) w on w.word = j.word
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op2_sharding": op2_sharding, "op3_simhash": op3_simhash, "op4_suffixes": op4_suffixes, "op5_token_store": op5_token_store, "op6_pii": op6_pii, "op7_decontamination": op7_decontamination, "op8_language": op8_language, "op9_topk": op9_topk, "op10_quality": op10_quality}
+    return {"op1_bpe": op1_bpe, "op2_sharding": op2_sharding, "op3_simhash": op3_simhash, "op4_suffixes": op4_suffixes, "op5_token_store": op5_token_store, "op6_pii": op6_pii, "op7_decontamination": op7_decontamination, "op8_language": op8_language, "op9_topk": op9_topk, "op10_quality": op10_quality, "op11_spelling": op11_spelling}
 
 
 def oracle_sql() -> dict[str, str]:
     """Queries missing here can't be said in SQL; tests/llm holds them against brute force."""
-    return {"op9_topk": OP9_SQL}
+    return {"op9_topk": OP9_SQL, "op11_spelling": OP11_SQL}
