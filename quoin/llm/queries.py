@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quoin.llm import bpe, decontamination, language, pii, quality, sharding, simhash, spelling, suffixes, token_store, topk
+from quoin.llm import bpe, conversations, decontamination, language, licenses, pii, quality, sharding, simhash, spelling, suffixes, token_store, topk
 from quoin.llm.common import fresh_path, read_table
 
 
@@ -74,6 +74,15 @@ def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.judged(read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+
+
+def op13_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scanned(read_table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
 OP9_SQL = """
 with v as materialized (
   select row_number() over () as r, vec_id, list_transform(embedding, lambda x: cast(floor(64 * cast(x as double)) as bigint)) as q
@@ -137,10 +146,100 @@ from judged j join (select word, arg_max(root, steps) as root from way group by
 """
 
 
+OP12_SQL = f"""
+with recursive {CRC_TABLE},
+keyed as (
+  select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, hex(encode(coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' '))) as h
+  from conversations
+),
+hurt as (select conv_id, turn, role, text, {CRC_OF_H} % 20 as k from keyed, crc_table),
+damaged as (
+  select conv_id, turn, case k when 4 then 'user' else role end as role, case k when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text,
+    unnest(range(case k when 3 then 2 else 1 end)) as copy
+  from hurt where k <> 0
+),
+ordered as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as i from damaged),
+placed as (
+  select *, row_number() over (partition by conv_id, role, text order by i) as seen, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as core from ordered
+),
+faults as materialized (
+  select conv_id, turn, role, text, i, case when core = '' then 'blank' when seen > 1 then 'duplicate' when right(core, 1) not in ('.', '!', '?') then 'truncated' else '' end as fault,
+    i > 1 and lag(left(role, 1)) over (partition by conv_id order by i) || left(role, 1) not in ('su', 'ua', 'au') as illegal
+  from placed
+),
+counts as (
+  select conv_id, cast(coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as bigint) as gaps, count(*) filter (fault = 'blank') as blank, count(*) filter (fault = 'duplicate') as duplicate,
+    count(*) filter (fault = 'truncated') as truncated, count(*) filter (illegal) as illegal, count(*) as n
+  from faults group by conv_id
+),
+inserts(state, becomes, price, letters, added) as (values
+  (0, 0, 0, '', []::varchar[]), (1, 1, 0, '', []::varchar[]), (2, 2, 0, '', []::varchar[]), (3, 3, 0, '', []::varchar[]), (0, 2, 2, 'I', ['user:']), (1, 2, 2, 'I', ['user:']), (3, 2, 2, 'I', ['user:']), (2, 3, 2, 'I', ['assistant:']),
+  (0, 3, 4, 'II', ['user:', 'assistant:']), (1, 3, 4, 'II', ['user:', 'assistant:'])
+),
+edits(state, letter, initial, role, becomes, price) as (values
+  (0, 'K', 's', null, 1, 0), (0, 'K', 'u', null, 2, 0), (1, 'K', 'u', null, 2, 0), (2, 'K', 'a', null, 3, 0), (3, 'K', 'u', null, 2, 0),
+  (0, 'R', null, 'user', 2, 2), (1, 'R', null, 'user', 2, 2), (2, 'R', null, 'assistant', 3, 2), (3, 'R', null, 'user', 2, 2),
+  (0, 'D', null, null, 0, 3), (1, 'D', null, null, 1, 3), (2, 'D', null, null, 2, 3), (3, 'D', null, null, 3, 3)
+),
+way as (
+  select conv_id, cast(0 as bigint) as i, 0 as state, 0 as cost, '' as audit, []::varchar[] as lines from counts
+  union all
+  select conv_id, i, state, best.cost, best.audit, best.lines from (
+    select w.conv_id, r.i, e.becomes as state, min(struct_pack(
+      cost := w.cost + x.price + e.price + case when fault = 'truncated' and letter <> 'D' then 1 else 0 end, audit := w.audit || x.letters || letter,
+      lines := w.lines || x.added || case letter when 'D' then []::varchar[] else [coalesce(e.role, r.role) || ':' || text] end)) as best
+    from way w join inserts x on x.state = w.state join faults r on r.conv_id is not distinct from w.conv_id and r.i = w.i + 1 join edits e on e.state = x.becomes
+    where letter = 'D' or (fault not in ('blank', 'duplicate') and (letter = 'R' or left(r.role, 1) = initial))
+    group by w.conv_id, r.i, e.becomes
+  )
+),
+ended as (
+  select w.conv_id, min(struct_pack(cost := w.cost + x.price, audit := w.audit || x.letters, lines := w.lines || x.added)) as best
+  from way w join counts c on c.conv_id is not distinct from w.conv_id and c.n = w.i join inserts x on x.state = w.state
+  where x.becomes in (0, 3) group by w.conv_id
+)
+select k.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal,
+  cast(coalesce(best.cost, 0) as bigint) as cost, coalesce(best.audit, '') as audit, sha256(coalesce(array_to_string(best.lines, chr(10)), '')) as repaired_sha256
+from (select distinct conv_id from conversations) k left join counts c on c.conv_id is not distinct from k.conv_id left join ended e on e.conv_id is not distinct from k.conv_id
+"""
+
+
+def _expression(items: licenses.Parsed) -> str:
+    """Markup as a regular expression over words with a space after each."""
+    told = {bytes: lambda x: x.decode() + " ", tuple: lambda x: "(?:[^ ]+ ){%d,%d}" % x, list: lambda x: f"(?:{_expression(x)})?"}
+    return "".join(told[type(x)](x) for x in items)
+
+
+def _phrase_sql(phrase: str) -> str:
+    """Starts of the phrase, words from 0."""
+    same = " and ".join(f"words[i + {k}] = '{w}'" for k, w in enumerate(phrase.split(), 1))
+    return f"list_filter(range(0, len(words)), lambda i: {same})"
+
+
+OP13_SQL = f"""
+with split as (
+  select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{spelling.UPPER}', '{spelling.LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as words from documents
+),
+lines as (select *, ' ' || array_to_string(words, ' ') || ' ' as line from split),
+found as (
+  select doc_id, cast(len(words) as bigint) as n_words, {", ".join(f"{_phrase_sql(phrase)} as at{k}" for k, (_, phrase) in enumerate(licenses.PHRASES))},
+    list_filter([{", ".join(f"case when regexp_matches(line, ' {_expression(licenses.parsed(markup))}') then '{label}' end" for label, markup in licenses.TEMPLATES)}], lambda x: x is not null) as own
+  from lines
+),
+told as (
+  select *, {" || ".join(f"at{k}" for k in range(len(licenses.PHRASES)))} as places, list_filter([{", ".join(f"case when len(at{k}) > 0 then '{label}' end" for k, (label, _) in enumerate(licenses.PHRASES))}], lambda x: x is not null) as base
+  from found
+)
+select doc_id, n_words, cast(len(places) as bigint) as n_base, cast(list_min(places) as bigint) as first_word, cast(list_max(places) as bigint) as last_word,
+  array_to_string(list_sort(base), ',') as base_labels, array_to_string(list_sort(list_distinct(base || own)), ',') as labels, case when len(own) > 0 then 1.0 when len(base) > 0 then 0.5 else 0.0 end::double as score
+from told
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op2_sharding": op2_sharding, "op3_simhash": op3_simhash, "op4_suffixes": op4_suffixes, "op5_token_store": op5_token_store, "op6_pii": op6_pii, "op7_decontamination": op7_decontamination, "op8_language": op8_language, "op9_topk": op9_topk, "op10_quality": op10_quality, "op11_spelling": op11_spelling}
+    return {"op1_bpe": op1_bpe, "op2_sharding": op2_sharding, "op3_simhash": op3_simhash, "op4_suffixes": op4_suffixes, "op5_token_store": op5_token_store, "op6_pii": op6_pii, "op7_decontamination": op7_decontamination, "op8_language": op8_language, "op9_topk": op9_topk, "op10_quality": op10_quality, "op11_spelling": op11_spelling, "op12_conversations": op12_conversations, "op13_licenses": op13_licenses}
 
 
 def oracle_sql() -> dict[str, str]:
     """Queries missing here can't be said in SQL; tests/llm holds them against brute force."""
-    return {"op9_topk": OP9_SQL, "op11_spelling": OP11_SQL}
+    return {"op9_topk": OP9_SQL, "op11_spelling": OP11_SQL, "op12_conversations": OP12_SQL, "op13_licenses": OP13_SQL}
