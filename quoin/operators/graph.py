@@ -1,9 +1,9 @@
-"""Graph operators over edges (src, dst): degrees, closure, components, reach, levels, dependents and depth.
+"""Graph operators over edges (src, dst): degrees, components, reach, levels and numbers of dependents.
 
-Graphs of up to LOCAL_EDGES edges are solved in one task (solving.py). Larger ones are solved in rounds of joins, each
-an equi-join and an aggregate spread by node, until nothing is new; every round is kept in storage, so that no plan
-grows with their number, and what is left of a graph goes to one task as soon as it fits. Both ways give the same
-rows. No adjacency list is ever gathered, so nodes with very many neighbours are nothing special.
+Graphs are solved in rounds of joins and aggregates spread by node; contraction (contracting.py) keeps the number of
+rounds from growing with the length of ways. Every round is kept in storage, so that no plan grows with their number,
+and removed at the end. A remainder of up to LOCAL_EDGES edges goes to one task; few = 0 leaves none. Both ways give the
+same rows. No adjacency list is ever gathered, so nodes with very many neighbours are nothing special.
 """
 
 from __future__ import annotations
@@ -15,11 +15,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quoin.operators.contracting import carried, contracted, longest, on_cycles, weighted
+from quoin.operators.ranking import numbered
 from quoin.operators.solving import Graph, in_one_task
-from quoin.plans.storage import settled
+from quoin.plans.storage import passing, settled
 
-#: Edges that one task solves: some 100 bytes of memory each.
-LOCAL_EDGES = 1 << 20
+#: Edges of a remainder that one task solves.
+LOCAL_EDGES = 1 << 14
 #: Words of 64 bits in a row of dependents.
 WORDS = 4
 
@@ -29,8 +31,8 @@ def _held(edges: DataFrame) -> DataFrame:
     return settled(edges.select("src", "dst").filter("src <> dst").distinct())
 
 
-def _few(edges: DataFrame) -> bool:
-    return edges.count() <= LOCAL_EDGES
+def _few_of(few: int | None) -> int:
+    return LOCAL_EDGES if few is None else few
 
 
 def _type(edges: DataFrame) -> str:
@@ -49,97 +51,121 @@ def degrees(edges: DataFrame) -> DataFrame:
     return ends.groupBy("x.node").agg(F.sum("x.i").alias("fan_in"), F.sum("x.o").alias("fan_out"))
 
 
-def closure(edges: DataFrame) -> DataFrame:
-    """(src, dst) for every way of at least one edge.
-
-    Each round goes one edge on from the pairs that were new in the last, so a pair is tried once for each edge that
-    leaves it; there are as many rounds as the farthest pair has edges between them.
-    """
-    single = settled(edges.select("src", "dst").distinct())
-    known, fresh, rounds = single, single, 0
-    onward = single.select(F.col("src").alias("mid"), "dst")
-    while True:
-        steps = fresh.select("src", F.col("dst").alias("mid")).join(onward, "mid").select("src", "dst")
-        fresh = settled(steps.distinct().join(known, ["src", "dst"], "left_anti"))
-        if fresh.isEmpty():
-            return known
-        known, rounds = _with(known, fresh, rounds)
-
-
-def trimmed(edges: DataFrame, rounds: int = 3) -> DataFrame:
-    """edges without those whose ends can't be on a cycle, as far as a few rounds show."""
-    own = edges.select("src", "dst").distinct()
-    for _ in range(rounds):
-        own = own.join(own.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(own.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
-        own = settled(own)
-    return own
+def _with(known: DataFrame, fresh: DataFrame, rounds: int) -> tuple[DataFrame, int]:
+    """known and fresh; every sixteenth round they are put together in storage, so that plans stay short."""
+    both = known.unionAll(fresh)
+    return settled(both) if rounds % 16 == 15 else both, rounds + 1
 
 
 def _component_rows(graph: Graph, _: pd.DataFrame) -> pd.DataFrame:
     component = graph.components()
     on_cycles = np.bincount(component, minlength=graph.n)[component] > 1
-    return pd.DataFrame({"node": graph.names[on_cycles], "component": graph.names[component[on_cycles]]})
+    own = on_cycles & (component != np.arange(graph.n))
+    return pd.DataFrame({"node": graph.names[own], "label": graph.names[component[own]]})
 
 
-def components(edges: DataFrame, held: bool = False) -> DataFrame:
+def components(edges: DataFrame, held: bool = False, few: int | None = None) -> DataFrame:
     """(node, component) for the nodes on cycles, named after their smallest node; held: the edges are distinct and kept already."""
-    left = edges.select("src", "dst") if held else _held(edges)
-    schema, done = f"node {_type(left)}, component {_type(left)}", []
-    while not _few(left):
-        left = trimmed(left)
-        colours = _least_ancestors(left)
-        inner = left.join(colours.toDF("src", "a"), "src").join(colours.toDF("dst", "b"), "dst").filter("a = b")
-        inner = settled(inner.select("src", "dst", F.col("a").alias("colour")))
-        # nodes of one colour that reach the node it is named after: one component, which the node reaches, too
-        found = settled(inner.select(F.col("colour").alias("node"), "colour").distinct())
-        fresh, rounds = found, 0
-        while not fresh.isEmpty():
-            back = fresh.select(F.col("node").alias("dst"), "colour").join(inner, ["dst", "colour"]).select(F.col("src").alias("node"), "colour").distinct()
-            fresh = settled(back.join(found, ["node", "colour"], "left_anti"))
-            found, rounds = _with(found, fresh, rounds)
-        own = settled(found)
-        several = own.groupBy("colour").agg(F.count("*").alias("n")).filter("n > 1").select("colour")
-        done.append(own.join(several, "colour", "left_semi").select("node", F.col("colour").alias("component")))
-        gone = own.select("node")
-        left = settled(inner.select("src", "dst").join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst"))
-    return reduce(DataFrame.unionAll, [in_one_task(left, _component_rows, schema), *done])
-
-
-def _least_ancestors(edges: DataFrame) -> DataFrame:
-    """(node, least): the smallest of a node and all that reach it."""
+    with passing(edges.sparkSession) as kept:
+        left = edges.select("src", "dst") if held else _held(edges)
+        labels = settled(_labels(left, _few_of(few)))
+        own = labels.unionByName(labels.select(F.col("label").alias("node"), "label").distinct())
+        names = own.groupBy("label").agg(F.min("node").alias("component"))
+        told = settled(own.join(names, "label").select("node", "component"))
+        kept.append(told)
+    return told
+
+
+def _labels(edges: DataFrame, few: int, depth: int = 0) -> DataFrame:
+    """(node, label) of the nodes on cycles, but for the one of each component whose name all others have.
+
+    The graph is contracted; in what is left, each node learns the least of the nodes that lead to it and of those that it
+    leads to, by a hash, so that any may be least. Where both are the same node, its component is known; the others lie
+    between nodes that agree in both, and are looked for there.
+    """
+    core, rounds = contracted(weighted(edges, 0), few, ending=False)
+    core = core.select("src", "dst")
+    if core.isEmpty():
+        labels = edges.sparkSession.createDataFrame([], f"node {_type(edges)}, label {_type(edges)}")
+    elif core.count() <= few:
+        labels = settled(in_one_task(core, _component_rows, f"node {_type(edges)}, label {_type(edges)}"))
+    else:
+        told = _least(core, depth).join(_least(core.select(F.col("dst").alias("src"), F.col("src").alias("dst")), depth).toDF("node", "after"), "node")
+        told = settled(told.select("node", F.col("least").alias("a"), F.col("after").alias("b")))
+        same = core.join(told.toDF("src", "a", "b"), "src").join(told.toDF("dst", "c", "d"), "dst").filter("a = c and b = d and a <> b")
+        left = settled(same.select("src", "dst"))
+        labels = told.filter("a = b and node <> a").select("node", F.col("a").alias("label"))
+        if not left.isEmpty():
+            labels = labels.unionByName(_labels(left, few, depth + 1))
+    return carried(labels, rounds, on_cycles)
+
+
+def _least(edges: DataFrame, seed: int) -> DataFrame:
+    """(node, least): of a node and all that lead to it the one of the least hash.
+
+    Each round also looks at what the least one known knows, so ways are halved where they are long.
+    """
     nodes = edges.select(F.col("src").alias("node")).unionAll(edges.select("dst")).distinct()
-    now = settled(nodes.select("node", F.col("node").alias("least")))
-    fresh = now
-    while not fresh.isEmpty():
-        told = fresh.join(edges.select(F.col("src").alias("node"), "dst"), "node").groupBy(F.col("dst").alias("node")).agg(F.min("least").alias("told"))
-        both = settled(now.join(told, "node", "left").select("node", F.coalesce(F.least("least", "told"), "least").alias("least"), (F.col("told") < F.col("least")).alias("new")))
-        now, fresh = both.select("node", "least"), both.filter("new").select("node", "least")
-    return now
-
-
-def _with(known: DataFrame, fresh: DataFrame, rounds: int) -> tuple[DataFrame, int]:
-    """known and fresh; every sixteenth round they are put together in storage, so that plans stay short."""
-    both = known.unionAll(fresh)
-    return settled(both) if rounds % 16 == 15 else both, rounds + 1
+    now = settled(nodes.select("node", F.struct(F.xxhash64("node", F.lit(seed)).alias("h"), "node").alias("least"), F.lit(True).alias("new")))
+    while True:
+        told = now.filter("new").join(edges.select(F.col("src").alias("node"), "dst"), "node").groupBy(F.col("dst").alias("node")).agg(F.min("least").alias("told"))
+        step = now.join(told, "node", "left").select("node", F.col("least").alias("was"), F.least("least", "told").alias("least"))
+        further = now.select(F.col("node").alias("at"), F.col("least").alias("further"))
+        jump = step.join(further, F.col("least.node") == F.col("at"), "left").select("node", "was", F.least("least", "further").alias("least"))
+        now = settled(jump.select("node", "least", (F.col("least") < F.col("was")).alias("new")))
+        if now.filter("new").isEmpty():
+            return now.select("node", F.col("least.node").alias("least"))
 
 
 def _reached_rows(graph: Graph, table: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"node": graph.names[graph.reached(table.code[table.dst.isna()].to_numpy())]})
 
 
-def reachable(edges: DataFrame, seeds: DataFrame, held: bool = False) -> DataFrame:
-    """(node): the seeds and what can be reached from them."""
-    own = edges.select("src", "dst") if held else _held(edges)
-    known = settled(seeds.select("node").distinct())
-    if _few(own) and known.count() <= LOCAL_EDGES:
-        return in_one_task(own.unionAll(known.select("node", F.lit(None).cast(_type(own)))), _reached_rows, f"node {_type(own)}")
+#: Rounds of a plain search before the rest of a graph is contracted.
+STEPS = 12
+
+
+def reachable(edges: DataFrame, seeds: DataFrame, held: bool = False, few: int | None = None) -> DataFrame:
+    """(node): the seeds and what can be reached from them.
+
+    A search from the frontier, which Spark sends to all tasks while it is small and joins by node when it isn't. If that
+    takes long, the part not reached yet is contracted, so ways of any length take few rounds.
+    """
+    few = _few_of(few)
+    with passing(edges.sparkSession) as kept:
+        own = edges.select("src", "dst") if held else _held(edges)
+        known = settled(seeds.select("node").distinct())
+        if own.count() <= few and known.count() <= few:
+            told = settled(in_one_task(own.unionAll(known.select("node", F.lit(None).cast(_type(own)))), _reached_rows, f"node {_type(own)}"))
+        else:
+            told = settled(_searched(own, known, few))
+        kept.append(told)
+    return told
+
+
+def _searched(own: DataFrame, known: DataFrame, few: int, most: int | None = STEPS) -> DataFrame:
     fresh, rounds = known, 0
     while not fresh.isEmpty():
+        if rounds == most:
+            return known.unionByName(_far(own, known, fresh, few))
         fresh = settled(fresh.join(own.select(F.col("src").alias("node"), "dst"), "node").select(F.col("dst").alias("node")).distinct().join(known, "node", "left_anti"))
         known, rounds = _with(known, fresh, rounds)
     return known
 
 
+def _far(own: DataFrame, known: DataFrame, fresh: DataFrame, few: int) -> DataFrame:
+    """(node) of what isn't known, but reached from fresh: values carried over edges turned round, 1 where a way comes from fresh."""
+    rest = settled(own.join(known.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst"))
+    first = rest.join(fresh.withColumnRenamed("node", "src"), "src", "left_semi").select(F.col("dst").alias("src"), F.lit(None).cast(_type(own)).alias("dst"), F.lit(1).cast("long").alias("weight")).distinct()
+    inner = rest.join(known.withColumnRenamed("node", "src"), "src", "left_anti")
+    core, rounds = contracted(first.unionByName(weighted(inner.select(F.col("dst").alias("src"), F.col("src").alias("dst")), 0)), few)
+    begun = settled(core.filter("dst is null and weight > 0").select(F.col("src").alias("node")).distinct())
+    ways = core.filter("dst is not null").select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    there = _searched(ways, begun, few, None)
+    values = settled(there.select("node", F.lit(1).cast("long").alias("value")))
+    return carried(values, rounds, longest).filter("value > 0").select("node")
+
+
 def condensed(edges: DataFrame, nodes_of: DataFrame) -> DataFrame:
     """Edges between components, named by nodes_of (node, component); other nodes stand for themselves."""
     a, b = nodes_of.select(F.col("node").alias("src"), F.col("component").alias("ca")), nodes_of.select(F.col("node").alias("dst"), F.col("component").alias("cb"))
@@ -147,32 +173,25 @@ def condensed(edges: DataFrame, nodes_of: DataFrame) -> DataFrame:
     return named.filter("src <> dst").distinct()
 
 
-def levels(dag: DataFrame) -> DataFrame:
+def _level_rows(graph: Graph, table: pd.DataFrame) -> pd.DataFrame:
+    ends = table[table.dst.isna()]
+    return pd.DataFrame({"node": graph.names, "value": graph.longest(ends.code.to_numpy(), ends.weight.to_numpy())})
+
+
+def levels(dag: DataFrame, few: int | None = None) -> DataFrame:
     """(node, level): the length of the longest way from a node; a graph with cycles must be condensed before.
 
-    The nodes that only lead to nodes taken away are taken away in the next round, whose number is their level.
+    The graph is contracted until nothing or little is left, and levels are carried back, so chains and trees of any depth take few rounds.
     """
-    edges = _held(dag)
-    nodes = settled(edges.select(F.col("dst").alias("node")).unionAll(edges.select("src")).distinct())
-    found, k = [], 0
-    while not _few(edges):
-        sinks = settled(nodes.join(edges.select(F.col("src").alias("node")), "node", "left_anti"))
-        if sinks.isEmpty():
-            raise ValueError("a graph with cycles has no levels")
-        found.append(sinks.withColumn("level", F.lit(k)))
-        nodes = settled(nodes.join(sinks, "node", "left_anti"))
-        edges = settled(edges.join(sinks.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst"))
-        k += 1
-        if k % 64 == 0:
-            found = [settled(reduce(DataFrame.unionAll, found))]
-
-    def solve(graph: Graph, table: pd.DataFrame, k: int = k) -> pd.DataFrame:
-        return pd.DataFrame({"node": graph.names, "level": graph.levels(np.full(graph.n, k, np.int64))})
-
-    # of few edges there are few nodes, but for those of the last round, which are in none
-    touched = nodes.join(edges.select(F.col("src").alias("node")).unionAll(edges.select("dst")), "node", "left_semi")
-    apart = nodes.join(touched, "node", "left_anti").withColumn("level", F.lit(k))
-    return reduce(DataFrame.unionAll, [in_one_task(edges, solve, f"node {_type(edges)}, level int"), apart, *found])
+    few = _few_of(few)
+    with passing(dag.sparkSession) as kept:
+        edges = _held(dag)
+        left, rounds = contracted(weighted(edges, 1), few, acyclic=True)
+        values = settled(in_one_task(left, _level_rows, f"node {_type(edges)}, value long"))
+        nodes = edges.select(F.col("src").alias("node")).unionAll(edges.select("dst")).distinct()
+        told = settled(nodes.join(carried(values, rounds, longest), "node", "left").select("node", F.coalesce("value", F.lit(0)).cast("int").alias("level")))
+        kept.append(told)
+    return told
 
 
 def violations(edges: DataFrame, nodes_of: DataFrame) -> DataFrame:
@@ -181,94 +200,126 @@ def violations(edges: DataFrame, nodes_of: DataFrame) -> DataFrame:
     return edges.select("src", "dst").join(a, "src").join(b, "dst").filter("ca = cb").select("src", "dst")
 
 
-def dependents(ways: DataFrame) -> DataFrame:
-    """(node, radius): how many other nodes reach a node."""
-    return ways.filter("src <> dst").groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("radius"))
-
-
 def _radius_rows(graph: Graph, _: pd.DataFrame) -> pd.DataFrame:
     radius = graph.dependents()
     return pd.DataFrame({"node": graph.names[radius > 0], "radius": radius[radius > 0]})
 
 
-def radii(edges: DataFrame, held: bool = False) -> DataFrame:
-    """(node, radius): how many other nodes reach a node; dependents() without the closure.
+def units(edges: DataFrame, nodes_of: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((src, dst) between components and single nodes, (node, unit, size) of all nodes)."""
+    sizes = nodes_of.groupBy("component").agg(F.count("*").alias("size"))
+    named = nodes_of.join(sizes, "component")
+    nodes = edges.select(F.col("src").alias("node")).unionAll(edges.select("dst")).distinct()
+    of = nodes.join(named, "node", "left").select("node", F.coalesce("component", "node").alias("unit"), F.coalesce("size", F.lit(1)).cast("long").alias("size"))
+    return settled(condensed(edges, nodes_of)), settled(of)
+
+
+#: Lots of 64 * WORDS units that are counted in one pass: rows of bits are at most so many times the units.
+PASS = 16
+
+
+def counted(dag: DataFrame, heads: DataFrame, told: DataFrame) -> DataFrame:
+    """(unit, n): for each unit of heads (unit), the sizes of the units that lead to it along dag (told: unit, size), summed.
 
-    In rounds, the nodes that reach a node are bits in rows (node, lot, words): as many rows as lots of nodes meet, not
-    as pairs of nodes do.
+    Heads are bits, 64 * WORDS to a row (node, lot, words). The bits go against the edges until nothing is new; the sizes
+    of the nodes that a bit has come to are then summed for it. PASS lots go at a time, and only their sums are kept.
     """
-    own = edges.select("src", "dst") if held else _held(edges)
-    if _few(own):
-        return in_one_task(own, _radius_rows, f"node {_type(own)}, radius long")
     words = [f"w{i}" for i in range(WORDS)]
-    nodes = own.select(F.col("src").alias("node")).unionAll(own.select("dst")).distinct().withColumn("id", F.monotonically_increasing_id())
-    place = F.pmod("id", F.lit(64 * WORDS))
-    own_bits = [F.when(F.floor(place / 64) == i, F.expr("shiftleft(1L, cast(pmod(id, 64) as int))")).otherwise(F.lit(0).cast("long")).alias(w) for i, w in enumerate(words)]
-    itself = settled(nodes.select("node", F.floor(F.col("id") / (64 * WORDS)).alias("lot"), *own_bits))
-    fresh, known = itself, None
-    while not fresh.isEmpty():
-        step = fresh.withColumnRenamed("node", "src").join(own, "src").groupBy(F.col("dst").alias("node"), "lot").agg(*(F.bit_or(w).alias(w) for w in words))
-        if known is None:
-            known = fresh = settled(step)
-            continue
-        both = step.join(known.select("node", "lot", *(F.col(w).alias(f"o{w}") for w in words)), ["node", "lot"], "full")
-        zero = F.lit(0).cast("long")
-        was, now = [F.coalesce(f"o{w}", zero) for w in words], [F.coalesce(w, zero) for w in words]
-        merged = both.select("node", "lot", *(a.bitwiseOR(b).alias(w) for a, b, w in zip(was, now, words, strict=True)), *(b.bitwiseAND(F.bitwise_not(a)).alias(f"n{w}") for a, b, w in zip(was, now, words, strict=True)))
-        merged = settled(merged)
-        known = merged.select("node", "lot", *words)
-        fresh = merged.filter(" or ".join(f"n{w} <> 0" for w in words)).select("node", "lot", *(F.col(f"n{w}").alias(w) for w in words))
-    self_bits = itself.select("node", "lot", *(F.col(w).alias(f"o{w}") for w in words))
-    others = known.join(self_bits, ["node", "lot"], "left").select("node", *(F.col(w).bitwiseAND(F.bitwise_not(F.coalesce(f"o{w}", F.lit(0).cast("long")))).alias(w) for w in words))
-    return others.groupBy("node").agg(F.sum(reduce(lambda a, b: a + b, (F.bit_count(w) for w in words))).cast("long").alias("radius")).filter("radius > 0")
-
-
-def ordered_depth(edges: list[tuple[str, str]], nodes: list[str]) -> tuple[int, list[str]]:
-    """The longest way in order of visits, exact for graphs with cycles too, on the driver: for source trees.
-
-    Each node is entered once; a neighbour still open counts nothing, so cycles make the result depend on order.
-    """
-    after: dict[str, list[str]] = {n: [] for n in nodes}
-    entered: dict[str, int] = dict.fromkeys(nodes, 0)
-    for a, b in edges:
-        after.setdefault(a, []).append(b)
-        after.setdefault(b, [])
-        entered[b] = entered.get(b, 0) + 1
-    seeds = [n for n in after if not entered.get(n)] or list(after)
-    depth: dict[str, int] = {}
-    best: dict[str, str] = {}
-    open_now: set[str] = set()
-
-    def leave(n: str) -> None:
-        top, child = 0, None
-        for m in after[n]:
-            if m not in open_now and 1 + depth[m] > top:
-                top, child = 1 + depth[m], m
-        depth[n] = top
-        if child is not None:
-            best[n] = child
-        open_now.discard(n)
-
-    for seed in seeds:
-        if seed in depth:
-            continue
-        open_now.add(seed)
-        stack = [(seed, iter(after[seed]))]
-        while stack:
-            n, rest = stack[-1]
-            m = next((m for m in rest if m not in depth and m not in open_now), None)
-            if m is None:
-                leave(n)
-                stack.pop()
+    zero = F.lit(0).cast("long")
+    placed = settled(numbered(heads, ["unit"], "place").select("unit", F.floor(F.col("place") / (64 * WORDS)).alias("lot"), F.pmod("place", F.lit(64 * WORDS)).cast("int").alias("bit")))
+    lots = placed.agg(F.max("lot")).head()[0]
+    sums = []
+    for lot in range(0, 0 if lots is None else lots + 1, PASS):
+        own = placed.filter((F.col("lot") >= lot) & (F.col("lot") < lot + PASS))
+        bits = [F.when(F.floor(F.col("bit") / 64) == i, F.expr("shiftleft(1L, bit % 64)")).otherwise(zero).alias(w) for i, w in enumerate(words)]
+        fresh, known = own.select(F.col("unit").alias("dst"), "lot", *bits), None
+        while True:
+            step = fresh.join(dag, "dst").groupBy(F.col("src").alias("node"), "lot").agg(*(F.bit_or(w).alias(w) for w in words))
+            if known is None:
+                merged = settled(step.select("*", *(F.col(w).alias(f"n{w}") for w in words)))
             else:
-                open_now.add(m)
-                stack.append((m, iter(after[m])))
-    first = None
-    for seed in seeds:
-        if first is None or depth[seed] > depth[first]:
-            first = seed
-    path: list[str] = []
-    while first is not None and first not in path:
-        path.append(first)
-        first = best.get(first)
-    return (depth[path[0]] if path else 0), path
+                both = step.join(known.select("node", "lot", *(F.col(w).alias(f"o{w}") for w in words)), ["node", "lot"], "full")
+                was, now = [F.coalesce(f"o{w}", zero) for w in words], [F.coalesce(w, zero) for w in words]
+                merged = settled(both.select("node", "lot", *(a.bitwiseOR(b).alias(w) for a, b, w in zip(was, now, words, strict=True)), *(b.bitwiseAND(F.bitwise_not(a)).alias(f"n{w}") for a, b, w in zip(was, now, words, strict=True))))
+            known = merged.select("node", "lot", *words)
+            new = merged.filter(" or ".join(f"n{w} <> 0" for w in words))
+            if new.isEmpty():
+                break
+            fresh = new.select(F.col("node").alias("dst"), "lot", *(F.col(f"n{w}").alias(w) for w in words))
+        # the sizes under each bit, summed bit by bit before anything moves
+        sized = known.join(told.select(F.col("unit").alias("node"), "size"), "node")
+        set_ = [F.sum(F.expr(f"shiftright(w{b // 64}, {b % 64}) & 1") * F.col("size")).alias(f"b{b}") for b in range(64 * WORDS)]
+        by_bit = sized.groupBy("lot").agg(F.array(*set_).alias("sums")).select("lot", F.posexplode("sums").alias("bit", "n"))
+        sums.append(settled(own.join(by_bit, ["lot", "bit"]).select("unit", "n").filter("n > 0")))
+    return reduce(DataFrame.unionAll, sums) if sums else placed.select("unit", F.lit(0).cast("long").alias("n")).filter("false")
+
+
+def radii(edges: DataFrame, held: bool = False, few: int | None = None) -> DataFrame:
+    """(node, radius): how many other nodes reach a node, of those that any reaches.
+
+    Nodes that reach each other have the same dependents, so components count as one node of their size.
+    """
+    few = _few_of(few)
+    with passing(edges.sparkSession) as kept:
+        own = edges.select("src", "dst") if held else _held(edges)
+        if own.count() <= few:
+            told = settled(in_one_task(own, _radius_rows, f"node {_type(own)}, radius long"))
+        else:
+            told = settled(_radii(own, few, None))
+        kept.append(told)
+    return told
+
+
+def largest_radii(edges: DataFrame, eligible: DataFrame, held: bool = False, few: int | None = None) -> DataFrame:
+    """(node, radius) of nodes among which are all those of eligible (node) that the most other nodes reach.
+
+    What a node leads to (and isn't in one component with) has more dependents than the node, so only components that lead
+    to no other eligible one count. Of these, sketches of what reaches them rule out all that can't be largest, and the
+    rest are counted.
+    """
+    few = _few_of(few)
+    with passing(edges.sparkSession) as kept:
+        own = edges.select("src", "dst") if held else _held(edges)
+        if own.count() <= few:
+            told = settled(in_one_task(own, _radius_rows, f"node {_type(own)}, radius long"))
+        else:
+            told = settled(_radii(own, few, eligible))
+        kept.append(told)
+    return told
+
+
+def _radii(own: DataFrame, few: int, eligible: DataFrame | None) -> DataFrame:
+    dag, of = units(own, components(own, held=True, few=few))
+    told = of.select("unit", "size").distinct()
+    heads = told.select("unit")
+    if eligible is not None:
+        may = of.join(eligible, "node", "left_semi").select("unit").distinct()
+        back = dag.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+        above = back.join(may.withColumnRenamed("unit", "src"), "src", "left_semi").select(F.col("dst").alias("node")).distinct()
+        last = settled(may.join(reachable(back, above, held=True, few=few).withColumnRenamed("node", "unit"), "unit", "left_anti"))
+        heads = _largest(dag, of, last)
+        of = of.join(heads, "unit", "left_semi")
+    sums = counted(dag, heads, told)
+    return of.join(sums, "unit", "left").select("node", (F.coalesce("n", F.lit(0)) + F.col("size") - 1).cast("long").alias("radius")).filter("radius > 0")
+
+
+#: Sketches of 2^SKETCH registers, whose standard error is about 0.84 / 2^(SKETCH / 2); so many errors rule a node out.
+SKETCH, ERRORS = 12, 6
+
+
+def _largest(dag: DataFrame, of: DataFrame, heads: DataFrame) -> DataFrame:
+    """(unit) of heads but for those whose dependents, by sketches carried down dag, can't be the most."""
+    if heads.count() <= 64 * WORDS * PASS:  # one pass counts them all
+        return heads
+    sketch = settled(of.groupBy("unit").agg(F.hll_sketch_agg("node", F.lit(SKETCH)).alias("sketch")))
+    now = sketch.withColumn("known", F.hll_sketch_estimate("sketch")).withColumn("new", F.lit(True))
+    while True:
+        step = dag.join(now.filter("new").select(F.col("unit").alias("src"), "sketch"), "src").select(F.col("dst").alias("unit"), "sketch")
+        both = now.select("unit", "sketch").unionAll(step).groupBy("unit").agg(F.hll_union_agg("sketch").alias("sketch")).withColumn("estimate", F.hll_sketch_estimate("sketch"))
+        now = settled(both.join(now.select("unit", "known"), "unit").select("unit", "sketch", F.col("estimate").alias("known"), (F.col("estimate") > F.col("known")).alias("new")))
+        if now.filter("new").isEmpty():
+            break
+    error = ERRORS * 0.84 / 2 ** (SKETCH / 2)
+    own = now.join(heads, "unit", "left_semi").select("unit", "known")
+    least = own.agg((F.max("known") * (1 - error) / (1 + error)).alias("least"))
+    return settled(own.crossJoin(F.broadcast(least)).filter("known >= least").select("unit"))

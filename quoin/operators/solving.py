@@ -1,6 +1,6 @@
-"""Graphs small enough for one task, solved there over arrays: components, levels, reach and numbers of dependents.
+"""Small graphs, and what contraction leaves of large ones, solved in one task over arrays.
 
-The operators in graph.py use these up to a number of edges, and rounds of joins beyond it; both give the same rows.
+The operators in graph.py use these for remainders of some ten thousand edges; rounds of joins give the same rows.
 """
 
 from __future__ import annotations
@@ -18,9 +18,10 @@ LOT = 4096
 class Graph:
     """Edges between numbers; names, sorted, stand for them."""
 
-    def __init__(self, src: np.ndarray, dst: np.ndarray, names: np.ndarray):
+    def __init__(self, src: np.ndarray, dst: np.ndarray, names: np.ndarray, weight: np.ndarray | None = None):
         order = np.argsort(src, kind="stable")
         self.src, self.dst, self.names, self.n = src[order], dst[order], names, len(names)
+        self.weight = np.ones(len(src), np.int64) if weight is None else weight[order]
         self.begin = np.searchsorted(self.src, np.arange(self.n + 1))
 
     def condensed(self, component: np.ndarray) -> Graph:
@@ -68,20 +69,24 @@ class Graph:
                         low[above] = min(low[above], low[x])
         return np.array(out, np.int64)
 
-    def levels(self, least: np.ndarray) -> np.ndarray:
-        """Length of the longest way from each node, or least by node where that is more; the graph has no cycles."""
+    def longest(self, ends: np.ndarray = (), least: np.ndarray = ()) -> np.ndarray:
+        """Weight of the heaviest way from each node, or that of ends where it is more; cycles raise an error."""
         order = np.argsort(self.dst, kind="stable")
-        into, begin = self.src[order], np.searchsorted(self.dst[order], np.arange(self.n + 1))
-        left, level = np.diff(self.begin), least.copy()
-        front = np.flatnonzero(left == 0)
+        into, weight, begin = self.src[order], self.weight[order], np.searchsorted(self.dst[order], np.arange(self.n + 1))
+        left, level = np.diff(self.begin), np.zeros(self.n, np.int64)
+        np.maximum.at(level, np.asarray(ends, np.int64), np.asarray(least, np.int64))
+        front, seen = np.flatnonzero(left == 0), 0
         while len(front):
+            seen += len(front)
             size = begin[front + 1] - begin[front]
             at = np.repeat(begin[front] - np.cumsum(size) + size, size) + np.arange(size.sum())
             above = into[at]
-            np.maximum.at(level, above, np.repeat(level[front], size) + 1)
+            np.maximum.at(level, above, np.repeat(level[front], size) + weight[at])
             left = left - np.bincount(above, minlength=self.n)
             above = np.unique(above)
             front = above[left[above] == 0]
+        if seen < self.n:
+            raise ValueError("a graph with cycles has no levels")
         return level
 
     def reached(self, seeds: np.ndarray) -> np.ndarray:
@@ -101,7 +106,7 @@ class Graph:
         """How many other nodes reach each node: sets of bits go down the condensed graph, level by level, LOT nodes at a time."""
         component = self.components()
         dag = self.condensed(component)
-        level = dag.levels(np.zeros(self.n, np.int64))
+        level = dag.longest()
         order = np.lexsort((dag.dst, -level[dag.dst]))
         src, dst = dag.src[order], dag.dst[order]
         starts = np.flatnonzero(np.append(True, dst[1:] != dst[:-1])) if len(dst) else np.zeros(0, np.int64)
@@ -133,6 +138,7 @@ def in_one_task(rows: DataFrame, solve: Callable[[Graph, pd.DataFrame], pd.DataF
         ends = pd.concat([table.src, table.dst[edge].astype(table.src.dtype)], ignore_index=True)
         names, code = np.unique(ends.to_numpy(), return_inverse=True)
         table["code"] = code[: len(table)]
-        yield solve(Graph(code[: len(table)][edge], code[len(table) :], names), table)
+        weight = table.weight[edge].to_numpy(np.int64) if "weight" in table else None
+        yield solve(Graph(code[: len(table)][edge], code[len(table) :], names, weight), table)
 
     return rows.repartition(1).mapInPandas(run, schema)

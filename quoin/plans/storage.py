@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,7 +22,36 @@ def shared_dir(spark: SparkSession) -> str:
     return known.rstrip("/")
 
 
+#: Paths written while a passing() lasts.
+_written: list[list[str]] = []
+
+
 def settled(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    """df, computed once and kept in the shared folder as a table, whose size Spark then knows: small ones are broadcast by its own check."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/settled-{uuid.uuid4().hex}"
+    for paths in _written:
+        paths.append(path)
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """Remove, at the end, what was settled inside, but for the frames put into the list that this gives."""
+    paths: list[str] = []
+    kept: list[DataFrame] = []
+    _written.append(paths)
+    try:
+        yield kept
+    finally:
+        _written.remove(paths)
+        names = {f.rpartition("/")[0].rpartition("/")[2] for df in kept for f in df.inputFiles()}
+        for path in paths:
+            if path.rpartition("/")[2] not in names:
+                removed(spark, path)
