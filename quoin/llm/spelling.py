@@ -16,11 +16,12 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 from functools import reduce
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quoin.llm.common import dropped, fresh_path, map_batches, scratch, stored
+from quoin.llm.common import dropped, fresh_path, map_batches, partitions, scratch, stored
 
 #: Words of a trie, and their characters together, at most: some 100 MB in a worker.
 TRIE_WORDS, TRIE_CHARS = 300_000, 6_000_000
@@ -133,24 +134,42 @@ def accepted(word: str, trie: Trie) -> dict[str, int]:
     return found
 
 
-def tries(words: DataFrame, n_words: int, most_words: int = TRIE_WORDS, most_chars: int = TRIE_CHARS) -> DataFrame:
-    """(part, trie) rows: words in ranges, each cut into tries of so many words and characters at most."""
+def shards(words: DataFrame, most_words: int = TRIE_WORDS, most_chars: int = TRIE_CHARS) -> DataFrame:
+    """(shard, trie) rows: the words in their order, cut after so many words or characters, whatever partitions they are sorted in."""
+    spark = words.sparkSession
 
-    def run(batches) -> Iterator[dict[str, list]]:
-        held: list[tuple[str, int]] = []
-        chars = 0
+    def placed(batches) -> Iterator[dict[str, list]]:
+        at = chars = 0
         for cols in batches:
-            for word, n in zip(cols["word"], cols["n"], strict=True):
-                if held and (len(held) >= most_words or chars + len(word) > most_chars):
-                    yield {"trie": [marshal.dumps(trie_of(held))]}
-                    held, chars = [], 0
+            size = [len(w) for w in cols["word"]]
+            before = list(accumulate(size, initial=chars))
+            yield {**cols, "at": list(range(at, at + len(size))), "chars": before[:-1]}
+            at, chars = at + len(size), before[-1]
+
+    ranges = words.repartitionByRange(partitions(spark), "word").sortWithinPartitions("word")
+    ranked = stored(map_batches(ranges, placed, "word string, n long, at long, chars long").withColumn("range", F.spark_partition_id()), "ranked")
+    ends = ranked.groupBy("range").agg((F.max("at") + 1).alias("words"), F.max(F.struct("at", F.col("chars") + F.char_length("word"))).getField("col2").alias("chars")).orderBy("range").collect()  # a row for each partition
+    begin, n, chars = [], 0, 0
+    for r in ends:
+        begin.append((r.range, n, chars))
+        n, chars = n + r.words, chars + r.chars
+    offsets = F.broadcast(spark.createDataFrame(begin, "range int, words_before long, chars_before long"))
+    cut = F.struct(F.floor((F.col("at") + F.col("words_before")) / most_words).alias("a"), F.floor((F.col("chars") + F.col("chars_before")) / most_chars).alias("b"))
+    own = ranked.join(offsets, "range").select(cut.alias("shard"), "word", "n")
+
+    def built(batches) -> Iterator[dict[str, list]]:
+        shard, held = None, []
+        for cols in batches:
+            for s, word, n in zip(cols["shard"], cols["word"], cols["n"], strict=True):
+                if held and s != shard:
+                    yield {"shard": [shard], "trie": [marshal.dumps(trie_of(held))]}
+                    held = []
+                shard = s
                 held.append((word, n))
-                chars += len(word)
         if held:
-            yield {"trie": [marshal.dumps(trie_of(held))]}
+            yield {"shard": [shard], "trie": [marshal.dumps(trie_of(held))]}
 
-    ranges = words.repartitionByRange(max(1, -(-n_words // most_words)), "word").sortWithinPartitions("word")
-    return map_batches(ranges, run, "trie binary").select(F.monotonically_increasing_id().alias("part"), "trie")
+    return map_batches(own.repartition(partitions(spark), "shard").sortWithinPartitions("shard", "word"), built, "shard struct<a: long, b: long>, trie binary")
 
 
 _kept: dict[str, Trie] = {}
@@ -178,11 +197,10 @@ NEAR = "word string, n_near long, form string, form_n long"
 
 def near(words: DataFrame, most_words: int = TRIE_WORDS, most_chars: int = TRIE_CHARS) -> DataFrame:
     """(word, n_near, form, form_n) of the words (stored: word, n) that have near ones: how many, and that of largest n (ties: smallest)."""
-    shards = stored(tries(words, words.count(), most_words, most_chars), "tries")
-    parts = [r.part for r in shards.select("part").collect()]
+    built = stored(shards(words, most_words, most_chars), "tries")
     told = []
-    for part in sorted(parts):
-        (row,) = shards.filter(F.col("part") == part).collect()
+    for r in built.select("shard").orderBy("shard").collect():
+        (row,) = built.filter((F.col("shard.a") == r.shard.a) & (F.col("shard.b") == r.shard.b)).collect()
         with _sent(words, row.trie) as trie:
 
             def run(batches, trie=trie):
@@ -196,7 +214,7 @@ def near(words: DataFrame, most_words: int = TRIE_WORDS, most_chars: int = TRIE_
                     yield out
 
             told.append(stored(map_batches(words.select("word"), run, NEAR), "near"))
-    dropped(words.sparkSession, shards)
+    dropped(words.sparkSession, built)
     if not told:
         return words.sparkSession.createDataFrame([], NEAR)
     return told[0] if len(told) == 1 else _reduced(reduce(DataFrame.unionAll, told))
