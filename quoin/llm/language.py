@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from quoin.llm.common import held_out, map_batches
 from quoin.llm.suffix_automaton import SuffixAutomaton
 
-#: Learned from: so many texts and so many letters a language, however many languages there are.
+#: Learned from: at most so many texts a language, whole ones, until they have so many letters together.
 TEXTS, LETTERS = 64, 20_000
 #: The most frequent letters, whose steps are a table; those of all further letters are found in a sorted list.
 ALPHABET = 62
@@ -208,26 +208,31 @@ class Model:
         return out
 
 
-def learned(docs: DataFrame) -> Model:
-    """From at most TEXTS labelled rows a language that aren't held out, one for each of as many slots by the id's hash.
+def sampled(docs: DataFrame) -> dict[str, list[str]]:
+    """By language, the texts to learn from: whole ones, of labelled rows that aren't held out, in the order of a hash, until they have LETTERS together.
 
-    The language's LETTERS are shared by its rows: of each, a passage that starts anywhere, by the id's hash, or the whole text.
+    At most one row comes of each of TEXTS slots, and of a slot one that isn't longer than LETTERS, if it has any; a
+    language of longer texts alone is learned from the shortest one. Repeated rows count once.
     """
-    h = F.xxhash64("doc_id")
-    usable = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    slots = usable.groupBy("lang", F.pmod(h, F.lit(TEXTS)).alias("slot")).agg(F.min(F.struct(F.xxhash64("doc_id", F.lit(1)).alias("h"), "doc_id")).alias("x"))
-    chosen = {(r.lang, r.doc_id) for r in slots.select("lang", "x.doc_id").collect()}  # at most TEXTS a language
-    languages = {lang for lang, _ in chosen}
-    if not languages:
-        return Model({})
-    each = F.create_map(*(F.lit(x) for lang in sorted(languages) for x in (lang, LETTERS // sum(of == lang for of, _ in chosen))))[F.col("lang")]
-    start = F.pmod(F.xxhash64("doc_id", F.lit(2)), F.greatest(F.char_length("text") - each + 1, F.lit(1))).cast("int")
-    rows = usable.filter(F.col("doc_id").isin([i for _, i in chosen])).select("lang", "doc_id", F.substring("text", start + 1, each).alias("text")).collect()
-    samples: dict[str, list[str]] = {lang: [] for lang in languages}
-    for r in sorted({(r.lang, r.doc_id, r.text) for r in rows}):
-        if r[:2] in chosen and len(samples[r[0]]) < TEXTS:
-            samples[r[0]].append(r[2])
-    return Model(samples)
+    row = F.xxhash64("doc_id", "text")
+    size = F.char_length("text")
+    usable = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select("lang", "doc_id", "text", row.alias("row"), size.alias("size"))
+    order = F.struct((F.col("size") > LETTERS).alias("long"), F.when(F.col("size") > LETTERS, F.col("size")).otherwise(F.xxhash64("row", F.lit(1))).alias("h"), "row", "size")
+    slots = usable.groupBy("lang", F.pmod(F.xxhash64("row"), F.lit(TEXTS)).alias("slot")).agg(F.min(order).alias("x")).select("lang", "x.*").collect()  # at most TEXTS a language
+    chosen: dict[str, list[int]] = {}
+    letters: dict[str, int] = {}
+    for r in sorted(slots, key=lambda r: (r.long, r.h, r.row)):
+        if letters.get(r.lang, 0) < LETTERS and not (r.long and r.lang in chosen):
+            chosen.setdefault(r.lang, []).append(r.row)
+            letters[r.lang] = letters.get(r.lang, 0) + r.size
+    asked = sorted({x for rows in chosen.values() for x in rows})
+    rows = {(r.lang, r.row): r.text for r in usable.filter(F.col("row").isin(asked)).groupBy("lang", "row").agg(F.min("text").alias("text")).collect()} if asked else {}
+    return {lang: [rows[lang, x] for x in rows_] for lang, rows_ in sorted(chosen.items())}
+
+
+def learned(docs: DataFrame) -> Model:
+    """The automata of what sampled() gives."""
+    return Model(sampled(docs))
 
 
 def identify(docs: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Languages of many scripts, and what the model is learned from."""
 
 import random
+import zlib
 
 import numpy as np
 
@@ -38,15 +39,22 @@ def test_further_letters_are_parsed_as_frequent_ones_are():
         assert model.phrases([number(t)])[k, 0] == plain_phrases(spelt(t), list(map(spelt, samples[lang])))
 
 
-def test_samples_are_taken_from_anywhere_and_not_divided_among_languages(spark, monkeypatch):
-    seen = {}
-    monkeypatch.setattr(language, "Model", seen.update)
-    header = "licence of the text " * 50
-    rows = [(100 * k + i, header + text("la", 100 * k + i, 3000), f"l{k:02}", None, None) for k in range(12) for i in range(90)] + [(5000 + i, text("ru", 1, 900), "ru", None, None) for i in range(4)]
-    language.learned(frame(spark, rows))
-    assert len(seen) == 13 and max(map(len, seen.values())) <= language.TEXTS
+def test_whole_texts_are_learned_from_as_many_for_every_language(spark):
+    rows = [(1000 * k + i, text("la", 100 * k + i, 500 + 40 * i), f"l{k:02}", None, None) for k in range(12) for i in range(90)]
+    rows += [(50_000 + i, text("ru", 1, 900), "ru", None, None) for i in range(4)]  # one text, repeated
+    rows += [(60_000 + i, text("el", i, language.LETTERS + 100 + i), "el", None, None) for i in range(5)]  # longer ones alone
+    rows += [(70_000, text("la", 7, 90_000), "l00", None, None), (70_001, None, "l00", None, None), (70_002, "abc", None, None, None)]
+    seen = language.sampled(frame(spark, rows).repartition(5))
+    known = {(lang, t) for i, t, lang, *_ in rows if zlib.crc32(str(i).encode()) % 4 != 2}
+    assert sorted(seen) == sorted({r[2] for r in rows if r[2]})
+    assert all((lang, t) in known for lang, own in seen.items() for t in own)
     for k in range(12):
-        got = seen[f"l{k:02}"]
-        assert 0.9 * language.LETTERS < sum(map(len, got)) <= language.LETTERS
-        assert sum(x in header for x in got) < len(got) / 2
+        own = seen[f"l{k:02}"]
+        assert language.LETTERS <= sum(map(len, own)) < language.LETTERS + max(map(len, own)) and max(map(len, own)) <= language.LETTERS
     assert set(seen["ru"]) == {text("ru", 1, 900)}
+    assert [len(t) for t in seen["el"]] == [min(len(t) for lang, t in known if lang == "el")]
+    assert seen == language.sampled(frame(spark, rows[::-1]))
+
+
+def test_nothing_to_learn_from(spark):
+    assert language.sampled(frame(spark, [(1, "abc", None, None, None), (2, None, "en", None, None)])) == {}
