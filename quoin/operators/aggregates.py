@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quoin.functions.columns import instability, is_barrel, is_entry, is_stable, is_uncovered, module_of, ratio, whole_days
 from quoin.functions.dimensions import Thresholds
+from quoin.plans.storage import settled
 
 DEFAULTS = Thresholds()
 
@@ -124,6 +125,11 @@ def comments(files: DataFrame) -> DataFrame:
     return sums.withColumn("raw_value", F.when(F.col("total") == 0, F.lit(0.0)).otherwise(1.0 - ratio(F.col("found"), F.col("total"))))
 
 
+def totals(files: DataFrame) -> DataFrame:
+    """(files, lines): how many files there are, and their lines."""
+    return files.agg(F.count("*").alias("files"), F.coalesce(F.sum("lines"), F.lit(0)).cast("long").alias("lines"))
+
+
 # history
 
 
@@ -151,19 +157,35 @@ def churn_concentration(changes: DataFrame, at: Thresholds = DEFAULTS) -> DataFr
 CHANGED_TOGETHER = 2048
 
 
-def change_pairs(changes: DataFrame) -> DataFrame:
-    """(a, b, n): files changed together, a before b, and in how many commits. Large commits are paired part by part."""
+#: Buckets that pairs are counted by before they are gathered.
+BUCKETS = 1 << 20
+
+
+def change_pairs(changes: DataFrame, least: int = 1) -> DataFrame:
+    """(a, b, n): files changed together in at least so many commits, a before b, and in how many. Large commits are paired part by part.
+
+    A file in fewer commits is in no such pair, so it is left out first. Pairs are then counted by a hash where they are
+    made, and only those whose bucket has enough move, to be counted one by one.
+    """
     own = changes.select("hash", "path").distinct()
+    if least > 1:
+        often = own.groupBy("path").agg(F.count("*").alias("n")).filter(F.col("n") >= least).select("path")
+        own = settled(own.join(often, "path", "left_semi"))
     sized = own.withColumn("parts", F.ceil(F.count("*").over(Window.partitionBy("hash")) / CHANGED_TOGETHER))
     part, each = F.pmod(F.xxhash64("path"), F.col("parts")), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
     left = sized.select("hash", F.col("path").alias("a"), part.alias("i"), each.alias("j"))
     right = sized.select("hash", F.col("path").alias("b"), part.alias("j"), each.alias("i"))
-    return left.join(right, ["hash", "i", "j"]).filter("a < b").groupBy("a", "b").agg(F.count("*").alias("n"))
+    pairs = left.join(right, ["hash", "i", "j"]).filter("a < b").select("a", "b")
+    if least > 1:
+        pairs = pairs.withColumn("bucket", F.pmod(F.xxhash64("a", "b"), F.lit(BUCKETS)))
+        full = pairs.groupBy("bucket").agg(F.count("*").alias("n")).filter(F.col("n") >= least).select("bucket")
+        pairs = pairs.join(F.broadcast(full), "bucket", "left_semi")
+    return pairs.groupBy("a", "b").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
 
 
 def change_coupling(changes: DataFrame, at: Thresholds = DEFAULTS) -> DataFrame:
     files = changes.select("path").distinct()
-    coupled = change_pairs(changes).filter(F.col("n") >= at.change_coupling).select(F.explode(F.array("a", "b")).alias("path")).distinct().withColumn("coupled", F.lit(True))
+    coupled = change_pairs(changes, at.change_coupling).select(F.explode(F.array("a", "b")).alias("path")).distinct().withColumn("coupled", F.lit(True))
     return share(files.join(coupled, "path", "left"), F.coalesce("coupled", F.lit(False)))
 
 

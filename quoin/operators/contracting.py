@@ -38,32 +38,34 @@ def contracted(edges: DataFrame, few: int, ending: bool = True, acyclic: bool =
     ending: nodes that go may end a way, which their neighbours keep as an edge to null of its weight. acyclic: cycles raise an error.
     """
     now, rounds = settled(edges), []
-    while now.count() > few and (most is None or len(rounds) < most):
+    size = now.count()
+    while size > few and (most is None or len(rounds) < most):
         inner = now.filter("dst is not null")
         ends = now.select(F.explode(F.array(F.struct(F.col("src").alias("node"), F.lit(0).alias("i"), F.col("dst").isNotNull().cast("int").alias("o")), F.struct(F.col("dst").alias("node"), F.lit(1).alias("i"), F.lit(0).alias("o")))).alias("x"))
         degree = ends.filter("x.node is not null").groupBy("x.node").agg(F.sum("x.i").alias("i"), F.sum("x.o").alias("o"))
         order = F.struct((F.col("i") * F.col("o") > 0).alias("through"), F.xxhash64("node", F.lit(len(rounds))).alias("h"), "node")
-        ready = settled(degree.select("node", F.when(F.col("i") * F.col("o") <= F.col("i") + F.col("o"), order).alias("order")))
+        ready = degree.select("node", F.when(F.col("i") * F.col("o") <= F.col("i") + F.col("o"), order).alias("order")).persist()
         may = ready.filter("order is not null")
         touching = inner.join(may.select(F.col("node").alias("src"), F.col("order").alias("a")), "src").join(may.select(F.col("node").alias("dst"), F.col("order").alias("b")), "dst")
-        later = touching.select(F.when(F.col("a") < F.col("b"), F.col("dst")).otherwise(F.col("src")).alias("node")).distinct()
-        going = settled(may.select("node").join(later, "node", "left_anti"))
-        gone, nodes = going.count(), ready.count()
-        if not acyclic and gone * 20 < nodes:
+        later = touching.select(F.when(F.col("a") < F.col("b"), F.col("dst")).otherwise(F.col("src")).alias("node")).distinct().withColumn("later", F.lit(True))
+        marks = settled(ready.join(later, "node", "left").select("node", (F.col("order").isNotNull() & F.col("later").isNull()).alias("goes")))
+        ready.unpersist()
+        told = marks.agg(F.count_if("goes").alias("gone"), F.count("*").alias("nodes")).head()
+        if not acyclic and told.gone * 20 < told.nodes:
             break
-        marks = going.withColumn("goes", F.lit(True))
-        parts = settled(now.join(marks.toDF("src", "from_going"), "src", "left").join(marks.toDF("dst", "to_going"), "dst", "left").select("src", "dst", "weight", "from_going", "to_going"))
-        out, into = parts.filter("from_going").select("src", "dst", "weight"), parts.filter("to_going").select("src", "dst", "weight")
+        going = marks.filter("goes").select("node")
+        out, into = now.join(going.withColumnRenamed("node", "src"), "src", "left_semi").select("src", "dst", "weight"), now.join(going.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst", "weight")
         onward = out.select(F.col("src").alias("mid"), F.col("dst").alias("far"), F.col("weight").alias("more"))
         if ending:
             onward = onward.unionByName(going.select(F.col("node").alias("mid"), F.lit(None).cast(edges.schema["dst"].dataType).alias("far"), F.lit(0).cast("long").alias("more")))
         past = into.withColumnRenamed("dst", "mid").join(onward, "mid").select("src", F.col("far").alias("dst"), (F.col("weight") + F.col("more")).alias("weight"))
-        stays = parts.filter("from_going is null and to_going is null").select("src", "dst", "weight")
+        stays = now.join(going.withColumnRenamed("node", "src"), "src", "left_anti").join(going.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst", "weight")
         then = settled(stays.unionByName(past if acyclic else past.filter("dst is null or src <> dst")).groupBy("src", "dst").agg(F.max("weight").alias("weight")))
-        if acyclic and not then.filter("src = dst").isEmpty():
+        left = then.agg(F.count("*").alias("size"), F.count_if(F.col("src") == F.col("dst")).alias("loops")).head()
+        if left.loops:
             raise ValueError("a graph with cycles has no levels")
         rounds.append(Round(going, out, into))
-        now = then
+        now, size = then, left.size
     return now, rounds
 
 

@@ -118,7 +118,7 @@ def _least(edges: DataFrame, seed: int) -> DataFrame:
 
 
 def _reached_rows(graph: Graph, table: pd.DataFrame) -> pd.DataFrame:
-    return pd.DataFrame({"node": graph.names[graph.reached(table.code[table.dst.isna()].to_numpy())]})
+    return pd.DataFrame({"node": graph.names[graph.reached(table.code[~table.edge].to_numpy())]})
 
 
 #: Rounds of a plain search before the rest of a graph is contracted.
@@ -174,7 +174,7 @@ def condensed(edges: DataFrame, nodes_of: DataFrame) -> DataFrame:
 
 
 def _level_rows(graph: Graph, table: pd.DataFrame) -> pd.DataFrame:
-    ends = table[table.dst.isna()]
+    ends = table[~table.edge]
     return pd.DataFrame({"node": graph.names, "value": graph.longest(ends.code.to_numpy(), ends.weight.to_numpy())})
 
 

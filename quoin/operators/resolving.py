@@ -1,10 +1,17 @@
-"""Resolve relative import specifiers by joining candidate paths with the known files, instead of asking a disk."""
+"""Resolve relative import specifiers by joining candidate paths with the files that exist, links followed, instead of asking a disk."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quoin.plans.storage import passing, settled
+
+#: Links that are followed one after the other before a path counts as a circle.
+FOLLOWED = 40
+
 #: Extensions tried, in order; sources that a script's extension may stand for.
 EXTENSIONS = (".ts", ".tsx", ".js", ".jsx", ".json")
 ALIASES = {".js": (".ts", ".tsx", ".js"), ".jsx": (".tsx", ".jsx")}
@@ -24,11 +31,57 @@ def candidates(path: Column) -> Column:
     return F.array_compact(F.array(*aliases, *own))
 
 
-def resolved(imports: DataFrame, files: DataFrame) -> DataFrame:
-    """imports (path, ord, specifier) with resolved; bare specifiers and those without a known file have null."""
+def _prefixed(paths: DataFrame, links: DataFrame) -> DataFrame:
+    """(path, link, target) of paths (path) that lie at or below links (link, target): the longest link counts."""
+    parts = F.split("path", "/")
+    above = paths.select("path", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))).alias("link"))
+    return above.join(links, "link").groupBy("path").agg(F.max_by(F.struct("link", "target"), F.length("link")).alias("m")).select("path", "m.*")
+
+
+def _moved(path: Column, link: Column, target: Column) -> Column:
+    """path with link at its beginning replaced by target; target may be empty, the root."""
+    rest = F.substring(path, F.length(link) + 2, F.length(path))
+    return F.array_join(F.filter(F.array(target, rest), lambda p: p != ""), "/")
+
+
+def real_paths(paths: DataFrame, links: DataFrame) -> DataFrame:
+    """(path, real) of distinct paths (path): links (link, target; null where a target leaves the tree) are followed until none is left.
+
+    A round follows one link of each path that has one: the longest prefix that is one. Paths that leave the tree, and
+    those that lead in a circle, have null.
+    """
+    with passing(paths.sparkSession) as kept:
+        way = settled(links.select("link", "target"))
+        now, done, rounds = settled(paths.select("path", F.col("path").alias("real"))), [], 0
+        while not now.isEmpty():
+            asked = now.select(F.col("real").alias("path")).distinct()
+            told = settled(_prefixed(asked, way))
+            step = settled(now.join(told.withColumnRenamed("path", "real"), "real", "left"))
+            done.append(step.filter("link is null").select("path", "real"))
+            on = step.filter("link is not null").select("path", F.when(F.col("target").isNotNull(), _moved(F.col("real"), F.col("link"), F.col("target"))).alias("real"))
+            rounds += 1
+            left = on.select("path", F.lit(None).cast("string").alias("real")) if rounds == FOLLOWED else on.filter("real is null")
+            done.append(left)
+            now = settled(on.filter("real is not null")) if rounds < FOLLOWED else now.limit(0)
+        found = settled(reduce(DataFrame.unionByName, done)) if done else now
+        kept.append(found)
+    return found
+
+
+def resolved(imports: DataFrame, files: DataFrame, links: DataFrame | None = None) -> DataFrame:
+    """imports (path, ord, specifier) with resolved; bare specifiers and those without a file have null.
+
+    files (path) are all that exist, scanned or not, by their real paths. links (link, target) are followed in what is
+    imported; an importer's own folder is taken as it is named. The first candidate that exists counts.
+    """
     relative = imports.filter(F.col("specifier").startswith(".") | F.col("specifier").startswith("/"))
     folder = F.regexp_replace("path", "/?[^/]+$", "")
     tried = relative.withColumn("base", joined_path(folder, F.col("specifier"))).filter("base is not null").select("path", "ord", "specifier", F.posexplode(candidates(F.col("base"))).alias("rank", "target"))
-    hits = tried.join(files.select(F.col("path").alias("target")), "target")
+    there = files.select(F.col("path").alias("target")).distinct()
+    if links is not None:
+        real = real_paths(tried.select(F.col("target").alias("path")).distinct(), links).toDF("target", "real").filter("real is not null")
+        hits = tried.join(real, "target").drop("target").withColumnRenamed("real", "target").join(there, "target", "left_semi")
+    else:
+        hits = tried.join(there, "target", "left_semi")
     best = hits.groupBy("path", "ord").agg(F.min(F.struct("rank", "target")).alias("m")).select("path", "ord", F.col("m.target").alias("resolved"))
     return imports.join(best, ["path", "ord"], "left").select("path", "ord", "specifier", "resolved")

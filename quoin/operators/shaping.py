@@ -55,7 +55,7 @@ def flagged(files: DataFrame, functions: DataFrame, degrees: DataFrame, at: Thre
     if changes is not None:
         rows.append(A.file_churn(changes).select("path", F.lit("codeChurn").alias("dimension")))
         rows.append(changes.groupBy("path").agg(F.min("author").alias("a"), F.max("author").alias("b")).filter("a = b").select("path", F.lit("busFactor").alias("dimension")))
-        rows.append(A.change_pairs(changes).filter(F.col("n") >= at.change_coupling).select(F.explode(F.array("a", "b")).alias("path"), F.lit("changeCoupling").alias("dimension")))
+        rows.append(A.change_pairs(changes, at.change_coupling).select(F.explode(F.array("a", "b")).alias("path"), F.lit("changeCoupling").alias("dimension")))
         if now is not None:
             rows.append(A.last_modified(changes).filter(A.whole_days(now, F.col("ts")) >= at.age_days).select("path", F.lit("codeAge").alias("dimension")))
     if uncovered is not None:

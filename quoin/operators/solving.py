@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Nodes whose dependents are counted together: a bit of a row each.
 LOT = 4096
@@ -127,18 +128,18 @@ class Graph:
 
 
 def in_one_task(rows: DataFrame, solve: Callable[[Graph, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """solve(graph, rows) in one task; rows (src, dst, ...) whose dst is null tell of a node only. rows must be known to be few."""
+    """solve(graph, rows) in one task; rows (src, dst, ...) whose dst is null (edge is false then) tell of a node only. rows must be known to be few."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = list(parts)
         if not held or not sum(map(len, held)):
             return
         table = pd.concat(held, ignore_index=True)
-        edge = table.dst.notna().to_numpy()
-        ends = pd.concat([table.src, table.dst[edge].astype(table.src.dtype)], ignore_index=True)
-        names, code = np.unique(ends.to_numpy(), return_inverse=True)
+        edge = table.edge.to_numpy(bool)
+        names, code = np.unique(pd.concat([table.src, table.dst[edge]], ignore_index=True).to_numpy(), return_inverse=True)
         table["code"] = code[: len(table)]
         weight = table.weight[edge].to_numpy(np.int64) if "weight" in table else None
         yield solve(Graph(code[: len(table)][edge], code[len(table) :], names, weight), table)
 
-    return rows.repartition(1).mapInPandas(run, schema)
+    told = rows.withColumn("edge", F.col("dst").isNotNull()).withColumn("dst", F.coalesce("dst", "src"))
+    return told.repartition(1).mapInPandas(run, schema)

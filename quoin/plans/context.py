@@ -8,11 +8,13 @@ from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from quoin.functions.columns import grade_of, is_entry, whole_days
 from quoin.functions.dimensions import NAMES, Thresholds
 from quoin.operators import aggregates as A
 from quoin.operators import graph as G
+from quoin.operators.visiting import deepest
 from quoin.plans.storage import settled
 
 
@@ -28,8 +30,7 @@ class Context:
     test_targets: DataFrame | None = None
     now: Column = field(default_factory=F.current_timestamp)
     at: Thresholds = field(default_factory=Thresholds)
-    depth: int | None = None
-    deepest: list[str] | None = None
+    few: int | None = None  # edges of a graph that one task may solve
 
     def __post_init__(self) -> None:
         self.edges = settled(self.edges)
@@ -40,27 +41,41 @@ class Context:
 
     @cached_property
     def components(self) -> DataFrame:
-        return settled(G.components(self.edges, held=True))
+        return G.components(self.edges, held=True, few=self.few)
 
     @cached_property
     def dag(self) -> DataFrame:
-        return G.condensed(self.edges, self.components)
+        return settled(G.condensed(self.edges, self.components))
 
     @cached_property
     def levels(self) -> DataFrame:
-        return G.levels(self.dag)
+        return G.levels(self.dag, few=self.few)
+
+    @cached_property
+    def deepest(self) -> DataFrame | None:
+        """(place, node) of the deepest way in order of visits; None for edges that have no order."""
+        if "ord" not in self.edges.columns:
+            return None
+        within = "ord.pos" if isinstance(self.edges.schema["ord"].dataType, StructType) else "ord"
+        return deepest(self.edges.select("src", "dst", F.col(within).alias("ord")), self.files.select(F.col("path").alias("node"), "ord"), self.few)
 
     @cached_property
     def radii(self) -> DataFrame:
-        return G.radii(self.edges, held=True)
+        """Of files that most depend on: what the largest number needs."""
+        outside = self.files.select(F.col("path").alias("node")).join(self.foundation, "node", "left_anti")
+        return G.largest_radii(self.edges, outside, held=True, few=self.few)
+
+    @cached_property
+    def foundation(self) -> DataFrame:
+        return settled(A.foundation(self.files, self.degrees, self.at))
 
     @cached_property
     def surface(self) -> DataFrame:
-        return G.reachable(self.edges, self.files.filter(is_entry(F.col("path"))).select(F.col("path").alias("node")), held=True)
+        return G.reachable(self.edges, self.files.filter(is_entry(F.col("path"))).select(F.col("path").alias("node")), held=True, few=self.few)
 
     @cached_property
     def tested(self) -> DataFrame:
-        return G.reachable(self.edges, self.test_targets, held=True)
+        return G.reachable(self.edges, self.test_targets, held=True, few=self.few)
 
 
 def _none(c: Context) -> DataFrame:
@@ -73,8 +88,8 @@ def _levelization(c: Context) -> DataFrame:
 
 
 def _depth(c: Context) -> DataFrame:
-    if c.depth is not None:
-        return c.files.sparkSession.range(1).select(F.lit(float(c.depth)).alias("raw_value"))
+    if c.deepest is not None:
+        return c.deepest.agg(F.coalesce(F.max("place"), F.lit(0)).cast("double").alias("raw_value"))
     return c.levels.agg(F.coalesce(F.max("level"), F.lit(0)).cast("double").alias("raw_value"))
 
 
@@ -99,7 +114,7 @@ COMPUTED: dict[str, Callable[[Context], DataFrame]] = {
     "comments": lambda c: A.comments(c.files),
     "depth": _depth,
     "levelization": _levelization,
-    "blastRadius": lambda c: A.blast_radius(c.files, c.radii, A.foundation(c.files, c.degrees, c.at)),
+    "blastRadius": lambda c: A.blast_radius(c.files, c.radii, c.foundation),
     "distanceFromMainSeq": lambda c: A.distance_from_main_sequence(c.files, c.classes, c.degrees),
     "attackSurface": lambda c: A.attack_surface(c.files, c.surface),
     "hotspots": lambda c: A.hotspots(c.degrees, c.at),

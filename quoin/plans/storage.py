@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -22,15 +23,21 @@ def shared_dir(spark: SparkSession) -> str:
     return known.rstrip("/")
 
 
-#: Paths written while a passing() lasts.
-_written: list[list[str]] = []
+class _Written(threading.local):
+    """Paths written by a thread while each of its passing() lasts."""
+
+    def __init__(self):
+        self.lists: list[list[str]] = []
+
+
+_written = _Written()
 
 
 def settled(df: DataFrame) -> DataFrame:
     """df, computed once and kept in the shared folder as a table, whose size Spark then knows: small ones are broadcast by its own check."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/settled-{uuid.uuid4().hex}"
-    for paths in _written:
+    for paths in _written.lists:
         paths.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -46,11 +53,11 @@ def passing(spark: SparkSession) -> Iterator[list[DataFrame]]:
     """Remove, at the end, what was settled inside, but for the frames put into the list that this gives."""
     paths: list[str] = []
     kept: list[DataFrame] = []
-    _written.append(paths)
+    _written.lists.append(paths)
     try:
         yield kept
     finally:
-        _written.remove(paths)
+        _written.lists.pop()
         names = {f.rpartition("/")[0].rpartition("/")[2] for df in kept for f in df.inputFiles()}
         for path in paths:
             if path.rpartition("/")[2] not in names:

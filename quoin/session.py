@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import time
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, replace
 from pathlib import Path
 
@@ -12,19 +13,20 @@ from pyspark.sql import functions as F
 
 from quoin.config import FOLDER, Rules, load_rules, stored_rules
 from quoin.functions import columns as C
-from quoin.functions.dimensions import GRADE_VALUE, GRADES, NAMES, VALUE_GRADE, Thresholds
+from quoin.functions.dimensions import GRADE_VALUE, GRADES, NAMES, Thresholds
 from quoin.operators import aggregates as A
 from quoin.operators import graph as G
 from quoin.operators import rules as R
 from quoin.operators import shaping as S
 from quoin.operators.resolving import resolved
 from quoin.plans.context import Context, report
-from quoin.plans.details import details_of
+from quoin.plans.details import details_of, uncovered
 from quoin.plans.storage import settled
+from quoin.snapshots import Snapshots, read_text, write_text
 from quoin.sources import history, tree
 
-#: Edges up to which the order-true depth is found on the driver; beyond, the longest way between components is.
-DRIVER_EDGES = 1_000_000
+#: Dimensions whose details are asked for at once.
+DETAILS = 6
 
 
 def spark_session(name: str = "quoin") -> SparkSession:
@@ -39,12 +41,7 @@ class Report:
     total_lines: int
     duration_ms: int
     context: Context
-
-
-def composite_grade(grades: list[str]) -> str:
-    """The mean, rounded down, but at most one above the worst."""
-    values = [GRADE_VALUE[g] for g in grades]
-    return VALUE_GRADE[min(sum(values) // len(values), min(values) + 1)] if values else "A"
+    rows: DataFrame  # name, raw_value, grade
 
 
 class Engine:
@@ -63,9 +60,10 @@ class Engine:
         root = root.rstrip("/") if remote else str(Path(root).resolve())
         rules = stored_rules(self.spark, root) if remote else load_rules(root)
         patterns = ignore if ignore is not None else (rules.ignore if rules and rules.ignore else ())
-        sources = tree.stored_tree(self.spark, root, include, patterns) if remote else tree.with_text(tree.source_paths(self.spark, root, include, patterns), root)
+        there, links = (tree.stored_paths(self.spark, root), None) if remote else tree.existing(self.spark, root)
+        sources = tree.stored_tree(self.spark, root, include, patterns) if remote else tree.with_text(tree.source_paths(self.spark, root, include, patterns, there), root)
         read = settled(tree.extracted(sources))
-        edges = self.edges_of(read)
+        edges = self.edges_of(read, there, links)
         at = Thresholds()
         days = 90
         if rules:
@@ -80,12 +78,14 @@ class Engine:
             changes = None if remote else history.git_changes(self.spark, root, days)
         if changes is not None:
             changes = settled(changes)
-        return self.context(read, edges, changes, self.test_targets(root, read), at, now), rules
+        return self.context(read, edges, changes, self.test_targets(root, read, there, links), at, now), rules
 
-    def edges_of(self, read: DataFrame) -> DataFrame:
-        return settled(G.edges_between(resolved(tree.specifiers(read), tree.files(read)), tree.files(read)))
+    def edges_of(self, read: DataFrame, there: DataFrame | None = None, links: DataFrame | None = None) -> DataFrame:
+        """Edges between files that were read; there: all files that exist, where these aren't all."""
+        known = tree.files(read)
+        return settled(G.edges_between(resolved(tree.specifiers(read), known if there is None else known.select("path").union(there), links if links is None or not links.isEmpty() else None), known))
 
-    def test_targets(self, root: str, read: DataFrame) -> DataFrame | None:
+    def test_targets(self, root: str, read: DataFrame, there: DataFrame, links: DataFrame | None) -> DataFrame | None:
         if "://" in root:
             found = settled(tree.extracted(tree.stored_tree(self.spark, root, tests=True)))
             tests = found.select("path")
@@ -95,27 +95,24 @@ class Engine:
         if tests.isEmpty():
             return None
         specs = tree.specifiers(found)
-        # tests resolve against all that is known, themselves included
-        known = tree.files(read).select("path").union(tests.select("path"))
-        return settled(resolved(specs, known).filter("resolved is not null").select(F.col("resolved").alias("node")).distinct())
+        known = tree.files(read).select("path").union(tests.select("path")).union(there)
+        return settled(resolved(specs, known, links if links is None or not links.isEmpty() else None).filter("resolved is not null").select(F.col("resolved").alias("node")).distinct())
 
     def context(self, read: DataFrame, edges: DataFrame, changes: DataFrame | None = None, test_targets: DataFrame | None = None, at: Thresholds = Thresholds(), now=None) -> Context:
-        files = tree.files(read)
-        c = Context(files, tree.functions(read), tree.classes(read), edges, changes, test_targets, F.current_timestamp() if now is None else now, at)
-        if edges.count() <= DRIVER_EDGES:
-            rows = edges.join(files.select(F.col("path").alias("src"), F.col("ord").alias("o")), "src").orderBy("o", "ord").select("src", "dst").collect()
-            nodes = [r.path for r in files.orderBy("ord").select("path").collect()]
-            c.depth, c.deepest = G.ordered_depth([(r.src, r.dst) for r in rows], nodes)
-        return c
+        return Context(tree.files(read), tree.functions(read), tree.classes(read), edges, changes, test_targets, F.current_timestamp() if now is None else now, at)
 
     # results
 
     def health(self, c: Context, names: tuple[str, ...] = NAMES, details: bool = True) -> Report:
         began = time.time()
-        rows = {r["name"]: r for r in report(c, names).collect()}
-        told = {n: {"rawValue": rows[n]["raw_value"], "grade": rows[n]["grade"], "details": details_of(c, n) if details else {}} for n in names}
-        sums = c.files.agg(F.count("*").alias("n"), F.coalesce(F.sum("lines"), F.lit(0)).alias("lines")).head()
-        return Report(told, composite_grade([d["grade"] for d in told.values()]), sums["n"], sums["lines"], round((time.time() - began) * 1000), c)
+        told = settled(report(c, names))
+        rows = {r["name"]: r for r in told.collect()}
+        with ThreadPoolExecutor(DETAILS) as pool:  # small jobs, side by side
+            shown = dict(zip(names, pool.map(lambda n: details_of(c, n), names), strict=True)) if details else dict.fromkeys(names, {})
+        dimensions = {n: {"rawValue": rows[n]["raw_value"], "grade": rows[n]["grade"], "details": shown[n]} for n in names}
+        sums = A.totals(c.files).head()
+        composite = R.composite(told).head()["composite"]
+        return Report(dimensions, composite, sums["files"], sums["lines"], round((time.time() - began) * 1000), c, told)
 
     def scan(self, root: str, include: tuple[str, ...] = (), **options) -> Report:
         return self.health(self.snapshot(root, include, **options)[0])
@@ -126,7 +123,7 @@ class Engine:
         return None if rules is None else self.checked(self.health(c), rules)
 
     def checked(self, r: Report, rules: Rules) -> tuple[bool, list[dict], int]:
-        found = constraint_violations(rules.constraints or {}, r.dimensions)
+        found = constraint_violations(rules.constraints or {}, r.dimensions, r.context.functions.filter(F.col("cc") > r.context.at.complexity))
         edges = r.context.edges
         for x in R.layer_violations(edges, list(rules.layers)).orderBy("ord").collect() if rules.layers else []:
             text = f'"{x.from_layer}" (order {plain(x.from_order)}) imports from "{x.to_layer}" (order {plain(x.to_order)}): {x.src} -> {x.dst}'
@@ -139,20 +136,35 @@ class Engine:
         return not found, found, number
 
     def save_baseline(self, root: str, include: tuple[str, ...] = (), **options) -> dict:
-        told = baseline_of(self.scan(root, include, **options))
-        path = baseline_path(root)
-        path.parent.mkdir(parents=True, exist_ok=True)
-        path.write_text(json.dumps(told, indent=2), encoding="utf-8")
+        """The baseline, kept beside the tree: as text, and all dimensions as a version."""
+        r = self.scan(root, include, **options)
+        told = baseline_of(r)
+        Snapshots(self.spark, baseline_path(root).removesuffix(".json")).write(r.rows)
+        write_text(self.spark, baseline_path(root), json.dumps(told, indent=2))
         return told
 
     def gate(self, root: str, include: tuple[str, ...] = (), **options) -> list[str]:
         """What got worse since the baseline was saved."""
-        return degradations(load_baseline(root), baseline_of(self.scan(root, include, **options)))
+        base = load_baseline(self.spark, root)
+        return self.degradations(base, baseline_of(self.scan(root, include, **options)))
+
+    def degradations(self, base: dict, now: dict) -> list[str]:
+        """What is told of the dimensions that R.gate_changes finds to be worse, and of the composite grade."""
+        frames = [self.spark.createDataFrame([(d, float(x[k])) for k, d in KEPT.items()], "name string, raw_value double") for x in (base, now)]
+        rows = {r["name"]: r for r in R.gate_changes(*frames).filter("degraded").collect()}
+        out = []
+        for name, what in GATED.items():
+            if name in rows:
+                a, b = rows[name]["base"], rows[name]["current"]
+                out.append(f"{what} degraded: {fixed(a)} -> {fixed(b)} (threshold: +0.05)" if name == "coupling" else f"{what} increased: {plain(a)} -> {plain(b)}")
+        if GRADES.index(now["compositeGrade"]) > GRADES.index(base["compositeGrade"]):
+            out.append(f"composite grade dropped: {base['compositeGrade']} -> {now['compositeGrade']}")
+        return out
 
     def visual(self, r: Report) -> dict:
         """Files with lines and grade, modules and the edges between them."""
         c = r.context
-        named = S.flagged(c.files, c.functions, c.degrees, c.at, c.changes, self.spark.createDataFrame([(p,) for p in r.dimensions["testCoverageGap"]["details"].get("files", [])], "path string") if c.test_targets is not None else None, c.now)
+        named = S.flagged(c.files, c.functions, c.degrees, c.at, c.changes, uncovered(c).select("path") if c.test_targets is not None else None, c.now)
         tiles = S.file_flags(c.files, named).orderBy("ord").select("path", "lines", C.flag_grade(F.col("flags")).alias("grade")).collect()
         modules = [x.module for x in c.files.select(C.module_of(F.col("path")).alias("module")).distinct().orderBy("module").collect()]
         cells = S.dsm_cells(c.edges).orderBy("from_module", "to_module").collect()
@@ -167,8 +179,11 @@ def violation(rule: str, message: str, paths: list[str]) -> dict:
     return {"rule": rule, "severity": "error", "message": message, "affectedFiles": paths}
 
 
-def constraint_violations(limits: dict, dimensions: dict[str, dict]) -> list[dict]:
-    """max_cc looks at functions that count as complex anyway, and no_god_files at a detail that scans don't give: both as users know them."""
+def constraint_violations(limits: dict, dimensions: dict[str, dict], functions: DataFrame | None = None) -> list[dict]:
+    """max_cc looks at functions that count as complex anyway, and no_god_files at a detail that scans don't give: both as users know them.
+
+    functions: those that count as complex, of which details may show the first only.
+    """
     out = []
     raw = {n: d["rawValue"] for n, d in dimensions.items()}
     if "max_cycles" in limits and raw["cycles"] > limits["max_cycles"]:
@@ -187,8 +202,9 @@ def constraint_violations(limits: dict, dimensions: dict[str, dict]) -> list[dic
         rows = told.get(listed, [])
         if key == "max_cc":
             over = [f["file"] for f in rows if f["cc"] > limits[key]]
-            if over:
-                out.append(violation(key, f"{len(over)} function(s) exceed cyclomatic complexity limit of {plain(limits[key])}", over))
+            number = len(over) if functions is None or "more" not in told else functions.filter(F.col("cc") > limits[key]).count()
+            if number:
+                out.append(violation(key, f"{number} function(s) exceed cyclomatic complexity limit of {plain(limits[key])}", over))
         elif rows:
             out.append(violation(key, f"{len(rows)} god file(s) detected", list(rows)))
     return out
@@ -202,19 +218,20 @@ def baseline_of(r: Report) -> dict:
     return {k: r.dimensions[d]["rawValue"] for k, d in KEPT.items()} | {"compositeGrade": r.composite, "dimensionGrades": {n: d["grade"] for n, d in r.dimensions.items()}}
 
 
-def baseline_path(root: str) -> Path:
-    """Beside the tree; for one in shared storage, where the command runs."""
-    return Path("." if "://" in root else root) / FOLDER / "baseline.json"
+#: How a gate names what it looks at.
+GATED = {"coupling": "coupling score", "cycles": "cycle count", "godFiles": "god file ratio", "complexFn": "complex function ratio", "depth": "max depth"}
+
+
+def baseline_path(root: str) -> str:
+    """Beside the tree, wherever that is."""
+    return f"{root.rstrip('/')}/{FOLDER}/baseline.json" if "://" in root else f"file://{Path(root).resolve()}/{FOLDER}/baseline.json"
 
 
-def load_baseline(root: str) -> dict:
+def load_baseline(spark: SparkSession, root: str) -> dict:
     path = baseline_path(root)
-    if not path.exists():
+    text = read_text(spark, path)
+    if text is None:
         raise FileNotFoundError(f"No baseline found at {path}. Save one first.")
-    try:
-        text = path.read_text(encoding="utf-8")
-    except OSError as e:
-        raise OSError(f"Baseline at {path} can't be read: {e}") from e
     try:
         told = json.loads(text)
     except json.JSONDecodeError as e:
@@ -226,18 +243,6 @@ def load_baseline(root: str) -> dict:
     return told
 
 
-def degradations(base: dict, now: dict) -> list[str]:
-    out = []
-    if now["couplingScore"] > base["couplingScore"] + 0.05:
-        out.append(f"coupling score degraded: {fixed(base['couplingScore'])} -> {fixed(now['couplingScore'])} (threshold: +0.05)")
-    for key, what in (("cycleCount", "cycle count"), ("godFileRatio", "god file ratio"), ("complexFnRatio", "complex function ratio"), ("maxDepth", "max depth")):
-        if now[key] > base[key]:
-            out.append(f"{what} increased: {plain(base[key])} -> {plain(now[key])}")
-    if GRADES.index(now["compositeGrade"]) > GRADES.index(base["compositeGrade"]):
-        out.append(f"composite grade dropped: {base['compositeGrade']} -> {now['compositeGrade']}")
-    return out
-
-
 def fixed(x: float, digits: int = 2) -> str:
     """x with so many decimals, its exact binary value rounded half up."""
     from decimal import ROUND_HALF_UP, Decimal

@@ -6,6 +6,7 @@ import json
 import sys
 
 from quoin.functions.dimensions import NAMES
+from quoin.operators.rules import grade_changes
 from quoin.session import Engine, Report
 
 _PATH = {"path": {"type": "string", "description": "Folder to scan"}, "include": {"type": "array", "items": {"type": "string"}, "description": "Folders to keep to"}}
@@ -29,7 +30,7 @@ TOOLS = [
 class Tools:
     def __init__(self, engine: Engine | None = None):
         self.engine = engine or Engine()
-        self.kept: Report | None = None
+        self.kept: Report | None = None  # its rows are in the shared folder
 
     def call(self, name: str, args: dict) -> str:
         """The tool's text; errors are told as JSON, too."""
@@ -82,9 +83,9 @@ class Tools:
         base, self.kept = self.kept, None
         if base is None:
             return {"warning": "No baseline found. Run session_start first. Returning current scan results.", "current": current}
-        a, b = grades(base), grades(r)
-        changes = {n: {"from": a[n], "to": b[n]} for n in a if a[n] != b[n]}
-        return {"baseline": {"compositeGrade": base.composite, "dimensions": a}, "current": current, "changes": changes, "compositeGradeChanged": base.composite != r.composite}
+        changed = {x["name"]: x for x in grade_changes(base.rows, r.rows).collect()}
+        changes = {n: {"from": changed[n]["from_grade"], "to": changed[n]["to_grade"]} for n in NAMES if n in changed}
+        return {"baseline": {"compositeGrade": base.composite, "dimensions": grades(base)}, "current": current, "changes": changes, "compositeGradeChanged": base.composite != r.composite}
 
 
 def grades(r: Report) -> dict[str, str]:

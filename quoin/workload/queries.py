@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from types import SimpleNamespace
 
@@ -16,11 +17,13 @@ from quoin.operators import graph as G
 from quoin.operators import rules as R
 from quoin.operators import shaping as S
 from quoin.operators.resolving import resolved
+from quoin.operators.visiting import deepest
 from quoin.plans.context import report
-from quoin.plans.details import details_of
-from quoin.sources import history, tree
-from quoin.workload import cases as K
-from quoin.workload.views import CONDENSED, LEVELS, REACH, SCC, TESTS, THRESHOLDS, Tables, sql
+from quoin.plans.details import details_of, ranked_rows
+from quoin.plans.storage import shared_dir
+from quoin.snapshots import Snapshots
+from quoin.sources import history
+from quoin.workload.views import BASE, CONDENSED, LEVELS, REACH, SCC, TESTS, THRESHOLDS, Tables, sql
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -222,7 +225,7 @@ def _(t):
 
 @query("change_coupling_pairs", "SELECT a.s AS a, b.s AS b, count(*) AS n FROM (SELECT DISTINCT l_orderkey AS o, l_suppkey::VARCHAR AS s FROM lineitem) a JOIN (SELECT DISTINCT l_orderkey AS o, l_suppkey::VARCHAR AS s FROM lineitem) b ON a.o = b.o AND a.s < b.s GROUP BY ALL HAVING count(*) >= 5")
 def _(t):
-    return A.change_pairs(t["lineitem"].select(F.col("l_orderkey").alias("hash"), F.col("l_suppkey").cast("string").alias("path"))).filter("n >= 5")
+    return A.change_pairs(t["lineitem"].select(F.col("l_orderkey").alias("hash"), F.col("l_suppkey").cast("string").alias("path")), 5)
 
 
 PAIRS = "cp AS (SELECT a.path AS a, b.path AS b FROM (SELECT DISTINCT hash, path FROM ch) a JOIN (SELECT DISTINCT hash, path FROM ch) b ON a.hash = b.hash AND a.path < b.path GROUP BY ALL HAVING count(*) >= 2)"
@@ -259,7 +262,7 @@ def _(t):
 
 @query("reachable_from_entries", sql("SELECT id AS node FROM x", "x AS (SELECT id FROM f WHERE path LIKE '%/index.ts' UNION SELECT e.dst FROM x JOIN e ON e.src = x.id)"))
 def _(t):
-    return G.reachable(t.edges(), t.ids().filter(C.is_entry(F.col("path"))).select(F.col("id").alias("node")))
+    return G.reachable(t.edges(), t.ids().filter(C.is_entry(F.col("path"))).select(F.col("id").alias("node")), few=0)
 
 
 @query("attack_surface", sql("SELECT count(*) AS found, (SELECT count(*) FROM f) AS total, round(count(*) / (SELECT count(*) FROM f), 6) AS raw_value FROM x", "x AS (SELECT id FROM f WHERE path LIKE '%/index.ts' UNION SELECT e.dst FROM x JOIN e ON e.src = x.id)"))
@@ -271,19 +274,20 @@ def _(t):
 
 @query("blast_radius_per_file", sql("SELECT dst AS node, count(*) AS radius FROM r WHERE src <> dst GROUP BY dst", REACH))
 def _(t):
-    return G.radii(t.edges())
+    return G.radii(t.edges(), few=0)
 
 
 @query("blast_radius_max", sql("SELECT radius, round(radius / (SELECT count(*) FROM f), 6) AS raw_value FROM (SELECT max(n) AS radius FROM (SELECT count(r.src) AS n FROM f LEFT JOIN r ON r.dst = f.id AND r.src <> f.id WHERE f.path NOT LIKE '%/index.ts' AND f.id NOT IN (SELECT id FROM st) GROUP BY f.id))", REACH))
 def _(t):
     e, f = t.edges(), t.ids()
     basis = A.foundation(f, G.degrees(t.path_edges())).join(f.select(F.col("path").alias("node"), "id"), "node").select(F.col("id").alias("node"))
-    return A.blast_radius(f.select(F.col("id").alias("path"), "ord"), G.radii(e), basis).select("radius", r6("raw_value").alias("raw_value"))
+    outside = f.select(F.col("id").alias("node")).join(basis, "node", "left_anti")
+    return A.blast_radius(f.select(F.col("id").alias("path"), "ord"), G.largest_radii(e, outside), basis).select("radius", r6("raw_value").alias("raw_value"))
 
 
 @query("scc_members", sql("SELECT id AS node, rep AS component FROM scc", REACH, SCC))
 def _(t):
-    return G.components(t.edges())
+    return G.components(t.edges(), few=0)
 
 
 @query("cycle_count", sql("SELECT count(DISTINCT rep) AS cycles FROM scc", REACH, SCC))
@@ -300,7 +304,7 @@ def _(t):
 @query("levels", sql("SELECT id AS node, max(k)::INTEGER AS level FROM lv GROUP BY id", REACH, SCC, CONDENSED, LEVELS))
 def _(t):
     e = t.edges()
-    return G.levels(G.condensed(e, G.components(e)))
+    return G.levels(G.condensed(e, G.components(e, few=0)), few=0)
 
 
 @query("max_depth", sql("SELECT max(k)::INTEGER AS depth FROM lv", REACH, SCC, CONDENSED, LEVELS))
@@ -309,6 +313,58 @@ def _(t):
     return G.levels(G.condensed(e, G.components(e))).agg(F.max("level").alias("depth"))
 
 
+#: A search depth first, a step a row: the stack, the place in the edges of each node on it, the best depth and neighbour so far, and what was left.
+DEEPEST = """
+WITH RECURSIVE BASE,
+eo AS MATERIALIZED (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dst) AS ord FROM e),
+adj AS MATERIALIZED (SELECT id, coalesce((SELECT list(dst ORDER BY ord) FROM eo WHERE src = id), []) AS after FROM f),
+roots AS (SELECT id FROM f WHERE id NOT IN (SELECT dst FROM e)),
+seeds AS MATERIALIZED (SELECT list(id ORDER BY id) AS seeds FROM (SELECT id FROM roots UNION ALL SELECT id FROM f WHERE NOT EXISTS (FROM roots))),
+walk AS (
+  SELECT 0 AS step, 1 AS seed, []::BIGINT[] AS stack, []::BIGINT[] AS place, []::BIGINT[] AS best, []::BIGINT[] AS child, MAP([]::BIGINT[], []::BIGINT[]) AS depth, MAP([]::BIGINT[], []::BIGINT[]) AS onward
+  UNION ALL
+  SELECT step + 1, CASE act WHEN 'seed' THEN seed + 1 ELSE seed END,
+    CASE act WHEN 'seed' THEN CASE WHEN depth[seeds[seed]] IS NULL THEN [seeds[seed]] ELSE [] END WHEN 'enter' THEN stack || [other] WHEN 'pop' THEN stack[:-2] ELSE stack END,
+    CASE act WHEN 'seed' THEN CASE WHEN depth[seeds[seed]] IS NULL THEN [0] ELSE [] END WHEN 'enter' THEN place[:-2] || [place[-1] + 1, 0] WHEN 'pop' THEN place[:-2] ELSE place[:-2] || [place[-1] + 1] END,
+    CASE act WHEN 'seed' THEN CASE WHEN depth[seeds[seed]] IS NULL THEN [0] ELSE [] END WHEN 'enter' THEN best || [0]
+      WHEN 'pop' THEN CASE WHEN len(best) > 1 THEN best[:-3] || [greatest(best[-2], 1 + best[-1])] ELSE [] END WHEN 'known' THEN best[:-2] || [greatest(best[-1], 1 + depth[other])] ELSE best END,
+    CASE act WHEN 'seed' THEN CASE WHEN depth[seeds[seed]] IS NULL THEN [NULL] ELSE [] END WHEN 'enter' THEN child || [NULL]
+      WHEN 'pop' THEN CASE WHEN len(best) > 1 THEN child[:-3] || [CASE WHEN 1 + best[-1] > best[-2] THEN stack[-1] ELSE child[-2] END] ELSE [] END
+      WHEN 'known' THEN child[:-2] || [CASE WHEN 1 + depth[other] > best[-1] THEN other ELSE child[-1] END] ELSE child END,
+    CASE act WHEN 'pop' THEN map_concat(depth, MAP([stack[-1]], [best[-1]])) ELSE depth END,
+    CASE act WHEN 'pop' THEN map_concat(onward, MAP([stack[-1]], [child[-1]])) ELSE onward END
+  FROM (
+    SELECT *, CASE WHEN len(stack) = 0 THEN 'seed' WHEN other IS NULL THEN 'pop' WHEN depth[other] IS NOT NULL THEN 'known' WHEN list_contains(stack, other) THEN 'open' ELSE 'enter' END AS act
+    FROM (SELECT walk.*, seeds, after[place[-1] + 1] AS other FROM walk CROSS JOIN seeds LEFT JOIN adj ON adj.id = stack[-1] WHERE seed <= len(seeds) OR len(stack) > 0)
+  )
+),
+done AS (SELECT depth, onward FROM walk ORDER BY step DESC LIMIT 1),
+first AS (SELECT id AS node, depth[id] AS d FROM (SELECT unnest(seeds) AS id FROM seeds), done ORDER BY depth[id] DESC, id LIMIT 1),
+way AS (SELECT 0 AS place, node FROM first UNION ALL SELECT place + 1, onward[node] FROM way, done WHERE onward[node] IS NOT NULL)
+SELECT place::BIGINT AS place, node FROM way""".replace("BASE", BASE.strip())
+
+
+@query("depth_in_order", DEEPEST)
+def _(t):
+    return deepest(t.edges().withColumn("ord", F.col("dst")), t.ids().select(F.col("id").alias("node"), "ord"), few=0)
+
+
+FOLLOWS = """
+WITH RECURSIVE o AS (SELECT o_orderkey AS id, o_custkey AS cust, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS nth, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS before FROM orders),
+e AS MATERIALIZED (SELECT id AS src, before AS dst FROM o WHERE before IS NOT NULL
+  UNION ALL SELECT id, before FROM (SELECT id, lag(id) OVER (PARTITION BY c_nationkey ORDER BY cust) AS before FROM o JOIN customer ON c_custkey = cust WHERE nth = 1) WHERE before IS NOT NULL)"""
+
+
+@query("order_levels", FOLLOWS + ",\nlv AS (SELECT id, k FROM (SELECT src AS id, 0 AS k FROM e UNION SELECT dst, 0 FROM e) UNION SELECT e.src, lv.k + 1 FROM lv JOIN e ON e.dst = lv.id)\nSELECT id AS node, max(k)::INTEGER AS level FROM lv GROUP BY id")
+def _(t):
+    return G.levels(t.follows(), few=0)
+
+
+@query("orders_followed", FOLLOWS + ",\nx AS (SELECT DISTINCT l_orderkey AS id FROM lineitem WHERE l_quantity = 1 AND l_orderkey % 10 = 0 UNION SELECT e.dst FROM x JOIN e ON e.src = x.id)\nSELECT id AS node FROM x")
+def _(t):
+    return G.reachable(t.follows(), t["lineitem"].filter("l_quantity = 1 and l_orderkey % 10 = 0").select(F.col("l_orderkey").alias("node")), few=0)
+
+
 @query("test_coverage_gap", sql("SELECT count(*) FILTER (f.id NOT IN (SELECT id FROM x)) AS found, count(*) AS total, round(count(*) FILTER (f.id NOT IN (SELECT id FROM x)) / count(*), 6) AS raw_value FROM f WHERE path NOT LIKE '%/index.ts'", f"x AS (SELECT dst AS id FROM p WHERE spath LIKE '{TESTS}%' UNION SELECT e.dst FROM x JOIN e ON e.src = x.id)"))
 def _(t):
     e = t.path_edges()
@@ -445,44 +501,66 @@ def _(t):
     return found.withColumn("grade", C.grade_of(F.col("name"), F.col("raw_value")))
 
 
-# reading: the engine's own functions over small tables of source text
+@query("resolved_imports", sql("""SELECT DISTINCT a.path AS path, concat(CASE WHEN a.id % 25 = 0 THEN '../../' ELSE '../' END, CASE l_linenumber WHEN 3 THEN 'a' WHEN 4 THEN 'none' ELSE 'n' END, b.m, '/s', b.id, CASE WHEN l_linenumber = 2 AND b.id % 25 <> 0 THEN '.js' ELSE '' END) AS specifier,
+    CASE WHEN l_linenumber <> 4 THEN b.path END AS resolved FROM lineitem JOIN f a ON a.id = l_suppkey JOIN (SELECT f.*, s_nationkey AS m FROM f JOIN supplier ON s_suppkey = id) b ON b.id = l_partkey % (SELECT count(*) FROM supplier)"""))
+def _(t):
+    """Every line item as an import: by name, by another ending, by a link to a nation's folder, or of nothing that exists."""
+    s = t["supplier"].select(F.col("s_suppkey").alias("y"), F.col("s_nationkey").alias("m"))
+    rows = t["lineitem"].select(F.col("l_suppkey").alias("x"), (F.col("l_partkey") % t.n).alias("y"), F.col("l_linenumber").alias("k")).join(s, "y").join(t.ids().select(F.col("id").alias("x"), "path"), "x")
+    up, folder = F.when(F.col("x") % 25 == 0, "../../").otherwise("../"), F.when(F.col("k") == 3, "a").when(F.col("k") == 4, "none").otherwise("n")
+    said = rows.select("path", F.concat(up, folder, "m", F.lit("/s"), "y", F.when((F.col("k") == 2) & (F.col("y") % 25 != 0), ".js").otherwise("")).alias("specifier")).distinct()
+    links = t["nation"].select(F.concat(F.lit("src/a"), "n_nationkey").alias("link"), F.concat(F.lit("src/n"), "n_nationkey").alias("target"))
+    return resolved(said.withColumn("ord", F.xxhash64("path", "specifier")), t.ids().select("path"), links).select("path", "specifier", "resolved")
 
 
-def _sources(t: Tables, rows: list[tuple[str, str]]) -> DataFrame:
-    return tree.extracted(t.spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "ord long, path string, text string"))
+@query("parsed_log", "SELECT o_orderkey::VARCHAR AS hash, o_custkey::VARCHAR AS author, o_orderdate AS ts, concat('src/p', l_partkey, '.ts') AS path, l_quantity::BIGINT AS added, l_linenumber::BIGINT AS deleted FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_linenumber NOT IN (2, 6) AND o_orderkey % 50 <> 3")
+def _(t):
+    """All orders as the text of a log, written and read as one that git wrote: pictures and renamed files are left out, and commits without a date."""
+    path = F.concat(F.lit("src/p"), "l_partkey", F.lit(".ts"))
+    line = F.when(F.col("l_linenumber") == 2, F.concat(F.lit("-\t-\t"), path)).otherwise(F.concat(F.col("l_quantity").cast("long"), F.lit("\t"), "l_linenumber", F.lit("\t"), F.when(F.col("l_linenumber") == 6, F.concat(F.lit("src/{a => b}/"), "l_partkey")).otherwise(path)))
+    lines = t["lineitem"].groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_join(F.collect_list(line), "\n").alias("lines"))
+    date = F.when(F.col("o_orderkey") % 50 == 3, "none").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ssXXX"))
+    text = F.concat(F.lit(history.COMMIT + "\n"), "o_orderkey", F.lit(history.FIELD), "o_custkey", F.lit(history.FIELD), date, F.lit("\n\n"), "lines")
+    url = f"{shared_dir(t.spark)}/log-{uuid.uuid4().hex}"
+    t["orders"].join(lines, "o_orderkey").select(text).write.text(url)
+    return history.stored_log(t.spark, url).drop("ord")
 
 
-@query("extracted_functions", K.values([(i, "f", cc, cognitive, 2) for i, (_, cc, cognitive) in enumerate(K.BODIES)], "id, name, cc, cognitive, param_count"))
-def _(t):
-    read = _sources(t, [(f"f{i}.ts", "function f(a: Map<string, number>, b?: string) {\n" + body + "\n}") for i, (body, _, _) in enumerate(K.BODIES)])
-    return tree.functions(read).select(F.regexp_extract("path", "[0-9]+", 0).cast("int").alias("id"), "name", "cc", "cognitive", "param_count")
+# rows behind the dimensions, in the order of reports
 
 
-@query("extracted_declarations", K.values([(r[0], *r[2:]) for r in K.DECLARED], "path, funcs, n_classes, n_abstract, n_methods, n_imports"))
-def _(t):
-    read = _sources(t, [r[:2] for r in K.DECLARED])
-    kinds = tree.classes(read).groupBy("path").agg(F.sum((F.col("kind") == "class").cast("int")).alias("n_classes"), F.sum((F.col("kind").isin("interface", "type-alias")).cast("int")).alias("n_abstract"), F.sum(F.when(~F.col("kind").isin("interface", "type-alias"), F.size("methods")).otherwise(0)).alias("n_methods"))
-    specs = tree.specifiers(read).groupBy("path").agg(F.count("*").alias("n_imports"))
-    return tree.files(read).select("path", "funcs").join(kinds, "path", "left").join(specs, "path", "left").na.fill(0)
+def _ranked(name: str, columns: str, source: str, order: str) -> None:
+    query(f"ranked_{name}", sql(f"SELECT row_number() OVER (ORDER BY {order}) - 1 AS place, {columns} FROM {source}"))(lambda t: ranked_rows(t.context(), name))
+
+
+_ranked("largeFiles", "path AS file, lines", "f WHERE lines > 40", "ord")
+_ranked("complexFn", "path AS file, name, cc", "fn WHERE cc > 40", "ord")
+_ranked("godFiles", "path AS file", "d WHERE fo > 5 AND path NOT LIKE '%/index.ts'", "path")
+_ranked("deadCode", "path AS file", "f LEFT JOIN deg USING (id) WHERE coalesce(fi, 0) = 0 AND funcs > 0 AND path NOT LIKE '%/index.ts'", "ord")
+_ranked("busFactor", "path AS file", "(SELECT path FROM ch GROUP BY path HAVING count(DISTINCT author) = 1)", "path")
+_ranked("codeAge", "path AS file, days", "(SELECT path, floor((epoch(max(last)) - epoch(max(ts))) / 86400)::BIGINT AS days FROM ch GROUP BY path) WHERE days >= 60", "days DESC, path")
 
 
-@query("counted_lines", K.values([(i, *r[1:]) for i, r in enumerate(K.COUNTED)], "id, lines, logic, comments, blanks"))
+@query("totals", sql("SELECT count(*) AS files, sum(lines)::BIGINT AS lines FROM f"))
 def _(t):
-    from quoin.functions.lines import counted_lines
+    return A.totals(t.ids())
+
 
-    rows = t.spark.createDataFrame([(i, r[0]) for i, r in enumerate(K.COUNTED)], "id int, text string")
-    return counted_lines(rows, "text").select("id", "counts.*")
+SOME = ("coupling", "largeFiles", "complexFn", "highParams", "busFactor")
 
 
-@query("resolved_imports", K.values(K.ASKED, "path, specifier, resolved"))
+@query("asked_dimensions", f"SELECT * FROM ({_report_sql()}) WHERE name IN {SOME}")
 def _(t):
-    imports = t.spark.createDataFrame([(p, i, s) for i, (p, s, _) in enumerate(K.ASKED)], "path string, ord long, specifier string")
-    return resolved(imports, t.spark.createDataFrame([(p,) for p in K.KNOWN], "path string")).select("path", "specifier", "resolved")
+    return report(t.context(), SOME).withColumn("raw_value", r6("raw_value"))
 
 
-@query("parsed_log", K.values(K.CHANGED, "hash, author, path, added, deleted"))
+@query("stored_versions", f"SELECT name, raw_value, grade FROM ({_report_sql()}) WHERE name IN {SOME}")
 def _(t):
-    return history.changes_of(t.spark, K.LOG).select("hash", "author", "path", "added", "deleted")
+    """The second of two versions, as it is read back."""
+    kept, rows = Snapshots(t.spark, f"{shared_dir(t.spark)}/versions-{uuid.uuid4().hex}"), report(t.context(), SOME)
+    kept.write(rows.limit(1))
+    kept.write(rows)
+    return kept.read().withColumn("raw_value", r6("raw_value"))
 
 
 # relations
@@ -518,23 +596,12 @@ def _(t):
 
 @query("changed_most", sql("SELECT row_number() OVER (ORDER BY churn DESC, path) AS place, path, churn FROM (SELECT path, sum(added + deleted)::BIGINT AS churn FROM ch GROUP BY path)"))
 def _(t):
-    found = details_of(t.context(), "codeChurn")["files"]
-    return t.spark.createDataFrame([(i, x["file"], x["churn"]) for i, x in enumerate(found, 1)], "place long, path string, churn long")
+    return ranked_rows(t.context(), "codeChurn").select((F.col("place") + 1).alias("place"), F.col("file").alias("path"), "churn")
 
 
 @query("changed_together", sql("SELECT row_number() OVER (ORDER BY n DESC, a, b) AS place, a, b, n FROM (SELECT a.path AS a, b.path AS b, count(*) AS n FROM (SELECT DISTINCT hash, path FROM ch) a JOIN (SELECT DISTINCT hash, path FROM ch) b ON a.hash = b.hash AND a.path < b.path GROUP BY ALL HAVING count(*) >= 2)"))
 def _(t):
-    found = details_of(t.context(), "changeCoupling")["pairs"]
-    return t.spark.createDataFrame([(i, x["fileA"], x["fileB"], x["count"]) for i, x in enumerate(found, 1)], "place long, a string, b string, n long")
-
-
-@query("gate_texts", K.values([(0, "coupling score degraded: 0.10 -> 0.21 (threshold: +0.05)"), (1, "cycle count increased: 1 -> 2"), (2, "max depth increased: 3 -> 5"), (3, "composite grade dropped: B -> C")], "place, said"))
-def _(t):
-    from quoin.session import degradations
-
-    base = {"couplingScore": 0.1, "cycleCount": 1.0, "godFileRatio": 0.0, "complexFnRatio": 0.5, "maxDepth": 3.0, "compositeGrade": "B"}
-    said = degradations(base, {"couplingScore": 0.21, "cycleCount": 2.0, "godFileRatio": 0.0, "complexFnRatio": 0.4, "maxDepth": 5.0, "compositeGrade": "C"})
-    return t.spark.createDataFrame(list(enumerate(said)), "place int, said string")
+    return ranked_rows(t.context(), "changeCoupling").withColumn("place", F.col("place") + 1)
 
 
 @query("stream_churn", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS hour, event_type AS path, count(*) AS changes, round(sum(value), 4) AS churn, max(ts) AS last FROM events GROUP BY ALL")

@@ -7,7 +7,7 @@ module each the other.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quoin.functions.columns import body_hash
@@ -53,6 +53,14 @@ class Tables:
         f = self.ids()
         return self.edges().join(f.select(F.col("id").alias("src"), F.col("path").alias("a")), "src").join(f.select(F.col("id").alias("dst"), F.col("path").alias("b")), "dst").select(F.col("a").alias("src"), F.col("b").alias("dst"))
 
+    def follows(self) -> DataFrame:
+        """(src, dst): from each order to the customer's one before; from a customer's first order to that of the customer before in the nation. No cycles, and deep."""
+        by_customer = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+        own = self["orders"].select("o_custkey", F.col("o_orderkey").alias("src"), F.lag("o_orderkey").over(by_customer).alias("dst"))
+        first = own.filter("dst is null").join(self["customer"].select(F.col("c_custkey").alias("o_custkey"), "c_nationkey"), "o_custkey")
+        across = first.select("src", F.lag("src").over(Window.partitionBy("c_nationkey").orderBy("o_custkey")).alias("dst"))
+        return own.select("src", "dst").unionByName(across).filter("dst is not null")
+
     def functions(self) -> DataFrame:
         k = F.col("p_partkey")
         part = self["part"].select((k % self.n).alias("id"), k.alias("ord"), F.col("p_name").alias("name"), F.col("p_size").alias("cc"), (k % 20).alias("cognitive"), (F.col("p_size") * 2).alias("line_count"), (k % 7).alias("param_count"), body_hash(F.concat_ws(":", "p_name", "p_brand")).alias("body_hash"))

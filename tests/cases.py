@@ -1,4 +1,4 @@
-"""Small tables of source text with what the reader must find in them: rows that SQL can state but not work out."""
+"""Small tables of source text with what the reader must find in them."""
 
 from __future__ import annotations
 
@@ -73,9 +73,3 @@ ghi789---FIELD_SEPARATOR---carl---FIELD_SEPARATOR---no date
 1\t1\tsrc/foo.ts
 """
 CHANGED = [("abc123", "alice", "src/foo.ts", 10, 5), ("abc123", "alice", "src/bar.ts", 3, 1), ("def456", "bob", "src/foo.ts", 20, 10)]
-
-
-def values(rows: list[tuple], columns: str) -> str:
-    """SQL that gives the rows."""
-    text = lambda x: "NULL" if x is None else str(x) if isinstance(x, int) else "'" + x.replace("'", "''") + "'"
-    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(text, r)) + ')' for r in rows)}) AS v({columns})"

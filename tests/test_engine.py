@@ -13,7 +13,9 @@ from quoin.functions.dimensions import NAMES
 from quoin.functions.typescript import read_source
 from quoin.operators.resolving import resolved
 from quoin.reporting import as_json, as_page, as_table, formatter
-from quoin.session import Engine, composite_grade, constraint_violations, degradations, fixed, load_baseline
+from quoin.operators import rules as R
+from quoin.session import Engine, constraint_violations, fixed, load_baseline
+from quoin.snapshots import Snapshots, read_text, write_text
 from quoin.sources import tree
 from quoin.sources.history import changes_of, git_changes, git_log, parsed_log
 from quoin.sources.tree import stored_tree
@@ -93,6 +95,21 @@ def test_resolving(spark):
     assert [got[s] for s in asked] == ["src/a.ts", "src/a.ts", "src/b/index.tsx", "src/c.tsx", "e.ts", None, None, None, "src/a.ts", "src/a.ts", "src/d.js.ts"]
 
 
+def test_links_and_files_that_are_not_scanned(spark, tmp_path):
+    """What is imported by way of a link is the real file; a file that isn't scanned comes before one that is, if it is a better candidate."""
+    for name in ("src/a.ts", "src/b/c.ts", "src/b/d.js", "src/d.ts", "dist/e.ts", "deep/x/y.ts", "node_modules/m.ts"):
+        path = tmp_path / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_text("")
+    for name, target in {"src/l": "b", "src/far": "../deep", "deep/z": "x", "src/one.ts": "l/c.ts", "src/loop": "pool", "src/pool": "loop", "src/out": "/usr", "src/root": ".."}.items():
+        (tmp_path / name).symlink_to(target)
+    there, links = tree.existing(spark, str(tmp_path))
+    assert sorted(r.path for r in there.collect()) == ["deep/x/y.ts", "dist/e.ts", "src/a.ts", "src/b/c.ts", "src/b/d.js", "src/d.ts"]
+    asked = {"./l/c": "src/b/c.ts", "./far/z/y": "deep/x/y.ts", "./one": "src/b/c.ts", "./loop/a": None, "./out/a": None, "./root/src/d": "src/d.ts", "../dist/e": "dist/e.ts", "./l/d": "src/b/d.js", "./l/d.js": "src/b/d.js", "m": None}
+    imports = spark.createDataFrame([("src/a.ts", i, s) for i, s in enumerate(asked)], "path string, ord long, specifier string")
+    assert {r.specifier: r.resolved for r in resolved(imports, there, links).collect()} == asked
+
+
 def test_log_parsing(spark):
     head = "---COMMIT_SEPARATOR---\n{}---FIELD_SEPARATOR---{}---FIELD_SEPARATOR---{}\n"
     log = head.format("abc", "alice", "2025-06-01T10:00:00+02:00") + "\n10\t5\tsrc/foo.ts\n3\t1\tsrc/bar.ts\n-\t-\tpic.png\n1\t1\tsrc/{old => new}/a.ts\n" + head.format("def", "bob", "2025-05-15T10:00:00Z") + "20\t10\tsrc/foo.ts\nnot a line\n" + head.format("ghi", "carl", "no date") + "1\t1\tsrc/foo.ts\n"
@@ -125,15 +142,64 @@ def test_git_history_tests_rules_and_gate(engine, project, capsys):
     r = engine.scan(str(project))
     assert r.dimensions["busFactor"]["rawValue"] == 1.0 and r.dimensions["testCoverageGap"]["details"]["files"] == ["src/util/alone.ts"]
     assert git_log(str(project)) and cli.main(["gate", str(project), "--save"], engine) == 0
-    base = load_baseline(str(project))
+    base = load_baseline(engine.spark, str(project))
     assert base["cycleCount"] == 1 and cli.main(["gate", str(project)], engine) == 0
-    assert degradations(base | {"cycleCount": 0, "couplingScore": -1}, base)[1] == "cycle count increased: 0 -> 1"
+    assert engine.degradations(base | {"cycleCount": 0, "couplingScore": -1}, base)[1] == "cycle count increased: 0 -> 1"
     (folder / "baseline.json").write_text("{}")
     with pytest.raises(ValueError, match="schema"):
-        load_baseline(str(project))
+        load_baseline(engine.spark, str(project))
     assert cli.main(["check", str(project)], engine) == 1 and "[error] max_cycles" in capsys.readouterr().err
 
 
+def test_versions_and_texts_in_any_storage(spark, tmp_path):
+    kept = Snapshots(spark, f"{tmp_path}/baseline")
+    assert kept.read() is None and kept.versions() == []
+    rows = [[("cycles", float(k), "A"), ("depth", 2.0, "B")] for k in range(3)]
+    assert [kept.write(spark.createDataFrame(r, "name string, raw_value double, grade string")) for r in rows] == [1, 2, 3]
+    (tmp_path / "baseline" / "_left_behind").mkdir()  # as of a writer that was lost
+    assert sorted(map(tuple, kept.read().collect())) == rows[2] and sorted(map(tuple, kept.read(1).collect())) == rows[0] and kept.read(9) is None
+    for text in ("one\ntwo é", "three"):
+        write_text(spark, f"file://{tmp_path}/deep/x.json", text)
+        assert read_text(spark, f"file://{tmp_path}/deep/x.json") == text == (tmp_path / "deep" / "x.json").read_text()
+    assert read_text(spark, f"file://{tmp_path}/none.json") is None
+
+
+def test_baseline_lies_beside_a_tree_in_shared_storage(engine, project):
+    url = f"file://{project}"
+    assert cli.main(["gate", url, "--save"], engine) == 0
+    assert (project / ".quoin" / "baseline.json").exists() and cli.main(["gate", url], engine) == 0
+    assert Snapshots(engine.spark, f"{url}/.quoin/baseline").read().count() == len(NAMES)
+
+
+def test_long_details_are_pages_of_a_table(spark, engine, project, monkeypatch):
+    from quoin.plans import details
+
+    whole = engine.scan(str(project)).dimensions["cycles"]["details"]
+    monkeypatch.setattr(details, "SHOWN", 2)
+    told = engine.scan(str(project)).dimensions["cycles"]["details"]
+    assert told["cycles"] == [whole["cycles"][0][:2]] and told["more"]["rows"] == 3
+    rows = spark.read.parquet(told["more"]["table"]).orderBy("place").collect()
+    assert [r.node for r in rows] == whole["cycles"][0] and [r.page for r in rows] == [0, 0, 1]
+
+
+def test_a_thousand_patterns_give_what_predicates_give(spark, monkeypatch):
+    from quoin.config import Boundary
+
+    paths = [f"src/m{i % 40}/p{i % 7}/f{i}.ts" for i in range(300)] + ["src/m1", "a.ts", "src/m2/**", "src/m3/x*.ts"]
+    edges = spark.createDataFrame([(a, b, i) for i, (a, b) in enumerate(zip(paths, reversed(paths), strict=True))], "src string, dst string, ord long")
+    kinds = ["src/m{}", "src/m{}/**", "src/m{}/**/f1{}.ts", "src/m{}/**/*{}.ts", "src/m{}/p1/*", "*.ts", "src/m{}/x*.ts", "**/p{}/f7.ts", "**", "src/**/a/**"]
+    patterns = [kinds[i % len(kinds)].format(i // 10, i % 10) for i in range(1000)]
+    layers = [Layer(f"l{i}", tuple(patterns[i::50]), i % 9) for i in range(50)]
+    bounds = [Boundary(a, b) for a, b in zip(patterns[::4], patterns[2::4], strict=True)]
+    told = {}
+    for limit in (0, 1 << 30):
+        monkeypatch.setattr(R, "PREDICATES", limit)
+        told[limit] = [sorted(map(tuple, R.layer_violations(edges, layers[:20]).select("ord", "from_layer", "to_layer", "from_order").collect())), sorted(map(tuple, R.boundary_violations(edges, bounds[:60]).select("ord", "src", "boundary").collect()))]
+    assert told[0] == told[1 << 30] and all(told[0])
+    monkeypatch.setattr(R, "PREDICATES", 64)
+    assert R.layer_violations(edges, layers).count() and R.boundary_violations(edges, bounds).count()
+
+
 def test_empty_folder_and_include(engine, tmp_path, project):
     (tmp_path / "none").mkdir()
     r = engine.scan(str(tmp_path / "none"))
@@ -193,8 +259,11 @@ def test_rules_drop_what_is_badly_typed(tmp_path):
         load_rules(tmp_path)
 
 
-def test_composite_and_numbers():
-    assert composite_grade([]) == "A" and composite_grade(["A"] * 23 + ["F"]) == "D" and composite_grade(["A", "B"]) == "B"
+def test_composite_and_numbers(spark):
+    def composite(grades):
+        return R.composite(spark.createDataFrame([(g,) for g in grades], "grade string")).head()["composite"]
+
+    assert composite([]) == "A" and composite(["A"] * 23 + ["F"]) == "D" and composite(["A", "B"]) == "B"
     assert fixed(0.125) == "0.13" and fixed(2.675) == "2.67" and fixed(0.96043 * 100, 1) == "96.0"
     with pytest.raises(ValueError, match="table, json"):
         formatter("xml")
