@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import cached_property, reduce
 
@@ -168,8 +169,22 @@ BUNDLES: tuple[tuple[tuple[str, ...], Callable[[Context], DataFrame]], ...] = (
 )
 
 
+#: What a dimension is read off and takes jobs of its own.
+NEEDS = {"cycles": "components", "levelization": "components", "depth": "deepest", "blastRadius": "radii", "attackSurface": "surface", "testCoverageGap": "tested"}
+
+
+def _prepared(c: Context, names: tuple[str, ...]) -> None:
+    """Compute what the dimensions need, side by side; none of these needs another."""
+    needed = {NEEDS[n] for n in names if n in NEEDS} - ({"tested"} if c.test_targets is None else set())
+    if "radii" in needed:
+        c.foundation  # noqa: B018  (kept by its name)
+    with ThreadPoolExecutor(max(1, len(needed))) as pool:
+        list(pool.map(lambda name: getattr(c, name), sorted(needed)))
+
+
 def report(c: Context, names: tuple[str, ...] = NAMES) -> DataFrame:
     """(position, name, raw_value, grade) of the dimensions asked for; others aren't computed."""
+    _prepared(c, names)
     left, rows = list(names), []
     for own, fn in BUNDLES:
         asked = [n for n in own if n in left]
