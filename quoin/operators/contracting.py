@@ -43,7 +43,7 @@ def contracted(edges: DataFrame, few: int, ending: bool = True, acyclic: bool =
         inner = now.filter("dst is not null")
         ends = now.select(F.explode(F.array(F.struct(F.col("src").alias("node"), F.lit(0).alias("i"), F.col("dst").isNotNull().cast("int").alias("o")), F.struct(F.col("dst").alias("node"), F.lit(1).alias("i"), F.lit(0).alias("o")))).alias("x"))
         degree = ends.filter("x.node is not null").groupBy("x.node").agg(F.sum("x.i").alias("i"), F.sum("x.o").alias("o"))
-        order = F.struct((F.col("i") * F.col("o") > 0).alias("through"), F.xxhash64("node", F.lit(len(rounds))).alias("h"), "node")
+        order = F.struct((F.col("i") * F.col("o") > 0).alias("through"), F.xxhash64("node", F.lit(str(len(rounds)))).alias("h"), "node")
         ready = degree.select("node", F.when(F.col("i") * F.col("o") <= F.col("i") + F.col("o"), order).alias("order")).persist()
         may = ready.filter("order is not null")
         touching = inner.join(may.select(F.col("node").alias("src"), F.col("order").alias("a")), "src").join(may.select(F.col("node").alias("dst"), F.col("order").alias("b")), "dst")

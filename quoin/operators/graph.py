@@ -106,7 +106,7 @@ def _least(edges: DataFrame, seed: int) -> DataFrame:
     Each round also looks at what the least one known knows, so ways are halved where they are long.
     """
     nodes = edges.select(F.col("src").alias("node")).unionAll(edges.select("dst")).distinct()
-    now = settled(nodes.select("node", F.struct(F.xxhash64("node", F.lit(seed)).alias("h"), "node").alias("least"), F.lit(True).alias("new")))
+    now = settled(nodes.select("node", F.struct(F.xxhash64("node", F.lit(str(seed))).alias("h"), "node").alias("least"), F.lit(True).alias("new")))
     while True:
         told = now.filter("new").join(edges.select(F.col("src").alias("node"), "dst"), "node").groupBy(F.col("dst").alias("node")).agg(F.min("least").alias("told"))
         step = now.join(told, "node", "left").select("node", F.col("least").alias("was"), F.least("least", "told").alias("least"))

@@ -83,13 +83,17 @@ def test_no_nodes(spark):
 
 
 def test_long_chains_take_few_rounds(spark):
-    n = 100_000
+    n = 20_000
+    left, rounds = contracting.contracted(contracting.weighted(spark.range(n).selectExpr("id as src", "id + 1 as dst"), 1), 2500, acyclic=True)
+    assert left.count() <= 2500 and len(rounds) < 10
+
+
+def test_values_are_carried_back_along_chains(spark, monkeypatch):
+    monkeypatch.setattr(G, "STEPS", 2)
+    n = 1000
     chain = spark.range(n).selectExpr("id as src", "id + 1 as dst")
-    left, rounds = contracting.contracted(contracting.weighted(chain, 1), 2000, acyclic=True)
-    assert left.count() <= 2000 and len(rounds) < 15
-    level = {r.node: r.level for r in G.levels(chain).filter("node % 9973 = 0").collect()}
-    assert level == {k: n - k for k in range(0, n + 1, 9973)}
+    level = {r.node: r.level for r in G.levels(chain, few=500).filter("node % 97 = 0 or node = 1000").collect()}
+    assert level == {k: n - k for k in range(n + 1) if k % 97 == 0 or k == n}
     ring = chain.selectExpr("src", f"dst % {n} as dst")
-    assert G.components(ring).groupBy("component").count().collect() == [(0, n)]
-    far = G.reachable(chain, spark.range(1).selectExpr("id + 60000 as node"))
-    assert far.count() == n - 60000 + 1
+    assert [tuple(r) for r in G.components(ring, few=500).groupBy("component").count().collect()] == [(0, n)]
+    assert G.reachable(chain, spark.range(1).selectExpr("id + 300 as node"), few=500).count() == n - 300 + 1
