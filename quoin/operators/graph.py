@@ -161,7 +161,10 @@ def _far(own: DataFrame, known: DataFrame, fresh: DataFrame, few: int) -> DataFr
     core, rounds = contracted(first.unionByName(weighted(inner.select(F.col("dst").alias("src"), F.col("src").alias("dst")), 0)), few)
     begun = settled(core.filter("dst is null and weight > 0").select(F.col("src").alias("node")).distinct())
     ways = core.filter("dst is not null").select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    there = _searched(ways, begun, few, None)
+    if core.count() <= few:
+        there = in_one_task(ways.unionAll(begun.select("node", F.lit(None).cast(_type(own)))), _reached_rows, f"node {_type(own)}")
+    else:
+        there = _searched(ways, begun, few, None)
     values = settled(there.select("node", F.lit(1).cast("long").alias("value")))
     return carried(values, rounds, longest).filter("value > 0").select("node")
 
