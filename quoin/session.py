@@ -19,6 +19,7 @@ from quoin.operators import graph as G
 from quoin.operators import rules as R
 from quoin.operators import shaping as S
 from quoin.operators.resolving import resolved
+from quoin.plans import details as shown_rows
 from quoin.plans.context import Context, report
 from quoin.plans.details import details_of, uncovered
 from quoin.plans.storage import settled
@@ -175,8 +176,9 @@ def plain(x: float) -> str:
     return str(int(x)) if float(x).is_integer() else repr(float(x))
 
 
-def violation(rule: str, message: str, paths: list[str]) -> dict:
-    return {"rule": rule, "severity": "error", "message": message, "affectedFiles": paths}
+def violation(rule: str, message: str, paths: list[str], number: int | None = None) -> dict:
+    """number: how many it is about, where paths show the first only."""
+    return {"rule": rule, "severity": "error", "message": message, "affectedFiles": paths, "count": len(paths) if number is None else number}
 
 
 def constraint_violations(limits: dict, dimensions: dict[str, dict], functions: DataFrame | None = None) -> list[dict]:
@@ -202,9 +204,12 @@ def constraint_violations(limits: dict, dimensions: dict[str, dict], functions:
         rows = told.get(listed, [])
         if key == "max_cc":
             over = [f["file"] for f in rows if f["cc"] > limits[key]]
-            number = len(over) if functions is None or "more" not in told else functions.filter(F.col("cc") > limits[key]).count()
+            number = len(over)
+            if functions is not None and "more" in told:
+                whole = functions.filter(F.col("cc") > limits[key])
+                number, over = whole.count(), [r.path for r in whole.orderBy("ord").select("path").limit(shown_rows.SHOWN).collect()]
             if number:
-                out.append(violation(key, f"{number} function(s) exceed cyclomatic complexity limit of {plain(limits[key])}", over))
+                out.append(violation(key, f"{number} function(s) exceed cyclomatic complexity limit of {plain(limits[key])}", over, number))
         elif rows:
             out.append(violation(key, f"{len(rows)} god file(s) detected", list(rows)))
     return out
