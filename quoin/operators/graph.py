@@ -181,17 +181,21 @@ def _level_rows(graph: Graph, table: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"node": graph.names, "value": graph.longest(ends.code.to_numpy(), ends.weight.to_numpy())})
 
 
-def levels(dag: DataFrame, few: int | None = None) -> DataFrame:
+def levels(dag: DataFrame, few: int | None = None, known: DataFrame | None = None) -> DataFrame:
     """(node, level): the length of the longest way from a node; a graph with cycles must be condensed before.
 
     The graph is contracted until nothing or little is left, and levels are carried back, so chains and trees of any depth take few rounds.
+    known (node, level): of nodes that have no edges here, and aren't given back.
     """
     few = _few_of(few)
     with passing(dag.sparkSession) as kept:
         edges = _held(dag)
-        left, rounds = contracted(weighted(edges, 1), few, acyclic=True)
+        ways, nodes = weighted(edges, 1), edges.select(F.col("src").alias("node")).unionAll(edges.select("dst")).distinct()
+        if known is not None:
+            ended = ways.join(known.toDF("dst", "level"), "dst", "left").select("src", F.when(F.col("level").isNull(), F.col("dst")).alias("dst"), (F.col("weight") + F.coalesce("level", F.lit(0))).alias("weight"))
+            ways, nodes = ended.groupBy("src", "dst").agg(F.max("weight").alias("weight")), nodes.join(known, "node", "left_anti")
+        left, rounds = contracted(ways, few, acyclic=True)
         values = settled(in_one_task(left, _level_rows, f"node {_type(edges)}, value long"))
-        nodes = edges.select(F.col("src").alias("node")).unionAll(edges.select("dst")).distinct()
         told = settled(nodes.join(carried(values, rounds, longest), "node", "left").select("node", F.coalesce("value", F.lit(0)).cast("int").alias("level")))
         kept.append(told)
     return told

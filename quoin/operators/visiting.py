@@ -3,25 +3,29 @@
 A search depth first enters a component (nodes that reach each other) once, at its root, and leaves it when all of it was
 entered. So three things settle everything: the root of each component; which edges inside it lead back to a node still
 open, found by searching the component from its root as a group of its own; and, these edges gone, the longest ways.
+Those inside a component are found by its group too, once all that it leads to are known: what a search leaves of a dense
+component is deep, doesn't contract, and would take a round of joins for each step of its depth.
 
 The root of a component that can be entered at several nodes is where the way that the search takes ends: of all ways
 over components, from a seed on, the least in the order of calls. Components give their calls round by round, each once
 all that lead to it are done, and only those that lead to a component in doubt take part. A key is the list of the
 numbers of the calls, of components that call more than once, on the least way.
 
-Memory of a task: the edges of one component, and those that leave it. Rounds: as many as components in doubt and those
-that lead to them follow each other.
+Memory of a task: the edges of one component, and those that leave it. Rounds: as many as components, or those in doubt
+and what leads to them, follow each other.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quoin.operators import graph as G
+from quoin.operators.solving import Graph
 from quoin.plans.storage import passing, settled
 
 
@@ -63,6 +67,42 @@ def _call_rows(table: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame([(a, b, i) for i, (a, b) in enumerate(calls)], columns=["src", "dst", "call"])
 
 
+def _level_rows(table: pd.DataFrame) -> pd.DataFrame:
+    """Levels inside a component without edges back; rows that aren't edges tell how far the ways that leave a node lead."""
+    edge = table.edge.to_numpy(bool)
+    names, code = np.unique(pd.concat([table.src, table.dst], ignore_index=True).to_numpy(), return_inverse=True)
+    src, dst = code[: len(table)], code[len(table) :]
+    level = Graph(src[edge], dst[edge], names).longest(src[~edge], table.far[~edge].to_numpy(np.int64))
+    return pd.DataFrame({"node": names, "level": level})
+
+
+def _levels(own: DataFrame, of: DataFrame, few: int) -> DataFrame:
+    """(node, level) of own, edges without those that lead back, component by component (of: node, component), those that lead to none first."""
+    kind = own.schema["src"].dataType.simpleString()
+    named = own.select("src", "dst").join(of.toDF("src", "a"), "src", "left").join(of.toDF("dst", "b"), "dst", "left")
+    named = settled(named.select("src", "dst", "a", F.coalesce("a", "src").alias("su"), F.coalesce("b", "dst").alias("du")))
+    inner = named.filter("su = du").select(F.col("a").alias("unit"), "src", "dst", F.lit(0).cast("long").alias("far"), F.lit(True).alias("edge"))
+    cross = named.filter("su <> du")
+    back = settled(cross.select(F.col("du").alias("src"), F.col("su").alias("dst")).distinct())
+    single = settled(cross.filter("a is null").select("src", "dst"))
+    waiting = settled(of.select(F.col("component").alias("unit")).distinct())
+    known = settled(of.limit(0).select("node", F.lit(0).alias("level")))
+    while not waiting.isEmpty():
+        onward = back.join(waiting.withColumnRenamed("unit", "src"), "src", "left_semi").select(F.col("dst").alias("node")).distinct()
+        above = settled(G.reachable(back, onward, held=True, few=few))
+        ready = settled(waiting.join(above.withColumnRenamed("node", "unit"), "unit", "left_anti"))
+        below = single.join(above.unionByName(known.select("node")).withColumnRenamed("node", "src"), "src", "left_anti")
+        known = settled(known.unionByName(G.levels(below, few=few, known=known)))
+        leaves = cross.join(ready.withColumnRenamed("unit", "su"), "su", "left_semi").join(known.toDF("dst", "level"), "dst", "left")
+        far = leaves.groupBy(F.col("su").alias("unit"), "src").agg((F.max(F.coalesce("level", F.lit(0))) + 1).cast("long").alias("far"))
+        rows = inner.join(ready, "unit", "left_semi").unionByName(far.select("unit", "src", F.col("src").alias("dst"), "far", F.lit(False).alias("edge")))
+        known = settled(known.unionByName(rows.groupBy("unit").applyInPandas(_level_rows, f"node {kind}, level int")))
+        waiting = settled(waiting.join(ready, "unit", "left_anti"))
+    known = known.unionByName(G.levels(single.join(known.withColumnRenamed("node", "src"), "src", "left_anti"), few=few, known=known))
+    nodes = own.select(F.col("src").alias("node")).unionAll(own.select("dst")).distinct()
+    return nodes.join(known, "node", "left").select("node", F.coalesce("level", F.lit(0)).alias("level"))
+
+
 def _roots(own: DataFrame, seeds: DataFrame, of: DataFrame, few: int) -> DataFrame:
     """(component, root) for the components of of (node, component)."""
     kind = own.schema["src"].dataType.simpleString()
@@ -107,7 +147,8 @@ def deepest(edges: DataFrame, nodes: DataFrame, few: int | None = None) -> DataF
     """(place, node): the deepest way, from a seed on, of edges (src, dst, ord) between nodes (node, ord); its depth is the last place.
 
     Seeds are the nodes that no edge leads to, or all where there are none. Each node is entered once, neighbours in the
-    order of ord, and a neighbour still open counts nothing. Of ways of one depth, the first.
+    order of ord, and a neighbour still open counts nothing. Of ways of one depth, the first. What isn't among nodes may be
+    led to, but leads nowhere.
     """
     few = G._few_of(few)
     kind = edges.schema["src"].dataType.simpleString()
@@ -133,6 +174,7 @@ def _searched(parts):
         after.setdefault(src, []).append((dst, True))
     led = {dst for rest in after.values() for dst, _ in rest}
     seeds = [n for n in own if n not in led] or own
+    after = {n: after[n] for n in own if n in after}
     depth: dict = {}
     best: dict = {}
     for seed in seeds:
@@ -162,6 +204,7 @@ def _searched(parts):
 
 def _deepest(own: DataFrame, nodes: DataFrame, few: int) -> DataFrame:
     seeds = settled(nodes.join(own.select(F.col("dst").alias("node")), "node", "left_anti"))
+    own = settled(own.join(nodes.select(F.col("node").alias("src")), "src", "left_semi"))
     if seeds.isEmpty():
         seeds = settled(nodes)
     else:
@@ -172,7 +215,7 @@ def _deepest(own: DataFrame, nodes: DataFrame, few: int) -> DataFrame:
         inner = own.join(of.toDF("src", "component"), "src").join(of.toDF("dst", "other"), "dst").filter("component = other").join(roots, "component").withColumn("inside", F.lit(True))
         back = inner.groupBy("component").applyInPandas(_back_rows, f"src {own.schema['src'].dataType.simpleString()}, dst {own.schema['src'].dataType.simpleString()}")
         own = settled(own.join(settled(back), ["src", "dst"], "left_anti"))
-    level = settled(G.levels(own.select("src", "dst"), few=few))
+    level = settled(_levels(own, of, few))
     top = seeds.join(level, "node", "left").select("node", "ord", F.coalesce("level", F.lit(0)).alias("level")).orderBy(F.desc("level"), "ord").limit(1)
     on = settled(top.select(F.lit(0).cast("long").alias("place"), "node", "level"))
     depth = (on.select("level").head() or [0])[0]

@@ -97,3 +97,19 @@ def test_values_are_carried_back_along_chains(spark, monkeypatch):
     ring = chain.selectExpr("src", f"dst % {n} as dst")
     assert [tuple(r) for r in G.components(ring, few=500).groupBy("component").count().collect()] == [(0, n)]
     assert G.reachable(chain, spark.range(1).selectExpr("id + 300 as node"), few=500).count() == n - 300 + 1
+
+
+def test_a_dense_component_takes_no_round_for_each_step_of_its_depth(spark, monkeypatch):
+    """A search of it leaves a way through all nodes, with edges past any number of them, which doesn't contract."""
+    names = [f"n{i:02}" for i in range(30)]
+    edges = [("in", "n00"), ("in", "out"), ("n07", "tail"), ("tail", "out"), *((a, b) for a in names for b in names if a != b)]
+    written, settled = [], contracting.settled
+    monkeypatch.setattr(contracting, "settled", lambda df: written.append(1) or settled(df))
+    assert asked(spark, edges, ["in", "out", "tail", *names], 0) == plain(edges, ["in", "out", "tail", *names])
+    assert len(written) < 60  # 2 for each of some 30 steps before, and 1 to carry each back
+
+
+def test_what_is_no_node_leads_nowhere_but_is_led_to(spark):
+    edges = [("a", "b"), ("b", "gone"), ("gone", "a"), ("gone", "c"), ("c", "b"), ("d", "gone")]
+    for few in (0, None):
+        assert asked(spark, edges, ["a", "b", "c", "d"], few) == ["d", "gone"]
