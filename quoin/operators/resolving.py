@@ -17,8 +17,20 @@ EXTENSIONS = (".ts", ".tsx", ".js", ".jsx", ".json")
 ALIASES = {".js": (".ts", ".tsx", ".js"), ".jsx": (".tsx", ".jsx")}
 
 
+#: A path with a part that is empty, . or ..
+ODD = r"(^|/)\.{0,2}(/|$)"
+
+
 def joined_path(folder: Column, specifier: Column) -> Column:
-    """folder/specifier with . and .. worked out; null where it leaves the tree."""
+    """folder/specifier with . and .. worked out; null where it leaves the tree. Most need no list of parts: . or some .. and then names, below names."""
+    rest = F.regexp_replace(specifier, r"^(\./|(\.\./)+)", "")
+    up = F.floor((F.length(specifier) - F.length(rest)) / 3)
+    left = F.length(folder) - F.length(F.replace(folder, F.lit("/"), F.lit(""))) + 1 - up
+    plain = F.when(left > 0, F.concat(F.call_function("substring_index", folder, F.lit("/"), left.cast("int")), F.lit("/"), rest)).when(left == 0, rest)
+    return F.when(~folder.rlike(ODD) & ~rest.rlike(ODD), plain).otherwise(_worked_out(folder, specifier))
+
+
+def _worked_out(folder: Column, specifier: Column) -> Column:
     parts = F.filter(F.split(F.when(specifier.startswith("/"), specifier).otherwise(F.concat(folder, F.lit("/"), specifier)), "/"), lambda p: ~p.isin("", "."))
     up = F.aggregate(parts, F.array().cast("array<string>"), lambda a, p: F.when(p == "..", F.when((F.size(a) == 0) | (F.element_at(F.concat(F.array(F.lit("..")), a), -1) == ".."), F.concat(a, F.array(p))).otherwise(F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0))))).otherwise(F.concat(a, F.array(p))))
     return F.when(~F.exists(up, lambda p: p == ".."), F.array_join(up, "/"))
@@ -72,16 +84,18 @@ def resolved(imports: DataFrame, files: DataFrame, links: DataFrame | None = Non
     """imports (path, ord, specifier) with resolved; bare specifiers and those without a file have null.
 
     files (path) are all that exist, scanned or not, by their real paths. links (link, target) are followed in what is
-    imported; an importer's own folder is taken as it is named. The first candidate that exists counts.
+    imported; an importer's own folder is taken as it is named. The first candidate that exists counts. Candidates are
+    tried once for each path that is meant, however many imports mean it.
     """
-    relative = imports.filter(F.col("specifier").startswith(".") | F.col("specifier").startswith("/"))
+    relative = F.col("specifier").startswith(".") | F.col("specifier").startswith("/")
     folder = F.regexp_replace("path", "/?[^/]+$", "")
-    tried = relative.withColumn("base", joined_path(folder, F.col("specifier"))).filter("base is not null").select("path", "ord", "specifier", F.posexplode(candidates(F.col("base"))).alias("rank", "target"))
+    based = settled(imports.select("path", "ord", "specifier", F.when(relative, joined_path(folder, F.col("specifier"))).alias("base")))
+    tried = based.filter("base is not null").select("base").distinct().select("base", F.posexplode(candidates(F.col("base"))).alias("rank", "target"))
     there = files.select(F.col("path").alias("target")).distinct()
     if links is not None:
         real = real_paths(tried.select(F.col("target").alias("path")).distinct(), links).toDF("target", "real").filter("real is not null")
         hits = tried.join(real, "target").drop("target").withColumnRenamed("real", "target").join(there, "target", "left_semi")
     else:
         hits = tried.join(there, "target", "left_semi")
-    best = hits.groupBy("path", "ord").agg(F.min(F.struct("rank", "target")).alias("m")).select("path", "ord", F.col("m.target").alias("resolved"))
-    return imports.join(best, ["path", "ord"], "left").select("path", "ord", "specifier", "resolved")
+    best = hits.groupBy("base").agg(F.min(F.struct("rank", "target")).alias("m")).select("base", F.col("m.target").alias("resolved"))
+    return based.join(best, "base", "left").select("path", "ord", "specifier", "resolved")
