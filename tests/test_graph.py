@@ -118,3 +118,36 @@ def test_bits_of_many_nodes(spark):
     edges = frame(spark, list(zip(names, names[1:], strict=False)) + [("n0599", "n0590")])
     want = sorted((x, i if i < 590 else 599) for i, x in enumerate(names) if i)
     assert rows(G.radii(edges)) == want
+
+
+@pytest.mark.parametrize("turned", [False, True])
+def test_forests_are_folded_by_one_join_a_round(spark, monkeypatch, turned):
+    from quoin.operators import contracting
+
+    rng, kept = random.Random(4), []
+    monkeypatch.setattr(contracting, "settled", lambda df, own=contracting.settled: kept.append(1) or own(df))
+    edges = [(f"n{i:03}", f"n{max(0, i - rng.choice([1, 1, 1, 2, 9])):03}") for i in range(1, 60)]
+    edges = [(b, a) for a, b in edges] if turned else edges
+    left, rounds = contracting.contracted(contracting.weighted(frame(spark, edges), 1), 0, acyclic=True)
+    assert left.isEmpty() and len(kept) <= (2 if turned else 1) * len(rounds) + 4
+    after, level = {}, {}
+    for a, b in edges:
+        after.setdefault(a, []).append(b)
+    deep = lambda x: level.setdefault(x, max((1 + deep(b) for b in after.get(x, ())), default=0))
+    assert rows(G.levels(frame(spark, edges), few=0)) == sorted((x, deep(x)) for x in {y for e in edges for y in e})
+
+
+@pytest.mark.parametrize("turned", [False, True])
+def test_reach_over_forests_with_a_circle(spark, monkeypatch, turned):
+    monkeypatch.setattr(G, "STEPS", 1)
+    rng = random.Random(5)
+    edges = [(f"n{i:02}", f"n{max(0, i - rng.choice([1, 1, 2, 5])):02}") for i in range(1, 30)] + [("n00", "n03")]
+    edges = [(b, a) for a, b in edges] if turned else edges
+    seeds = {"n09", "n25", "n02"}
+    want = seeds | {b for a, b in reach(edges) if a in seeds}
+    assert {r[0] for r in rows(G.reachable(frame(spark, edges), spark.createDataFrame([(s,) for s in seeds], "node string"), few=0))} == want
+
+
+def test_a_circle_in_a_forest_has_no_levels(spark):
+    with pytest.raises(ValueError, match="cycles"):
+        G.levels(frame(spark, [("a", "b"), ("b", "c"), ("c", "a"), ("d", "a")]), few=0)
