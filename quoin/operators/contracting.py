@@ -25,11 +25,20 @@ from quoin.plans.storage import settled
 
 @dataclass
 class Round:
-    """What went in one round: the nodes, and their edges out and in at that time. A null dst ends a way."""
+    """What went in one round: the edges out of its nodes and into them at that time. A null dst ends a way."""
 
-    nodes: DataFrame | None  # node; none where each has one edge out
     out: DataFrame  # src, dst, weight
     into: DataFrame | None  # src, dst, weight; none for forests
+    large: bool  # whether to keep off the driver what edges are joined with
+    one: bool = False  # whether no node has a second edge out
+
+
+#: Edges from which on joins shuffle both sides: a side that is sent to all tasks goes by way of the driver, in each round anew.
+SENT = 1 << 16
+
+
+def _joined(a: DataFrame, b: DataFrame, on: str | list[str], how: str, large: bool) -> DataFrame:
+    return a.join(b.hint("merge") if large else b, on, how)
 
 
 def weighted(edges: DataFrame, weight: int) -> DataFrame:
@@ -46,31 +55,33 @@ def contracted(edges: DataFrame, few: int, ending: bool = True, acyclic: bool =
     if ending and most is None and size > few:
         now, size = _folded(now, size, few, acyclic, rounds)
     while size > few and (most is None or len(rounds) < most):
-        inner = now.filter("dst is not null")
+        inner, large = now.filter("dst is not null"), size > SENT
         ends = now.select(F.explode(F.array(F.struct(F.col("src").alias("node"), F.lit(0).alias("i"), F.col("dst").isNotNull().cast("int").alias("o")), F.struct(F.col("dst").alias("node"), F.lit(1).alias("i"), F.lit(0).alias("o")))).alias("x"))
         degree = ends.filter("x.node is not null").groupBy("x.node").agg(F.sum("x.i").alias("i"), F.sum("x.o").alias("o"))
         order = F.struct((F.col("i") * F.col("o") > 0).alias("through"), F.xxhash64("node", F.lit(str(len(rounds)))).alias("h"), "node")
         ready = degree.select("node", F.when(F.col("i") * F.col("o") <= F.col("i") + F.col("o"), order).alias("order")).persist()
         may = ready.filter("order is not null")
-        touching = inner.join(may.select(F.col("node").alias("src"), F.col("order").alias("a")), "src").join(may.select(F.col("node").alias("dst"), F.col("order").alias("b")), "dst")
+        touching = _joined(_joined(inner, may.select(F.col("node").alias("src"), F.col("order").alias("a")), "src", "inner", large), may.select(F.col("node").alias("dst"), F.col("order").alias("b")), "dst", "inner", large)
         later = touching.select(F.when(F.col("a") < F.col("b"), F.col("dst")).otherwise(F.col("src")).alias("node")).distinct().withColumn("later", F.lit(True))
-        marks = settled(ready.join(later, "node", "left").select("node", (F.col("order").isNotNull() & F.col("later").isNull()).alias("goes")))
+        marks = settled(_joined(ready, later, "node", "left", large).select("node", (F.col("order").isNotNull() & F.col("later").isNull()).alias("goes")))
         ready.unpersist()
         told = marks.agg(F.count_if("goes").alias("gone"), F.count("*").alias("nodes")).head()
         if not acyclic and told.gone * 20 < told.nodes:
             break
         going = marks.filter("goes").select("node")
-        out, into = now.join(going.withColumnRenamed("node", "src"), "src", "left_semi").select("src", "dst", "weight"), now.join(going.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst", "weight")
+        tagged = _joined(_joined(now, going.select(F.col("node").alias("src"), F.lit(True).alias("from_")), "src", "left", large), going.select(F.col("node").alias("dst"), F.lit(True).alias("to_")), "dst", "left", large)
+        tagged = settled(tagged.select("src", "dst", "weight", "from_", "to_"))
+        out, into = tagged.filter("from_").select("src", "dst", "weight"), tagged.filter("to_").select("src", "dst", "weight")
         onward = out.select(F.col("src").alias("mid"), F.col("dst").alias("far"), F.col("weight").alias("more"))
         if ending:
             onward = onward.unionByName(going.select(F.col("node").alias("mid"), F.lit(None).cast(edges.schema["dst"].dataType).alias("far"), F.lit(0).cast("long").alias("more")))
-        past = into.withColumnRenamed("dst", "mid").join(onward, "mid").select("src", F.col("far").alias("dst"), (F.col("weight") + F.col("more")).alias("weight"))
-        stays = now.join(going.withColumnRenamed("node", "src"), "src", "left_anti").join(going.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst", "weight")
+        past = _joined(into.withColumnRenamed("dst", "mid"), onward, "mid", "inner", large).select("src", F.col("far").alias("dst"), (F.col("weight") + F.col("more")).alias("weight"))
+        stays = tagged.filter("from_ is null and to_ is null").select("src", "dst", "weight")
         then = settled(stays.unionByName(past if acyclic else past.filter("dst is null or src <> dst")).groupBy("src", "dst").agg(F.max("weight").alias("weight")))
         left = then.agg(F.count("*").alias("size"), F.count_if(F.col("src") == F.col("dst")).alias("loops")).head()
         if left.loops:
             raise ValueError("a graph with cycles has no levels")
-        rounds.append(Round(going, out, into))
+        rounds.append(Round(out, into, large or bool(rounds) and rounds[-1].large))
         now, size = then, left.size
     return now, rounds
 
@@ -107,18 +118,20 @@ def _forward(now: DataFrame, heads: Callable[[str], Column]) -> tuple[DataFrame,
     past = out.select(F.col("src").alias("mid"), F.col("dst").alias("far"), F.col("weight").alias("more"))
     led = now.filter(~goes).join(past, F.col("dst") == F.col("mid"), "left")
     then = led.select("src", F.when(F.col("mid").isNotNull(), F.col("far")).otherwise(F.col("dst")).alias("dst"), (F.col("weight") + F.coalesce("more", F.lit(0))).alias("weight"))
-    return settled(then), Round(None, out, None)
+    return settled(then), Round(out, None, True, True)
 
 
 def _backward(now: DataFrame, heads: Callable[[str], Column]) -> tuple[DataFrame, Round]:
     """A round in which one edge leads to each node at most. Ways that end keep their weight, but for 0, which all have."""
-    goes = F.coalesce(heads("dst") & F.col("dst").isNotNull() & ~heads("src"), F.lit(False))
-    going = now.filter(goes).select(F.col("src").alias("above"), F.col("dst").alias("mid"), F.col("weight").alias("more"))
-    led = settled(now.filter(~goes).join(going, F.col("src") == F.col("mid"), "left").select("src", "dst", "weight", "above", "more"))
-    then = led.select(F.coalesce("above", "src").alias("src"), "dst", (F.col("weight") + F.coalesce("more", F.lit(0))).alias("weight"))
-    ends = then.filter("dst is null").unionAll(going.select("above", F.lit(None).cast(now.schema["dst"].dataType), "more")).filter("weight > 0")
-    left = then.filter("dst is not null").unionAll(ends.groupBy("src", "dst").agg(F.max("weight").alias("weight")))
-    return settled(left), Round(going.select(F.col("mid").alias("node")), led.filter("above is not null").select("src", "dst", "weight"), None)
+    goes = heads("dst") & ~heads("src")
+    inner, kind = now.filter("dst is not null"), now.schema["dst"].dataType
+    ends = now.filter("dst is null and weight > 0").groupBy("src", "dst").agg(F.max("weight").alias("weight"))
+    going = inner.filter(goes).select(F.col("src").alias("above"), F.col("dst").alias("mid"), F.col("weight").alias("more"))
+    led = inner.filter(~goes).unionAll(ends).join(going, F.col("src") == F.col("mid"), "left").select("src", "dst", "weight", "above", "more")
+    last = going.filter("more > 0").select("above", F.lit(None).cast(kind), "more", F.lit(None).cast(kind), F.lit(None).cast("long"))
+    kept = settled(led.unionAll(last))
+    then = kept.select(F.coalesce("above", "src").alias("src"), "dst", (F.col("weight") + F.coalesce("more", F.lit(0))).alias("weight"))
+    return then, Round(kept.filter("above is not null").select("src", "dst", "weight"), None, True)
 
 
 def carried(values: DataFrame, rounds: list[Round], back: Callable[[DataFrame, Round], DataFrame]) -> DataFrame:
@@ -132,12 +145,9 @@ def carried(values: DataFrame, rounds: list[Round], back: Callable[[DataFrame, R
 
 
 def longest(values: DataFrame, r: Round) -> DataFrame:
-    """(node, value) of what went: the largest of the weight of an edge out and the value of where it leads, 0 where none does."""
-    led = r.out.join(values.withColumnRenamed("node", "dst"), "dst", "left").select(F.col("src").alias("node"), (F.col("weight") + F.coalesce("value", F.lit(0))).alias("value"))
-    if r.nodes is None:
-        return led.select("node", F.col("value").cast("long"))
-    best = led.groupBy("node").agg(F.max("value").alias("value"))
-    return r.nodes.join(best, "node", "left").select("node", F.coalesce("value", F.lit(0)).cast("long").alias("value"))
+    """(node, value) of what went: the largest of the weight of an edge out and the value of where it leads, 0 where none does. Nodes without an edge out have 0, and aren't named."""
+    led = _joined(r.out, values.withColumnRenamed("node", "dst"), "dst", "left", r.large).select(F.col("src").alias("node"), (F.col("weight") + F.coalesce("value", F.lit(0))).cast("long").alias("value"))
+    return led if r.one else led.groupBy("node").agg(F.max("value").alias("value"))
 
 
 def on_cycles(labels: DataFrame, r: Round) -> DataFrame:
