@@ -8,7 +8,8 @@ found for what stays are then carried back, round by round.
 
 Forests, whose nodes have one edge out each, or one in, need no look at neighbours: an edge tells by its own two ends
 whether one of them goes past the other, so a round is one join (a fourth of the edges goes), and most of a round's
-shuffles are saved.
+shuffles are saved. What can be reached over edges of which each node has one out is found by fewer rounds still: large
+forests are folded until FOLDED edges are left, whose ways are then doubled.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
+from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,6 +38,9 @@ class Round:
 #: Edges from which on joins shuffle both sides: a side that is sent to all tasks goes by way of the driver, in each round anew.
 SENT = 1 << 16
 
+#: Edges of a forest from which on folding is less work than doubling its ways, whose rounds are fewer.
+FOLDED = 1 << 20
+
 
 def _joined(a: DataFrame, b: DataFrame, on: str | list[str], how: str, large: bool) -> DataFrame:
     return a.join(b.hint("merge") if large else b, on, how)
@@ -134,7 +139,50 @@ def _backward(now: DataFrame, heads: Callable[[str], Column]) -> tuple[DataFrame
     return then, Round(kept.filter("above is not null").select("src", "dst", "weight"), None, True)
 
 
-def carried(values: DataFrame, rounds: list[Round], back: Callable[[DataFrame, Round], DataFrame]) -> DataFrame:
+def above(edges: DataFrame, known: DataFrame) -> DataFrame | None:
+    """(node): known (node) and what it leads to, if each node has one edge (src, dst) out at most; None if not.
+
+    A node that is known is told by a row without src that leads to it, and moves with the node's other edges in.
+    """
+    if not _once(edges, "src"):
+        return None
+    now = edges.select("src", "dst").unionAll(known.select(F.lit(None).cast(edges.schema["src"].dataType).alias("src"), F.col("node").alias("dst")))
+    moved: list[DataFrame] = []
+    while now.filter("src is not null").count() > FOLDED:
+        heads = lambda c, seed=f"above {len(moved)}": F.xxhash64(c, F.lit(seed)) % 2 == 0
+        goes = F.col("src").isNotNull() & heads("src") & ~heads("dst")
+        past = now.filter(goes).select(F.col("src").alias("mid"), F.col("dst").alias("far"))
+        led = settled(now.filter(~goes).join(past, F.col("dst") == F.col("mid"), "left").select("src", "dst", "far"))
+        moved.append(led.filter("far is not null").select("src", "dst"))
+        now = led.select("src", F.coalesce("far", "dst").alias("dst")).filter("src is null or src <> dst")
+    begun = settled(now.filter("src is null").select(F.col("dst").alias("node")).distinct())
+    values = _doubled(settled(now.filter("src is not null")), begun)
+
+    def back(values: DataFrame, r: DataFrame) -> DataFrame:
+        led = r.filter("src is not null").join(values.withColumnRenamed("node", "src"), "src", "left_semi")
+        return led.unionAll(r.filter("src is null")).select(F.col("dst").alias("node"))
+
+    return carried(values, moved, back).distinct()
+
+
+def _doubled(ways: DataFrame, known: DataFrame) -> DataFrame:
+    """(node): known and what it leads to over ways (src, dst), one out of each node at most, which get twice as long in each round.
+
+    Known is all that is less far than ways are long; where these lead to nothing new, nothing is left, in circles as well.
+    """
+    parts = [known]
+    while True:
+        told = reduce(DataFrame.unionAll, parts)
+        fresh = settled(ways.join(told.withColumnRenamed("node", "src"), "src", "left_semi").select(F.col("dst").alias("node")).distinct().join(told, "node", "left_anti"))
+        if fresh.isEmpty():
+            return told
+        parts.append(fresh)
+        if len(parts) == 9:  # so that plans stay short
+            parts = [settled(reduce(DataFrame.unionAll, parts))]
+        ways = settled(ways.join(ways.select(F.col("src").alias("dst"), F.col("dst").alias("far")), "dst").select("src", F.col("far").alias("dst")))
+
+
+def carried(values: DataFrame, rounds: list[Any], back: Callable[[DataFrame, Any], DataFrame]) -> DataFrame:
     """values of what was left, with those that back(values so far, round) gives, from the last round to the first."""
     parts = [values]
     for r in reversed(rounds):

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quoin.operators.contracting import carried, contracted, longest, on_cycles, weighted
+from quoin.operators.contracting import above, carried, contracted, longest, on_cycles, weighted
 from quoin.operators.ranking import numbered
 from quoin.operators.solving import Graph, in_one_task
 from quoin.plans.storage import passing, settled
@@ -128,8 +128,9 @@ STEPS = 12
 def reachable(edges: DataFrame, seeds: DataFrame, held: bool = False, few: int | None = None) -> DataFrame:
     """(node): the seeds and what can be reached from them.
 
-    A search from the frontier, which Spark sends to all tasks while it is small and joins by node when it isn't. If that
-    takes long, the part not reached yet is contracted, so ways of any length take few rounds.
+    Where each node has one edge out at most, ways are folded and doubled. Elsewhere it is a search from the frontier, which
+    Spark sends to all tasks while it is small and joins by node when it isn't. If that takes long, the part not reached yet
+    is contracted, so ways of any length take few rounds.
     """
     few = _few_of(few)
     with passing(edges.sparkSession) as kept:
@@ -138,7 +139,8 @@ def reachable(edges: DataFrame, seeds: DataFrame, held: bool = False, few: int |
         if own.count() <= few and known.count() <= few:
             told = settled(in_one_task(own.unionAll(known.select("node", F.lit(None).cast(_type(own)))), _reached_rows, f"node {_type(own)}"))
         else:
-            told = settled(_searched(own, known, few))
+            forest = above(own, known)
+            told = settled(_searched(own, known, few) if forest is None else forest)
         kept.append(told)
     return told
 

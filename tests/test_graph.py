@@ -148,6 +148,26 @@ def test_reach_over_forests_with_a_circle(spark, monkeypatch, turned):
     assert {r[0] for r in rows(G.reachable(frame(spark, edges), spark.createDataFrame([(s,) for s in seeds], "node string"), few=0))} == want
 
 
+@pytest.mark.parametrize("folded", [1 << 20, 40])
+def test_reach_over_a_forest_takes_few_rounds(spark, monkeypatch, folded):
+    """Trees, a long chain and a circle: folded by two in one round, or doubled, and not looked for step by step."""
+    from quoin.operators import contracting
+
+    rng, kept = random.Random(6), []
+    monkeypatch.setattr(contracting, "FOLDED", folded, raising=False)
+    for module in (contracting, G):
+        monkeypatch.setattr(module, "settled", lambda df, own=module.settled: kept.append(1) or own(df))
+    after = {i: i - 1 if i < 200 else rng.randrange(i) for i in range(1, 300)} | {300: 301, 301: 302, 302: 300, 303: 300}
+    seeds, want = {290, 199, 303, 999}, set()
+    for x in seeds:
+        while x is not None and x not in want:
+            want.add(x)
+            x = after.get(x)
+    got = G.reachable(spark.createDataFrame(list(after.items()), "src long, dst long"), spark.createDataFrame([(s,) for s in seeds], "node long"), few=0)
+    assert rows(got) == sorted((x,) for x in want)
+    assert len(kept) <= 40
+
+
 def test_a_circle_in_a_forest_has_no_levels(spark):
     with pytest.raises(ValueError, match="cycles"):
         G.levels(frame(spark, [("a", "b"), ("b", "c"), ("c", "a"), ("d", "a")]), few=0)
