@@ -60,7 +60,8 @@ class Vocabulary:
 class Memo:
     """Ids of texts as bytes of the vocabulary's width; encode gets a list of unseen pre-tokens and gives an id list each.
 
-    Where there is encode_words, unseen pieces of letters go to it: it gives the ids of each after a space, as bytes.
+    Where there is encode_words, unseen pieces go to it by their pre-tokens, in a row: it gives the ids, as bytes, from each
+    that begins with a space up to the next one.
     """
 
     def __init__(self, encode: Callable[[list[str]], list[list[int]]], special: dict[str, int], width: np.dtype, encode_words: Callable[[list[str]], list[bytes]] | None = None):
@@ -104,13 +105,19 @@ class Memo:
             known = self.pieces = dict(islice(known.items(), MEMO_PIECES // 2))
         got = list(map(known.get, pieces))
         unseen = [i for i, ids in enumerate(got) if ids is None]
-        if self.encode_words is not None:
-            plain = [i for i in unseen if pieces[i].isalpha() and len(pieces[i]) <= MEMO_CHARS]
-            own = [pieces[i] for i in plain]
-            ids = self.encode_words(own)
-            known.update(zip(own, ids, strict=True))
-            for i, x in zip(plain, ids, strict=True):
-                got[i] = x
+        if self.encode_words is not None and unseen:
+            # pieces without white space in them can be cut and coded together: each begins with the space before it
+            plain = [i for i in unseen if len(p := pieces[i]) <= MEMO_CHARS and p.isprintable() and p and p[0] != " "]
+            ascii_, other = [], []
+            for i in plain:
+                (ascii_ if pieces[i].isascii() else other).append(i)
+            for own, find in ((ascii_, self.find_ascii), (other, self.find)):
+                if own:
+                    texts = [pieces[i] for i in own]
+                    ids = self.encode_words(find(" " + " ".join(texts)))
+                    known.update(zip(texts, ids, strict=True))
+                    for i, x in zip(own, ids, strict=True):
+                        got[i] = x
             unseen = [i for i in unseen if got[i] is None]
         found = [self._cut(p[2:] if p[:2] == "  " else " " + p) for p in (pieces[i] for i in unseen)]
         flat = iter(self._words([w for ws in found for w in ws]))
@@ -143,7 +150,8 @@ class Memo:
         firsts = ["  " + p if p else None for p in parts.values.take(pa.array(begin[:-1] + parts.offsets[0].as_py())).to_pylist()]
         marked = list(dict.fromkeys(p for p in firsts if p))
         number = {p: i for i, p in enumerate(marked, len(used))}
-        names = coded.dictionary.to_pylist()
+        # no piece has a space in it, and one long text is taken out of Arrow much faster than many short ones
+        names = pc.binary_join(pa.LargeListArray.from_arrays([0, len(coded.dictionary)], coded.dictionary), pa.scalar(" ", pa.large_string()))[0].as_py().split(" ")
         wanted = np.flatnonzero(used).tolist()
         ids = self._known([*(names[i] for i in wanted), *marked])
         size = np.zeros(len(used) + len(marked) + 1, np.int64)

@@ -8,8 +8,8 @@ manifests. Reading checks all of this: chunks against their names, recipes again
 part against its manifest, and the manifests against the store's root; what is lost, doubled, swapped or altered is
 an error.
 
-Ids are those of the tokenizers library's model, asked for each pre-token (several words of letters at once, as no token
-joins them). Pre-tokens are cut by the vocabulary's own pattern, told in pretokens.py, so that ids can be remembered.
+Ids are those of the tokenizers library's model, asked for each pre-token (many at once, with a byte between them that no
+token joins). Pre-tokens are cut by the vocabulary's own pattern, told in pretokens.py, so that ids can be remembered.
 
 Null texts count as empty and hold the end id alone. Rows that share a doc_id are documents of their own, in any
 order among themselves; null ids come first. Further columns aren't stored. An empty table gives an empty store.
@@ -31,7 +31,7 @@ from quoin.llm.pretokens import Memo, Vocabulary, byte_symbols
 
 #: Ids that the rolling hash sees; bounds and mean (a power of two) of a chunk's ids.
 WINDOW, LEAST, MEAN, MOST = 8, 64, 512, 4096
-#: Words that the library's model sees at once.
+#: Pre-tokens that the library's model sees at once.
 WORDS = 100
 
 _memos: dict[str, tuple[Vocabulary, Memo]] = {}
@@ -49,6 +49,7 @@ def library_memo(path: str) -> tuple[Vocabulary, Memo]:
 
         # pre-tokens are cut already: the library's model takes them in its alphabet of bytes
         model, vocabulary = Tokenizer.from_file(path).model, Vocabulary(path)
+        whole_rows = Tokenizer(model).encode_batch_fast
         letters = {b: c for b, c in enumerate(byte_symbols()) if chr(b) != c}
         others = re.compile("[" + "".join(re.escape(chr(b)) for b in letters if b != 32) + "]").search
 
@@ -62,21 +63,30 @@ def library_memo(path: str) -> tuple[Vocabulary, Memo]:
             return out
 
         symbols = np.array([ord(c) for c in byte_symbols()], np.uint32)
-        sizes = np.array([len(b) for b in vocabulary.token_bytes])
+        # a byte that no text has, as UTF-8 doesn't, and that no token has beside others: what it parts is never joined
+        apart = 0xFF
+        border = [i for i, b in enumerate(vocabulary.token_bytes) if apart in b]
+        mark = "\udcff"  # which is that byte once it is encoded
 
         def encode_words(words: list[str]) -> list[bytes]:
-            out = []
+            rows = []
             for k in range(0, len(words), WORDS):
-                raw = np.frombuffer((" " + " ".join(words[k : k + WORDS])).encode(), np.uint8)
-                ids = np.array([t.id for t in model.tokenize(symbols[raw].tobytes().decode("utf-32-le"))], vocabulary.width)
-                begins = np.cumsum(sizes[ids]) - sizes[ids]
-                whole, bounds = ids.tobytes(), [*(np.searchsorted(begins, np.flatnonzero(raw == 32)) * ids.itemsize).tolist(), ids.nbytes]
-                out += [whole[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-            return out
-
-        # no token goes on over a space after a letter, so the model may see many words at once
-        joins = any(b" " in b.lstrip(b" ") and any(c.isalpha() for c in b.split(b" ")[0].decode("utf-8", "replace")) for b in vocabulary.token_bytes)
-        _memos[path] = vocabulary, Memo(encode, vocabulary.special, vocabulary.width, None if joins else encode_words)
+                raw = np.frombuffer(mark.join(words[k : k + WORDS]).encode("utf-8", "surrogateescape"), np.uint8)
+                rows.append(symbols[raw].tobytes().decode("utf-32-le"))
+            ids: list[int] = []
+            for k in range(0, len(rows), WORDS):
+                for e in whole_rows(rows[k : k + WORDS], add_special_tokens=False):
+                    ids += e.ids
+                    ids.append(border[0])
+            starts = np.array([w[0] == " " for w in words], bool)
+            coded = np.array(ids, vocabulary.width)
+            kept = coded != border[0]
+            # words end at borders; those that begin with a space begin a piece
+            ends = np.cumsum(kept)[~kept] * coded.itemsize
+            whole, begins = coded[kept].tobytes(), np.append(0, ends[:-1])[starts].tolist()
+            return [whole[a:b] for a, b in zip(begins, [*begins[1:], len(whole)], strict=True)]
+
+        _memos[path] = vocabulary, Memo(encode, vocabulary.special, vocabulary.width, encode_words if len(border) == 1 and vocabulary.token_bytes[border[0]] == bytes([apart]) else None)
     return _memos[path]
 
 

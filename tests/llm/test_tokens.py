@@ -38,6 +38,15 @@ def test_memo_equals_library(library, memo):
     same()
 
 
+def test_pieces_that_are_new_are_coded_together(library, monkeypatch):
+    """Digits, signs and letters beyond ASCII as well: the library's model isn't asked for each of their pre-tokens."""
+    memo, asked = token_store.library_memo(PATH)[1], []
+    monkeypatch.setattr(memo, "encode", lambda words, own=memo.encode: asked.extend(words) or own(words))
+    texts = ["".join(f" x{i}{j},y-{j} ñ{i}º.{j}  don't it's¿{j} \u00ff{i}ÿ{j}" for j in range(50)) for i in range(20)]
+    assert [np.frombuffer(b, "<u2").tolist() for b in memo.ids(texts)] == [ids_of(library, t) for t in texts]
+    assert len(asked) <= len(texts)
+
+
 def test_pairs_of_tokens(library):
     vocabulary, memo = bpe.coder(PATH)
     rng = np.random.default_rng(3)
