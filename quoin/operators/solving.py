@@ -6,6 +6,7 @@ The operators in graph.py use these for remainders of some ten thousand edges; r
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -119,7 +120,7 @@ class Graph:
             bits = np.zeros((self.n, -(-len(own) // 64)), np.uint64)
             place = own - lot
             np.bitwise_or.at(bits, (component[own], place // 64), np.uint64(1) << (place % 64).astype(np.uint64))
-            for a, b in zip(cuts, [*cuts[1:], len(starts)], strict=True):
+            for a, b in pairwise([*cuts, len(starts)]):
                 begin, end = steps[a], steps[b]
                 heads = dst[starts[a:b]]
                 bits[heads] |= np.bitwise_or.reduceat(bits[src[begin:end]], starts[a:b] - begin, axis=0)
